@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow's own pool keeps freed memory; workers share an executor's memory, so it goes back at once.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _STAGED: list[tuple[object, str]] = []
 
 

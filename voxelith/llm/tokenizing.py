@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 
 from .common import expand, words_of
 
-#: ASCII punctuation that never joins the letters before it.
+#: ASCII punctuation that never joins the letters before it, after a letter whose lower case is one letter.
 _CLOSING = ".,;:!?%&#$*)"
+_STEM_AND_TAIL = "(?s)^(?P<stem>.*[A-Za-zÀ-ÖØ-öø-į])(?P<tail>[" + _CLOSING + "]+)$"
 _LOADED: dict[str, "WordEncoder"] = {}
 
 
@@ -37,9 +38,9 @@ def splits_at_blanks(spec: dict) -> bool:
 
 
 class WordEncoder:
-    """Encodes Arrow string arrays; keeps the ids of the first `keep` words it has met (about 200 bytes each)."""
+    """Encodes Arrow string arrays; keeps the ids of up to `keep` words met twice (about 200 bytes each)."""
 
-    def __init__(self, path: str, keep: int = 500_000, slice_bytes: int = 4 << 20):
+    def __init__(self, path: str, keep: int = 300_000, slice_bytes: int = 2 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +52,7 @@ class WordEncoder:
         self.by_word = splits_at_blanks(spec | {"truncation": None, "padding": None})
         self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.keep, self.slice_bytes, self.known = keep, slice_bytes, {}
+        self.keep, self.slice_bytes, self.known, self.seen = keep, slice_bytes, {}, bytearray(1 << 22)
         marks = [(t["content"], t["id"]) for t in spec.get("added_tokens", []) if t["special"] and not t["normalized"]]
         self.mark = marks[-1] if marks else None
 
@@ -66,45 +67,41 @@ class WordEncoder:
         raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
         return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
-    def word_ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each distinct word."""
-        known = self.known
-        got = list(map(known.get, words))
+    def runs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct strings, one after another, and the length of each string's run."""
+        known, seen, listed = self.known, self.seen, words.to_pylist()
+        got = list(map(known.get, listed))
         missing = [i for i, x in enumerate(got) if x is None]
-        # Closing punctuation after a Latin letter is a token run of its own, and ASCII case is dropped
-        # where the file says so: what is left of a rare word has often been met.
-        parts, need = [], set()
-        for i in missing:
-            w = words[i]
-            stem = w.rstrip(_CLOSING)
-            if stem and len(stem) < len(w) and stem[-1] < "\u0130" and stem[-1].isalpha():
-                tail = w[len(stem) :]
-                need.add(tail)
-            else:
-                stem, tail = w, None
-            if self.lowers and stem.isascii() and "<" not in stem:
-                stem = stem.lower()
-            need.add(stem)
-            parts.append((i, stem, tail))
-        local = {w: known[w] for w in need if w in known}
-        fresh = [w for w in need if w not in local]
-        odd = [w for w in fresh if "<" in w]
-        for some in (odd, [w for w in fresh if "<" not in w] if odd else fresh):
+        odd = [i for i in missing if "<" in listed[i]]
+        for some in (odd, sorted(set(missing).difference(odd)) if odd else missing):
             if some:
-                local.update(zip(some, self._fresh(some), strict=True))
-        room = self.keep - len(known)
-        if room > 0:
-            known.update((w, local[w]) for w in fresh[:room])
-        for i, stem, tail in parts:
-            got[i] = local[stem] if tail is None else local[stem] + local[tail]
-        return got
+                fresh = [listed[i] for i in some]
+                found = self._fresh(fresh)
+                for i, x in zip(some, found, strict=True):
+                    got[i] = x
+                if len(known) < self.keep:  # those met a second time
+                    for w, x in zip(fresh, found, strict=True):
+                        h = hash(w) & 0x3FFFFF
+                        if seen[h]:
+                            known[w] = x
+                        seen[h] = 1
+        return np.frombuffer(b"".join(got), dtype=np.uint32), np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words, codes, offsets = words_of(pc.replace_substring(texts, "\n", " "))
-        runs = self.word_ids(words.to_pylist())
-        lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs)) // 4
-        pool = np.frombuffer(b"".join(runs), dtype=np.uint32)
-        return expand(codes, offsets, lengths, np.cumsum(lengths) - lengths, pool)
+        texts = pc.replace_substring(texts, "\n", " ")
+        if self.lowers:  # but where a special token may be
+            texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        words, codes, offsets = words_of(texts)
+        # Closing punctuation after a Latin letter is a token run of its own, so many rare words share a stem.
+        parts = pc.extract_regex(words, _STEM_AND_TAIL)
+        stems = pc.coalesce(pc.struct_field(parts, "stem"), words).dictionary_encode()
+        tails = pc.coalesce(pc.struct_field(parts, "tail"), pa.scalar("", words.type)).dictionary_encode()
+        pools, lengths = zip(self.runs(stems.dictionary), self.runs(tails.dictionary), strict=True)
+        stem_of, tail_of = (x.indices.to_numpy(zero_copy_only=False) for x in (stems, tails))
+        both = np.empty(2 * len(codes), dtype=np.int32)
+        both[0::2], both[1::2] = stem_of[codes], len(lengths[0]) + tail_of[codes]
+        n = np.concatenate(lengths)
+        return expand(both, 2 * offsets, n, np.cumsum(n) - n, np.concatenate(pools))
 
     def slices(self, texts: pa.Array):
         """Consecutive parts of the texts of about slice_bytes each: (first row, rows)."""
