@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, token_files, url_filter
+from . import bpe, exact_dedup, packing, token_files, topk_search, url_filter
 
 #: The vocabulary file that the queries use; its folder is found through the public_tokenizers module.
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +27,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_written(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=2048)
 
@@ -34,13 +39,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op5_packing, op6_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op5_packing, op6_bpe, op8_topk_search, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.judge_sql()}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op8_topk_search": topk_search.SQL, "op10_url_filter": url_filter.judge_sql()}
