@@ -49,12 +49,34 @@ def drop_staged() -> None:
             return
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go when it ends, as the table replaces them.
+    """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staging tables that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._staged_at
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _STAGED[:] = [x for x in _STAGED if x[1] != path]
 
 
 def documents(docs: DataFrame) -> DataFrame:

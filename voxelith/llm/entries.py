@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, token_files, topk_search, toxicity, url_filter
+from . import bpe, exact_dedup, packing, suffix_dedup, token_files, topk_search, toxicity, url_filter
 
 #: The vocabulary file that the queries use; its folder is found through the public_tokenizers module.
 VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"), length=400)
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -52,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op5_packing, op6_bpe, op8_topk_search, op9_toxicity, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op5_packing, op6_bpe, op7_suffix_dedup, op8_topk_search, op9_toxicity, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
