@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, packing, suffix_dedup, token_files, topk_search, toxicity, url_filter
+from . import bpe, exact_dedup, line_dedup, ngram_join, packing, suffix_dedup, token_files, topk_search, toxicity, url_filter
 
 #: The vocabulary file that the queries use; its folder is found through the public_tokenizers module.
 VOCABULARY = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=2048)
 
@@ -60,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_ngram_join, op5_packing, op6_bpe, op7_suffix_dedup, op8_topk_search, op9_toxicity, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_ngram_join, op4_line_dedup, op5_packing, op6_bpe, op7_suffix_dedup, op8_topk_search, op9_toxicity, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
