@@ -193,18 +193,18 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
     """The model of the rows that are not held out."""
     return train(*labelled_sample(docs, labels, ~held_out(F.col("doc_id")), per_class))
 
 
-def judge(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= 0.5)."""
     scored = score(docs, fit(docs, labels, per_class))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
     """docs, all columns, without those predicted toxic."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))
     schema = docs.schema
