@@ -8,7 +8,7 @@ nothing. A linear softmax on it gives two classes. Embeddings and softmax are
 trained together by Adam. A label says that a document is toxic somewhere: in
 the first round every window bears its document's label, in later rounds a
 toxic document is stood for by its highest window, a clean one by all of its
-windows. A document scores as its highest window does, over its whole text.
+windows; as these are many more, toxic windows weigh `lift` times as much. A document scores as its highest window does, over its whole text.
 
 Training takes at most `per_class` labelled documents of each class, those with
 the smallest hashes of doc_id (whole texts); scoring takes every document. As
@@ -103,7 +103,7 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 3, steps: int = 100, rate: float = 0.05, batch: int = 512, seed: int = 7, damp: float = 1e-6) -> Model:
+def train(texts: list[str], labels: np.ndarray, rounds: int = 3, steps: int = 100, rate: float = 0.05, batch: int = 512, seed: int = 7, damp: float = 1e-6, lift: float = 3.0) -> Model:
     """Fit embeddings and softmax together on whole texts."""
     if not len(labels) or labels.min() == labels.max():
         share = float(np.mean(labels)) if len(labels) else 0.0
@@ -153,7 +153,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 3, steps: int = 10
                 z = x @ w.T + b
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
-                d = (p - np.stack([1 - target[some], target[some]], axis=1)) / len(some)
+                d = (p - np.stack([1 - target[some], target[some]], axis=1)) * np.where(target[some] == 1, lift, 1.0)[:, None] / len(some)
                 back = d @ w
                 grads = [np.stack([np.bincount(g, weights=back[win, k] * share, minlength=BUCKETS) for k in range(DIMS)], axis=1), d.T @ x, d.sum(axis=0)]
                 step += 1
