@@ -33,7 +33,7 @@ def sphere_radius(volume: Column) -> Column:
 def pocket_pdb(clusters: DataFrame) -> DataFrame:
     """structure_id, rank, line_no, line: seven pseudo-atoms a cluster, the centre and one radius along each axis."""
     r = sphere_radius(F.col("volume"))
-    at = F.array(*(F.struct(F.lit(n).alias("n"), *((F.col(f"c{c}") + sign * r * (c == axis)).alias(c) for c in "xyz")) for n, (axis, sign) in enumerate([("", 0), ("x", 1), ("x", -1), ("y", 1), ("y", -1), ("z", 1), ("z", -1)], 1)))
+    at = F.array(*(F.struct(F.lit(n).alias("n"), *((F.col(f"c{c}") + float(sign * (c == axis)) * r).alias(c) for c in "xyz")) for n, (axis, sign) in enumerate([("", 0), ("x", 1), ("x", -1), ("y", 1), ("y", -1), ("z", 1), ("z", -1)], 1)))
     rows = clusters.select("structure_id", "rank", "druggability", F.explode(at).alias("a"))
     line = F.format_string("HETATM%5d  %-3s POC P%4d    %8.3f%8.3f%8.3f  1.00%6.2f           C", (F.col("rank") - 1) * 7 + F.col("a.n"), F.when(F.col("a.n") == 1, "C").otherwise(F.concat(F.lit("C"), F.col("a.n").cast("string"))), F.col("rank"), F.col("a.x"), F.col("a.y"), F.col("a.z"), F.col("druggability"))
     return rows.select("structure_id", "rank", F.col("a.n").alias("line_no"), line.alias("line"))
@@ -55,9 +55,10 @@ def constraint_yaml(clusters: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def structure_pdb(atoms: DataFrame) -> DataFrame:
-    """structure_id, serial, line: fixed-width ATOM rows."""
+    """structure_id, serial, line: fixed-width ATOM rows, with insertion codes where there are any."""
     name = F.when(F.length("name") < 4, F.concat(F.lit(" "), F.rpad("name", 3, " "))).otherwise(F.substring("name", 1, 4))
-    line = F.format_string("ATOM  %5d %s %3s %s%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.col("serial") + 1, name, "res_name", F.substring("chain_id", 1, 1), "res_seq", F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double"), "element")
+    icode = F.when(F.length(F.trim("icode")) == 1, F.col("icode")).otherwise(F.lit(" ")) if "icode" in atoms.columns else F.lit(" ")
+    line = F.format_string("ATOM  %5d %s %3s %s%4d%s   %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.col("serial") + 1, name, "res_name", F.substring("chain_id", 1, 1), "res_seq", icode, F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double"), "element")
     return atoms.select("structure_id", "serial", line.alias("line"))
 
 
