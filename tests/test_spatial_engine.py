@@ -233,3 +233,7 @@ def test_reranker(spark):
     frame = spark.createDataFrame(rows, "a double, b double, label int")
     model = V.fit_reranker(frame, ["a", "b"], iterations=5, step=0.3)
     assert model.transform(frame).where("prediction = label").count() > 100
+    from pyspark.ml.functions import vector_to_array
+
+    falls = {r.feature: r.fall for r in V.permutation_importance(model, frame.withColumn("c", F.lit(1.0)), ["a", "c"], F.col("label") == 1, vector_to_array("probability")[1]).collect()}
+    assert falls["a"] > 0.05 and falls["c"] == 0

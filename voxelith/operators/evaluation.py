@@ -110,6 +110,30 @@ def top_k_recall(scored: DataFrame, group: str, label: Column, score: str, k: in
     return best.agg(F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg("reachable"), 6).alias("ceiling"))
 
 
+def seeded_order(key: str, seed: int = 0) -> list[Column]:
+    """Columns that order rows as a seeded shuffle does, the same on any cluster."""
+    return [F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.col(key)]
+
+
+def permutation_importance(model, features: DataFrame, columns: Sequence[str], label: Column, score, seed: int = 0) -> DataFrame:
+    """feature and the fall in AUC when a feature's values are dealt anew among the rows.
+
+    score(frame) gives the model's score column of a scored frame; values are
+    dealt by two orders of row numbers, joined, so nothing is collected.
+    """
+    rows = features.withColumn("_id", F.monotonically_increasing_id())
+    base = auc(model.transform(rows).withColumn("_score", score), label, "_score").select(F.col("auc").alias("_base"))
+    out = None
+    for n, c in enumerate(columns):
+        bucket = F.pmod(F.xxhash64("_id"), F.lit(64))
+        own = rows.withColumn("_k", F.row_number().over(Window.partitionBy(bucket).orderBy("_id"))).withColumn("_g", bucket)
+        dealt = rows.select(bucket.alias("_g"), F.row_number().over(Window.partitionBy(bucket).orderBy(F.xxhash64("_id", F.lit(seed + n)), "_id")).alias("_k"), F.col(c).alias("_v"))
+        mixed = own.join(dealt, ["_g", "_k"]).withColumn(c, F.col("_v")).drop("_g", "_k", "_v")
+        one = auc(model.transform(mixed).withColumn("_score", score), label, "_score").crossJoin(base).select(F.lit(c).alias("feature"), (F.col("_base") - F.col("auc")).alias("fall"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def auc(scored: DataFrame, label: Column, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums with mean ranks on ties.
 

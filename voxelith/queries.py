@@ -572,6 +572,11 @@ def positional_join(spark, sf_dir):
     return by_position(r, n.withColumn("position", F.col("position").cast("int"))).select("r_name", "n_name", "position")
 
 
+@query("select c_custkey from customer order by md5(c_custkey::varchar || ':0'), c_custkey limit 50")
+def seeded_sample(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey").orderBy(*V.seeded_order("c_custkey")).limit(50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
