@@ -322,6 +322,24 @@ def test_suffix_dedup(docs, rows, empty, hot, monkeypatch):
         assert out.columns == docs.columns and out.count() == len(rows)
 
 
+@pytest.mark.parametrize("hot", [600, 2])
+def test_repeat_groups(spark, hot):
+    rng = random.Random(12)
+    passage = words(rng, 130)
+    table = [(i, words(rng, 15) + passage + words(rng, 10)) for i in range(5)] + [(9, words(rng, 90)), (10, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    groups, covered = defaultdict(set), defaultdict(list)
+    for r in suffix_dedup.repeat_groups(docs, 400, hot).collect():
+        groups[r.mh, r.g, r.size].add((r.doc_id, r.offset))
+        covered[r.doc_id].append((r.offset, r.offset + r.size))
+    texts = {i: (t or "").encode() for i, t in table}
+    for (_, _, size), places in groups.items():
+        assert len(places) > 1 and size >= 400 and len({texts[d][o : o + size] for d, o in places}) == 1
+    want = brute_spans([texts[i] for i, _ in table], 400)
+    assert {i: suffix_dedup.merge(covered[i]) for i, _ in table} == {i: w for (i, _), w in zip(table, want)}
+    assert max(map(len, groups.values())) >= 5
+
+
 def test_topk_search(spark):
     rng = np.random.default_rng(1)
     table = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8)], 1) for i in range(150)]

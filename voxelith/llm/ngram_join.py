@@ -264,6 +264,6 @@ def _struct(needed: DataFrame, key: list[str]) -> str:
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """docs, all columns, with one document of each connected group: that with the smallest doc_id."""
+    """docs, all columns, with one document of each connected group: that with the smallest doc_id (for tables whose doc_id is a key)."""
     kept = staged(link(docs, n, threshold, recall).where("doc_id <=> class_id").select(F.col("doc_id").alias("__kept_id")), "kept")
     return docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -263,8 +263,8 @@ def _ranges(mh, sh, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["mh", "sh", "a", "b"])
 
 
-def _by_suffix_arrays(parts: DataFrame, length: int) -> DataFrame:
-    """mh, sh, a, b: the repeated ranges of segments, a unit of whole buckets at a time."""
+def _by_suffix_arrays(parts: DataFrame, length: int, listed: bool = False) -> DataFrame:
+    """mh, sh, a, b: the repeated ranges of segments, a unit of whole buckets at a time; or, listed, the maximal repeats themselves."""
 
     def run(batches):
         held, size, last = [], 0, None
@@ -282,13 +282,19 @@ def _by_suffix_arrays(parts: DataFrame, length: int) -> DataFrame:
     def unit(held):
         held = list({(r[0], r[1]): r for r in held}.values())
         mh, sh, n, raw = zip(*held, strict=True)
-        return _ranges(mh, sh, _covered(list(raw), list(n), length))
+        if not listed:
+            return _ranges(mh, sh, _covered(list(raw), list(n), length))
+        rows = [(mh[t], sh[t], f"r{k}", size, at) for k, (size, places) in enumerate(maximal_repeats(list(raw), list(n), length)) for t, at in places]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["mh", "sh", "g", "size", "a"])
 
-    return parts.repartition("mh").sortWithinPartitions("mh").mapInArrow(run, "mh long, sh long, a int, b int")
+    schema = "mh long, sh long, g string, size int, a int" if listed else "mh long, sh long, a int, b int"
+    return parts.repartition("mh").sortWithinPartitions("mh").mapInArrow(run, schema)
 
 
 def _by_hashes(parts: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of very many segments: windows that are met again."""
+    """mh, wh, sh, w: for buckets of very many segments the windows that are met again."""
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -300,7 +306,7 @@ def _by_hashes(parts: DataFrame, length: int) -> DataFrame:
 
     hashed = staged(parts.dropDuplicates(["mh", "sh"]).mapInArrow(run, "mh long, sh long, w int, wh long"), "windows")
     again = staged(hashed.groupBy("mh", "wh").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "again")
-    return hashed.join(again.hint("merge"), ["mh", "wh"]).select("mh", "sh", F.col("w").alias("a"), (F.col("w") + length).alias("b"))
+    return hashed.join(again.hint("merge"), ["mh", "wh"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -311,8 +317,8 @@ def _same(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["r_id"]) & (left["th"] == right["r_th"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """doc_id, th (hash of the text) and spans (array of a, b; may overlap) of the documents that repeat something."""
+def _prepared(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments whose gram is met again (live), the different ones among them (kinds), and the texts to compare (parts)."""
     keyed = _keyed(docs)
     runs = staged(segments(keyed, length, min(GRAM, length)), "segments")
     met = staged(runs.groupBy("mh").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "grams")
@@ -336,8 +342,15 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     fetched = keyed.join(wanted.hint("merge"), _same(keyed, wanted)).select("text", "w")
     parts = staged(fetched.mapInArrow(cut, "mh long, sh long, n int, raw binary, hot boolean"), "parts")
     unstage(mixed, wanted)
+    return live, kinds, parts
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
+    """doc_id, th (hash of the text) and spans (array of a, b; may overlap) of the documents that repeat something."""
+    live, kinds, parts = _prepared(docs, length, hot)
     whole = kinds.where("c > 1").select("mh", "sh", F.lit(0).alias("a"), (F.col("rep.n") + (length - 1)).alias("b"))
-    found = whole.unionByName(_by_suffix_arrays(parts.where("not hot"), length)).unionByName(_by_hashes(parts.where("hot"), length))
+    by_hash = _by_hashes(parts.where("hot"), length).select("mh", "sh", F.col("w").alias("a"), (F.col("w") + length).alias("b"))
+    found = whole.unionByName(_by_suffix_arrays(parts.where("not hot"), length)).unionByName(by_hash)
     ranges = staged(found, "ranges")
     unstage(parts, kinds)
     spans = live.join(ranges.hint("merge"), ["mh", "sh"]).select("doc_id", "th", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("span"))
@@ -346,6 +359,19 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     return out
 
 
+def repeat_groups(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
+    """Maximal repeats with all their occurrences, a row each: mh and g (together the group), size, doc_id, offset.
+
+    A repeat longer than a segment comes in overlapping groups, one a segment.
+    """
+    live, kinds, parts = _prepared(docs, length, hot)
+    whole = kinds.where("c > 1").select("mh", "sh", F.concat(F.lit("s"), F.hex("sh")).alias("g"), (F.col("rep.n") + (length - 1)).alias("size"), F.lit(0).alias("a"))
+    by_hash = _by_hashes(parts.where("hot"), length).select("mh", "sh", F.concat(F.lit("w"), F.hex("wh")).alias("g"), F.lit(length).alias("size"), F.col("w").alias("a"))
+    found = staged(whole.unionByName(_by_suffix_arrays(parts.where("not hot"), length, listed=True)).unionByName(by_hash), "groups")
+    unstage(parts, kinds)
+    return live.join(found.hint("merge"), ["mh", "sh"]).select("mh", "g", "size", "doc_id", (F.col("s") + F.col("a")).alias("offset"))
+
+
 def _cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     """What stays of a text, the bytes removed, the runs removed."""
     merged = merge([(s["a"], s["b"]) for s in spans or ()])
