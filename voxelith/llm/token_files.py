@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staging_path
+from .common import documents, setting, staging_path
 from .tokenizing import encoder
 
 _RAW = "kind string, seq long, payload binary"
@@ -86,13 +86,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     spark = docs.sparkSession
     ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(encode, _RAW)
-    (
-        rows.sortWithinPartitions("kind", "seq")
-        .select("kind", F.col("payload").cast("string").alias("value"))
-        .write.option("lineSep", "\0")
-        .partitionBy("kind")
-        .text(path)
-    )
+    shaped = rows.sortWithinPartitions("kind", "seq").select("kind", F.col("payload").cast("string").alias("value"))
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):  # texts are long
+        shaped.write.option("lineSep", "\0").partitionBy("kind").text(path)
     shards(spark, path, width).write.parquet(f"{path}/manifest")
     return width
 
