@@ -322,6 +322,49 @@ def test_suffix_dedup(docs, rows, empty, hot, monkeypatch):
         assert out.columns == docs.columns and out.count() == len(rows)
 
 
+def brute_passages(texts, words):
+    """Bytes of each text that strings of whole characters with so many words or more cover, if they are met again."""
+    found = defaultdict(list)
+    for k, t in enumerate(texts):
+        for a in range(len(t)):
+            for b in range(a + 1, len(t) + 1):
+                if len(t[a:b].split()) >= words and t[a:b] == t[a:b].strip():
+                    found[t[a:b]].append((k, len(t[:a].encode()), len(t[:b].encode())))
+    spans = [[] for _ in texts]
+    for places in found.values():
+        if len(places) > 1:
+            for k, a, b in places:
+                spans[k].append((a, b))
+    return [suffix_dedup.merge(s) for s in spans]
+
+
+@pytest.mark.parametrize("hot", [600, 1])
+def test_repeated_passages(spark, hot, monkeypatch):
+    rng = random.Random(7)
+    draw = lambda n: rng.choice(["", " "]) + "".join(rng.choice(["a", "b", "ab", "bé", "bè", "漢"]) + rng.choice([" ", " ", "\n", "  ", "\u00a0"]) for _ in range(n))
+    shared = [draw(rng.randint(4, 9)).strip() for _ in range(4)]
+    texts = [draw(rng.randint(0, 5)) + rng.choice([*shared, ""]) + rng.choice(["", " "]) + draw(rng.randint(0, 6)) for _ in range(40)]
+    monkeypatch.setattr(suffix_dedup, "PART", 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for words in (5, 6):
+        got = {r.doc_id: suffix_dedup.merge([tuple(x) for x in r.spans]) for r in suffix_dedup.repeated_passages(docs, words, hot).collect()}
+        assert [got.get(i, []) for i in range(len(texts))] == brute_passages(texts, words)
+        assert got
+
+
+def test_pieces_share_all_windows():
+    rng = random.Random(9)
+    text = "".join(rng.choice("ab  é\u2003") for _ in range(3000)).encode()
+    starts, ends = suffix_dedup.word_places(text)
+    assert [text[a:b].decode() for a, b in zip(starts, ends)] == text.decode().split()
+    saved, suffix_dedup.PART = suffix_dedup.PART, 100
+    try:
+        windows = [(at + int(a), at + int(b)) for at, part in suffix_dedup._pieces(text, 7) for s, e in [suffix_dedup.word_places(part)] for a, b in zip(s[: len(s) - 6], e[6:])]
+    finally:
+        suffix_dedup.PART = saved
+    assert windows == list(zip(starts[:-6].tolist(), ends[6:].tolist()))
+
+
 @pytest.mark.parametrize("hot", [600, 2])
 def test_repeat_groups(spark, hot):
     rng = random.Random(12)

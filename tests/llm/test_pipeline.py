@@ -42,6 +42,20 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
 
 
+def test_passages_of_51_words_go(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, short = text(51), text(49)
+    assert 290 < len(passage) < 310
+    rows = [(k, f"{text(30)} {p} {text(40)}") for k, p in enumerate((passage, passage, short, short))]
+    stage = dict(corpus_pipeline.STAGES)["suffix_array_dedup"]
+    left = {r.doc_id: r.text for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for k in (0, 1):
+        assert not set(passage.split()) & set(left[k].split())
+        assert left[k].split()[0] == rows[k][1].split()[0] and left[k].split()[-1] == rows[k][1].split()[-1]
+    assert all(left[k] == rows[k][1] for k in (2, 3))
+
+
 def test_entry_queries_cover_the_ten():
     import __spark_entry__ as entry
 

@@ -20,6 +20,15 @@ travel as one segment of text.
 4. Each segment's ranges go back to all of its copies, and each document's to
    its text.
 
+`remove_passages` counts words (runs of characters other than white space)
+instead of bytes: it removes every string of whole characters that gives `words`
+words or more, pieces of words at its ends among them, and starts anywhere else
+as well. Its windows start a word apart and run from the last character of a
+word to the first of the word `words` - 1 later; grams are of WORD_GRAM whole
+words inside. Segments take in the whole words at their ends, so that suffix
+arrays find how far a repeat goes into them; in buckets of more than HOT
+segments the windows and their extensions into both words are hashed.
+
 Offsets are bytes of UTF-8; matches never cross documents.
 
 Defined cases: a null or empty text has nothing to remove; texts shorter than
@@ -41,8 +50,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, mix64, staged, unstage
 
-GRAM, HOT = 128, 600
+GRAM, HOT, WORD_GRAM = 128, 600, 10
 PART, UNIT = 2 << 20, 1 << 20
+#: White space as of str.split: single bytes, and the longer characters by their first byte.
+_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_BLANKS = [x.encode() for x in ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")]
 _RUN = "doc_id long, th long, s long, n int, mh long, sh long"
 
 
@@ -66,6 +78,16 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mix64(out)
 
 
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of each `width` neighbouring hashes."""
+    m = len(h) - width + 1
+    key = h & ~np.uint64((1 << 24) - 1) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
+    blocks = np.concatenate((key, np.full(-len(key) % width, ~np.uint64(0)))).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]) & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
 def _segments(data: bytes, offsets: np.ndarray, length: int, gram: int):
     """Runs of windows with one smallest gram over texts laid end to end: start, windows, gram hash."""
     raw = np.frombuffer(data, dtype=np.uint8)
@@ -74,12 +96,7 @@ def _segments(data: bytes, offsets: np.ndarray, length: int, gram: int):
     m = len(h) - width + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = h & ~np.uint64((1 << 24) - 1) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
-    blocks = np.concatenate((key, np.full(-len(key) % width, ~np.uint64(0)))).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = (np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]) & np.uint64((1 << 24) - 1)).astype(np.int64)
-    del ahead, behind, blocks, key
+    least = _least(h, width)
     n = np.diff(offsets)
     fits = np.zeros(m + 1, dtype=np.int8)
     long = np.flatnonzero(n >= length)
@@ -93,8 +110,11 @@ def _segments(data: bytes, offsets: np.ndarray, length: int, gram: int):
     return at[first], np.diff(np.append(first, len(at))), h[least[at[first]]].view(np.int64)
 
 
-def segments(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """doc_id, th, s (offset), n (windows), mh (gram hash), sh (text hash) of each segment of each document."""
+def segments(keyed: DataFrame, length: int, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """doc_id, th, s (offset), n (windows of `length` bytes), mh (gram hash), sh (text hash) of each segment of each document.
+
+    With words, the segments are those of windows of so many words.
+    """
 
     def run(batches):
         for batch in batches:
@@ -102,8 +122,7 @@ def segments(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
             ids, ths = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
             for d in range(batch.num_rows):
                 text = texts[d].as_buffer()
-                for at in range(0, max(1, len(text) - length + 1), PART):
-                    part = bytes(text[at : at + PART + length - 1])
+                for at, part in _pieces(bytes(text), words) if words else ((at, bytes(text[at : at + PART + length - 1])) for at in range(0, max(1, len(text) - length + 1), PART)):
                     held.append((ids[d], ths[d], at, part))
                     size += len(part)
                     if size >= PART:
@@ -113,9 +132,13 @@ def segments(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
                 yield flush(held)
 
     def flush(held):
-        offsets = np.concatenate(([0], np.cumsum([len(x[3]) for x in held])))
-        data = b"".join(x[3] for x in held)
-        s, n, mh = _segments(data, offsets, length, gram)
+        offsets = np.concatenate(([0], np.cumsum([len(x[3]) + (words > 0) for x in held])))
+        data = b"".join(x[3] + b"\n" * (words > 0) for x in held)
+        if words:
+            s, end, mh = _word_segments(data, offsets, words)
+            n = end - s - length + 1
+        else:
+            s, n, mh = _segments(data, offsets, length, gram)
         of = np.searchsorted(offsets, s, side="right") - 1
         view = memoryview(data)
         digest = xxhash.xxh3_64_intdigest
@@ -137,6 +160,62 @@ def segments(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     return keyed.mapInArrow(run, _RUN)
 
 
+def _inside(data: bytes) -> np.ndarray:
+    """Which bytes are no white space."""
+    inside = ~_BLANK[np.frombuffer(data, dtype=np.uint8)]
+    for blank in _BLANKS:
+        at = data.find(blank)
+        while at >= 0:
+            inside[at : at + len(blank)] = False
+            at = data.find(blank, at + len(blank))
+    return inside
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of each word."""
+    inside = np.concatenate(([False], _inside(data), [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _pieces(text: bytes, words: int):
+    """A text in pieces of about PART bytes, each with its offset, that share all but one of `words` words."""
+    at, size = 0, PART
+    while at + size < len(text):
+        part = text[at : at + size]
+        starts, ends = word_places(part)
+        if len(starts) <= words:
+            size *= 2
+            continue
+        yield at, part[: ends[-2]]  # the last word may go on
+        at, size = at + int(starts[len(starts) - words]), PART
+    yield at, text[at:]
+
+
+def _word_segments(data: bytes, offsets: np.ndarray, words: int):
+    """Runs of word windows with one smallest gram over texts with a line end after each: first byte, last byte (exclusive), gram hash."""
+    starts, ends = word_places(data)
+    gram = min(WORD_GRAM, max(1, (words - 2) // 2))
+    none = (np.zeros(0, np.int64),) * 3
+    if len(starts) < words:
+        return none
+    raw = np.frombuffer(data, dtype=np.uint8)
+    mult = 0x9E3779B97F4A7C15
+    up, down = (np.cumprod(np.full(len(raw), x, dtype=np.uint64)) for x in (mult, pow(mult, -1, 1 << 64)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(np.arange(1, 257, dtype=np.uint64))[raw] * up)))
+    a, b = starts[: len(starts) - gram + 1], ends[gram - 1 :]
+    h = mix64((total[b] - total[a]) * down[a])
+    del up, down, total
+    least = _least(h, words - 1 - gram)
+    of = np.searchsorted(offsets, starts, side="right")
+    at = np.flatnonzero(of[words - 1 :] == of[: len(of) - words + 1])
+    if not len(at):
+        return none
+    cut = np.flatnonzero((np.diff(least[at + 1]) != 0) | (np.diff(at) != 1)) + 1
+    first, last = at[np.concatenate(([0], cut))], at[np.append(cut, len(at)) - 1]
+    return starts[first], ends[last + words - 1], h[least[first + 1]].view(np.int64)
+
+
 def suffix_array(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes, each cut at ends[i], and common prefixes of neighbours where they are `length` or more (else 0).
 
@@ -246,6 +325,42 @@ def _covered(texts: list[bytes], windows: list[int], length: int) -> list[list[t
     return [merge(s) for s in spans]
 
 
+def _covered_words(texts: list[bytes], words: int) -> list[list[tuple[int, int]]]:
+    """The ranges of each text that repeated strings of `words` words or more cover, merged.
+
+    The longest repeated string at a place is the longer common prefix with its
+    suffix's neighbours; all others there are its beginnings.
+    """
+    length = 2 * words - 1
+    sizes = np.array([len(t) for t in texts])
+    firsts = np.cumsum(sizes) - sizes
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, dtype=np.uint8)
+    order, common = suffix_array(data, np.repeat(firsts + sizes, sizes), length)
+    longest = np.zeros(len(data), np.int64)
+    longest[order] = np.maximum(np.append(common, 0), np.concatenate(([0], common)))
+    inside, places = _inside(joined), np.arange(len(data) + 1)
+    begins = inside & ~np.concatenate(([False], inside[:-1]))
+    begins[firsts] = inside[firsts]
+    before = np.concatenate(([0], np.cumsum(begins)))
+    whole = np.append((data & 0xC0) != 0x80, True)  # where a character may end
+    a = np.flatnonzero((longest >= length) & inside & whole[:-1])
+    b = np.maximum.accumulate(np.where(whole, places, 0))[a + longest[a]]
+    b = np.maximum.accumulate(np.where(np.concatenate(([False], inside)), places, 0))[b]
+    enough = before[b] - before[a + 1] + 1 >= words
+    a, b = a[enough], b[enough]
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if not len(a):
+        return spans
+    of = np.searchsorted(firsts, a, side="right") - 1
+    reach = np.maximum.accumulate(b)
+    cut = np.flatnonzero((a[1:] > reach[:-1]) | (of[1:] != of[:-1])) + 1
+    head, tail = np.concatenate(([0], cut)), np.append(cut, len(a)) - 1
+    for k, x, y in zip(of[head].tolist(), (a - firsts[of])[head].tolist(), (reach - firsts[of])[tail].tolist(), strict=True):
+        spans[k].append((x, y))
+    return spans
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges in order without overlaps; those that touch are joined."""
     out: list[list[int]] = []
@@ -263,7 +378,7 @@ def _ranges(mh, sh, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["mh", "sh", "a", "b"])
 
 
-def _by_suffix_arrays(parts: DataFrame, length: int, listed: bool = False) -> DataFrame:
+def _by_suffix_arrays(parts: DataFrame, length: int, listed: bool = False, words: int = 0) -> DataFrame:
     """mh, sh, a, b: the repeated ranges of segments, a unit of whole buckets at a time; or, listed, the maximal repeats themselves."""
 
     def run(batches):
@@ -283,7 +398,7 @@ def _by_suffix_arrays(parts: DataFrame, length: int, listed: bool = False) -> Da
         held = list({(r[0], r[1]): r for r in held}.values())
         mh, sh, n, raw = zip(*held, strict=True)
         if not listed:
-            return _ranges(mh, sh, _covered(list(raw), list(n), length))
+            return _ranges(mh, sh, _covered_words(list(raw), words) if words else _covered(list(raw), list(n), length))
         rows = [(mh[t], sh[t], f"r{k}", size, at) for k, (size, places) in enumerate(maximal_repeats(list(raw), list(n), length)) for t, at in places]
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
         columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -309,6 +424,51 @@ def _by_hashes(parts: DataFrame, length: int) -> DataFrame:
     return hashed.join(again.hint("merge"), ["mh", "wh"])
 
 
+def _window_hashes(data: bytes, words: int) -> list[tuple[int, int, int]]:
+    """Range and hash of each window of so many words, from the last character of its first to the first of its last,
+    and of each extension of it to the left into its first word and to the right into its last."""
+    starts, ends = (x.tolist() for x in word_places(data))
+    out = []
+    for k in range(len(starts) - words + 1):
+        edges = []
+        for a, b in ((starts[k], ends[k]), (starts[k + words - 1], ends[k + words - 1])):
+            edges.append([x for x in range(a, b) if data[x] & 0xC0 != 0x80] + [b])
+        lefts, rights = edges[0][-2::-1], edges[1][1:]
+        a, b = lefts[0], rights[0]
+        left = xxhash.xxh3_64(data[a:b])
+        right = left.copy()
+        right.update(b"right")
+        out.append((a, b, left.intdigest()))
+        for x, y in zip(lefts[1:], lefts, strict=False):
+            left.update(data[x:y])
+            out.append((x, b, left.intdigest()))
+        for x, y in zip(rights, rights[1:], strict=False):
+            right.update(data[x:y])
+            out.append((a, y, right.intdigest()))
+    return out
+
+
+def _by_word_hashes(parts: DataFrame, words: int) -> DataFrame:
+    """mh, sh, a, b: for buckets of very many segments the windows of words that are met again, as far as they go."""
+
+    def run(batches):
+        for batch in batches:
+            for m, s, raw in zip(*(batch.column(c).to_pylist() for c in ("mh", "sh", "raw")), strict=True):
+                a, b, h = zip(*_window_hashes(raw, words), strict=True)
+                wh = np.array(h, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(a), pa.int64()), pa.array([s] * len(a), pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(wh)], names=["mh", "sh", "a", "b", "wh"])
+
+    def join(batches):
+        for batch in batches:
+            spans = [merge([(x["a"], x["b"]) for x in found]) for found in batch.column("found").to_pylist()]
+            yield _ranges(batch.column("mh").to_pylist(), batch.column("sh").to_pylist(), spans)
+
+    hashed = staged(parts.dropDuplicates(["mh", "sh"]).mapInArrow(run, "mh long, sh long, a int, b int, wh long"), "windows")
+    again = staged(hashed.groupBy("mh", "wh").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "again")
+    met = hashed.join(again.hint("merge"), ["mh", "wh"])
+    return met.groupBy("mh", "sh").agg(F.collect_list(F.struct("a", "b")).alias("found")).mapInArrow(join, "mh long, sh long, a int, b int")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return documents(docs).withColumn("th", F.xxhash64("text"))
 
@@ -317,10 +477,10 @@ def _same(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["r_id"]) & (left["th"] == right["r_th"])
 
 
-def _prepared(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, length: int, hot: int, words: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Segments whose gram is met again (live), the different ones among them (kinds), and the texts to compare (parts)."""
     keyed = _keyed(docs)
-    runs = staged(segments(keyed, length, min(GRAM, length)), "segments")
+    runs = staged(segments(keyed, length, min(GRAM, length), words), "segments")
     met = staged(runs.groupBy("mh").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "grams")
     live = staged(runs.join(met.hint("merge"), "mh"), "live")
     unstage(runs, met)
@@ -347,10 +507,22 @@ def _prepared(docs: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFr
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """doc_id, th (hash of the text) and spans (array of a, b; may overlap) of the documents that repeat something."""
-    live, kinds, parts = _prepared(docs, length, hot)
+    return _spans(docs, length, hot)
+
+
+def repeated_passages(docs: DataFrame, words: int = 51, hot: int = HOT) -> DataFrame:
+    """doc_id, th and spans as of repeated_spans, of the strings of `words` words (3 at least) or more that repeat."""
+    return _spans(docs, 2 * words - 1, hot, words)  # fewer bytes do not hold so many words
+
+
+def _spans(docs: DataFrame, length: int, hot: int, words: int = 0) -> DataFrame:
+    live, kinds, parts = _prepared(docs, length, hot, words)
     whole = kinds.where("c > 1").select("mh", "sh", F.lit(0).alias("a"), (F.col("rep.n") + (length - 1)).alias("b"))
-    by_hash = _by_hashes(parts.where("hot"), length).select("mh", "sh", F.col("w").alias("a"), (F.col("w") + length).alias("b"))
-    found = whole.unionByName(_by_suffix_arrays(parts.where("not hot"), length)).unionByName(by_hash)
+    if words:
+        by_hash = _by_word_hashes(parts.where("hot"), words)
+    else:
+        by_hash = _by_hashes(parts.where("hot"), length).select("mh", "sh", F.col("w").alias("a"), (F.col("w") + length).alias("b"))
+    found = whole.unionByName(_by_suffix_arrays(parts.where("not hot"), length, words=words)).unionByName(by_hash)
     ranges = staged(found, "ranges")
     unstage(parts, kinds)
     spans = live.join(ranges.hint("merge"), ["mh", "sh"]).select("doc_id", "th", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("span"))
@@ -406,7 +578,16 @@ def digest(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """docs, all columns, with the repeated bytes removed from text (halves of characters at a cut are dropped) and n_chars set anew where there is one."""
-    spans = repeated_spans(docs, length).withColumnsRenamed({"doc_id": "__r_id", "th": "__r_th", "spans": "__spans"})
+    return _without(docs, repeated_spans(docs, length))
+
+
+def remove_passages(docs: DataFrame, words: int = 51) -> DataFrame:
+    """docs, all columns, with the strings of `words` words or more that repeat removed from text, and n_chars set anew where there is one."""
+    return _without(docs, repeated_passages(docs, words))
+
+
+def _without(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    spans = spans.withColumnsRenamed({"doc_id": "__r_id", "th": "__r_th", "spans": "__spans"})
     on = docs["doc_id"].cast("long").eqNullSafe(spans["__r_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans["__r_th"])
     joined = docs.join(spans.hint("merge"), on, "left").drop("__r_id", "__r_th")
     schema = joined.schema
