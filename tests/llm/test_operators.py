@@ -194,6 +194,22 @@ def test_edit_distance():
             assert line_dedup.edit_within(a, b, limit) == (plain(a, b) <= limit)
 
 
+def test_line_recall(spark):
+    """Links against plain edit similarity, whatever the SimHash: one word of twenty changed (of pairs with more changes fewer are found, see README)."""
+    rng = random.Random(8)
+    lines = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(15, 60))) for _ in range(300)]
+    changed = []
+    for x in lines:
+        w = x.split()
+        for k in rng.sample(range(len(w)), max(1, len(w) // 20)):
+            w[k] = "".join(rng.choice("abcdefghij") for _ in w[k])
+        changed.append(" ".join(w))
+    real = [k for k, (a, b) in enumerate(zip(lines, changed)) if line_dedup.similar(a, b, 0.8)]
+    table = list(enumerate([*lines, *changed]))
+    got = {r.doc_id: r.n_removed for r in line_dedup.digest(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert len(real) > 200 and sum(got[len(lines) + k] for k in real) >= 0.8 * len(real)
+
+
 def test_line_dedup(spark, docs, empty):
     rng = random.Random(6)
     lines = [words(rng, rng.randint(8, 30)) for _ in range(60)]
