@@ -16,7 +16,8 @@ travel as one segment of text.
    bytes are the maximal repeats, put out with all their occurrences.
 3. Buckets of more segments (one passage in very many documents) would load one
    task; their suffixes' first `length` bytes are compared by 64-bit hash
-   within the bucket instead, counted with partial sums. The result is the same.
+   within the bucket instead, counted with partial sums. The bytes removed are the same; `repeat_groups`
+   lists such windows instead of maximal repeats.
 4. Each segment's ranges go back to all of its copies, and each document's to
    its text.
 
@@ -535,6 +536,9 @@ def repeat_groups(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFra
     """Maximal repeats with all their occurrences, a row each: mh and g (together the group), size, doc_id, offset.
 
     A repeat longer than a segment comes in overlapping groups, one a segment.
+    Segments met again whole are listed by their text hash, and in buckets of
+    more than `hot` segments the groups are windows of `length` bytes: there no
+    maximal repeats are looked for.
     """
     live, kinds, parts = _prepared(docs, length, hot)
     whole = kinds.where("c > 1").select("mh", "sh", F.concat(F.lit("s"), F.hex("sh")).alias("g"), (F.col("rep.n") + (length - 1)).alias("size"), F.lit(0).alias("a"))
