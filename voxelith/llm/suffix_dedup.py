@@ -18,8 +18,8 @@ travel as one segment of text.
    task; their suffixes' first `length` bytes are compared by 64-bit hash
    within the bucket instead, counted with partial sums. The bytes removed are the same; `repeat_groups`
    lists such windows instead of maximal repeats.
-4. Each segment's ranges go back to all of its copies, and each document's to
-   its text.
+4. Each segment's ranges, merged to one row, go back to all of its copies, and
+   each document's to its text.
 
 `remove_passages` counts words (runs of characters other than white space)
 instead of bytes: it removes every string of whole characters that gives `words`
@@ -459,15 +459,21 @@ def _by_word_hashes(parts: DataFrame, words: int) -> DataFrame:
                 wh = np.array(h, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(a), pa.int64()), pa.array([s] * len(a), pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(wh)], names=["mh", "sh", "a", "b", "wh"])
 
-    def join(batches):
-        for batch in batches:
-            spans = [merge([(x["a"], x["b"]) for x in found]) for found in batch.column("found").to_pylist()]
-            yield _ranges(batch.column("mh").to_pylist(), batch.column("sh").to_pylist(), spans)
-
     hashed = staged(parts.dropDuplicates(["mh", "sh"]).mapInArrow(run, "mh long, sh long, a int, b int, wh long"), "windows")
     again = staged(hashed.groupBy("mh", "wh").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "again")
-    met = hashed.join(again.hint("merge"), ["mh", "wh"])
-    return met.groupBy("mh", "sh").agg(F.collect_list(F.struct("a", "b")).alias("found")).mapInArrow(join, "mh long, sh long, a int, b int")
+    return hashed.join(again.hint("merge"), ["mh", "wh"]).select("mh", "sh", "a", "b")
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """mh, sh, found: one row a segment with its ranges (a, b) in order, without overlaps; a segment has few, as it is short."""
+
+    def run(batches):
+        for batch in batches:
+            spans = [[{"a": a, "b": b} for a, b in merge([(x["a"], x["b"]) for x in found])] for found in batch.column("found").to_pylist()]
+            yield batch.set_column(2, batch.schema.field(2), pa.array(spans, batch.schema.field(2).type))
+
+    listed = ranges.groupBy("mh", "sh").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    return listed.mapInArrow(run, "mh long, sh long, found array<struct<a: int, b: int>>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -524,10 +530,11 @@ def _spans(docs: DataFrame, length: int, hot: int, words: int = 0) -> DataFrame:
     else:
         by_hash = _by_hashes(parts.where("hot"), length).select("mh", "sh", F.col("w").alias("a"), (F.col("w") + length).alias("b"))
     found = whole.unionByName(_by_suffix_arrays(parts.where("not hot"), length, words=words)).unionByName(by_hash)
-    ranges = staged(found, "ranges")
+    ranges = staged(_merged(found), "ranges")
     unstage(parts, kinds)
-    spans = live.join(ranges.hint("merge"), ["mh", "sh"]).select("doc_id", "th", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("span"))
-    out = staged(spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans")), "spans")
+    moved = F.transform("found", lambda x: F.struct((F.col("s") + x["a"]).alias("a"), (F.col("s") + x["b"]).alias("b")))
+    spans = live.join(ranges.hint("merge"), ["mh", "sh"]).select("doc_id", "th", moved.alias("own"))  # a row a segment, however many ranges it has
+    out = staged(spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("own")).alias("spans")), "spans")
     unstage(live, ranges)
     return out
 
