@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -11,7 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow's own pool keeps freed memory; workers share an executor's memory, so it goes back at once.
@@ -21,9 +22,11 @@ _STAGED: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and one machine runs all (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "voxelith-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -90,9 +93,22 @@ def unstage(*tables: DataFrame) -> None:
         _STAGED[:] = [x for x in _STAGED if x[1] != path]
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, whatever else the input has; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def documents(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and text (and `more`) alone, whatever else the input has; a null text is empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs, written, with a number for each row, so that of rows that are alike one can be told from another."""
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -14,9 +14,9 @@ to the documents by a join of two plain shuffles, which Spark splits where one
 group holds a large part of the rows.
 
 Defined cases: a null text is empty, and empty texts are equal; of repeated
-rows (same doc_id, same text) one stays; null doc_ids count as smallest; an
-empty table gives no row; other columns are ignored by `groups` and kept by
-`keep_one`.
+rows (same doc_id, same text) one stays, in `keep_one` as in `groups`; null
+doc_ids count as smallest; an empty table gives no row; other columns are
+ignored by `groups` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh_name, numbered, staged
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
 #: Two characters of text that end a chunk: common enough, and blind to what stands before.
@@ -42,11 +42,12 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{MIN_CHUNK - 3},{MAX_CHUNK - 3}}}?{BOUNDARY}|.{{1,{MAX_CHUNK}}}"), F.lit(0))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """doc_row (a number of the row), doc_id, text_sha256 and chunks (id, sha) of each document, written to the shared folder."""
-    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("norm"))
+def recipes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_row (the column `row`, or a number given here), doc_id, text_sha256 and chunks (id, sha) of each document, written to the shared folder."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    norm = docs.select(number.alias("doc_row"), F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("norm"))
     digests = norm.select(
-        F.monotonically_increasing_id().alias("doc_row"),
+        "doc_row",
         "doc_id",
         F.sha2("norm", 256).alias("text_sha256"),
         F.transform(chunks(F.col("norm")), lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(c, 256)).alias("sha"))).alias("chunks"),
@@ -65,19 +66,25 @@ def verified(found: DataFrame) -> DataFrame:
     return both.select("doc_row", "doc_id", "text_sha256", F.array_join(F.when(F.col("unsure"), shas).otherwise(ids), ".").alias("recipe"))
 
 
+def _grouped(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Each document with its recipe, its group's size and keep: doc_id and doc_row of the row that stays."""
+    listed = staged(verified(recipes(docs, row)), "verified")
+    sums = listed.groupBy("recipe").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "doc_row")).alias("keep"))
+    return listed.join(staged(sums, "groups").hint("merge"), "recipe")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    listed = staged(verified(recipes(docs)), "verified")
-    sums = listed.groupBy("recipe").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "doc_row")).alias("keep"))
-    joined = listed.join(staged(sums, "groups").hint("merge"), "recipe")
-    return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("doc_row") == F.col("keep.doc_row")).alias("kept"), "text_sha256")
+    return _grouped(docs).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("doc_row") == F.col("keep.doc_row")).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row has that stays; all columns, for tables whose doc_id is a key."""
-    staying = groups(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    out = docs.join(staying, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return out
+    """docs, all columns, with one row of each group of equal texts: that with the largest doc_id, of repeated rows any one."""
+    row = fresh_name(docs, "row")
+    known = numbered(docs, row)
+    listed = staged(verified(recipes(known, row)), "verified")
+    staying = listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "doc_row")).alias("keep")).select(F.col("keep.doc_row").alias(row))
+    return known.join(staged(staying, "staying").hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 SQL = f"""with n as (select doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') t from documents),

@@ -14,12 +14,13 @@
    links and a spanning forest of them, never pairs.
 4. Forests are joined to connected groups (components).
 
-Words are lower-case and separated by white space. Defined cases: a text of one
+Words are lower-case and separated by white space (Unicode's). Defined cases: a text of one
 to n-1 words has one n-gram, all of it; a text without words (null, empty, white
 space) has no links and is its own group; copies count as links of each other;
 repeated rows are copies; a null doc_id takes part, and a group's class_id is its
-smallest doc_id; an empty table gives no row; other columns are ignored by
-`link` and kept by `keep_one`.
+smallest doc_id, null if it has no other; `keep_one` keeps one row of each group,
+one with that id (of rows that have it in common any one); an empty table gives no
+row; other columns are ignored by `link` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, hash_words, mix64, staged, unstage, words_of
+from .common import documents, fresh_name, hash_words, mix64, numbered, staged, unstage, words_of
 from .components import components
 from .tokenizing import WordEncoder
 
 ROWS, BLOCK = 5, 256
+#: White space other than the blank, as of str.split.
+_BLANKS = r"[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def choose_bands(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -51,7 +54,7 @@ class _Slices:
 
 def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all word n-grams of the texts in order, and the texts' offsets in them."""
-    flat = pc.replace_substring_regex(pc.utf8_lower(texts), r"[\t\n\r\f\v]", " ")
+    flat = pc.replace_substring_regex(pc.utf8_lower(texts), _BLANKS, " ")
     names, codes, offsets = words_of(flat)
     filled = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[codes]
     offsets = np.concatenate(([0], np.cumsum(filled)))[offsets]
@@ -93,7 +96,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, bands: int, rows: int =
 
 
 def profiles(docs: DataFrame, n: int, bands: int) -> DataFrame:
-    """doc_id, th (hash of the text), k1, k2 (digest of the n-gram set), size, bands; size 0 for a text without words."""
+    """row, doc_id, th (hash of the text), k1, k2 (digest of the n-gram set), size, bands; size 0 for a text without words."""
 
     def run(batches):
         for batch in batches:
@@ -113,11 +116,11 @@ def profiles(docs: DataFrame, n: int, bands: int) -> DataFrame:
                     hashes[some] = signatures(values, np.append(offsets[some], len(values)), bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("th"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size), lists],
-                    names=["doc_id", "th", "k1", "k2", "size", "bands"],
+                    [part.column("row"), part.column("doc_id"), part.column("th"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size), lists],
+                    names=["row", "doc_id", "th", "k1", "k2", "size", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, th long, k1 long, k2 long, size int, bands array<long>")
+    return docs.mapInArrow(run, "row long, doc_id long, th long, k1 long, k2 long, size int, bands array<long>")
 
 
 def _units(batches, columns: list[str]):
@@ -189,10 +192,20 @@ def links(cid: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], want: np.
 
 def link(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """One row a document: doc_id, class_id (smallest doc_id of its connected group) and n_links (documents at the threshold or more)."""
-    keyed = documents(docs).withColumn("th", F.xxhash64("text"))
+    return _linked(documents(docs).withColumn("row", F.monotonically_increasing_id()), n, threshold, recall).select("doc_id", F.col("low.doc_id").alias("class_id"), "n_links")
+
+
+def _by_id():
+    """Orders rows by doc_id, nulls last, then by number."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+
+
+def _linked(rows: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """row, doc_id, n_links, and low: doc_id and row of the group's row with the smallest doc_id."""
+    keyed = rows.withColumn("th", F.xxhash64("text"))
     bands = choose_bands(threshold, recall)
     known = staged(profiles(keyed, n, bands), "profiles")
-    grouped = known.where("size > 0").groupBy("k1", "k2").agg(F.count("*").alias("w"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    grouped = known.where("size > 0").groupBy("k1", "k2").agg(F.count("*").alias("w"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min(_by_id()).alias("low"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = staged(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     spread = classes.select("cid", F.posexplode("bands").alias("t", "h"))
     full = staged(spread.groupBy("t", "h").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
@@ -251,11 +264,11 @@ def link(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     counted = staged(found.where("links is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links")), "counted")
     named = classes.join(labels.withColumnRenamed("v", "cid").hint("merge"), "cid", "left").select("cid", "k1", "k2", "w", "low", F.coalesce("label", "cid").alias("label"))
     named = staged(named.join(counted.hint("merge"), "cid", "left"), "named")
-    lowest = staged(named.groupBy("label").agg(F.min("low").alias("class_id")), "lowest")
-    result = staged(named.join(lowest.hint("merge"), "label").select("k1", "k2", "class_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classed")
+    lowest = staged(named.groupBy("label").agg(F.min("low").alias("lowest")), "lowest")
+    result = staged(named.join(lowest.hint("merge"), "label").select("k1", "k2", F.col("lowest").alias("low"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classed")
     unstage(classes, found, counted, named, lowest)
-    linked = known.where("size > 0").select("doc_id", "k1", "k2").join(result.hint("merge"), ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    return linked.unionByName(known.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    linked = known.where("size > 0").select("row", "doc_id", "k1", "k2").join(result.hint("merge"), ["k1", "k2"]).select("row", "doc_id", "n_links", "low")
+    return linked.unionByName(known.where("size = 0").select("row", "doc_id", F.lit(0).cast("long").alias("n_links"), _by_id().alias("low")))
 
 
 def _struct(needed: DataFrame, key: list[str]) -> str:
@@ -264,6 +277,9 @@ def _struct(needed: DataFrame, key: list[str]) -> str:
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """docs, all columns, with one document of each connected group: that with the smallest doc_id (for tables whose doc_id is a key)."""
-    kept = staged(link(docs, n, threshold, recall).where("doc_id <=> class_id").select(F.col("doc_id").alias("__kept_id")), "kept")
-    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """docs, all columns, with one row of each connected group: that with the smallest doc_id."""
+    name = fresh_name(docs, "row")
+    known = numbered(docs, name)
+    rows = documents(known, F.col(name).alias("row"))
+    kept = staged(_linked(rows, n, threshold, recall).where("row = low.row").select(F.col("row").alias(name)), "kept")
+    return known.join(kept.hint("merge"), name, "left_semi").select(*docs.columns)

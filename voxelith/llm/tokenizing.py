@@ -2,14 +2,16 @@
 
 The normaliser and pre-tokenizer of the vocabularies used here treat blanks as
 separators only, so the ids of a text are the ids of its blank-separated words
-in order. `splits_at_blanks` proves that property for a tokenizer file before
-the word route is taken; any other tokenizer encodes whole texts.
+in order, and closing punctuation after a letter is a run of its own.
+`splits_at_blanks` proves both for a tokenizer file from its pattern before the
+word route is taken; any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,28 @@ from .common import expand, words_of
 #: ASCII punctuation that never joins the letters before it, after a letter whose lower case is one letter.
 _CLOSING = ".,;:!?%&#$*)"
 _STEM_AND_TAIL = "(?s)^(?P<stem>.*[A-Za-zÀ-ÖØ-öø-į])(?P<tail>[" + _CLOSING + "]+)$"
+#: What a pattern may be made of, besides literals of an apostrophe and letters: letters, digits and marks never share a
+#: match, and no match holds white space.
+_LETTERS, _DIGITS, _MARKS = {r"[\p{L}]+", r"\p{L}+"}, {r"[\p{N}]", r"\p{N}", r"[\p{N}]+", r"\p{N}+"}, {r"[^\s\p{L}\p{N}]+"}
 _LOADED: dict[str, "WordEncoder"] = {}
 
 
+def _apart(pattern) -> bool:
+    """Whether a pattern is made of letters, digits, marks and literals like 's only, so that its matches end at blanks,
+    and between a letter and closing punctuation."""
+    parts = pattern.get("Regex", "").split("|") if isinstance(pattern, dict) else []
+    known = _LETTERS | _DIGITS | _MARKS
+    return all(p in known or re.fullmatch(r"'[a-z]+", p) for p in parts) and all(set(parts) & kind for kind in (_LETTERS, _DIGITS, _MARKS))
+
+
 def splits_at_blanks(spec: dict) -> bool:
-    """Whether a tokenizer file drops white space, so that no token depends on both sides of a blank."""
+    """Whether a tokenizer file drops white space and parts words as `_STEM_AND_TAIL` does, so that no token depends on
+    both sides of a blank or of the place before closing punctuation. Files of any other make give no."""
     pre = spec.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
     norm = spec.get("normalizer") or {}
     parts = norm.get("normalizers", [norm] if norm else [])
-    dropping = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "[^\\s" in json.dumps(steps[0]).replace("\\\\", "\\")
+    dropping = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and _apart(steps[0].get("pattern"))
     later = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex", True) for s in steps[1:])
     local = all(p.get("type") in ("NFC", "Lowercase") or (p.get("type") == "Replace" and p["pattern"] == {"Regex": "\\s+"} and p["content"] == " ") for p in parts)
     special = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", []))
