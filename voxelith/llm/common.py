@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
@@ -18,6 +19,18 @@ from pyspark.sql import functions as F
 #: Arrow's own pool keeps freed memory; workers share an executor's memory, so it goes back at once.
 pa.set_memory_pool(pa.system_memory_pool())
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task and share their executor's memory."""
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 _STAGED: list[tuple[object, str]] = []
 
 

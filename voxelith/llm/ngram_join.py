@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_name, hash_words, mix64, numbered, staged, unstage, words_of
+from .common import documents, fresh_name, give_back, hash_words, mix64, numbered, staged, unstage, words_of
 from .components import components
 from .tokenizing import WordEncoder
 
@@ -119,6 +119,7 @@ def profiles(docs: DataFrame, n: int, bands: int) -> DataFrame:
                     [part.column("row"), part.column("doc_id"), part.column("th"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size), lists],
                     names=["row", "doc_id", "th", "k1", "k2", "size", "bands"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, "row long, doc_id long, th long, k1 long, k2 long, size int, bands array<long>")
 

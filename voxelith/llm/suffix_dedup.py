@@ -28,7 +28,8 @@ as well. Its windows start a word apart and run from the last character of a
 word to the first of the word `words` - 1 later; grams are of WORD_GRAM whole
 words inside. Segments take in the whole words at their ends, so that suffix
 arrays find how far a repeat goes into them; in buckets of more than HOT
-segments the windows and their extensions into both words are hashed.
+segments the windows are hashed, and at the ends of runs of windows that are met
+again their extensions into both words.
 
 Offsets are bytes of UTF-8; matches never cross documents.
 
@@ -49,10 +50,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, staged, unstage
+from .common import documents, give_back, mix64, staged, unstage
 
 GRAM, HOT, WORD_GRAM = 128, 600, 10
-PART, UNIT = 2 << 20, 1 << 20
+PART, UNIT = 2 << 20, 1 << 19
 #: White space as of str.split: single bytes, and the longer characters by their first byte.
 _BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 _BLANKS = [x.encode() for x in ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")]
@@ -131,6 +132,8 @@ def segments(keyed: DataFrame, length: int, gram: int = GRAM, words: int = 0) ->
                         held, size = [], 0
             if held:
                 yield flush(held)
+            held, texts = [], None
+        give_back()
 
     def flush(held):
         offsets = np.concatenate(([0], np.cumsum([len(x[3]) + (words > 0) for x in held])))
@@ -232,7 +235,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
         key = key << 9 | np.where(room > k, padded[k : k + n], 0).astype(np.int64)
     order = np.argsort(key)
     slots, key = np.arange(n), key[order]
-    rank, size, ranks = np.zeros(n, np.int64), 7, []
+    rank, size, ranks = np.zeros(n, np.int32), 7, []  # a unit is far shorter than 2**31 bytes
     while True:
         new = np.concatenate(([True], key[1:] != key[:-1]))
         rank = rank.copy()
@@ -243,7 +246,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
         if not len(slots) or not np.any(room[order[slots]] > size):
             break
         at = order[slots]
-        key = rank[at] * (n + 1) + np.where(room[at] > size, rank[np.minimum(at + size, n - 1)] + 1, 0)
+        key = rank[at].astype(np.int64) * (n + 1) + np.where(room[at] > size, rank[np.minimum(at + size, n - 1)] + 1, 0)
         by = np.argsort(key)
         order[slots], key = at[by], key[by]
         size *= 2
@@ -389,11 +392,14 @@ def _by_suffix_arrays(parts: DataFrame, length: int, listed: bool = False, words
                 if size >= UNIT and r[0] != last:
                     yield unit(held)
                     held, size = [], 0
+                    give_back()
                 last = r[0]
                 held.append(r)
                 size += len(r[3])
         if held:
             yield unit(held)
+        held = []
+        give_back()
 
     def unit(held):
         held = list({(r[0], r[1]): r for r in held}.values())
@@ -425,43 +431,98 @@ def _by_hashes(parts: DataFrame, length: int) -> DataFrame:
     return hashed.join(again.hint("merge"), ["mh", "wh"])
 
 
-def _window_hashes(data: bytes, words: int) -> list[tuple[int, int, int]]:
-    """Range and hash of each window of so many words, from the last character of its first to the first of its last,
-    and of each extension of it to the left into its first word and to the right into its last."""
+def _steps(data: bytes, a: int, b: int) -> list[int]:
+    """Where the characters of data[a:b] begin, and b."""
+    return [x for x in range(a, b) if data[x] & 0xC0 != 0x80] + [b]
+
+
+def _core_windows(data: bytes, words: int) -> list[tuple[int, int, int, int]]:
+    """Number, range and hash of each window of so many words, from the last character of its first to the first of its last."""
     starts, ends = (x.tolist() for x in word_places(data))
     out = []
     for k in range(len(starts) - words + 1):
-        edges = []
-        for a, b in ((starts[k], ends[k]), (starts[k + words - 1], ends[k + words - 1])):
-            edges.append([x for x in range(a, b) if data[x] & 0xC0 != 0x80] + [b])
-        lefts, rights = edges[0][-2::-1], edges[1][1:]
-        a, b = lefts[0], rights[0]
-        left = xxhash.xxh3_64(data[a:b])
-        right = left.copy()
-        right.update(b"right")
-        out.append((a, b, left.intdigest()))
-        for x, y in zip(lefts[1:], lefts, strict=False):
-            left.update(data[x:y])
-            out.append((x, b, left.intdigest()))
-        for x, y in zip(rights, rights[1:], strict=False):
-            right.update(data[x:y])
-            out.append((a, y, right.intdigest()))
+        a, b = _steps(data, starts[k], ends[k])[-2], _steps(data, starts[k + words - 1], ends[k + words - 1])[1]
+        out.append((k, a, b, xxhash.xxh3_64_intdigest(data[a:b])))
+    return out
+
+
+def _extensions(data: bytes, words: int, wanted: list[dict]) -> list[tuple[int, int, int]]:
+    """Range and hash of each longer form of the wanted windows: to the left into the first word, or to the right into the last."""
+    starts, ends = (x.tolist() for x in word_places(data))
+    out = []
+    for w in wanted:
+        first, last = (_steps(data, starts[k], ends[k]) for k in (w["k"], w["k"] + words - 1))
+        a, b = first[-2], last[1]
+        h = xxhash.xxh3_64(data[a:b])
+        if w["right"]:
+            h.update(b"right")
+            edges = [(a, y, x) for x, y in zip(last[1:], last[2:], strict=False)]
+        else:
+            edges = [(x, b, x) for x in first[-3::-1]]
+        at = a
+        for x, y, new in edges:
+            h.update(data[new:y] if w["right"] else data[new:at])
+            at = new
+            out.append((x, y, h.intdigest()))
     return out
 
 
 def _by_word_hashes(parts: DataFrame, words: int) -> DataFrame:
-    """mh, sh, a, b: for buckets of very many segments the windows of words that are met again, as far as they go."""
+    """mh, sh, a, b: for buckets of very many segments the windows of words that are met again, as far as they go.
 
-    def run(batches):
+    Windows are compared from the last character of the first word to the first
+    of the last. Neighbours that are met again make a run; only at its ends can
+    a repeat go on within a word unseen, so only windows that stand at the end
+    of a run anywhere are compared by their longer forms.
+    """
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+    def table(columns: dict[str, str], rows: list[tuple]) -> pa.RecordBatch:
+        cells = list(zip(*rows, strict=True)) or [[]] * len(columns)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(cells, columns.values(), strict=True)], names=list(columns))
+
+    def schema(columns):
+        return ", ".join(f"{c} {k}" for c, k in columns.items())
+
+    def signed(h: int) -> int:
+        return h - (1 << 64) if h >> 63 else h
+
+    core = {"mh": "long", "sh": "long", "k": "int", "a": "int", "b": "int", "wh": "long"}
+    run = {"mh": "long", "sh": "long", "a": "int", "b": "int", "first": "long", "last": "long"}
+    form = {"mh": "long", "sh": "long", "a": "int", "b": "int", "wh": "long"}
+
+    def windows(batches):
         for batch in batches:
             for m, s, raw in zip(*(batch.column(c).to_pylist() for c in ("mh", "sh", "raw")), strict=True):
-                a, b, h = zip(*_window_hashes(raw, words), strict=True)
-                wh = np.array(h, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([m] * len(a), pa.int64()), pa.array([s] * len(a), pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(wh)], names=["mh", "sh", "a", "b", "wh"])
+                yield table(core, [(m, s, k, a, b, signed(h)) for k, a, b, h in _core_windows(raw, words)])
 
-    hashed = staged(parts.dropDuplicates(["mh", "sh"]).mapInArrow(run, "mh long, sh long, a int, b int, wh long"), "windows")
-    again = staged(hashed.groupBy("mh", "wh").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "again")
-    return hashed.join(again.hint("merge"), ["mh", "wh"]).select("mh", "sh", "a", "b")
+    def runs(batches):
+        for batch in batches:
+            rows = []
+            for m, s, found in zip(*(batch.column(c).to_pylist() for c in ("mh", "sh", "found")), strict=True):
+                found = sorted(found, key=lambda x: x["k"])
+                cuts = [0, *(n for n in range(1, len(found)) if found[n]["k"] != found[n - 1]["k"] + 1), len(found)]
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    rows.append((m, s, found[x]["a"], found[y - 1]["b"], found[x]["wh"], found[y - 1]["wh"]))
+            yield table(run, rows)
+
+    def forms(batches):
+        for batch in batches:
+            for m, s, raw, wanted in zip(*(batch.column(c).to_pylist() for c in ("mh", "sh", "raw", "wanted")), strict=True):
+                yield table(form, [(m, s, a, b, signed(h)) for a, b, h in _extensions(raw, words, wanted)])
+
+    def again(rows):
+        met = rows.groupBy("mh", "wh").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+        return rows.join(met.hint("merge"), ["mh", "wh"])
+
+    parts = parts.dropDuplicates(["mh", "sh"])
+    met = staged(again(staged(parts.mapInArrow(windows, schema(core)), "windows")), "met")
+    inside = staged(met.groupBy("mh", "sh").agg(F.collect_list(F.struct("k", "a", "b", "wh")).alias("found")).mapInArrow(runs, schema(run)), "runs")
+    ends = [inside.select("mh", F.col(c).alias("wh"), F.lit(right).alias("right")) for c, right in (("first", False), ("last", True))]
+    open_at = met.join(ends[0].unionByName(ends[1]).distinct().hint("merge"), ["mh", "wh"])
+    asked = open_at.groupBy("mh", "sh").agg(F.collect_list(F.struct("k", "right")).alias("wanted"))
+    longer = staged(parts.join(asked.hint("merge"), ["mh", "sh"]).select("mh", "sh", "raw", "wanted").mapInArrow(forms, schema(form)), "forms")
+    return inside.select("mh", "sh", "a", "b").unionByName(again(longer).select("mh", "sh", "a", "b"))
 
 
 def _merged(ranges: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, words_of
+from .common import documents, give_back, words_of
 from .tokenizing import WordEncoder
 
 BUCKETS, WINDOW, DIMS = 1 << 17, 64, 4
@@ -184,6 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for at, n in WordEncoder.slices(m, batch.column("text")):
                 values = score_texts(batch.column("text").slice(at, n), m)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.array(values, pa.float64())], names=["doc_id", "score"])
+        give_back()
 
     return documents(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -215,5 +216,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Dat
             keep = [score_texts(texts.slice(at, n), model.value) < 0.5 for at, n in WordEncoder.slices(model.value, texts)]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
+        give_back()
 
     return docs.mapInArrow(run, schema)

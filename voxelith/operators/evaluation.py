@@ -32,11 +32,33 @@ def threshold_sweep(results: DataFrame, value: str, thresholds: Sequence[float]
     return results.groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(F.col(value) >= t).alias(f"ge_{round(t * 100)}") for t in thresholds))
 
 
-def rollup_hits(results: DataFrame, category: str, hit: Column) -> DataFrame:
-    """Hits and rows of each category, and of all as ALL."""
-    flat = results.select(F.coalesce(category, F.lit("none")).alias(category), hit.alias("_hit"))
-    sums = flat.rollup(category).agg(F.count_if("_hit").alias("hits"), F.count("*").alias("n"))
-    return sums.select(F.coalesce(category, F.lit("ALL")).alias(category), "hits", "n")
+def rollup_hits(results: DataFrame, category: str, hit: Column, *strata: str) -> DataFrame:
+    """Hits and rows of each category, of each stratum in it (as mechanisms), and of all as ALL."""
+    levels = [category, *strata]
+    flat = results.select(*(F.coalesce(c, F.lit("none")).alias(c) for c in levels), hit.alias("_hit"))
+    sums = flat.rollup(*levels).agg(F.count_if("_hit").alias("hits"), F.count("*").alias("n"))
+    return sums.select(*(F.coalesce(c, F.lit("ALL")).alias(c) for c in levels), "hits", "n")
+
+
+def chosen_targets(targets: DataFrame, key: str, category: str | None = None, ids: DataFrame | Sequence | None = None, limit: int | None = None) -> DataFrame:
+    """Targets of a category, of a list or table of ids, and of those the first `limit` by key."""
+    out = targets if category is None else targets.where(F.col("category") == category)
+    if isinstance(ids, DataFrame):
+        out = out.join(ids.select(key), key, "left_semi")
+    elif ids is not None:
+        out = out.where(F.col(key).isin(list(ids)))
+    return out if limit is None else out.orderBy(key).limit(limit)
+
+
+def join_folds(folds: DataFrame, dataset: DataFrame) -> DataFrame:
+    """The dataset's rows of each fold (fold, id); ids that the dataset lacks are skipped."""
+    return folds.join(dataset, "id")
+
+
+def fold_counts(folds: DataFrame, dataset: DataFrame) -> DataFrame:
+    """fold, found, skipped: how many ids of each fold the dataset has and lacks."""
+    there = dataset.select("id").distinct().withColumn("_there", F.lit(True))
+    return folds.join(there, "id", "left").groupBy("fold").agg(F.count("_there").alias("found"), F.count_if(F.col("_there").isNull()).alias("skipped"))
 
 
 def complementarity(legs: DataFrame, key: str, tool: str, hit: Column, tools: Sequence[str]) -> DataFrame:
@@ -134,6 +156,23 @@ def permutation_importance(model, features: DataFrame, columns: Sequence[str], l
     return out
 
 
+def _sums_before(counts: DataFrame, order: str, sums: dict[str, str], descending: bool = False, pieces: int = 200) -> DataFrame:
+    """Adds, under the names of `sums`, the sum of a column over all rows that come earlier in the order.
+
+    Rows are dealt into pieces at approximate quantiles: the totals of the
+    pieces, at most `pieces` rows, are summed up first, then each piece within.
+    """
+    cuts = counts.agg(F.percentile_approx(order, [k / pieces for k in range(1, pieces)], 10000).alias("_cuts"))
+    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    way = F.desc if descending else F.asc
+    earlier = Window.orderBy(way("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_piece").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_piece").agg(*(F.sum(c).alias(f"_all{c}") for c in sums.values()))
+    bases = totals.select("_piece", *(F.coalesce(F.sum(f"_all{c}").over(earlier), F.lit(0)).alias(f"_base{c}") for c in sums.values()))
+    out = dealt.join(F.broadcast(bases), "_piece")
+    return out.select(*counts.columns, *((F.col(f"_base{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(n) for n, c in sums.items()))
+
+
 def auc(scored: DataFrame, label: Column, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums with mean ranks on ties.
 
@@ -141,16 +180,15 @@ def auc(scored: DataFrame, label: Column, score: str) -> DataFrame:
     distinct scores alone.
     """
     counts = scored.groupBy(F.col(score).alias("_s")).agg(F.count_if(label).alias("_p"), F.count_if(~label).alias("_n"))
-    below = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = counts.withColumn("_b", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    pairs = _sums_before(counts, "_s", {"_b": "_n"})
     return pairs.agg(F.round(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)) / (F.sum("_p") * F.sum("_n")), 6).alias("auc"))
 
 
 def average_precision(scored: DataFrame, label: Column, score: str) -> DataFrame:
     """Mean precision at each recall step, over distinct scores from the top."""
     counts = scored.groupBy(F.col(score).alias("_s")).agg(F.count_if(label).alias("_p"), F.count("*").alias("_c"))
-    down = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select("_p", (F.sum("_p").over(down) / F.sum("_c").over(down)).alias("_precision"))
+    before = _sums_before(counts, "_s", {"_pb": "_p", "_cb": "_c"}, descending=True)
+    steps = before.select("_p", ((F.col("_pb") + F.col("_p")) / (F.col("_cb") + F.col("_c"))).alias("_precision"))
     return steps.agg(F.round(F.sum(F.col("_p") * F.col("_precision")) / F.sum("_p"), 6).alias("average_precision"))
 
 

@@ -100,3 +100,10 @@ def resolve_last(left: DataFrame, right: DataFrame, keys: Sequence[str], order:
     """Left outer join to the last right row of each key, or a fallback."""
     last = right.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("_v"))
     return left.join(last, list(keys), "left").withColumn(value, F.coalesce("_v", fallback)).drop("_v")
+
+
+def known_centroid(atoms: DataFrame, known: DataFrame, keys: Sequence[str] = ("structure_id",), place: Sequence[str] = ("chain_id", "res_seq")) -> DataFrame:
+    """Mean place of the alpha carbons of known residues, over all models that atoms holds: keys, cx, cy, cz, n_atoms."""
+    at = [*keys, *place]
+    found = atoms.where(F.col("name") == "CA").join(known.select(*at).distinct(), at, "left_semi")
+    return found.groupBy(*keys).agg(*(F.avg(c).alias(f"c{c}") for c in "xyz"), F.count("*").alias("n_atoms"))

@@ -32,9 +32,16 @@ class Settings:
     eps: float = 5.0
 
 
-def frames_of(atoms: DataFrame, settings: Settings) -> DataFrame:
-    """Atoms of every frame with the residue columns that detection needs."""
-    frames = generate(atoms, settings.n_conformers, settings.backend)
+def frames_of(atoms: DataFrame, settings: Settings, given: DataFrame | None = None) -> DataFrame:
+    """Atoms of every frame with the residue columns that detection needs; frame 0 is the input.
+
+    Frames made elsewhere (given: structure_id, frame_idx from 1, serial, x, y, z) take the place of generated ones.
+    """
+    if given is None:
+        frames = generate(atoms, settings.n_conformers, settings.backend)
+    else:
+        own = atoms.select("structure_id", F.lit(0).alias("frame_idx"), "serial", "x", "y", "z")
+        frames = own.unionByName(given.where("frame_idx > 0").select(F.col("structure_id"), F.col("frame_idx").cast("int").alias("frame_idx"), "serial", "x", "y", "z"))
     about = atoms.select("structure_id", "serial", "res_idx", "res_label", "hydrophobic", "aromatic")
     return frames.join(about, ["structure_id", "serial"])
 
@@ -51,9 +58,9 @@ def detect(frames: DataFrame, settings: Settings, proposals: DataFrame | None =
     return C.fused(*found)
 
 
-def discover(atoms: DataFrame, settings: Settings = Settings(), proposals: DataFrame | None = None) -> DataFrame:
-    """Ranked, filtered clusters of pockets over an ensemble of each structure."""
-    pockets = detect(frames_of(atoms, settings), settings, proposals)
+def discover(atoms: DataFrame, settings: Settings = Settings(), proposals: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """Ranked, filtered clusters of pockets over an ensemble of each structure; with frames, settings.n_conformers is their number beside the input."""
+    pockets = detect(frames_of(atoms, settings, frames), settings, proposals)
     labelled = greedy_cluster(C.scored(pockets), eps=settings.eps)
     found = C.aggregate(labelled, ["structure_id", "cluster_id"], settings.n_conformers + 1)
     ranked = C.ranked(found, settings.rank_by)

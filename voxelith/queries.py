@@ -102,11 +102,11 @@ def frame_list(spark, sf_dir):
 
 @query("""with m as (select o_custkey % 50 cluster_id, l_linenumber frame_idx, 'R' || (l_partkey % 30) as label from orders join lineitem on o_orderkey = l_orderkey),
   n as (select cluster_id, count(distinct frame_idx) n from m group by 1), c as (select cluster_id, label, count(*) c from m group by 1, 2)
-  select cluster_id, string_agg(label, ',' order by label) labels from c join n using (cluster_id) where c >= 12.0 * n group by 1""")
+  select cluster_id, string_agg(label, ',' order by label) labels from c join n using (cluster_id) where c >= 6.0 * n group by 1""")
 def consensus_labels(spark, sf_dir):
     o, li = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     m = o.join(li, o.o_orderkey == li.l_orderkey).select((F.col("o_custkey") % 50).alias("cluster_id"), F.col("l_linenumber").alias("frame_idx"), F.array(F.concat(F.lit("R"), (F.col("l_partkey") % 30).cast("string"))).alias("lining"))
-    return C.consensus_labels(m, ["cluster_id"], "frame_idx", "lining", 12.0).select("cluster_id", F.array_join("lining_residues", ",").alias("labels"))
+    return C.consensus_labels(m, ["cluster_id"], "frame_idx", "lining", 6.0).select("cluster_id", F.array_join("lining_residues", ",").alias("labels"))
 
 
 @query(f"with {_FULL} select structure_id, cluster_id, crypticity from c")
@@ -199,6 +199,31 @@ def threshold_sweep(spark, sf_dir):
     return V.threshold_sweep(site_metrics(spark, sf_dir), "jaccard")
 
 
+@query("select coalesce(c, 'ALL') category, coalesce(m, 'ALL') mechanism, hits, n from (select o_orderpriority c, o_orderstatus m, count_if(o_totalprice >= 150000)::bigint hits, count(*) n from orders group by rollup (o_orderpriority, o_orderstatus))")
+def rollup_mechanisms(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumnsRenamed({"o_orderpriority": "category", "o_orderstatus": "mechanism"})
+    return V.rollup_hits(o, "category", F.col("o_totalprice") >= 150000, "mechanism")
+
+
+@query("select o_orderkey target_id, o_orderpriority category from orders where o_orderpriority = '1-URGENT' and o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') order by o_orderkey limit 25")
+def target_subset(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target_id"), F.col("o_orderpriority").alias("category"), "o_custkey")
+    ids = o.join(read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("target_id")
+    return V.chosen_targets(o, "target_id", category="1-URGENT", ids=ids, limit=25).select("target_id", "category")
+
+
+@query("select o_orderpriority fold, count(c_custkey) found, count(*) - count(c_custkey) skipped from orders left join (select c_custkey from customer where c_acctbal > 0) c on o_custkey = c_custkey group by 1")
+def fold_join(spark, sf_dir):
+    folds = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("fold"), F.col("o_custkey").alias("id"))
+    return V.fold_counts(folds, read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), "c_name"))
+
+
+@query("""select o_orderkey target_id, '{"target_id":' || o_orderkey || ',"status":"' || o_orderstatus || '","rank":' || (o_custkey % 20) || '}' as result from orders""")
+def results_json(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target_id"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 20).alias("rank"))
+    return K.results_json(o, "target_id")
+
+
 @query("select coalesce(c, 'ALL') category, hits, n from (select o_orderpriority c, count_if(o_totalprice >= 150000)::bigint hits, count(*) n from orders group by rollup (o_orderpriority))")
 def rollup_categories(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), "o_totalprice")
@@ -261,15 +286,23 @@ def nearest_centroid(spark, sf_dir):
     return near.select("id", F.round("distance", 6).alias("distance"), "nearest")
 
 
+@query(f"with {_PT}, k as (select distinct p_partkey % 10 frame_idx, p_size % 3 chain_id, p_partkey % 40 res_seq from part where p_size > 30) select frame_idx, round(avg(x), 6) cx, round(avg(y), 6) cy, round(avg(z), 6) cz, count(*) n_atoms from pt where id % 5 < 2 and (frame_idx, id % 3, id % 40) in (select (frame_idx, chain_id, res_seq) from k) group by 1")
+def known_centroid(spark, sf_dir):
+    atoms = points(spark, sf_dir).withColumns({"chain_id": F.col("id") % 3, "res_seq": F.col("id") % 40, "name": F.when(F.col("id") % 5 < 2, "CA").otherwise("CB")})
+    known = read(spark, sf_dir, "part").where("p_size > 30").select((F.col("p_partkey") % 10).alias("frame_idx"), (F.col("p_size") % 3).alias("chain_id"), (F.col("p_partkey") % 40).alias("res_seq"))
+    found = S.known_centroid(atoms, known, ["frame_idx"])
+    return found.select("frame_idx", *(F.round(f"c{c}", 6).alias(f"c{c}") for c in "xyz"), "n_atoms")
+
+
 @query(f"with {_PT} select frame_idx, round(avg(x), 6) cx, round(avg(y), 6) cy, round(avg(z), 6) cz from pt group by 1")
 def centroid(spark, sf_dir):
     return points(spark, sf_dir).groupBy("frame_idx").agg(*(F.round(F.avg(c), 6).alias(f"c{c}") for c in "xyz"))
 
 
-@query(f"with {_PT}, a as (select frame_idx, id aid, x ax, y ay, z az, y / 10 dx, z / 10 dy, x / 10 dz from pt where id % 10 = 0), w as (select p.id, exp(-((x - ax) * (x - ax) + (y - ay) * (y - ay) + (z - az) * (z - az)) / 50.0) w, dx, dy, dz from pt p join a using (frame_idx)) select id, round(sum(w * dx) / (sum(w) + 1e-8), 5) dx, round(sum(w * dy) / (sum(w) + 1e-8), 5) dy, round(sum(w * dz) / (sum(w) + 1e-8), 5) dz from w group by 1")
+@query(f"with {_PT}, a as (select frame_idx, id aid, x ax, y ay, z az, y / 10 dx, z / 10 dy, x / 10 dz from pt where z >= 6), w as (select p.id, exp(-((x - ax) * (x - ax) + (y - ay) * (y - ay) + (z - az) * (z - az)) / 50.0) w, dx, dy, dz from pt p join a using (frame_idx)) select id, round(sum(w * dx) / (sum(w) + 1e-8), 5) dx, round(sum(w * dy) / (sum(w) + 1e-8), 5) dy, round(sum(w * dz) / (sum(w) + 1e-8), 5) dz from w group by 1")
 def gaussian_propagate(spark, sf_dir):
     p = points(spark, sf_dir)
-    a = p.where("id % 10 = 0").select("frame_idx", *(F.col(c).alias(f"a{c}") for c in "xyz"), (F.col("y") / 10).alias("dx"), (F.col("z") / 10).alias("dy"), (F.col("x") / 10).alias("dz"))
+    a = p.where("z >= 6").select("frame_idx", *(F.col(c).alias(f"a{c}") for c in "xyz"), (F.col("y") / 10).alias("dx"), (F.col("z") / 10).alias("dy"), (F.col("x") / 10).alias("dz"))
     return S.gaussian_propagate(p, a, ["id"], 5.0, ["frame_idx"]).select("id", *(F.round(f"d{c}", 5).alias(f"d{c}") for c in "xyz"))
 
 
@@ -320,12 +353,8 @@ _MASK = f"{_GRID}, m as (select distinct frame_idx, i, j, k from (select v.frame
 _FIELD = f"{_MASK}, f as (select frame_idx, i, j, k, d2::int d2 from (select frame_idx, i, j, k, min(d2) d2 from (select m.frame_idx, i + di i, j + dj j, k + dk k, d2 from m, {_cube(7, 'a * a + b * b + c * c <= 59')}) q group by 1, 2, 3, 4) join g using (frame_idx) where d2 > 0 and {_IN})"
 
 
-def _near_frames(spark, sf_dir) -> DataFrame:
-    return points(spark, sf_dir)
-
-
 def _voxels(spark, sf_dir):
-    p = _near_frames(spark, sf_dir)
+    p = points(spark, sf_dir)
     g = G.extents(p, _FR)
     return G.voxelize(p, g, _FR), g
 

@@ -78,6 +78,16 @@ def console(clusters: DataFrame) -> DataFrame:
     return clusters.select("rank", F.greatest("druggability", "max_druggability").alias("druggability"), "crypticity", F.format_string("%.0f%%", F.col("persistence") * 100).alias("persistence"), volume.alias("volume"), names.alias("residues"))
 
 
+def results_json(rows: DataFrame, key: str) -> DataFrame:
+    """The key and result: each row as a JSON object."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("result"))
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Per-target rows as JSON lines, a file a partition; null fields stay."""
+    rows.write.option("ignoreNullFields", "false").mode("overwrite").json(path)
+
+
 def not_done(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys the sink does not have yet."""
     return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")

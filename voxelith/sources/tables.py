@@ -9,31 +9,36 @@ from pyspark.sql import functions as F
 def read_proposals(spark: SparkSession, path: str) -> DataFrame:
     """Ranked proposals of an external detector from padded CSV; rows that do not parse are skipped.
 
-    A missing rank is the running count, a missing score or probability 0.
+    Each file has its own header and, where a rank is missing, its own running
+    count; structure_id is the file's name without its endings. A missing score
+    or probability is 0.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    cells = raw.where(F.trim("line") != "").select("pos", F.transform(F.split("line", ","), lambda x: F.trim(x)).alias("v"))
-    head = F.broadcast(cells.orderBy("pos").limit(1).select(F.col("v").alias("h")))
-    named = cells.where("pos > 0").crossJoin(head)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    cut = F.transform(lines, lambda x: F.transform(F.split(x, ","), lambda c: F.trim(c)))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), cut.alias("lines"))
+    named = files.select("file", F.get("lines", F.lit(0)).alias("h"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("pos", "v"))
     get = lambda n: F.get("v", (F.array_position("h", n) - 1).cast("int"))
     number = lambda n: get(n).try_cast("double")
-    rows = named.select("pos", number("rank").cast("int").alias("_rank"), F.coalesce(number("score"), F.lit(0.0)).alias("score"), F.coalesce(number("probability"), F.lit(0.0)).alias("probability"), *(number(f"center_{c}").alias(f"p{c}") for c in "xyz"), F.filter(F.split(F.coalesce(get("residue_ids"), F.lit("")), r"\s+"), lambda x: x != "").alias("residue_ids"))
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(\.(pdb|cif))?(_predictions)?\.csv$", "")
+    rows = named.select("file", name.alias("structure_id"), "pos", number("rank").cast("int").alias("_rank"), F.coalesce(number("score"), F.lit(0.0)).alias("score"), F.coalesce(number("probability"), F.lit(0.0)).alias("probability"), *(number(f"center_{c}").alias(f"p{c}") for c in "xyz"), F.filter(F.split(F.coalesce(get("residue_ids"), F.lit("")), r"\s+"), lambda x: x != "").alias("residue_ids"))
     good = rows.where("px is not null and py is not null and pz is not null")
-    return good.withColumn("rank", F.coalesce("_rank", F.row_number().over(Window.orderBy("pos")))).drop("_rank", "pos")
+    return good.withColumn("rank", F.coalesce("_rank", F.row_number().over(Window.partitionBy("file").orderBy("pos")))).drop("_rank", "pos", "file")
 
 
 def proposal_labels(proposals: DataFrame, residues: DataFrame | None = None) -> DataFrame:
-    """Adds residues: A_10 as ALA10:A where a residue table (chain_id, res_seq, res_name) names it, else 10:A."""
-    each = proposals.select("rank", F.posexplode("residue_ids").alias("pos", "rid")).select("rank", "pos", F.regexp_extract("rid", r"^([^_]*)_", 1).alias("chain_id"), F.regexp_extract("rid", r"_(-?\d+)", 1).try_cast("int").alias("res_seq"))
+    """Adds residues: A_10 as ALA10:A where a residue table (chain_id, res_seq, res_name, and structure_id if there are several) names it, else 10:A."""
+    key = [c for c in ("structure_id", "rank") if c in proposals.columns]
+    each = proposals.select(*key, F.posexplode("residue_ids").alias("pos", "rid")).select(*key, "pos", F.regexp_extract("rid", r"^([^_]*)_", 1).alias("chain_id"), F.regexp_extract("rid", r"_(-?\d+)", 1).try_cast("int").alias("res_seq"))
     plain = F.concat(F.col("res_seq").cast("string"), F.lit(":"), F.col("chain_id"))
     if residues is None:
         named = each.withColumn("label", plain)
     else:
         order = "res_idx" if "res_idx" in residues.columns else "res_name"
-        last = residues.groupBy("chain_id", "res_seq").agg(F.max_by("res_name", order).alias("res_name"))
-        named = each.join(last, ["chain_id", "res_seq"], "left").withColumn("label", F.concat(F.coalesce("res_name", F.lit("")), plain))
-    lists = named.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda s: s["label"]).alias("residues"))
-    return proposals.join(lists, "rank", "left")
+        place = [c for c in ("structure_id", "chain_id", "res_seq") if c in each.columns and c in residues.columns]
+        last = residues.groupBy(*place).agg(F.max_by("res_name", order).alias("res_name"))
+        named = each.join(last, place, "left").withColumn("label", F.concat(F.coalesce("res_name", F.lit("")), plain))
+    lists = named.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda s: s["label"]).alias("residues"))
+    return proposals.join(lists, key, "left")
 
 
 def read_report(spark: SparkSession, path: str, top: int = 5) -> DataFrame:
