@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, suffix_dedup, token_files, topk_search, toxicity, url_filter
+from . import bpe, centroid_clustering, exact_dedup, line_dedup, ngram_join, packing, secret_scan, suffix_dedup, token_files, topk_search, toxicity, url_filter
 
 #: The vocabulary file that the queries use; its folder is found through the public_tokenizers module.
 VOCABULARY = "word_bpe_49k.json"
@@ -63,9 +63,29 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.digest(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed="1:")
+
+
+_ALL = (
+    op1_token_files, op2_exact_dedup, op3_ngram_join, op4_line_dedup, op5_packing, op6_bpe, op7_suffix_dedup, op8_topk_search, op9_toxicity, op10_url_filter,
+    op12_secret_scan, op13_centroid_clustering,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_ngram_join, op4_line_dedup, op5_packing, op6_bpe, op7_suffix_dedup, op8_topk_search, op9_toxicity, op10_url_filter)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op8_topk_search": topk_search.SQL, "op10_url_filter": url_filter.judge_sql()}
+    return {
+        "op2_exact_dedup": exact_dedup.SQL,
+        "op8_topk_search": topk_search.SQL,
+        "op10_url_filter": url_filter.judge_sql(),
+        "op12_secret_scan": secret_scan.digest_sql(),
+        "op13_centroid_clustering": centroid_clustering.digest_sql(),
+    }
