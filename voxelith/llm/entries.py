@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroid_clustering, exact_dedup, line_dedup, ngram_join, packing, secret_scan, suffix_dedup, token_files, topk_search, toxicity, url_filter
+from . import bpe, centroid_clustering, exact_dedup, line_dedup, ngram_join, packing, secret_scan, suffix_dedup, token_alignment, token_files, topk_search, toxicity, url_filter
 
 #: The vocabulary file that the queries use; its folder is found through the public_tokenizers module.
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,13 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def alignment_files() -> tuple[str, str]:
+    """The byte-level and the piece vocabulary that are aligned."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +70,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(table(spark, sf_dir, "documents"), *alignment_files())
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -73,7 +84,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_token_files, op2_exact_dedup, op3_ngram_join, op4_line_dedup, op5_packing, op6_bpe, op7_suffix_dedup, op8_topk_search, op9_toxicity, op10_url_filter,
-    op12_secret_scan, op13_centroid_clustering,
+    op11_token_alignment, op12_secret_scan, op13_centroid_clustering,
 )
 
 
