@@ -3,7 +3,8 @@
 Tokenizer A is byte-level BPE (a tokenizers file), B is BPE with byte fallback
 and blanks as marks (a sentencepiece model); both see one blank and the text.
 Neither lets a token pass from a character that is not white space to a blank
-followed by one (A's pre-tokenizer parts them, B has no such piece; `_Coders`
+or newline, from a lone newline to what follows, or from a Latin letter to a
+mark of MARKS (A's pre-tokenizer parts them, B has no such piece; `_Coders`
 checks both), so such places are cuts in every text. Texts are parted there,
 and each distinct part is tokenized and aligned once for the whole corpus.
 
@@ -43,11 +44,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _CLEANUP, documents, setting, staged, staging_path, unstage
+from .common import _CLEANUP, documents, expand, setting, staged, staging_path, unstage
 
 CHUNK = 16 << 20
-#: Before a blank that stands alone between characters that are not white space.
-PARTING = re.compile(r"(?<=\S)(?= \S)")
+#: Marks that no token joins to the letter before them.
+MARKS = ".,;:!?)*&"
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Before white space that begins with a blank or newline; then, within what lies between, the other places.
+PARTING = re.compile(r"(?<=\S)(?=[ ])")
+FINER = re.compile(rf"(?<=\S)(?=\n)|(?<=\S\n)(?=\S)|(?<=[{_LETTER}])(?=[{re.escape(MARKS)}])")
+_BESIDE = re.compile(r"\s | \s")
 _MARK = "▁"
 
 
@@ -76,15 +82,16 @@ class _Coders:
             self.a_length[i] = len(token)  # each character stands for one byte
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        joins = re.compile(rf"[{_LETTER}][{re.escape(MARKS)}]|\n")
         odd = " ﬁ  ①Å \n　x "
-        if self.b.normalize(odd) != (" " + odd).replace(" ", _MARK) or sum(map(self.b.is_byte, range(len(pieces)))) != 256 or any(_MARK in p.lstrip(_MARK) for p in pieces):
-            raise ValueError("tokenizer B must have all bytes, change no character, and have no piece with a blank after another character")
+        if self.b.normalize(odd) != (" " + odd).replace(" ", _MARK) or sum(map(self.b.is_byte, range(len(pieces)))) != 256 or any(_MARK in p.lstrip(_MARK) or joins.search(p) for p in pieces):
+            raise ValueError("tokenizer B must have all bytes, change no character, and have no piece that passes a place where texts are parted")
         self.b_length = np.array([1 if self.b.is_byte(i) else len(p.replace(_MARK, " ").encode()) for i, p in enumerate(pieces)], np.int32)
 
     def tokens(self, parts: list[str]) -> tuple[pa.Array, pa.Array]:
-        """The ids and byte lengths of both tokenizers' tokens of each part (which begins with a blank)."""
+        """The ids and byte lengths of both tokenizers' tokens of each part."""
         a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in parts], num_threads=1)
+        b = [ids[2:] for ids in self.b.encode(["\n" + p for p in parts], num_threads=1)]  # without the blank that B adds and the newline
         return _lists(a, self.a_length), _lists(b, self.b_length)
 
 
@@ -107,6 +114,13 @@ class _Numbers(dict):
         return n
 
 
+def places(text: str) -> list[str]:
+    """The text, with a blank before it, parted before its blanks; each without its first blank."""
+    if text[0] != " " and text[-1] != " " and not _BESIDE.search(text):
+        return text.split(" ")
+    return [p[1:] for p in PARTING.split(" " + text)]
+
+
 def parted(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Documents as lists of numbers (chunk, doc_id, parts), and the parts of each chunk (chunk, no, part, n: how often), written in one pass."""
     spark = docs.sparkSession
@@ -120,13 +134,16 @@ def parted(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
         base, number, ids, lists, size, known = TaskContext.get().partitionId() << 33, 0, [], [], 0, _Numbers()
 
         def out():
-            flat = np.concatenate([*lists, np.zeros(0, np.int32)])
-            offsets = np.cumsum([0, *map(len, lists)])
+            finer = [FINER.split(" " + p) for p in known]
+            number_of = _Numbers()
+            pool = np.fromiter((number_of[x] for f in finer for x in f), np.int32)
+            runs = np.fromiter(map(len, finer), np.int64, count=len(finer))
+            flat, offsets = expand(np.concatenate([*lists, np.zeros(0, np.int32)]), np.cumsum([0, *map(len, lists)]), runs, np.cumsum(runs) - runs, pool)
             for at in range(0, len(ids), 1024):
                 to = min(at + 1024, len(ids))
                 some = pa.ListArray.from_arrays(pa.array(offsets[at : to + 1] - offsets[at], pa.int32()), pa.array(flat[offsets[at] : offsets[to]]))
                 yield batch(to - at, kind=pa.array(["docs"] * (to - at)), chunk=pa.array([base + number] * (to - at)), doc_id=pa.array(ids[at:to], pa.int64()), parts=some)
-            times, listed = np.bincount(flat, minlength=len(known)), list(known)
+            times, listed = np.bincount(flat, minlength=len(number_of)), list(number_of)
             for at in range(0, len(listed), 50_000):
                 some = listed[at : at + 50_000]
                 n = len(some)
@@ -136,7 +153,7 @@ def parted(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
             for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text"), strict=True):
                 text = text.as_py()
                 ids.append(doc_id)
-                cut = PARTING.split(" " + text) if text and _MARK not in text else []
+                cut = places(text) if text and _MARK not in text else []
                 lists.append(np.fromiter(map(known.__getitem__, cut), np.int32, count=len(cut)))
                 size += len(text)
                 if size >= chunk:
@@ -180,21 +197,32 @@ def _ends(tokens: DataFrame, side: str) -> DataFrame:
     return each.select("uid", F.sum("t.len").over(before).alias("upto"), F.col("t.id").alias(side))
 
 
+def _known(side: str):
+    return F.size(F.filter("t", lambda x: x[side].isNotNull())).cast("long").alias(f"n_{side}")
+
+
 def aligned(tokens: DataFrame) -> DataFrame:
     """Each part's groups as text, its links (a, b) and counts of tokens and groups, written."""
     both = _ends(tokens, "a").join(_ends(tokens, "b"), ["uid", "upto"], "full")
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
     running = Window.partitionBy("uid").orderBy("upto").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     member = both.withColumn("cut", cut).withColumn("grp", F.sum("cut").over(running) - F.col("cut"))
-    ids = [F.expr(f"listagg(cast({s} as string), ',') within group (order by upto)").alias(f"{s}_ids") for s in "ab"]
-    last = [F.max(F.when(F.col("cut") == 1, F.col(s))).alias(s) for s in "ab"]
-    groups = member.groupBy("uid", "grp").agg(*ids, *last, F.count("a").alias("n_a"), F.count("b").alias("n_b"))
-    whole = groups.groupBy("uid").agg(
-        F.expr("listagg(concat(a_ids, '|', b_ids), ';') within group (order by grp)").alias("groups"),
-        F.collect_list(F.struct("a", "b")).alias("links"),
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"),
+    rows = member.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("upto", "grp", "cut", "a", "b"))).alias("t"))
+
+    def ids(side: str):
+        """The ids of each group in order, joined by commas: an array by group, and one empty string."""
+        marked = F.transform(F.filter("t", lambda x: x[side].isNotNull()), lambda x: F.concat(x[side].cast("string"), F.when(x["cut"] == 1, ";").otherwise(",")))
+        return F.split(F.array_join(marked, ""), ";")
+
+    n_groups = F.element_at("t", -1)["grp"] + 1
+    both_ids = F.slice(F.zip_with(ids("a"), ids("b"), lambda x, y: F.concat(x, F.lit("|"), y)), 1, n_groups.cast("int"))
+    whole = rows.select(
+        "uid", F.array_join(both_ids, ";").alias("groups"), n_groups.alias("n_groups"),
+        F.transform(F.filter("t", lambda x: x["cut"] == 1), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("links"),
+        _known("a"), _known("b"),
     )
-    with setting(tokens.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+    # the join reuses the partitions of the parts, and rows that are sorted by part are gathered without a hash table
+    with setting(tokens.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"), setting(tokens.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
         return staged(whole.join(tokens.select("uid", "part", "n"), "uid"), "aligned")
 
 
@@ -205,10 +233,10 @@ def link_counts(units: DataFrame) -> DataFrame:
 
 
 def valued(units: DataFrame) -> DataFrame:
-    """part, groups, n_a, n_b, n_groups, n_best and count_sum of every distinct part."""
+    """part, groups, n_a, n_b, n_groups, n_best and count_sum of every distinct part, written."""
     links = units.select("uid", F.explode("links").alias("l")).select("uid", "l.a", "l.b")
     sums = links.join(link_counts(units), ["a", "b"]).groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return units.select("uid", "part", "groups", "n_a", "n_b", "n_groups").join(sums, "uid").drop("uid")
+    return staged(units.select("uid", "part", "groups", "n_a", "n_b", "n_groups").join(sums, "uid").drop("uid"), "valued")
 
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
@@ -247,7 +275,9 @@ def align(docs: DataFrame, a: str, b: str, chunk: int = CHUNK) -> DataFrame:
     tokens = tokenized(parts, a, b)
     units = aligned(tokens)
     unstage(tokens)
-    back = parts.select("chunk", "no", "part").join(valued(units), "part").drop("part")
+    values = valued(units)
+    unstage(units)
+    back = parts.select("chunk", "no", "part").join(values, "part").drop("part")
     found = _assembled(lists, back)
     return found.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups")
 
