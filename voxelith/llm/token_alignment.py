@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import _CLEANUP, documents, expand, setting, staged, staging_path, unstage
 
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 #: Marks that no token joins to the letter before them.
 MARKS = ".,;:!?)*&"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -165,6 +165,7 @@ def parted(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     with setting(spark, _CLEANUP, "true"), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
         documents(docs).mapInArrow(run, "kind string, chunk long, doc_id long, parts array<int>, no int, part string, n long").write.partitionBy("kind").parquet(path)
     read = [_read(spark, f"{path}/kind={kind}", schema) for kind, schema in (("docs", "chunk long, doc_id long, parts array<int>"), ("parts", "chunk long, no int, part string, n long"))]
+    read[1]._staged_at = f"{path}/kind=parts"
     return read[0], read[1]
 
 
@@ -277,7 +278,8 @@ def align(docs: DataFrame, a: str, b: str, chunk: int = CHUNK) -> DataFrame:
     unstage(tokens)
     values = valued(units)
     unstage(units)
-    back = parts.select("chunk", "no", "part").join(values, "part").drop("part")
+    back = staged(parts.select("chunk", "no", "part").join(values, "part").drop("part"), "back")
+    unstage(values, parts)
     found = _assembled(lists, back)
     return found.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups")
 
