@@ -35,6 +35,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -44,9 +45,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _CLEANUP, documents, expand, setting, staged, staging_path, unstage
+from .common import _CLEANUP, documents, expand, give_back, setting, staged, staging_path, unstage
 
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: Marks that no token joins to the letter before them.
 MARKS = ".,;:!?)*&"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -134,11 +135,17 @@ def parted(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
         base, number, ids, lists, size, known = TaskContext.get().partitionId() << 33, 0, [], [], 0, _Numbers()
 
         def out():
-            finer = [FINER.split(" " + p) for p in known]
-            number_of = _Numbers()
-            pool = np.fromiter((number_of[x] for f in finer for x in f), np.int32)
-            runs = np.fromiter(map(len, finer), np.int64, count=len(finer))
-            flat, offsets = expand(np.concatenate([*lists, np.zeros(0, np.int32)]), np.cumsum([0, *map(len, lists)]), runs, np.cumsum(runs) - runs, pool)
+            number_of, pool, runs = _Numbers(), array("i"), array("q")
+            for p in known:
+                finer = FINER.split(" " + p)
+                pool.extend(map(number_of.__getitem__, finer))
+                runs.append(len(finer))
+            known.clear()
+            pool, runs = np.frombuffer(pool, np.int32), np.frombuffer(runs, np.int64)
+            bounds = np.cumsum([0, *map(len, lists)])
+            codes = np.concatenate([*lists, np.zeros(0, np.int32)])
+            lists.clear()
+            flat, offsets = expand(codes, bounds, runs, np.cumsum(runs) - runs, pool)
             for at in range(0, len(ids), 1024):
                 to = min(at + 1024, len(ids))
                 some = pa.ListArray.from_arrays(pa.array(offsets[at : to + 1] - offsets[at], pa.int32()), pa.array(flat[offsets[at] : offsets[to]]))
@@ -160,6 +167,7 @@ def parted(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
                     yield from out()
                     number, ids, lists, size, known = number + 1, [], [], 0, _Numbers()
         yield from out()
+        give_back()
 
     path = staging_path(spark, "parted")
     with setting(spark, _CLEANUP, "true"), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
@@ -185,6 +193,7 @@ def tokenized(parts: DataFrame, a: str, b: str) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
                 yield pa.RecordBatch.from_arrays([some.column("part"), some.column("n"), *both.tokens(some.column("part").to_pylist())], names=["part", "n", "a", "b"])
+        give_back()
 
     kind = "array<struct<id: int, len: int>>"
     found = parts.groupBy("part").agg(F.sum("n").alias("n")).mapInArrow(run, f"part string, n long, a {kind}, b {kind}")
