@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ def test_read_pdb(spark, pdb):
     assert [(r.serial, r.res_idx, r.res_label) for r in atoms] == [(0, 0, "ALA-1:A"), (1, 0, "ALA-1:A"), (2, 1, "TRP60:A"), (3, 2, "GLY60:A"), (4, 3, "HIS5:B")]
     assert atoms[1].x == 1.0 and atoms[2].hydrophobic and atoms[2].aromatic and not atoms[4].hydrophobic and atoms[4].aromatic
     assert S.read_pdb(spark, pdb, chain="B").count() == 1
-    assert {(r.chain_id, r.sequence) for r in S.sequences(S.read_pdb(spark, pdb)).collect()} == {("A", "AWG"), ("B", "H")}
+    assert {(r.chain_id, r.sequence) for r in S.sequences(S.read_pdb(spark, pdb), bond=None).collect()} == {("A", "AWG"), ("B", "H")}
+    assert S.sequences(S.read_pdb(spark, pdb)).count() == 0  # no bonds
     assert S.coords_array(S.read_pdb(spark, pdb)).first().coords[4] == [4.0, 0.0, 0.0]
     assert S.raw_atoms(spark, pdb).count() == 8 and S.residues(S.read_pdb(spark, pdb)).count() == 4
     ops = {r.op_id: (r.r11, r.tx) for r in S.read_biomt(spark, pdb).collect()}
@@ -126,13 +128,104 @@ def test_tables(spark, tmp_path):
     assert T.read_dataset(spark, str(tmp_path / "d.json")).count() == 2
     (tmp_path / "f.json").write_text(json.dumps({"test": ["1abc"], "train-0": ["2xyz", "3xyz"]}))
     assert T.read_folds(spark, str(tmp_path / "f.json")).where("fold = 'train-0'").count() == 2
-    labels = T.read_residue_labels(spark, ["p"], [[1, 0, 2]])
+    np.save(tmp_path / "p.npy", np.array([1, 0, 2]))
+    labels = T.read_residue_labels(spark, str(tmp_path))
     res = spark.createDataFrame([("p", 5), ("p", 6)], "id string, res_idx int")
     assert [(r.res_idx, r.label) for r in T.by_position(res, labels).orderBy("res_idx").collect()] == [(5, 1), (6, 0)]
     names = spark.createDataFrame([("pocket10_atm",), ("pocket9_atm",)], "f string")
     assert [r.f for r in T.natural_order(names, "f").orderBy("number").collect()] == ["pocket9_atm", "pocket10_atm"]
 
 
+def test_npy_files(spark, tmp_path):
+    kinds = {"b": np.array([True, False]), "i1": np.array([[1, 2, 3], [4, 5, 6]], "i1"), "f": np.asfortranarray(np.arange(6).reshape(2, 3)), "u": np.array([7, 8], ">u2"), "none": np.zeros(0, int), "one": np.array(5)}
+    for name, array in kinds.items():
+        np.save(tmp_path / f"{name}.npy", array)
+    rows = T.read_npy(spark, str(tmp_path)).collect()
+    for name, array in kinds.items():
+        assert [r.value for r in sorted(rows, key=lambda r: r.position) if r.id == name] == array.ravel().astype(int).tolist()
+    with open(tmp_path / "two.npy", "wb") as f:
+        np.lib.format.write_array(f, np.array([9, 9, 9]), version=(2, 0))
+    assert T.read_npy(spark, str(tmp_path / "two.npy")).count() == 3
+    np.save(tmp_path / "x.npy", np.array([0.5, -1.5], "f4"))
+    assert [r.value for r in T.read_npy(spark, str(tmp_path / "x.npy"), "double").collect()] == [0.5, -1.5]
+    np.save(tmp_path / "ids.npy", np.array(["1abcA", "2xyz", ""]))
+    entries = T.read_entries(spark, str(tmp_path / "ids.npy")).orderBy("position").collect()
+    assert [(r.pdb, r.chain, r.id) for r in entries] == [("1abc", "A", "1abcA"), ("2xyz", "", "2xyz"), ("", "", "")]
+    (tmp_path / "bad").mkdir()
+    np.save(tmp_path / "bad" / "objects.npy", np.array([{"a": 1}], object), allow_pickle=True)
+    (tmp_path / "bad" / "short.npy").write_bytes((tmp_path / "i1.npy").read_bytes()[:-1])
+    (tmp_path / "bad" / "text.npy").write_text("no array")
+    for name, kind in (("objects", "long"), ("short", "long"), ("text", "long")):
+        with pytest.raises(Exception, match=name):
+            T.read_npy(spark, str(tmp_path / "bad" / f"{name}.npy"), kind).collect()
+    with pytest.raises(Exception, match="x: values of type float32"):
+        T.read_npy(spark, str(tmp_path / "x.npy")).collect()
+
+
+def test_labels_by_position(spark, tmp_path):
+    np.save(tmp_path / "p.npy", np.array([1, 0, 2, 1, 1]))  # longer than the residues
+    np.save(tmp_path / "q.npy", np.array([1, 2], "u1"))  # shorter
+    np.save(tmp_path / "r.npy", np.array([0, 0], float).astype("i8"))
+    np.save(tmp_path / "s.npy", np.array([1]))  # no residues
+    res = spark.createDataFrame([("p", k, 10 * k) for k in range(4)] + [("q", k, k) for k in range(5)] + [("r", 0, 3), ("t", 0, 1)], "id string, res_idx int, res_seq int")
+    got = {r.id: tuple(r)[1:] for r in T.labelled_site(res, T.read_residue_labels(spark, str(tmp_path))).collect()}
+    assert got == {"p": ([0, 30], 4, 5, 4, 1), "q": ([0], 5, 2, 2, 1), "r": ([], 1, 2, 1, 0), "s": ([], 0, 1, 0, 0)}
+
+
+def residue(seq, name, x, chain="A", atoms=("N", "CA", "C")):
+    return [(seq, name, a, x + 0.7 * k, chain) for k, a in enumerate(atoms)]
+
+
+def test_peptide_gaps(spark, tmp_path):
+    rows = [*residue(1, "ALA", 0.0), *residue(2, "GLY", 2.5), *residue(5, "SER", 5.0)]  # bonds of 1.1
+    rows += [*residue(6, "TRP", 9.0), *residue(7, "HIS", 11.4)]  # after a gap
+    rows += [*residue(8, "MSE", 13.8), *residue(9, "LYS", 16.2)]  # no code between: the last stands alone
+    rows += [*residue(10, "ALA", 30.0, atoms=("N", "CA")), *residue(11, "ALA", 32.0)]  # no C
+    rows += [*residue(1, "ALA", 0.0, "B"), *residue(2, "VAL", 3.2, "B")]  # exactly 1.8: no bond
+    lines = [atom(n + 1, a, res, chain, seq, x, 0.0, 0.0) for n, (seq, res, a, x, chain) in enumerate(rows)]
+    (tmp_path / "gap.pdb").write_text("\n".join(lines))
+    atoms = S.read_pdb(spark, str(tmp_path / "gap.pdb"))
+    got = [(r.chain_id, r.fragment, r.n_residues, r.sequence) for r in S.fragments(atoms).orderBy("chain_id", "fragment").collect()]
+    assert got == [("A", 0, 3, "AGS"), ("A", 1, 2, "WH")]
+    assert [(r.chain_id, r.sequence) for r in S.sequences(atoms).collect()] == [("A", "AGSWH")]
+    assert {(r.chain_id, r.sequence) for r in S.sequences(atoms, bond=1.9).collect()} == {("A", "AGSWH"), ("B", "AV")}
+
+
+def test_frames_from_files(spark, tmp_path):
+    from voxelith.operators.ensembles import fit_frames
+
+    model = lambda k, n: [f"MODEL     {k:4d}", *(atom(i + 1, "CA", "ALA", "A", i + 1, 10 * k + i, 0, 0) for i in range(n)), atom(99, "O", "HOH", "A", 90, 5, 5, 5, record="HETATM"), "ENDMDL"]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "run.pdb").write_text("\n".join([*model(1, 3), *model(2, 2), *model(3, 5), "END", ""]))
+    found = S.read_frames(spark, str(tmp_path / "t"))
+    assert sorted((r.structure_id, r.frame_idx, r.position, r.x) for r in found.collect()) == [("run", k, i, 10.0 * k + i) for k, n in ((1, 3), (2, 2), (3, 5)) for i in range(n)]
+    (tmp_path / "g").mkdir()
+    for k in (0, 1, 10):
+        (tmp_path / "g" / f"run_model_{k}.pdb").write_text("\n".join(atom(i + 1, "CA", "ALA", "A", i + 1, k, i, 0) for i in range(2)))
+    files = S.read_frames(spark, str(tmp_path / "g"))
+    assert sorted((r.structure_id, r.frame_idx, r.x) for r in files.where("position = 0").collect()) == [("run", 1, 0.0), ("run", 2, 1.0), ("run", 3, 10.0)]
+    atoms = spark.createDataFrame([("run", s) for s in (7, 8, 9)], "structure_id string, serial int")
+    fitted = {(r.frame_idx, r.serial): r.x for r in fit_frames(atoms, found).collect()}
+    assert fitted == {(1, 7): 10, (1, 8): 11, (1, 9): 12, (2, 7): 20, (2, 8): 21, (2, 9): 0, (3, 7): 30, (3, 8): 31, (3, 9): 32}
+    assert fit_frames(atoms, found.limit(0)).count() == 0
+
+
+def test_proposal_files_of_frames(spark, tmp_path):
+    head = "name, rank, score, probability, center_x, center_y, center_z, residue_ids\n"
+    (tmp_path / "a_frame0.pdb_predictions.csv").write_text(head + "p, 2, 1, 1, 1.0, 2.0, 3.0, A_1\np, 1, 1, 1, 4.0, 5.0, 6.0, A_1\n")
+    (tmp_path / "a_frame12_predictions.csv").write_text(head + "p, 1, 1, 1, 7.0, 8.0, 9.0, A_1\n")
+    (tmp_path / "b.csv").write_text(head)
+    got = T.proposals_of_frames(T.read_proposals(spark, str(tmp_path)))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 0, 4.0, 5.0, 6.0), ("a", 0, 1, 1.0, 2.0, 3.0), ("a", 12, 0, 7.0, 8.0, 9.0)]
+
+
+def test_results_keep_nulls(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None), ("b", 2)], "id string, rank int")
+    assert sorted(r.result for r in K.results_json(rows, "id").collect()) == ['{"id":"a","rank":null}', '{"id":"b","rank":2}']
+    K.write_results(rows, str(tmp_path / "r"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "r")).collect()) == ['{"id":"a","rank":null}', '{"id":"b","rank":2}']
+
+
 def test_append_new(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     path = str(tmp_path / "sink")

@@ -230,10 +230,162 @@ def test_discover_end_to_end(spark):
 def test_reranker(spark):
     rng = np.random.default_rng(5)
     rows = [(float(a), float(b), int(a + b > 1)) for a, b in rng.random((120, 2))]
-    frame = spark.createDataFrame(rows, "a double, b double, label int")
+    frame = spark.createDataFrame([(i, f"p{i % 30}", *r) for i, r in enumerate(rows)], "id int, protein string, a double, b double, label int")
     model = V.fit_reranker(frame, ["a", "b"], iterations=5, step=0.3)
+    assert V.trees_grown(model) == 5
     assert model.transform(frame).where("prediction = label").count() > 100
     from pyspark.ml.functions import vector_to_array
 
-    falls = {r.feature: r.fall for r in V.permutation_importance(model, frame.withColumn("c", F.lit(1.0)), ["a", "c"], F.col("label") == 1, vector_to_array("probability")[1]).collect()}
+    falls = {r.feature: r.fall for r in V.permutation_importance(model, frame.withColumn("c", F.lit(1.0)), ["a", "c"], F.col("label") == 1, vector_to_array("probability")[1], "id").collect()}
     assert falls["a"] > 0.05 and falls["c"] == 0
+
+
+def test_reranker_stops_early(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rng = np.random.default_rng(6)
+    rows = [(f"p{i % 40}", float(a), int(rng.random() < 0.5)) for i, a in enumerate(rng.random(200))]  # nothing to learn
+    frame = spark.createDataFrame(rows, "protein string, a double, label int")
+    model = V.fit_reranker(frame, ["a"], iterations=12, step=0.5, group="protein", held_out=4)
+    assert 1 <= V.trees_grown(model) < 12
+    model.write().overwrite().save(str(tmp_path / "m"))
+    assert V.trees_grown(PipelineModel.load(str(tmp_path / "m"))) == V.trees_grown(model)
+
+
+def test_auc_and_precision_against_loops(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(rng.integers(0, 40)), bool(rng.random() < 0.3)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id int, s double, y boolean").repartition(5)
+    pos, neg = [s for _, s, y in rows if y], [s for _, s, y in rows if not y]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert V.auc(frame, F.col("y"), "s").first().auc == pytest.approx(want, abs=1e-6)
+    steps = [(sum(p >= t for p in pos) / (sum(p >= t for p in pos) + sum(n >= t for n in neg))) for t in pos]
+    assert V.average_precision(frame, F.col("y"), "s").first().average_precision == pytest.approx(sum(steps) / len(pos), abs=1e-6)
+    numbers = V.numbered_rows(frame, ["s", "id"], "k").collect()
+    assert [(r.s, r.id) for r in sorted(numbers, key=lambda r: r.k)] == sorted((s, i) for i, s, _ in rows) and sorted(r.k for r in numbers) == list(range(400))
+
+
+def test_poisson_bootstrap(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"t{i}", "g" if i % 3 else None, float(rng.normal(5, 2)), float(rng.normal(4, 2)) if i % 10 else None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id string, g string, a double, b double").repartition(4)
+    sums = V.bootstrap_sums(frame, "id", {"a": F.col("a"), "b": F.col("b")}, ["g"], 400)
+    weights = frame.crossJoin(spark.range(1, 401).withColumnRenamed("id", "r")).where("b is not null").withColumn("w", V.resample_weight(F.col("id"), F.col("r")))
+    slow = {(r.g, r.r): (r.n, r.a, r.b) for r in weights.groupBy("g", "r").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("a")).alias("a"), F.sum(F.col("w") * F.col("b")).alias("b")).collect()}
+    fast = {(r.g, r.resample): (r.n, r.a, r.b) for r in sums.collect()}
+    assert len(fast) == 2 * 401 and all(fast[k] == pytest.approx(slow[k]) for k in slow)
+    drawn = np.array([fast["g", r][0] for r in range(1, 401)])
+    n = fast["g", 0][0]
+    assert abs(drawn.mean() / n - 1) < 0.02 and 0.6 < drawn.var() / n < 1.5  # Poisson: as much variance as mean
+    ci = {r.g: r for r in V.bootstrap_interval(sums, (F.col("a") - F.col("b")) / F.col("n"), ["g"]).collect()}
+    own = [a - b for _, g, a, b in rows if g == "g" and b is not None]
+    assert ci["g"].value == pytest.approx(np.mean(own)) and ci["g"].n == len(own)
+    assert ci["g"].hi - ci["g"].lo == pytest.approx(2 * 1.96 * np.std(own) / len(own) ** 0.5, rel=0.25)
+    assert V.bootstrap_interval(V.bootstrap_sums(frame.limit(0), "id", {"a": F.col("a")}, ["g"], 50), F.col("a"), ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("case", ["near", "far", "ties", "one", "groups", "none"])
+def test_nearest_against_all_pairs(spark, case):
+    rng = np.random.default_rng(9)
+    right = [(0, i, *map(float, rng.uniform(0, 30, 3))) for i in range(150)]
+    left = [(0, i, *map(float, rng.uniform(-5, 35, 3))) for i in range(80)]
+    if case == "far":  # outliers, and right in two distant lumps
+        left += [(0, 900 + i, *map(float, rng.uniform(-1, 1, 3) * 10.0 ** (i % 7))) for i in range(40)]
+        right += [(0, 900 + i, 5e5 + float(rng.uniform()), 5e5, 0.0) for i in range(40)]
+    elif case == "ties":
+        right = [(0, i, float(i % 4), float(i // 4 % 4), float(i // 16 % 2)) for i in range(96)]
+        left = [(0, i, i % 4 + 0.5, float(i // 4), 0.5) for i in range(30)]
+    elif case == "one":
+        right = right[:1]
+    elif case == "groups":
+        left, right = ([(i % 5, *r[1:]) for i, r in enumerate(x)] for x in (left, right))
+        right = [r for r in right if r[0] != 3]
+    elif case == "none":
+        right = []
+    a = spark.createDataFrame([*left, (0, 999, None, 0.0, 0.0)], "g int, id int, x double, y double, z double")
+    b = spark.createDataFrame([*right, (0, 998, None, 0.0, 0.0)], "g int, rank int, rx double, ry double, rz double")
+    near = S.nearest(a, b, ["g", "id"], "rank", ["g"], right_xyz=("rx", "ry", "rz"))
+    assert "NestedLoop" not in near._jdf.queryExecution().toString() and "Cartesian" not in near._jdf.queryExecution().toString()
+    want = {}
+    for g, i, *p in left:
+        found = [(round(sum((u - v) ** 2 for u, v in zip(p, q, strict=True)), 9), r) for h, r, *q in right if h == g]
+        if found:
+            want[g, i] = min(found)
+    got = {(r.g, r.id): (r.distance, r.nearest) for r in near.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0] ** 0.5) for k in want)
+
+
+def test_gaussian_cutoff_changes_nothing(spark):
+    rng = np.random.default_rng(10)
+    points = [(i, *map(float, rng.uniform(0, 300, 3))) for i in range(60)]
+    anchors = [(*map(float, rng.uniform(0, 300, 3)), *map(float, rng.normal(0, 2, 3))) for _ in range(80)]
+    got = {r.id: (r.dx, r.dy, r.dz) for r in S.gaussian_propagate(spark.createDataFrame(points, "id int, x double, y double, z double"), spark.createDataFrame(anchors, "ax double, ay double, az double, dx double, dy double, dz double"), ["id"]).collect()}
+    for i, *p in points:
+        w = [math.exp(-math.dist(p, q[:3]) ** 2 / 50) for q in anchors]
+        want = [sum(a * q[3 + k] for a, q in zip(w, anchors, strict=True)) / (sum(w) + 1e-8) for k in range(3)]
+        assert got[i] == pytest.approx(want, abs=1e-10)
+    assert S.gaussian_cutoff(5.0, 1000, 2.0) < 60
+
+
+def test_backends(spark):
+    atoms = spark.createDataFrame([("m", k, float(k), 0.0, 0.0, k % 2 == 0) for k in range(4)], "structure_id string, serial int, x double, y double, z double, is_anchor boolean")
+
+    def broken():
+        raise ImportError("no such tool")
+
+    E.register_backend("shift", lambda s, n, o: [s.xyz + o.get("by", 1.0) * (k + 1) for k in range(n)])
+    E.register_backend("tool", lambda s, n, o: [], broken)
+    try:
+        assert E.resolve_backend("auto").name == "shift"  # the later one cannot be loaded
+        got = {(r.frame_idx, r.serial): r.x for r in E.generate(atoms, 2, "auto", options={"by": 10.0}).collect()}
+        assert got == {(f, s): s + 10.0 * f for f in range(3) for s in range(4)}
+        with pytest.raises(ImportError):
+            E.resolve_backend("tool")
+        E.register_sql(spark, "frames_of")
+        atoms.createOrReplaceTempView("some_atoms")
+        rows = spark.sql("select * from frames_of(TABLE(some_atoms) PARTITION BY (structure_id), 1, 'shift')").collect()
+        assert {(r.structure_id, r.frame_idx, r.serial): r.x for r in rows} == {("m", f, s): float(s + f) for f in range(2) for s in range(4)}
+        E.register_backend("short", lambda s, n, o: [s.xyz[:-1]])
+        with pytest.raises(Exception, match="short"):
+            E.generate(atoms, 1, "short").collect()
+    finally:
+        for name in ("shift", "tool", "short"):
+            E.forget_backend(name)
+    assert E.resolve_backend("auto").name == "nma"
+    with pytest.raises(ValueError):
+        E.resolve_backend("shift")
+    with pytest.raises(ValueError):
+        E.register_backend("auto", lambda s, n, o: [])
+
+
+def test_discover_with_frames_and_assembly(spark):
+    box = spark.createDataFrame(box_atoms(6.0, 1.5))
+    moved = E.generate(box, 2, "random").where("frame_idx > 0")
+    order = {r.serial: i for i, r in enumerate(box.orderBy("serial").collect())}
+    at = F.create_map(*(F.lit(v) for kv in order.items() for v in kv))
+    files = moved.select("structure_id", "frame_idx", F.try_element_at(at, F.col("serial")).alias("position"), "x", "y", "z")
+    one, two = (sorted(map(str, P.discover(box, P.Settings(n_conformers=2), frames=f).drop("lining_residues").collect())) for f in (moved, files))
+    assert one and one == two
+    names = [*(f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)), "tx", "ty", "tz"]
+    op = spark.createDataFrame([(box.first().structure_id, 2, *(float(i == j) for i in range(3) for j in range(3)), 100.0, 0.0, 0.0)], "structure_id string, op_id int, " + ", ".join(f"{n} double" for n in names))
+    alone, both = (P.discover(box.withColumn("chain_id", F.lit("A")), P.Settings(n_conformers=0, top=50), assembly=a).collect() for a in (None, op))
+    assert alone and len(both) > len(alone)
+    assert {x[-1] for r in both for x in r.lining_residues} == {"A", "B"} and {x[-1] for r in alone for x in r.lining_residues} == {"A"}
+
+
+def test_file_proposals_in_every_detector_mode(spark, tmp_path):
+    from voxelith.sources.tables import proposals_of_frames, read_proposals
+
+    box = spark.createDataFrame(box_atoms())
+    head = "name, rank, score, probability, center_x, center_y, center_z, residue_ids\n"
+    (tmp_path / "box_frame0_predictions.csv").write_text(head + "p, 1, 9, 0.9, 0.0, 0.0, -2.0, A_1\np, 2, 1, 0.1, 500.0, 0.0, 0.0, A_1\n")
+    (tmp_path / "box_frame1_predictions.csv").write_text(head + "p, 1, 9, 0.9, 0.0, 0.0, -2.5, A_1\n")
+    proposals = proposals_of_frames(read_proposals(spark, str(tmp_path)))
+    frames = P.frames_of(box, P.Settings(n_conformers=1, backend="random"))
+    found = {m: P.detect(frames, P.Settings(detector=m), proposals).groupBy("source", "frame_idx").count().collect() for m in ("alpha", "proposals", "fusion")}
+    counts = {m: {(r.source, r.frame_idx): r["count"] for r in rows} for m, rows in found.items()}
+    assert counts["proposals"] == {("proposals", 0): 1, ("proposals", 1): 1}  # the place off the grid gives no row
+    assert counts["fusion"] == counts["alpha"] | counts["proposals"] and ("alpha", 0) in counts["alpha"]
+    ranked = P.discover(box, P.Settings(n_conformers=1, backend="random", detector="fusion"), proposals).collect()
+    assert ranked and all(r.n_members >= 1 for r in ranked)

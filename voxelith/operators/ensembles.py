@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelith.operators.kernels import elastic_modes, nma_frame, random_frame
@@ -18,36 +19,119 @@ def noise_levels(n: int, levels: Sequence[float] | None = None) -> list[float]:
     return [float(levels[k % len(levels)]) for k in range(n)] if levels else np.linspace(0.3, 2.0, n).tolist()
 
 
-def generate(atoms: DataFrame, n: int, backend: str = "nma", max_rmsd: float = 2.0, n_modes: int = 10, seed: int = 0, levels: Sequence[float] | None = None, include_input: bool = True, springs: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Backend:
+    """A maker of frames: make(structure, n, options) gives n arrays of places in the structure's atom order."""
+
+    name: str
+    make: Callable[[Structure, int, Mapping], Sequence[np.ndarray]]
+    #: Raises ImportError, or gives False, where the backend cannot run.
+    loads: Callable[[], object] = lambda: True
+
+
+@dataclass
+class Structure:
+    """What a backend gets: the structure's id, its atoms' places and which of them are anchors."""
+
+    structure_id: object
+    xyz: np.ndarray
+    is_anchor: np.ndarray
+    springs: object = None
+
+
+#: By name; `auto` takes the first that loads, those registered last before the built-in ones.
+_BACKENDS: dict[str, Backend] = {}
+
+
+def register_backend(name: str, make: Callable[[Structure, int, Mapping], Sequence[np.ndarray]], loads: Callable[[], object] = lambda: True) -> Backend:
+    """Let `generate` and the SQL function make frames by a function of one's own; a name given again is replaced."""
+    if name == "auto":
+        raise ValueError("auto is not a backend's name")
+    _BACKENDS.pop(name, None)
+    _BACKENDS[name] = Backend(name, make, loads)
+    return _BACKENDS[name]
+
+
+def forget_backend(name: str) -> None:
+    _BACKENDS.pop(name, None)
+
+
+def _usable(backend: Backend) -> bool:
+    try:
+        return backend.loads() is not False
+    except ImportError:
+        return False
+
+
+def resolve_backend(name: str = "auto", among: Mapping[str, Backend] | None = None) -> Backend:
+    """The backend of that name, or for auto the first that loads: registered ones, the latest first, then nma and random."""
+    known = _BACKENDS if among is None else among
+    if name == "auto":
+        own = [b for n, b in reversed(known.items()) if n not in ("nma", "random")]
+        found = next((b for b in [*own, *(known[n] for n in ("nma", "random") if n in known)] if _usable(b)), None)
+        if found is None:
+            raise ImportError("no backend can be loaded")
+        return found
+    if name not in known:
+        raise ValueError(f"unknown backend {name!r}; one of {sorted(known)}, or register it; frames of other tools can be read as a table")
+    if not _usable(known[name]):
+        raise ImportError(f"backend {name!r} cannot be loaded")
+    return known[name]
+
+
+def _random_frames(s: Structure, n: int, options: Mapping) -> list[np.ndarray]:
+    seed = options.get("seed", 0)
+    sigmas = noise_levels(n, options.get("levels"))
+    return [random_frame(s.xyz, s.xyz[s.is_anchor], sigmas[i], seed + 1000 * (i + 1)) for i in range(n)]
+
+
+def _nma_frames(s: Structure, n: int, options: Mapping) -> list[np.ndarray]:
+    anchors = s.xyz[s.is_anchor]
+    if len(anchors) < MIN_ANCHORS:
+        return _random_frames(s, n, options)
+    gamma = np.ones((len(anchors), len(anchors)))
+    if s.springs is not None:
+        for r in s.springs.itertuples():
+            gamma[r.i, r.j] = gamma[r.j, r.i] = r.gamma
+    values, modes = elastic_modes(anchors, options.get("n_modes", 10), gamma=gamma)
+    return [nma_frame(s.xyz, anchors, values, modes, i, n, options.get("max_rmsd", 2.0), options.get("seed", 0)) for i in range(n)]
+
+
+register_backend("random", _random_frames)
+register_backend("nma", _nma_frames)
+
+
+def _all_frames(made: Backend, s: Structure, n: int, options: Mapping, include_input: bool) -> list[tuple[int, np.ndarray]]:
+    frames = [(0, s.xyz)] if include_input else []
+    for i, places in enumerate(made.make(s, n, options) if n else []):
+        places = np.asarray(places, dtype=np.float64)
+        if places.shape != s.xyz.shape:
+            raise ValueError(f"backend {made.name!r}: frame {i + 1} of {s.structure_id!r} has shape {places.shape}, not {s.xyz.shape}")
+        frames.append((i + 1, places))
+    return frames
+
+
+def generate(atoms: DataFrame, n: int, backend: str = "nma", max_rmsd: float = 2.0, n_modes: int = 10, seed: int = 0, levels: Sequence[float] | None = None, include_input: bool = True, springs: DataFrame | None = None, options: Mapping | None = None) -> DataFrame:
     """structure_id, frame_idx, serial, x, y, z: frame 0 is the input, then n generated frames, in the input's atom order.
 
-    atoms: structure_id, serial, x, y, z, is_anchor. backend nma (elastic
-    network; with fewer than six anchors random) or random. springs: optional
-    structure_id, i, j, gamma factors between anchors. Seeds are per frame, so
-    frames do not depend on how many others are made or where.
+    atoms: structure_id, serial, x, y, z, is_anchor. backend: nma (elastic
+    network; with fewer than six anchors random), random, one registered by
+    register_backend, or auto. springs: optional structure_id, i, j, gamma
+    factors between anchors. options: further values for the backend. Seeds are
+    per frame, so frames do not depend on how many others are made or where.
     """
-    if backend not in ("nma", "random", "auto"):
-        raise ValueError(f"unknown backend {backend!r}; frames of other tools can be read as a table")
-    sigmas = noise_levels(n, levels)
+    made = resolve_backend(backend)
+    given_options = {"max_rmsd": max_rmsd, "n_modes": n_modes, "seed": seed, "levels": levels} | dict(options or {})
 
     def run(key, pdf, given=None):
         import pandas as pd
 
         pdf = pdf.sort_values("serial", kind="stable")
-        xyz = pdf[["x", "y", "z"]].to_numpy(dtype=np.float64)
-        anchors = xyz[pdf["is_anchor"].to_numpy(dtype=bool)]
-        use_nma = backend != "random" and len(anchors) >= MIN_ANCHORS
-        if use_nma:
-            gamma = np.ones((len(anchors), len(anchors)))
-            if given is not None:
-                for r in given.itertuples():
-                    gamma[r.i, r.j] = gamma[r.j, r.i] = r.gamma
-            values, modes = elastic_modes(anchors, n_modes, gamma=gamma)
-        frames = [(0, xyz)] if include_input else []
-        for i in range(n):
-            moved = nma_frame(xyz, anchors, values, modes, i, n, max_rmsd, seed) if use_nma else random_frame(xyz, anchors, sigmas[i], seed + 1000 * (i + 1))
-            frames.append((i + 1, moved))
-        return pd.concat([pd.DataFrame({"structure_id": key[0], "frame_idx": k, "serial": pdf["serial"].to_numpy(), "x": f[:, 0], "y": f[:, 1], "z": f[:, 2]}) for k, f in frames]).astype({"x": "float32", "y": "float32", "z": "float32"})
+        s = Structure(key[0], pdf[["x", "y", "z"]].to_numpy(dtype=np.float64), pdf["is_anchor"].to_numpy(dtype=bool), given)
+        frames = _all_frames(made, s, n, given_options, include_input)
+        parts = [pd.DataFrame({"structure_id": key[0], "frame_idx": k, "serial": pdf["serial"].to_numpy(), "x": f[:, 0], "y": f[:, 1], "z": f[:, 2]}) for k, f in frames]
+        none = pd.DataFrame({c: [] for c in ("structure_id", "frame_idx", "serial", "x", "y", "z")})
+        return (pd.concat(parts) if parts else none).astype({"x": "float32", "y": "float32", "z": "float32"})
 
     kinds = dict(atoms.dtypes)
     schema = f"structure_id {kinds['structure_id']}, frame_idx int, serial {kinds['serial']}, x float, y float, z float"
@@ -65,6 +149,54 @@ def generate(atoms: DataFrame, n: int, backend: str = "nma", max_rmsd: float = 2
     return flat.cogroup(springs.groupBy("structure_id")).applyInPandas(both, schema)
 
 
+def register_sql(spark: SparkSession, name: str = "make_frames") -> None:
+    """A table function of SQL: name(TABLE(atoms) PARTITION BY (structure_id), n, backend), of the backends known now.
+
+    Gives structure_id (as text), frame_idx, serial, x, y, z. Backends are
+    resolved where it runs, so auto is what loads on the executors.
+    """
+    from pyspark.sql.functions import udtf
+
+    known = dict(_BACKENDS)
+
+    @udtf(returnType="structure_id string, frame_idx int, serial bigint, x float, y float, z float")
+    class Frames:
+        def __init__(self):
+            self.rows, self.n, self.backend = [], 0, "auto"
+
+        def eval(self, atom, n: int, backend: str):
+            self.rows.append((atom["serial"], atom["x"], atom["y"], atom["z"], bool(atom["is_anchor"]), atom["structure_id"]))
+            self.n, self.backend = n, backend
+
+        def terminate(self):
+            if not self.rows:
+                return
+            rows = sorted(self.rows, key=lambda r: r[0])
+            s = Structure(rows[0][5], np.array([r[1:4] for r in rows], dtype=np.float64), np.array([r[4] for r in rows]))
+            for k, places in _all_frames(resolve_backend(self.backend, known), s, self.n, {}, True):
+                for r, (x, y, z) in zip(rows, places.tolist(), strict=True):
+                    yield str(r[5]), k, r[0], x, y, z
+
+    spark.udtf.register(name, Frames)
+
+
+def fit_frames(atoms: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frames of other tools (structure_id, frame_idx, position, x, y, z) in the input's atoms: structure_id, frame_idx, serial, x, y, z.
+
+    An ordered positional join: the atoms in order of serial take the places of
+    a frame's atoms in order of position. Atoms that a frame has beyond the
+    input's are cut off, and those that it lacks lie at the origin.
+    """
+    kinds = dict(atoms.dtypes)
+    order = Window.partitionBy("structure_id").orderBy("serial")
+    slots = atoms.select("structure_id", "serial", (F.row_number().over(order) - 1).cast("long").alias("position"))
+    listed = frames.select("structure_id", F.col("frame_idx").cast("int").alias("frame_idx")).distinct()
+    nth = Window.partitionBy("structure_id", "frame_idx").orderBy("position")
+    placed = frames.select("structure_id", F.col("frame_idx").cast("int").alias("frame_idx"), "x", "y", "z", (F.row_number().over(nth) - 1).cast("long").alias("position"))
+    full = slots.join(listed, "structure_id").join(placed, ["structure_id", "frame_idx", "position"], "left")
+    return full.select("structure_id", "frame_idx", F.col("serial").cast(kinds["serial"]).alias("serial"), *(F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")).alias(c) for c in "xyz"))
+
+
 def normal_modes(atoms: DataFrame, n_modes: int = 10) -> DataFrame:
     """structure_id, mode, eigenvalue and vector (3N numbers) of each structure's anchors."""
 
@@ -104,8 +236,8 @@ def assemble(atoms: DataFrame, transforms: DataFrame) -> DataFrame:
     """Biological assembly: the input chains, and a copy of each under every transform that is not the identity.
 
     Copies get unused letters in order of (operator, chain), then chain plus
-    "+"; serial and residue indexes go on after the input's. A structure
-    without such transforms stays as it is.
+    "+"; serial and residue indexes go on after the input's, and residue labels
+    name the new chain. A structure without such transforms stays as it is.
     """
     from voxelith.operators.spatial import apply_transforms, identity_transform
 
@@ -120,5 +252,6 @@ def assemble(atoms: DataFrame, transforms: DataFrame) -> DataFrame:
     named = F.coalesce(F.try_element_at("_free", slot), F.concat("chain_id", F.lit("+")))
     kinds = dict(atoms.dtypes)
     moved = copies.withColumns({"_c": named, "_s": (F.col("serial") + F.col("_serials") * (nth + 1)), "_r": (F.col("res_idx") + F.col("_residues") * (nth + 1))})
-    moved = moved.select(*({"chain_id": F.col("_c"), "serial": F.col("_s"), "res_idx": F.col("_r")}.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in atoms.columns))
+    label = F.concat(F.substring_index("res_label", ":", 1), F.lit(":"), "_c") if "res_label" in atoms.columns else None
+    moved = moved.select(*({"chain_id": F.col("_c"), "serial": F.col("_s"), "res_idx": F.col("_r"), "res_label": label}.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in atoms.columns))
     return atoms.unionByName(moved)

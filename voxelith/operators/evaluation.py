@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelith.staging import staged
+
 CURVE = (1, 3, 5, 10, 20)
 
 
@@ -125,6 +128,97 @@ def bootstrap(results: DataFrame, hit: str, keys: Sequence[str] = (), resamples:
     return sums.withColumn("_ci", interval("n", "p")).select(*keys, "n", "_ci.*")
 
 
+#: A prime under 2**28: the weights of a resample come from numbers below it.
+_PRIME = 268435399
+#: Where the cumulated shares of Poisson(1) lie among them: a number at or above k of these weighs k.
+_POISSON = tuple(int(_PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9))
+
+
+def resample_number(key: Column, resample: Column, seed: int = 0) -> Column:
+    """A number below _PRIME for a row and resample, linear in the resample, from the MD5 of the row's key."""
+    h = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    a, b = (F.conv(F.substring(h, at, 7), 16, 10).cast("long") for at in (1, 8))
+    return (a + b * resample) % _PRIME
+
+
+def resample_weight(key: Column, resample: Column, seed: int = 0) -> Column:
+    """How often a resample (from 1) draws the row: Poisson(1), the same on any cluster; independent between rows and pairwise between resamples."""
+    h = resample_number(key, resample, seed)
+    return sum((F.when(h >= t, 1).otherwise(0) for t in _POISSON[1:]), F.when(h >= _POISSON[0], 1).otherwise(0))
+
+
+def resample_weight_sql(key: str, resample: str, seed: int = 0) -> str:
+    """resample_weight in DuckDB's SQL."""
+    h = f"md5({key}::varchar || ':{seed}')"
+    number = f"((('0x' || {h}[1:7])::bigint + ('0x' || {h}[8:14])::bigint * {resample}) % {_PRIME})"
+    return "(" + " + ".join(f"({number} >= {t})::int" for t in _POISSON) + ")"
+
+
+def bootstrap_sums(rows: DataFrame, key: str, values: Mapping[str, Column], keys: Sequence[str] = (), resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """keys, resample (0: the rows themselves), n and the weighted sum of each value: a Poisson bootstrap.
+
+    Each row draws its weights in all resamples from a hash of its key, so it
+    is read once and never copied; a task adds up what it reads and sends one
+    row a group and resample. Rows with a null among the values or a null key
+    are left out: values of one row, as of two tools on a target, stay together.
+    """
+    import numpy as np
+
+    names = list(values)
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    number = [F.conv(F.substring(h, at, 7), 16, 10).cast("long").alias(n) for n, at in (("_a", 1), ("_b", 8))]
+    flat = rows.select(*keys, *number, *(c.cast("double").alias(f"_v{i}") for i, c in enumerate(values.values()))).dropna(subset=["_a", *(f"_v{i}" for i in range(len(names)))])
+    kinds = dict(flat.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "resample int", "n double", *(f"`{n}` double" for n in names)])
+    held = max(1, (64 << 20) // (8 * (resamples + 1) * (len(names) + 1)))  # groups at a time: 64 MB
+
+    def run(frames):
+        import pandas as pd
+
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out():
+            for k, v in sums.items():
+                pdf = pd.DataFrame({"resample": np.arange(resamples + 1, dtype=np.int32), "n": v[:, 0]} | {n: v[:, i + 1] for i, n in enumerate(names)})
+                for j, name in reversed(list(enumerate(keys))):
+                    pdf.insert(0, name, [k[j]] * len(pdf))
+                yield pdf
+            sums.clear()
+
+        steps = np.arange(1, resamples + 1)
+        for pdf in frames:
+            groups = pdf.groupby(list(keys), dropna=False, sort=False) if keys else [((), pdf)]
+            for k, part in groups:
+                k = tuple(None if x is None or x != x else x for x in (k if isinstance(k, tuple) else (k,)))
+                if k not in sums and len(sums) >= held:
+                    yield from out()
+                total = sums.setdefault(k, np.zeros((resamples + 1, len(names) + 1)))
+                data = np.column_stack([np.ones(len(part)), *(part[f"_v{i}"].to_numpy() for i in range(len(names)))])
+                a, b = part["_a"].to_numpy(), part["_b"].to_numpy()
+                total[0] += data.sum(axis=0)
+                for at in range(0, len(part), 1024):
+                    to = at + 1024
+                    weight = np.searchsorted(_POISSON, (a[at:to] + b[at:to] * steps[:, None]) % _PRIME, side="right")
+                    total[1:] += weight @ data[at:to]
+        yield from out()
+
+    return flat.mapInPandas(run, schema).groupBy(*keys, "resample").agg(*(F.sum(n).alias(n) for n in ("n", *names)))
+
+
+def bootstrap_interval(sums: DataFrame, statistic: Column, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """keys, n, value, lo, hi of any statistic of the weighted sums (columns n and the values' names).
+
+    Of m resamples in order, lo is the one at place m * alpha / 2 and hi that
+    before m * (1 - alpha / 2), rounded down. Resamples where the statistic is
+    null (no row drawn) do not count.
+    """
+    each = sums.withColumn("_s", statistic)
+    found = each.groupBy(*keys).agg(F.max(F.when(F.col("resample") == 0, F.col("n"))).cast("long").alias("n"), F.max(F.when(F.col("resample") == 0, F.col("_s"))).alias("value"), F.array_sort(F.collect_list(F.when(F.col("resample") > 0, F.col("_s")))).alias("_all"))
+    m = F.size("_all")
+    at = lambda i: F.get("_all", F.greatest(i.cast("int"), F.lit(0)))
+    return found.select(*keys, "n", "value", at(F.floor(m * (alpha / 2))).alias("lo"), at(F.floor(m * (1 - alpha / 2)) - 1).alias("hi"))
+
+
 def top_k_recall(scored: DataFrame, group: str, label: Column, score: str, k: int, tie: str) -> DataFrame:
     """Share of groups with a positive among their k best, and the share that has any."""
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)
@@ -137,33 +231,48 @@ def seeded_order(key: str, seed: int = 0) -> list[Column]:
     return [F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.col(key)]
 
 
-def permutation_importance(model, features: DataFrame, columns: Sequence[str], label: Column, score, seed: int = 0) -> DataFrame:
-    """feature and the fall in AUC when a feature's values are dealt anew among the rows.
+def numbered_rows(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Adds the number (from 0) of each row in a total order, without one task that sees them all.
 
-    score(frame) gives the model's score column of a scored frame; values are
-    dealt by two orders of row numbers, joined, so nothing is collected.
+    Rows are dealt into ranges of the order, which are written once; the counts
+    of the ranges, a row a partition, are summed up, then rows within.
     """
-    rows = features.withColumn("_id", F.monotonically_increasing_id())
-    base = auc(model.transform(rows).withColumn("_score", score), label, "_score").select(F.col("auc").alias("_base"))
-    out = None
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.repartitionByRange(n, *order).withColumn("_piece", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("_piece").agg(F.count("*").alias("_n")).select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_piece").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(bases), "_piece").withColumn(name, F.col("_base") + within).drop("_piece", "_base")
+
+
+def permutation_importance(model, features: DataFrame, columns: Sequence[str], label: Column, score, key: str, seed: int = 0) -> DataFrame:
+    """feature and fall: how far the AUC falls when a feature's values are dealt anew among all rows.
+
+    score is the model's score as a column of model.transform's result. key
+    numbers the rows; values are dealt by joining the numbers of the rows in
+    order of key with those in the seeded order of key, so the permutation is of
+    the whole table, and the same on any cluster.
+    """
+    own = staged(numbered_rows(features, [key], "_k"), "numbered")
+    base = auc(model.transform(own).withColumn("_score", score), label, "_score").first()["auc"]
+    found = []
     for n, c in enumerate(columns):
-        bucket = F.pmod(F.xxhash64("_id"), F.lit(64))
-        own = rows.withColumn("_k", F.row_number().over(Window.partitionBy(bucket).orderBy("_id"))).withColumn("_g", bucket)
-        dealt = rows.select(bucket.alias("_g"), F.row_number().over(Window.partitionBy(bucket).orderBy(F.xxhash64("_id", F.lit(seed + n)), "_id")).alias("_k"), F.col(c).alias("_v"))
-        mixed = own.join(dealt, ["_g", "_k"]).withColumn(c, F.col("_v")).drop("_g", "_k", "_v")
-        one = auc(model.transform(mixed).withColumn("_score", score), label, "_score").crossJoin(base).select(F.lit(c).alias("feature"), (F.col("_base") - F.col("auc")).alias("fall"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        dealt = numbered_rows(features.select(key, F.col(c).alias("_v")), seeded_order(key, seed + n), "_k").select("_k", "_v")
+        mixed = own.join(dealt, "_k").withColumn(c, F.col("_v")).drop("_v")
+        one = auc(model.transform(mixed).withColumn("_score", score), label, "_score").first()["auc"]
+        found.append((c, None if base is None or one is None else round(base - one, 6)))
+    return features.sparkSession.createDataFrame(found, "feature string, fall double")
 
 
-def _sums_before(counts: DataFrame, order: str, sums: dict[str, str], descending: bool = False, pieces: int = 200) -> DataFrame:
+def _sums_before(counts: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Adds, under the names of `sums`, the sum of a column over all rows that come earlier in the order.
 
-    Rows are dealt into pieces at approximate quantiles: the totals of the
-    pieces, at most `pieces` rows, are summed up first, then each piece within.
+    Rows are dealt into ranges and written once; the totals of the ranges, a
+    row a partition, are summed up first, then each range within.
     """
-    cuts = counts.agg(F.percentile_approx(order, [k / pieces for k in range(1, pieces)], 10000).alias("_cuts"))
-    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(counts.repartitionByRange(n, order).withColumn("_piece", F.spark_partition_id()), "counts")
     way = F.desc if descending else F.asc
     earlier = Window.orderBy(way("_piece")).rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("_piece").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1)
@@ -200,13 +309,30 @@ def cluster_features(clusters: DataFrame, members: DataFrame, keys: Sequence[str
     return out.withColumns({"volume_range": F.col("volume_max") - F.col("volume_min"), "open_gain": F.col("volume_max") - F.col("apo_volume"), "rank_fraction": F.col("rank") / F.count("*").over(w)})
 
 
-def fit_reranker(features: DataFrame, columns: Sequence[str], label: str = "label", iterations: int = 50, step: float = 0.05):
-    """A boosted-tree pipeline over feature columns with balanced class weights; save it with its own writer."""
+def fit_reranker(features: DataFrame, columns: Sequence[str], label: str = "label", iterations: int = 400, step: float = 0.05, group: str | None = None, held_out: int = 10, tolerance: float = 0.01):
+    """A boosted-tree pipeline over feature columns with balanced class weights; save it with its own writer.
+
+    group: the column (a protein) whose rows stay together when one in
+    `held_out` groups, by the hash of their names, is kept for validation:
+    trees are grown until the error on those has stopped falling by more than
+    tolerance, `iterations` at most. Without a group, or where one side of the
+    split is empty, all are grown on all rows.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     share = features.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.5
     weighted = features.withColumn("_w", F.when(F.col(label) == 1, F.lit(0.5 / max(share, 1e-9))).otherwise(F.lit(0.5 / max(1 - share, 1e-9)))).withColumn("_y", F.col(label).cast("double"))
-    trees = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=iterations, stepSize=step, seed=7)
+    trees = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=iterations, stepSize=step, seed=7, validationTol=tolerance)
+    if group is not None:
+        kept = F.pmod(F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 7), 16, 10).cast("long"), F.lit(held_out)) == 0
+        weighted = weighted.withColumn("_held", F.coalesce(kept, F.lit(False)))
+        if weighted.select("_held").distinct().count() == 2:
+            trees = trees.setValidationIndicatorCol("_held")
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep"), trees]).fit(weighted)
+
+
+def trees_grown(model) -> int:
+    """How many trees a fitted, or saved and loaded, re-ranker has: the round at which it stopped."""
+    return model.stages[-1].getNumTrees

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from voxelith.functions.metrics import distance, headline_hit, jaccard, legacy_hit, recall, residue_numbers, strict_hit
 from voxelith.operators import clusters as C
-from voxelith.operators.ensembles import generate, greedy_cluster
+from voxelith.operators.ensembles import assemble, fit_frames, generate, greedy_cluster
 from voxelith.operators.evaluation import best_in_top, hit_curve
 from voxelith.operators.grid import characterize, detect_pockets
+from voxelith.staging import staged
 
 
 @dataclass(frozen=True)
@@ -35,11 +36,14 @@ class Settings:
 def frames_of(atoms: DataFrame, settings: Settings, given: DataFrame | None = None) -> DataFrame:
     """Atoms of every frame with the residue columns that detection needs; frame 0 is the input.
 
-    Frames made elsewhere (given: structure_id, frame_idx from 1, serial, x, y, z) take the place of generated ones.
+    Frames made elsewhere (given: structure_id, frame_idx from 1, serial, x, y, z) take the place of generated ones;
+    with position instead of serial (read_frames) they are fitted to the atoms first.
     """
     if given is None:
         frames = generate(atoms, settings.n_conformers, settings.backend)
     else:
+        if "serial" not in given.columns:
+            given = fit_frames(atoms, given)
         own = atoms.select("structure_id", F.lit(0).alias("frame_idx"), "serial", "x", "y", "z")
         frames = own.unionByName(given.where("frame_idx > 0").select(F.col("structure_id"), F.col("frame_idx").cast("int").alias("frame_idx"), "serial", "x", "y", "z"))
     about = atoms.select("structure_id", "serial", "res_idx", "res_label", "hydrophobic", "aromatic")
@@ -58,10 +62,18 @@ def detect(frames: DataFrame, settings: Settings, proposals: DataFrame | None =
     return C.fused(*found)
 
 
-def discover(atoms: DataFrame, settings: Settings = Settings(), proposals: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
-    """Ranked, filtered clusters of pockets over an ensemble of each structure; with frames, settings.n_conformers is their number beside the input."""
+def discover(atoms: DataFrame, settings: Settings = Settings(), proposals: DataFrame | None = None, frames: DataFrame | None = None, assembly: DataFrame | None = None) -> DataFrame:
+    """Ranked, filtered clusters of pockets over an ensemble of each structure.
+
+    frames: made elsewhere; settings.n_conformers is their number beside the
+    input. assembly: operators (structure_id, op_id, r11..r33, tx, ty, tz) by
+    which the structures are expanded first. Labelled pockets are written to the
+    shared folder, as several aggregates read them.
+    """
+    if assembly is not None:
+        atoms = assemble(atoms, assembly)
     pockets = detect(frames_of(atoms, settings, frames), settings, proposals)
-    labelled = greedy_cluster(C.scored(pockets), eps=settings.eps)
+    labelled = staged(greedy_cluster(C.scored(pockets), eps=settings.eps), "pockets")
     found = C.aggregate(labelled, ["structure_id", "cluster_id"], settings.n_conformers + 1)
     ranked = C.ranked(found, settings.rank_by)
     return C.reported(ranked, settings.min_druggability, settings.min_persistence, settings.min_crypticity, settings.top)

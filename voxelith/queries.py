@@ -15,6 +15,9 @@ from voxelith.operators import evaluation as V
 from voxelith.operators import grid as G
 from voxelith.operators import spatial as S
 from voxelith.sinks import files as K
+from voxelith.sources import structures as R
+from voxelith.sources import tables as T
+from voxelith.staging import fresh_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -218,9 +221,10 @@ def fold_join(spark, sf_dir):
     return V.fold_counts(folds, read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), "c_name"))
 
 
-@query("""select o_orderkey target_id, '{"target_id":' || o_orderkey || ',"status":"' || o_orderstatus || '","rank":' || (o_custkey % 20) || '}' as result from orders""")
+@query("""select o_orderkey target_id, '{"target_id":' || o_orderkey || ',"status":"' || o_orderstatus || '","rank":' || case when o_custkey % 7 = 0 then 'null' else (o_custkey % 20)::varchar end || '}' as result from orders""")
 def results_json(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target_id"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 20).alias("rank"))
+    rank = F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 20)
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target_id"), F.col("o_orderstatus").alias("status"), rank.alias("rank"))
     return K.results_json(o, "target_id")
 
 
@@ -282,7 +286,16 @@ def ligand_semi_join(spark, sf_dir):
 def nearest_centroid(spark, sf_dir):
     p = points(spark, sf_dir)
     c = p.groupBy(F.col("frame_idx").alias("rank")).agg(F.avg("x").alias("rx"), F.avg("y").alias("ry"), F.avg("z").alias("rz"))
-    near = S.nearest(p.withColumn("g", F.lit(1)), F.broadcast(c.withColumn("g", F.lit(1))), ["id"], "rank", ["g"], ("x", "y", "z"), ("rx", "ry", "rz"))
+    near = S.nearest(p, c, ["id"], "rank", right_xyz=("rx", "ry", "rz"))
+    return near.select("id", F.round("distance", 6).alias("distance"), "nearest")
+
+
+@query(f"""with {_PT}, d as (select a.id, b.id rank, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 9) d2 from pt a join pt b on a.frame_idx = b.frame_idx and a.id % 2 = 0 and b.id % 2 = 1),
+  b as (select *, row_number() over (partition by id order by d2, rank) n from d) select id, round(sqrt(d2), 6) distance, rank nearest from b where n = 1""")
+def nearest_in_frame(spark, sf_dir):
+    p = points(spark, sf_dir)
+    right = _other(p.where("id % 2 = 1"))
+    near = S.nearest(p.where("id % 2 = 0"), right, ["id"], "id2", ["frame_idx"], right_xyz=("x2", "y2", "z2"))
     return near.select("id", F.round("distance", 6).alias("distance"), "nearest")
 
 
@@ -306,21 +319,29 @@ def gaussian_propagate(spark, sf_dir):
     return S.gaussian_propagate(p, a, ["id"], 5.0, ["frame_idx"]).select("id", *(F.round(f"d{c}", 5).alias(f"d{c}") for c in "xyz"))
 
 
-def operators_table(spark: SparkSession) -> DataFrame:
-    rows = [(1, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), (2, -1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 1.0, 5.0, 0.0, 0.0), (3, 1.0, 0.0, 0.0, 0.0, 1.0005, 0.0, 0.0, 0.0, 1.0, 0.05, 0.0, 0.0)]
-    names = ["op_id", *(f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)), "tx", "ty", "tz"]
-    return spark.createDataFrame(rows, ", ".join(f"{n} {'int' if n == 'op_id' else 'double'}" for n in names))
+_TF = """tf as (select n_nationkey op_id, case when n_regionkey % 2 = 1 then -1.0::double else 1.0::double end r11, 0.0::double r12, 0.0::double r13, 0.0::double r21, case when n_regionkey % 2 = 1 then -1.0::double else 1 + n_nationkey * 0.0001::double end r22, 0.0::double r23,
+  0.0::double r31, 0.0::double r32, 1.0::double r33, n_nationkey * 0.02::double tx, (n_nationkey % 3) * 0.06::double ty, 0.0::double tz from nation),
+  ti as (select *, abs(r11 - 1) <= 1.01e-3::double and abs(r22 - 1) <= 1.01e-3::double and abs(tx) <= 0.1::double and abs(ty) <= 0.1::double is_identity from tf)"""
 
 
-@query(f"with {_PT} select id, 2 op_id, round(5 - x, 4) x, round(-y, 4) + 0.0 y, round(z, 4) z from pt")
+def operators_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as operators: turns about z for odd regions, else near identities that drift from it."""
+    n = read(spark, sf_dir, "nation")
+    turn = F.when(F.col("n_regionkey") % 2 == 1, -1.0)
+    cells = {"r11": turn.otherwise(1.0), "r22": turn.otherwise(1 + F.col("n_nationkey") * 0.0001), "r33": F.lit(1.0), "tx": F.col("n_nationkey") * 0.02, "ty": (F.col("n_nationkey") % 3) * 0.06, "tz": F.lit(0.0)}
+    names = [*(f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)), "tx", "ty", "tz"]
+    return n.select(F.col("n_nationkey").alias("op_id"), *(cells.get(c, F.lit(0.0)).alias(c) for c in names))
+
+
+@query(f"with {_PT}, {_TF} select id, op_id, round(r11 * x + tx, 7) + 0.0 x, round(r22 * y + ty, 7) + 0.0 y, round(z, 4) z from pt, ti where not is_identity")
 def apply_transforms(spark, sf_dir):
-    moved = S.apply_transforms(points(spark, sf_dir), operators_table(spark).where(~S.identity_transform()))
-    return moved.select("id", "op_id", F.round("x", 4).alias("x"), (F.round("y", 4) + 0.0).alias("y"), F.round("z", 4).alias("z"))
+    moved = S.apply_transforms(points(spark, sf_dir), operators_table(spark, sf_dir).where(~S.identity_transform()))
+    return moved.select("id", "op_id", (F.round("x", 7) + 0.0).alias("x"), (F.round("y", 7) + 0.0).alias("y"), F.round("z", 4).alias("z"))
 
 
-@query("select * from (values (1, true), (2, false), (3, true)) t(op_id, is_identity)")
+@query(f"with {_TF} select op_id, is_identity from ti")
 def identity_filter(spark, sf_dir):
-    return operators_table(spark).select("op_id", S.identity_transform().alias("is_identity"))
+    return operators_table(spark, sf_dir).select("op_id", S.identity_transform().alias("is_identity"))
 
 
 @query("select p.p_partkey, coalesce(f.q, p.p_size::double) p_size, f.q is not null matched from part p left join (select l_partkey, arg_min(l_quantity, (l_orderkey, l_linenumber)) q from lineitem where l_discount > 0.08 group by 1) f on p_partkey = l_partkey")
@@ -350,7 +371,8 @@ def _cube(n: int, keep: str) -> str:
 
 
 _MASK = f"{_GRID}, m as (select distinct frame_idx, i, j, k from (select v.frame_idx, i + di i, j + dj j, k + dk k from v, {_cube(1, 'a * a + b * b + c * c <= 2')}) q join g using (frame_idx) where {_IN})"
-_FIELD = f"{_MASK}, f as (select frame_idx, i, j, k, d2::int d2 from (select frame_idx, i, j, k, min(d2) d2 from (select m.frame_idx, i + di i, j + dj j, k + dk k, d2 from m, {_cube(7, 'a * a + b * b + c * c <= 59')}) q group by 1, 2, 3, 4) join g using (frame_idx) where d2 > 0 and {_IN})"
+_FIELD = f"""{_MASK}, o7 as (select a o from range(-7, 8) t(a)), f1 as (select frame_idx, i + o i, j, k, min(o * o) d2 from m, o7 group by 1, 2, 3, 4), f2 as (select frame_idx, i, j + o j, k, min(d2 + o * o) d2 from f1, o7 group by 1, 2, 3, 4),
+  f as (select frame_idx, i, j, k, d2::int d2 from (select frame_idx, i, j, k + o k, min(d2 + o * o) d2 from f2, o7 group by 1, 2, 3, 4) q join g using (frame_idx) where d2 > 0 and d2 <= 59 and {_IN})"""
 
 
 def _voxels(spark, sf_dir):
@@ -497,17 +519,41 @@ def parse_labels(spark, sf_dir):
     return p.select("p_partkey", "label", M.residue_numbers(F.array("label"))[0].alias("number"))
 
 
-@query("select p_partkey, printf('ATOM  %5d  %-3s %3s %s%4d', p_partkey % 99999, 'CA', 'ALA', 'A', p_size) as line from part")
+@query("select p_partkey, printf('ATOM  %5d  %-3s %3s %s%4d%s   %8.3f%8.3f%8.3f  1.00  0.00          %2s', p_partkey % 99999, 'CA', 'ALA', 'A', p_size, case when p_size % 4 = 0 then 'B' else ' ' end, p_size * 1.5::double, -p_size * 0.25::double, (p_partkey % 100) * 1.0::double, 'C') as line from part")
 def fixed_width_format(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select(F.lit("s").alias("structure_id"), (F.col("p_partkey") % 99999 - 1).alias("serial"), F.lit("CA").alias("name"), F.lit("ALA").alias("res_name"), F.lit("A").alias("chain_id"), F.col("p_size").alias("res_seq"), *(F.lit(0.0).alias(c) for c in "xyz"), F.lit("C").alias("element"), "p_partkey")
-    return K.structure_pdb(p).select(F.col("serial").alias("s"), F.substring("line", 1, 26).alias("line")).select((F.col("s") + 1).alias("p_partkey"), "line")
+    p = read(spark, sf_dir, "part").select(F.lit("s").alias("structure_id"), (F.col("p_partkey") % 99999 - 1).alias("serial"), F.lit("CA").alias("name"), F.lit("ALA").alias("res_name"), F.lit("A").alias("chain_id"), F.col("p_size").alias("res_seq"), F.when(F.col("p_size") % 4 == 0, "B").otherwise("").alias("icode"), (F.col("p_size") * 1.5).alias("x"), (F.col("p_size") * -0.25).alias("y"), (F.col("p_partkey") % 100).cast("double").alias("z"), F.lit("C").alias("element"), "p_partkey")
+    return K.structure_pdb(p).select((F.col("serial") + 1).alias("p_partkey"), "line")
+
+
+def _sites(spark, sf_dir) -> DataFrame:
+    """Orders as ranked clusters with values that print the same everywhere: halves, whole numbers and short texts."""
+    o = read(spark, sf_dir, "orders").where("o_orderkey % 40 < 8")
+    k = F.col("o_orderkey")
+    half = lambda c, n: ((c % n) / 2.0)
+    return o.select(
+        (k % 8).alias("structure_id"), F.floor(k / 8).cast("int").alias("cluster_id"), F.floor(k / 8).cast("int").alias("rank"), *(half(k, n).alias(c) for c, n in (("cx", 41), ("cy", 53), ("cz", 67))),
+        (100 + half(k, 900)).alias("volume"), (50 + half(k, 300)).alias("volume_min"), (400 + half(k, 900)).alias("volume_max"), half(k, 700).alias("apo_volume"), F.lit(0.5).alias("druggability"), F.lit(0.75).alias("max_druggability"),
+        ((k % 4 + 1) / 4.0).alias("persistence"), (k % 4 < 3).alias("cryptic"), half(k % 2, 2).alias("crypticity"), F.array(F.concat(F.lit("ALA"), (k % 90).cast("string"), F.lit(":A")), F.lit("GLY7:B")).alias("lining_residues"), F.array(F.lit(0), (k % 5 + 1).cast("int")).alias("appears_in_conformers"),
+    )
+
 
+_SITE = """st as (select o_orderkey % 8 structure_id, (o_orderkey // 8)::int rank, (o_orderkey % 41) / 2.0::double cx, (o_orderkey % 53) / 2.0::double cy, (o_orderkey % 67) / 2.0::double cz, 100 + (o_orderkey % 900) / 2.0::double volume, 50 + (o_orderkey % 300) / 2.0::double volume_min,
+  400 + (o_orderkey % 900) / 2.0::double volume_max, (o_orderkey % 700) / 2.0::double apo_volume, (o_orderkey % 4 + 1) / 4.0::double persistence, o_orderkey % 4 < 3 cryptic, (o_orderkey % 2) / 2.0::double crypticity, 'ALA' || (o_orderkey % 90) || ':A' lining, (o_orderkey % 5 + 1)::int frame from orders where o_orderkey % 40 < 8)"""
 
-@query(f"with {_FULL} select structure_id, count(*) n_pockets_found, count_if(crypticity >= 0.3)::bigint n_cryptic_pockets from c group by 1")
+
+@query(f"""with {_SITE}, p as (select structure_id, rank, crypticity, '{{"rank":' || rank || ',"centroid":[' || cx || ',' || cy || ',' || cz || '],"volume_A3":' || volume || ',"volume_range_A3":[' || volume_min || ',' || volume_max || '],"apo_volume_A3":' || apo_volume
+  || ',"druggability":0.5,"max_druggability":0.75,"persistence":' || persistence || ',"cryptic":' || cryptic || ',"crypticity":' || crypticity || ',"lining_residues":["' || lining || '","GLY7:B"],"appears_in_conformers":[0,' || frame || ']}}' j from st)
+  select structure_id, '{{"protein":' || structure_id || ',"n_conformers":7,"ranked_by":"crypticity","n_pockets_found":' || count(*) || ',"n_cryptic_pockets":' || count_if(crypticity >= 0.3) || ',"pockets":[' || string_agg(j, ',' order by rank) || ']}}' as report from p group by 1""")
 def json_report(spark, sf_dir):
-    ranked = C.ranked(clusters(spark, sf_dir)).withColumn("lining_residues", F.array().cast("array<string>"))
-    r = K.reports(ranked, N_FRAMES, "crypticity")
-    return r.select("structure_id", F.get_json_object("report", "$.n_pockets_found").cast("long").alias("n_pockets_found"), F.get_json_object("report", "$.n_cryptic_pockets").cast("long").alias("n_cryptic_pockets"))
+    return K.reports(_sites(spark, sf_dir), N_FRAMES, "crypticity")
+
+
+_POINT = "(0, 'C', 0, 0, 0), (1, 'C2', 1, 0, 0), (2, 'C3', -1, 0, 0), (3, 'C4', 0, 1, 0), (4, 'C5', 0, -1, 0), (5, 'C6', 0, 0, 1), (6, 'C7', 0, 0, -1)"
+
+
+@query(f"with {_SITE}, a as (select * from (values {_POINT}) t(n, name, ax, ay, az)), r as (select *, pow(3 * volume / (4 * 3.14159::double), 1 / 3) r from st) select structure_id, rank, n + 1 line_no, printf('HETATM%5d  %-3s POC P%4d    %8.3f%8.3f%8.3f  1.00  0.50           C', (rank - 1) * 7 + n + 1, name, rank, cx + ax * r, cy + ay * r, cz + az * r) as line from r, a")
+def pocket_atoms(spark, sf_dir):
+    return K.pocket_pdb(_sites(spark, sf_dir))
 
 
 @query("with e as (select distinct l_orderkey % 100 rank, chr(65 + (l_suppkey % 4)::int) as chain, (l_partkey % 60)::int n from lineitem) select rank, chain, string_agg(n, ',' order by n) numbers from e group by 1, 2")
@@ -518,16 +564,21 @@ def contacts_by_chain(spark, sf_dir):
     return K.contacts(c).select("rank", "chain", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-@query(f"with {_FULL} select structure_id, cluster_id, printf('%.3f', 2 * (pow(3 * volume / (4 * 3.14159), 1 / 3) + 8)) size from c where volume > 0")
+@query(f"with {_SITE}, r as (select *, printf('%.3f', 2 * (pow(3 * volume / (4 * 3.14159::double), 1 / 3) + 8)) s from st) select structure_id, rank, printf('center_x = %.3f\ncenter_y = %.3f\ncenter_z = %.3f\n', cx, cy, cz) || 'size_x = ' || s || '\nsize_y = ' || s || '\nsize_z = ' || s || '\nexhaustiveness = 8\nnum_modes = 9\n' as text from r")
 def vina_box(spark, sf_dir):
-    c = clusters(spark, sf_dir).where("volume > 0").withColumn("rank", F.col("cluster_id"))
-    return K.vina_box(c).select("structure_id", F.col("rank").alias("cluster_id"), F.regexp_extract("text", r"size_x = ([\d.]+)", 1).alias("size"))
+    return K.vina_box(_sites(spark, sf_dir))
 
 
-@query(f"with {_FULL} select structure_id, cluster_id, case when volume_max - apo_volume > 50 then printf('%.0f -> %.0f', apo_volume, volume_max) else printf('%.0f', volume) end volume from c")
+@query(f"with {_SITE} select rank, 0.75 druggability, crypticity, printf('%.0f%%', persistence * 100) persistence, case when volume_max - apo_volume > 50 then printf('%.0f -> %.0f', round_even(apo_volume, 0), round_even(volume_max, 0)) else printf('%.0f', round_even(volume, 0)) end volume, lining || ' GLY7:B' as residues from st")
 def console_table(spark, sf_dir):
-    c = clusters(spark, sf_dir).withColumns({"rank": F.struct("structure_id", "cluster_id"), "lining_residues": F.array().cast("array<string>")})
-    return K.console(c).select("rank.structure_id", "rank.cluster_id", "volume")
+    return K.console(_sites(spark, sf_dir))
+
+
+@query(f"with {_SITE} select structure_id, rank, 'sequences:\n  - protein:\n      id: A\n      sequence: AG' || structure_id || '\n  - ligand:\n      id: LIG\n      smiles: SMILES_HERE\nconstraints:\n  - pocket:\n      binder: LIG\n      contacts:\n        - [A, ' || regexp_extract(lining, '([0-9]+)', 1) || ']\n        - [B, 7]\n' as text from st")
+def constraint_text(spark, sf_dir):
+    sites = _sites(spark, sf_dir)
+    chains = sites.select("structure_id").distinct().select("structure_id", F.lit("A").alias("chain_id"), F.concat(F.lit("AG"), F.col("structure_id").cast("string")).alias("sequence"))
+    return K.constraint_yaml(sites, chains)
 
 
 @query(f"with {_P} select structure_id, pocket_idx, frame_idx from p where volume between 80 and 1500")
@@ -550,10 +601,42 @@ def bootstrap_ci(spark, sf_dir):
     return V.bootstrap(lab, "hit", ["quality"]).select("quality", "n", F.round("mean", 6).alias("mean"))
 
 
-@query()
+def _interval_sql(rows: str, value: str, statistic: str, group: str, seed: int = 0, resamples: int = 500) -> str:
+    """The Poisson bootstrap in SQL: rows names key, groups and values; statistic is of w-weighted sums."""
+    ws = ", ".join(f"sum(w * {v})::double {v}" for v in value.split(", "))
+    own = ", ".join(f"sum({v})::double {v}" for v in value.split(", "))
+    return f"""with b as ({rows}), d as (select *, {V.resample_weight_sql("key", "resample", seed)} w from b, range(1, {resamples} + 1) t(resample)),
+  s as (select {group}, resample, sum(w)::double n, {ws} from d group by all), u as (select {group}, list_sort(list({statistic})) lst from s where n > 0 group by all),
+  o as (select {group}, count(*)::bigint n, {own} from b group by all)
+select {group}, n::bigint as n, round({statistic}, 6) as value, round(lst[floor(len(lst) * 0.025::double)::int + 1], 6) as lo, round(lst[floor(len(lst) * 0.975::double)::int], 6) as hi from o join u using ({group})"""
+
+
+def _rounded(found: DataFrame, *keys: str) -> DataFrame:
+    return found.select(*keys, "n", *(F.round(c, 6).alias(c) for c in ("value", "lo", "hi")))
+
+
+@query(_interval_sql("select doc_id as key, quality, (toxic = 1)::int hit from labels where quality is not null and toxic is not null and doc_id is not null", "hit", "hit / n", "quality"))
 def bootstrap_interval(spark, sf_dir):
-    lab = read(spark, sf_dir, "labels").where("quality is not null").withColumn("hit", F.col("toxic") == 1)
-    return V.bootstrap(lab, "hit", ["quality"])
+    lab = read(spark, sf_dir, "labels").where("quality is not null")
+    sums = V.bootstrap_sums(lab, "doc_id", {"hit": (F.col("toxic") == 1).cast("int")}, ["quality"], 500)
+    return _rounded(V.bootstrap_interval(sums, F.col("hit") / F.col("n"), ["quality"]), "quality")
+
+
+_PAIRED = """select user_id as key, 'all' as tools, a, b from (select user_id, max(case when event_type = 'click' then value end) a, max(case when event_type = 'view' then value end) b from events group by 1) where a is not null and b is not null"""
+
+
+@query(_interval_sql(_PAIRED, "a, b", "(a - b) / n", "tools", 3))
+def bootstrap_difference(spark, sf_dir):
+    wide = read(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.max("value")).withColumn("tools", F.lit("all"))
+    sums = V.bootstrap_sums(wide, "user_id", {"a": F.col("click"), "b": F.col("view")}, ["tools"], 500, seed=3)
+    return _rounded(V.bootstrap_interval(sums, (F.col("a") - F.col("b")) / F.col("n"), ["tools"]), "tools")
+
+
+@query(_interval_sql("select o_orderkey as key, o_orderpriority, (o_orderstatus = 'F')::int hit, o_totalprice price from orders", "hit, price", "1000000 * hit / price", "o_orderpriority", 5, 100))
+def bootstrap_ratio(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    sums = V.bootstrap_sums(o, "o_orderkey", {"hit": (F.col("o_orderstatus") == "F").cast("int"), "price": F.col("o_totalprice")}, ["o_orderpriority"], 100, seed=5)
+    return _rounded(V.bootstrap_interval(sums, 1000000 * F.col("hit") / F.col("price"), ["o_orderpriority"]), "o_orderpriority")
 
 
 @query("with s as (select value s, event_type = 'purchase' y from events), r as (select s, y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double r from s) select round((sum(case when y then r end) - count_if(y) * (count_if(y) + 1) / 2.0::double) / (count_if(y) * count_if(not y)), 6) auc from r")
@@ -571,6 +654,28 @@ def topk_recall(spark, sf_dir):
     return V.top_k_recall(read(spark, sf_dir, "events"), "user_id", F.col("event_type") == "purchase", "value", 5, "event_id")
 
 
+class _Linear:
+    """A model whose score is a weighted sum of its features: value and hour."""
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("linear", F.col("value") + 3 * F.col("part"))
+
+
+def _auc_sql(rows: str) -> str:
+    return f"(select round((sum(case when y then r end) - count_if(y) * (count_if(y) + 1) / 2.0::double) / (count_if(y) * count_if(not y)), 6) from (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double r from ({rows})))"
+
+
+_EV = "ev as (select event_id, value, user_id % 11 as part, event_type = 'purchase' y, row_number() over (order by event_id) k from events)"
+
+
+@query(f"""with {_EV}, d0 as (select value v, row_number() over (order by md5(event_id::varchar || ':4'), event_id) k from ev), d1 as (select part v, row_number() over (order by md5(event_id::varchar || ':5'), event_id) k from ev)
+  select 'value' as feature, round({_auc_sql("select y, value + 3 * part s from ev")} - {_auc_sql("select y, v + 3 * part s from ev join d0 using (k)")}, 6) as fall
+  union all select 'part', round({_auc_sql("select y, value + 3 * part s from ev")} - {_auc_sql("select y, value + 3 * v s from ev join d1 using (k)")}, 6)""")
+def permutation_importance(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "value", (F.col("user_id") % 11).alias("part"), (F.col("event_type") == "purchase").alias("y"))
+    return V.permutation_importance(_Linear(), e, ["value", "part"], F.col("y"), F.col("linear"), "event_id", seed=4)
+
+
 @query(f"with {_FULL}, k as (select *, row_number() over (partition by structure_id order by crypticity desc, max_druggability desc, cluster_id) rank from c), m as (select structure_id, cluster_id, avg(enclosure) a, max(enclosure) b, avg(aromatic_count) d, max(aromatic_count) e from s group by all) select structure_id, cluster_id, round(a, 6) mean_enclosure, round(b, 6) max_enclosure, round(d, 6) mean_aromatic_count, e max_aromatic_count, round(volume_max - volume_min, 4) volume_range, round(rank / count(*) over (partition by structure_id), 6) rank_fraction from k join m using (structure_id, cluster_id)")
 def cluster_features(spark, sf_dir):
     f = V.cluster_features(C.ranked(clusters(spark, sf_dir)), pockets(spark, sf_dir), ["structure_id", "cluster_id"])
@@ -606,6 +711,238 @@ def seeded_sample(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").orderBy(*V.seeded_order("c_custkey")).limit(50)
 
 
+# Files: each query writes its input from the tables to the shared folder, as the formats have it, and reads it back.
+def written(rows: DataFrame, name: str, one: bool = False) -> str:
+    """The folder that holds a table of one text column as files; one: a row is a file of its own name."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", 1 if one else 0).text(path)
+    return path
+
+
+_NPY = f"""r as (select label g, vec_id, row_number() over (partition by label order by vec_id) - 1 pos, vec_id % 3 l from embeddings), lab as (select g, pos, l from r where g % 2 = 1 or pos < 20)"""
+
+
+@query(f"""with {_NPY}, m as (select r.g, r.vec_id * 2 res_seq, lab.l from r join lab on r.g = lab.g and r.pos = lab.pos and r.vec_id % 11 <> 99), nr as (select g, count(*) n from r group by 1), nl as (select g, count(*) n from lab group by 1)
+  select m.g::varchar as id, string_agg(case when l = 1 then res_seq end, ',' order by res_seq) as known, any_value(nr.n) n_residues, any_value(nl.n) n_labels, count(*) n_matched, count_if(l = 2)::bigint n_excluded from m join nr using (g) join nl using (g) group by 1""")
+def npy_labels(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("id"), F.col("vec_id").alias("res_idx"), (F.col("vec_id") * 2).alias("res_seq"), (F.col("vec_id") % 3).alias("l"))
+    lists = e.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("res_idx", "l"))), lambda s: s["l"]).alias("a"))
+    lists = lists.withColumn("a", F.when(F.col("id").cast("int") % 2 == 1, F.col("a")).otherwise(F.slice("a", 1, 20)))
+    header = F.rpad(F.concat(F.lit("{'descr': '|u1', 'fortran_order': False, 'shape': ("), F.size("a").cast("string"), F.lit(",), }")), 117, " ")
+    digits = F.array_join(F.transform("a", lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    files = lists.select("id", F.unhex(F.concat(F.lit("934E554D505901007600"), F.hex(F.concat(header, F.lit("\n"))), digits)).alias("content"))
+    found = T.labelled_site(e.select("id", "res_idx", "res_seq"), T.as_labels(T.npy_values(files)))
+    return found.select("id", F.array_join(F.transform("known_residues", lambda x: x.cast("string")), ",").alias("known"), "n_residues", "n_labels", "n_matched", "n_excluded")
+
+
+@query("""with a as (select vec_id % 4 structure_id, vec_id serial, row_number() over (partition by vec_id % 4 order by vec_id) p from embeddings where label = 0), f as (select vec_id % 4 structure_id, label frame_idx, row_number() over (partition by vec_id % 4, label order by vec_id) p, embedding[1] x, embedding[2] y, embedding[3] z from embeddings where label > 0)
+  select a.structure_id, l.frame_idx, serial, round(coalesce(x, 0)::double, 6) x, round(coalesce(y, 0)::double, 6) y, round(coalesce(z, 0)::double, 6) z from a join (select distinct structure_id, frame_idx from f) l using (structure_id) left join f on f.structure_id = a.structure_id and f.frame_idx = l.frame_idx and f.p = a.p""")
+def fitted_frames(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).alias("structure_id"), "vec_id", "label", *(F.col("embedding")[k].alias(c) for k, c in enumerate("xyz")))
+    frames = e.where("label > 0").select("structure_id", F.col("label").alias("frame_idx"), F.col("vec_id").alias("position"), "x", "y", "z")
+    fitted = E.fit_frames(e.where("label = 0").select("structure_id", F.col("vec_id").alias("serial")), frames)
+    return fitted.select("structure_id", F.col("frame_idx").cast("long").alias("frame_idx"), "serial", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in "xyz"))
+
+
+_NAMES = (*R.ONE_LETTER, "MSE", "UNK", "HOH")
+
+
+def _backbone(spark, sf_dir) -> DataFrame:
+    """Chains of 50 residues, a backbone atom N and C each, whose bonds break at multiples of 5 and 7."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id")
+    names = F.array(*map(F.lit, _NAMES))
+    place = (F.col("vec_id") % 50) * 3.0
+    res = e.select(F.lit("s").alias("structure_id"), F.floor(F.col("vec_id") / 50).cast("string").alias("chain_id"), F.col("vec_id").alias("res_idx"), F.get(names, (F.col("vec_id") * 7 % len(_NAMES)).cast("int")).alias("res_name"), place.alias("p"), (F.col("vec_id") % 5 == 0).alias("five"), (F.col("vec_id") % 7 == 0).alias("seven"))
+    n = res.select("structure_id", "chain_id", "res_idx", "res_name", F.lit("N").alias("name"), F.col("p").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    c = res.select("structure_id", "chain_id", "res_idx", "res_name", F.lit("C").alias("name"), (F.col("p") + F.when(F.col("five"), 1.0).otherwise(1.5)).alias("x"), F.when(F.col("seven"), 1.0).otherwise(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return n.unionByName(c)
+
+
+_CODES = "[" + ", ".join([*(f"'{c}'" for c in R.ONE_LETTER.values()), "null", "null", "null"]) + "]"
+_RUNS = f"""e as (select vec_id, (vec_id // 50)::varchar chain_id, ({_CODES})[vec_id * 7 % {len(_NAMES)} + 1] code from embeddings),
+  l as (select *, lag(code) over w before, lag(vec_id) over w prev from e window w as (partition by chain_id order by vec_id)),
+  b as (select *, case when code is not null and before is not null and prev = vec_id - 1 and prev % 5 <> 0 and prev % 7 <> 0 then 0 else 1 end brk from l),
+  u as (select *, sum(brk) over (partition by chain_id order by vec_id) run from b),
+  f as (select chain_id, run, count(*) n_residues, string_agg(code, '' order by vec_id) s from u where code is not null group by 1, 2 having count(*) > 1)"""
+
+
+@query(f"with {_RUNS} select chain_id, (row_number() over (partition by chain_id order by run) - 1)::int as fragment, n_residues, s as sequence from f")
+def peptide_fragments(spark, sf_dir):
+    return R.fragments(_backbone(spark, sf_dir)).drop("structure_id")
+
+
+@query(f"with {_RUNS} select chain_id, string_agg(s, '' order by run) as sequence from f group by 1")
+def chain_sequences(spark, sf_dir):
+    return R.sequences(_backbone(spark, sf_dir)).drop("structure_id")
+
+
+def _drift(structure, n, options):
+    """Frames that move by half a unit each along x, less one along z."""
+    return [structure.xyz + [(k + 1) * options.get("step", 0.5), 0.0, -1.0] for k in range(n)]
+
+
+@query(f"with {_PT} select 's' || (id % 20) as structure_id, f::int as frame_idx, id as serial, round(x + f * 0.5, 3) x, round(y, 3) y, round(z - least(f, 1), 3) z from pt, range(0, 4) t(f)")
+def backend_frames(spark, sf_dir):
+    E.register_backend("drift", _drift)
+    made = E.generate(_small(spark, sf_dir), 3, "drift")
+    E.forget_backend("drift")
+    return made.select("structure_id", "frame_idx", "serial", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in "xyz"))
+
+
+@query(f"with {_PT} select 's' || (id % 20) as structure_id, f::int as frame_idx, id as serial, round(x + f * 0.5, 3) x, round(y, 3) y, round(z - least(f, 1), 3) z from pt, range(0, 3) t(f)")
+def backend_table_function(spark, sf_dir):
+    E.register_backend("drift", _drift)
+    E.register_sql(spark, "make_frames")
+    E.forget_backend("drift")
+    _small(spark, sf_dir).select("structure_id", "serial", "x", "y", "z", "is_anchor").createOrReplaceTempView("voxelith_atoms")
+    made = spark.sql("select * from make_frames(TABLE(voxelith_atoms) PARTITION BY (structure_id), 2, 'auto')")
+    return made.select("structure_id", "frame_idx", "serial", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in "xyz"))
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""with a as (select n_regionkey structure_id, n_nationkey::int serial, (n_nationkey // 2)::int res_idx, chr((65 + n_nationkey % 4)::int) chain_id, n_nationkey * 1.0::double x from nation), o as (select n_regionkey structure_id, s_suppkey op_id, s_suppkey * 1.0::double tx from supplier join nation on s_nationkey = n_nationkey where s_suppkey > 0),
+  c as (select structure_id, list_sort(list(distinct chain_id)) chains, max(serial) + 1 ns, max(res_idx) + 1 nr from a group by 1), r as (select *, row_number() over (partition by structure_id order by op_id) - 1 nth from o),
+  m as (select a.*, r.nth, r.tx, c.chains, ns, nr, list_filter(string_split('{_LETTERS}', ''), lambda l: not list_contains(c.chains, l)) free from a join r using (structure_id) join c using (structure_id))
+  select structure_id, serial, chain_id, res_idx, x from a union all select structure_id, (serial + ns * (nth + 1))::int, coalesce(free[(nth * len(chains) + list_position(chains, chain_id))::int], chain_id || '+'), (res_idx + nr * (nth + 1))::int, x + tx from m""")
+def assembly_chains(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    atoms = n.select(F.col("n_regionkey").alias("structure_id"), F.col("n_nationkey").cast("int").alias("serial"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("res_idx"), F.char(65 + F.col("n_nationkey") % 4).alias("chain_id"), F.col("n_nationkey").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    supplier = read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    ops = supplier.select(F.col("n_regionkey").alias("structure_id"), F.col("s_suppkey").alias("op_id"), *(F.lit(float(i == j)).alias(f"r{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)), F.col("s_suppkey").cast("double").alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz"))
+    return E.assemble(atoms, ops).select("structure_id", "serial", "chain_id", "res_idx", "x")
+
+
+_RES = ("ALA", "TRP", "GLY", "HIS", "SER")
+
+
+@query(f"""with {_PT}, a as (select *, id // 60 s, (id % 60) // 4 r, row_number() over (partition by id // 60 order by id) - 1 serial from pt where id % 9 <> 0), n as (select *, (['N', 'CA', 'C', 'O'])[id % 4 + 1] as name, (['ALA', 'TRP', 'GLY', 'HIS', 'SER'])[(id // 4) % 5 + 1] res_name from a)
+  select chr((65 + s % 26)::int) chain_id, serial::int serial, name, res_name, r::int res_seq, (dense_rank() over (partition by s order by r) - 1)::int res_idx, res_name || r || ':' || chr((65 + s % 26)::int) res_label, x, y, z, res_name in ('ALA', 'TRP') hydrophobic, res_name in ('TRP', 'HIS') aromatic, name = 'CA' is_anchor from n""")
+def read_structures(spark, sf_dir):
+    """Atoms of 60 points a file, with hetero rows, alternative places and a second model that are not read."""
+    p = points(spark, sf_dir).withColumns({"s": F.floor(F.col("id") / 60).cast("int"), "r": F.floor((F.col("id") % 60) / 4).cast("int")})
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
+    atoms = p.select(F.col("s").alias("structure_id"), F.col("id").alias("serial"), pick(("N", "CA", "C", "O"), F.col("id") % 4).alias("name"), pick(_RES, F.floor(F.col("id") / 4) % 5).alias("res_name"), F.char(65 + F.col("s") % 26).alias("chain_id"), F.col("r").alias("res_seq"), "x", "y", "z", F.lit("C").alias("element"))
+    rows = K.structure_pdb(atoms).withColumn("line", F.when(F.col("serial") % 9 == 0, F.concat(F.lit("HETATM"), F.substring("line", 7, 200))).otherwise(F.col("line")))
+    twice = F.concat_ws("\n", "line", F.when(F.col("serial") % 5 == 0, F.col("line")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("serial", twice.alias("line")))), lambda x: x["line"]), "\n")
+    files = rows.groupBy("structure_id").agg(text.alias("t"), F.max("line").alias("more")).select(F.concat(F.lit("MODEL        1\n"), "t", F.lit("\nENDMDL\nMODEL        2\n"), "more", F.lit("\nENDMDL")).alias("value"))
+    found = R.read_structures(spark, written(files, "structures", one=True))
+    return found.select("chain_id", "serial", "name", "res_name", "res_seq", "res_idx", "res_label", *(F.round(F.col(c).cast("double"), 2).alias(c) for c in "xyz"), "hydrophobic", "aromatic", "is_anchor")
+
+
+@query(f"with {_PT}, m as (select id, id // 40 f, (id % 40) // 10 + 1 m, row_number() over (partition by id // 10 order by id) - 1 p, x, y, z from pt) select ((f * 0) + m)::int frame_idx, p::int as position, count(*) n, round(sum(x), 3) x, round(sum(y), 3) y, round(sum(z), 3) z from m group by 1, 2")
+def read_model_files(spark, sf_dir):
+    """Trajectories of four models of ten points a file, split by model as they are read; summed over the files."""
+    p = points(spark, sf_dir).withColumn("f", F.floor(F.col("id") / 40))
+    atoms = p.select(F.lit("s").alias("structure_id"), F.col("id").alias("serial"), F.lit("CA").alias("name"), F.lit("ALA").alias("res_name"), F.lit("A").alias("chain_id"), (F.col("id") % 10).cast("int").alias("res_seq"), "x", "y", "z", F.lit("C").alias("element"))
+    rows = K.structure_pdb(atoms).withColumns({"f": F.floor(F.col("serial") / 40), "m": F.floor(F.col("serial") % 40 / 10)})
+    model = rows.groupBy("f", "m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("serial", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    text = F.concat(F.format_string("MODEL     %4d\n", F.col("m") + 1), F.col("t"), F.lit("\nENDMDL"))
+    files = model.groupBy("f").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", text.alias("x")))), lambda x: x["x"]), "\n").alias("value")).select("value")
+    found = R.read_frames(spark, written(files, "models", one=True))
+    return found.groupBy("frame_idx", "position").agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(c).cast("double")), 3).alias(c) for c in "xyz"))
+
+
+@query(f"with {_PT} select frame_idx, string_agg(printf('%.2f/%.2f/%.2f', x, y, z), ' ' order by id) as coords from pt group by 1")
+def coordinate_arrays(spark, sf_dir):
+    found = R.coords_array(points(spark, sf_dir).withColumnRenamed("id", "serial"), ["frame_idx"])
+    return found.select("frame_idx", F.array_join(F.transform("coords", lambda c: F.format_string("%.2f/%.2f/%.2f", c[0], c[1], c[2])), " ").alias("coords"))
+
+
+@query(f"with {_TF} select op_id::int op_id, " + ", ".join(f"round({c}, 4) {c}" for c in ("r11", "r12", "r22", "r33", "tx", "ty", "tz")) + " from tf where op_id <> 3")
+def read_operators(spark, sf_dir):
+    """Operators as REMARK 350 rows; the one of nation 3 lacks its last row, and rows after the first atom do not count."""
+    ops = operators_table(spark, sf_dir)
+    row = lambda i: F.format_string(f"REMARK 350   BIOMT{i} %3d %9.6f %9.6f %9.6f     %10.5f", F.col("op_id"), *(F.col(f"r{i}{j}") for j in (1, 2, 3)), F.col(f"t{'xyz'[i - 1]}"))
+    text = F.concat_ws("\n", row(1), row(2), F.when(F.col("op_id") != 3, row(3)))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("op_id", text.alias("t")))), lambda x: x["t"]), "\n")
+    files = ops.agg(lines.alias("t")).select(F.concat("t", F.lit("\nATOM      1  CA  ALA A   1       0.000   0.000   0.000  1.00  0.00           C\nREMARK 350   BIOMT1 999  9.0 9.0 9.0 9.0")).alias("value"))
+    found = R.read_biomt(spark, written(files, "operators"))
+    return found.select("op_id", *(F.round(c, 4).alias(c) for c in ("r11", "r12", "r22", "r33", "tx", "ty", "tz")))
+
+
+@query(f"with {_TF} select op_id::int op_id, " + ", ".join(f"round({c}, 4) {c}" for c in ("r11", "r12", "r22", "r33", "tx", "ty", "tz")) + " from tf where op_id <> 3")
+def read_operators_cif(spark, sf_dir):
+    ops = operators_table(spark, sf_dir)
+    names = ["id", *(f"matrix[{i}][{j}]" for i in (1, 2, 3) for j in (1, 2, 3)), *(f"vector[{i}]" for i in (1, 2, 3))]
+    cells = [F.col("op_id").cast("string"), *(F.format_string("%.6f", f"r{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)), F.format_string("%.5f", "tx"), F.format_string("%.5f", "ty"), F.when(F.col("op_id") == 3, "?").otherwise(F.format_string("%.5f", "tz"))]
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("op_id", F.concat_ws(" ", *cells).alias("t")))), lambda x: x["t"]), "\n")
+    head = "data_x\nloop_\n" + "".join(f"_pdbx_struct_oper_list.{n}\n" for n in names)
+    files = ops.agg(rows.alias("t")).select(F.concat(F.lit(head), "t", F.lit("\n#")).alias("value"))
+    return R.read_oper_list(spark, written(files, "operators")).select("op_id", *(F.round(c, 4).alias(c) for c in ("r11", "r12", "r22", "r33", "tx", "ty", "tz")))
+
+
+@query("""with p as (select s_suppkey k, n_regionkey g, row_number() over (partition by n_regionkey order by s_suppkey) r, s_acctbal a from supplier join nation on s_nationkey = n_nationkey) select g::int frame_idx, (r - 1)::int proposal, r::int rank, round(a, 2) px, k * 1.0::double py, 'ALA' || (k % 50) || ':A ' || (k % 7) || ':B' as residues from p""")
+def read_proposals(spark, sf_dir):
+    """Proposals of one detector's files, one a region, as proposals of frames; some rows do not parse."""
+    s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    row = F.format_string("pocket , , %.2f, 0.5 , %.2f , %d.0, -1.5, A_%d B_%d", F.col("s_acctbal"), F.col("s_acctbal"), F.col("s_suppkey"), F.col("s_suppkey") % 50, F.col("s_suppkey") % 7)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("t")))), lambda x: x["t"]), "\n")
+    files = s.groupBy("n_regionkey").agg(lines.alias("t")).select(F.concat(F.lit("name, rank, score, probability, center_x, center_y, center_z, residue_ids\n"), "t", F.lit("\nbroken, x\n")).alias("value"))
+    found = T.read_proposals(spark, written(files, "proposals", one=True))
+    names = spark.range(50).select(F.lit("A").alias("chain_id"), F.col("id").cast("int").alias("res_seq"), F.lit("ALA").alias("res_name"))
+    labels = T.proposal_labels(found, names)
+    regions = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("double").alias("py"), F.col("n_regionkey").cast("int").alias("g"))
+    placed = T.proposals_of_frames(found.join(regions, "py"), F.col("g"))
+    return placed.join(labels.select("py", "rank", "residues"), "py").select("frame_idx", "proposal", "rank", F.round("px", 2).alias("px"), "py", F.array_join("residues", " ").alias("residues"))
+
+
+@query(f"with {_SITE} select structure_id::varchar protein, rank - 1 pos, rank, round(cx, 3) cx, volume, lining || ',GLY7:B' as lining from (select *, row_number() over (partition by structure_id order by rank) n from st) where n <= 5")
+def read_reports(spark, sf_dir):
+    text = K.reports(_sites(spark, sf_dir).withColumn("structure_id", F.col("structure_id").cast("string")), N_FRAMES, "crypticity")
+    back = T.read_report(spark, written(text.select("report"), "reports", one=True) , 5)
+    first = back.groupBy("protein").agg(F.min("rank").alias("low"))
+    return back.join(first, "protein").select("protein", (F.col("rank") - 1).alias("pos"), F.col("rank").cast("int").alias("rank"), F.element_at("centroid", 1).alias("cx"), F.col("volume_A3").alias("volume"), F.array_join("lining_residues", ",").alias("lining"))
+
+
+@query("select o_custkey::varchar id, chr((65 + o_orderkey % 3)::int) apo_chain, o_orderkey % 2 = 0 is_main, round(o_totalprice / 1000, 3) pRMSD, o_orderstatus || o_orderkey as selection from orders")
+def read_dataset(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    one = F.struct(F.char(65 + F.col("o_orderkey") % 3).alias("apo_chain"), (F.col("o_orderkey") % 2 == 0).alias("is_main_holo_structure"), F.round(F.col("o_totalprice") / 1000, 3).alias("pRMSD"), F.array(F.concat("o_orderstatus", F.col("o_orderkey").cast("string"))).alias("apo_pocket_selection"))
+    lists = o.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.collect_list(one).alias("a"))
+    maps = lists.groupBy(F.pmod(F.xxhash64("id"), F.lit(7))).agg(F.map_from_entries(F.collect_list(F.struct("id", "a"))).alias("m"))
+    found = T.read_dataset(spark, written(maps.select(F.to_json("m").alias("value")), "dataset", one=True))
+    return found.select("id", "apo_chain", F.col("is_main_holo_structure").alias("is_main"), F.round("pRMSD", 3).alias("pRMSD"), F.col("apo_pocket_selection")[0].alias("selection"))
+
+
+@query("select o_orderpriority fold, o_orderkey::varchar id, c_name from orders join customer on o_custkey = c_custkey where c_acctbal > 5000")
+def read_folds(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("fold"), F.col("o_orderkey").cast("string").alias("id"), "o_custkey")
+    maps = o.groupBy("fold").agg(F.collect_list("id").alias("ids")).agg(F.map_from_entries(F.collect_list(F.struct("fold", "ids"))).alias("m"))
+    folds = T.read_folds(spark, written(maps.select(F.to_json("m").alias("value")), "folds"))
+    c = read(spark, sf_dir, "customer").where("c_acctbal > 5000")
+    return V.join_folds(folds, o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("id", "c_name")).select("fold", "id", "c_name")
+
+
+@query("select user_id::varchar id, event_type tool, round(arg_max(value, event_id), 3) jaccard, arg_max(event_id, event_id)::int n_known from events group by 1, 2")
+def read_legs(spark, sf_dir):
+    """Legs as JSON lines, in one file in order, between lines that are none."""
+    e = read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("tool"), F.col("value").alias("jaccard"), F.col("event_id").cast("int").alias("n_known"))).alias("j"))
+    files = e.agg(F.concat_ws("\n", F.lit("not json"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "j"))), lambda x: x["j"]), "\n"), F.lit("")).alias("value"))
+    return T.read_legs(spark, written(files, "legs")).select("id", "tool", F.round("jaccard", 3).alias("jaccard"), "n_known")
+
+
+@query("select p_partkey, p_size, round(p_retailprice, 2) p_retailprice, p_brand from part")
+def read_features(spark, sf_dir):
+    path = fresh_path(spark, "features")
+    read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand").write.csv(path, header=True)
+    return T.read_features(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"), F.round("p_retailprice", 2).alias("p_retailprice"), "p_brand")
+
+
+@query("select p_size % 12 as pocket, string_agg(distinct p_partkey % 90, ',' order by p_partkey % 90) numbers from part group by 1")
+def read_pocket_files(spark, sf_dir):
+    """Pocket atom files, whose chain letters tell them apart."""
+    p = read(spark, sf_dir, "part").select((F.col("p_size") % 12).alias("g"), F.col("p_partkey").alias("serial"), F.lit("CA").alias("name"), F.lit("ALA").alias("res_name"), F.char(65 + F.col("p_size") % 12).alias("chain_id"), (F.col("p_partkey") % 90).cast("int").alias("res_seq"), *(F.lit(1.0).alias(c) for c in "xyz"), F.lit("C").alias("element"))
+    lines = K.structure_pdb(p.withColumnRenamed("g", "structure_id"))
+    files = lines.groupBy("structure_id").agg(F.array_join(F.collect_list("line"), "\n").alias("value")).select("value")
+    path = written(files, "pockets", one=True)
+    sets = T.read_pocket_files(spark, path)
+    chain = R.raw_atoms(spark, path).groupBy("structure_id").agg(F.min("chain_id").alias("c"))
+    return sets.join(chain, "structure_id").select((F.ascii("c") - 65).cast("long").alias("pocket"), F.array_join(F.transform("res_seqs", lambda x: x.cast("string")), ",").alias("numbers"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

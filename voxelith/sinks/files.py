@@ -79,8 +79,8 @@ def console(clusters: DataFrame) -> DataFrame:
 
 
 def results_json(rows: DataFrame, key: str) -> DataFrame:
-    """The key and result: each row as a JSON object."""
-    return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("result"))
+    """The key and result: each row as a JSON object; null fields stay."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("result"))
 
 
 def write_results(rows: DataFrame, path: str) -> None:

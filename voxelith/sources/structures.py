@@ -29,18 +29,46 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("structure_id", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
 
 
-def raw_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """ATOM and HETATM rows of all models by fixed columns; rows that do not parse are skipped."""
-    lines = _lines(spark, path).where(F.col("line").startswith("ATOM  ") | F.col("line").startswith("HETATM"))
+def _atom_columns(lines: DataFrame, *keep: str) -> DataFrame:
     cut = lambda a, b: F.trim(F.substring("line", a, b - a + 1))
-    out = lines.select(
-        "structure_id", "pos", cut(1, 6).alias("record"), cut(13, 16).alias("name"), F.substring("line", 17, 1).alias("alt"), cut(18, 20).alias("res_name"),
+    rows = lines.where(F.col("line").startswith("ATOM  ") | F.col("line").startswith("HETATM"))
+    out = rows.select(
+        *keep, "pos", cut(1, 6).alias("record"), cut(13, 16).alias("name"), F.substring("line", 17, 1).alias("alt"), cut(18, 20).alias("res_name"),
         cut(22, 22).alias("chain_id"), cut(23, 26).try_cast("int").alias("res_seq"), F.substring("line", 27, 1).alias("icode"),
         *(cut(a, a + 7).try_cast("float").alias(c) for c, a in (("x", 31), ("y", 39), ("z", 47))), cut(77, 78).alias("element"),
     )
     return out.where(F.col("res_seq").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
 
 
+def raw_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """ATOM and HETATM rows of all models by fixed columns; rows that do not parse are skipped."""
+    return _atom_columns(_lines(spark, path), "structure_id")
+
+
+def read_frames(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
+    """structure_id, frame_idx (from 1), position (from 0), x, y, z of frames that other tools wrote.
+
+    A frame is a model of a file: files are split at the ends of their models,
+    so that a long trajectory is read by many tasks. Files named like
+    a_model_3.pdb are frames of structure a, in the order of their names, then
+    of their models' numbers. Hetero rows are left out; of alternative places
+    of an atom the first is taken; position is the atom's place in the frame.
+    """
+    models = spark.read.text(path, lineSep="ENDMDL").select(F.input_file_name().alias("file"), F.coalesce(F.regexp_extract("value", r"(?m)^MODEL\s+(\d+)", 1).try_cast("int"), F.lit(1)).alias("model"), "value")
+    lines = models.select("file", "model", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    atoms = _atom_columns(lines, "file", "model").where("record = 'ATOM'")
+    if chain is not None:
+        atoms = atoms.where(F.col("chain_id") == chain)
+    one = Window.partitionBy("file", "model", "chain_id", "res_seq", "icode", "name").orderBy("pos")
+    atoms = atoms.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    order = Window.partitionBy("file", "model").orderBy("pos")
+    placed = atoms.select("file", "model", (F.row_number().over(order) - 1).alias("position"), "x", "y", "z")
+    stem = F.regexp_extract("file", r"([^/]+?)(_model_[^/]*)?\.[A-Za-z]+$", 1)
+    nth = Window.partitionBy("structure_id").orderBy("file", "model")
+    frames = placed.select("file", "model", stem.alias("structure_id")).distinct().withColumn("frame_idx", F.row_number().over(nth))
+    return placed.join(frames, ["file", "model"]).select("structure_id", "frame_idx", "position", "x", "y", "z")
+
+
 def read_pdb(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
     """Atoms of the first model without hetero rows, with fresh serials and residue indexes from 0.
 
@@ -88,8 +116,42 @@ def residues(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("structure_id", "res_idx").agg(*(F.first(c).alias(c) for c in ("chain_id", "res_seq", "res_name", "res_label")))
 
 
-def sequences(atoms: DataFrame) -> DataFrame:
-    """structure_id, chain_id, sequence: residues with an alpha carbon and a one-letter code, in order."""
+#: Greatest distance of the bond between a residue's C and the next one's N.
+PEPTIDE_BOND = 1.8
+
+
+def fragments(atoms: DataFrame, bond: float = PEPTIDE_BOND) -> DataFrame:
+    """structure_id, chain_id, fragment (from 0), n_residues, sequence: runs of residues that peptide bonds join.
+
+    Gaps and islands: a residue goes on its predecessor's run if both have a
+    one-letter code and the predecessor's C lies nearer than `bond` to its N;
+    the running sum of breaks numbers the runs. Runs of one residue are no
+    peptides and are left out; so are residues without a bond on either side.
+    """
+    codes = F.create_map(*(F.lit(x) for kv in ONE_LETTER.items() for x in kv))
+    place = lambda n: F.first(F.when(F.col("name") == n, F.struct("x", "y", "z")), ignorenulls=True).alias(f"_{n}")
+    one = atoms.groupBy("structure_id", "chain_id", "res_idx").agg(F.first("res_name").alias("res_name"), place("C"), place("N"))
+    coded = one.withColumn("_code", F.try_element_at(codes, F.upper("res_name")))
+    w = Window.partitionBy("structure_id", "chain_id").orderBy("res_idx")
+    gap = F.sqrt(sum(((F.col(f"_N.{c}") - F.col(f"_before.{c}")).cast("double") * (F.col(f"_N.{c}") - F.col(f"_before.{c}")).cast("double") for c in "yz"), (F.col("_N.x") - F.col("_before.x")).cast("double") * (F.col("_N.x") - F.col("_before.x")).cast("double")))
+    linked = coded.withColumns({"_before": F.lag("_C").over(w), "_coded": F.lag("_code").over(w).isNotNull() & F.col("_code").isNotNull()})
+    breaks = linked.withColumn("_break", F.when(F.col("_coded") & F.coalesce(gap < bond, F.lit(False)), 0).otherwise(1))
+    runs = breaks.withColumn("_run", F.sum("_break").over(w)).where(F.col("_code").isNotNull())
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("res_idx", "_code"))), lambda s: s["_code"]), "")
+    long = runs.groupBy("structure_id", "chain_id", "_run").agg(F.count("*").alias("n_residues"), text.alias("sequence")).where("n_residues > 1")
+    nth = Window.partitionBy("structure_id", "chain_id").orderBy("_run")
+    return long.select("structure_id", "chain_id", (F.row_number().over(nth) - 1).alias("fragment"), "n_residues", "sequence")
+
+
+def sequences(atoms: DataFrame, bond: float | None = PEPTIDE_BOND) -> DataFrame:
+    """structure_id, chain_id, sequence: the fragments of each chain joined in order; chains without any are left out.
+
+    Without a bond length the residues that have an alpha carbon and a
+    one-letter code are joined whatever lies between them.
+    """
+    if bond is not None:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("fragment", "sequence"))), lambda s: s["sequence"])
+        return fragments(atoms, bond).groupBy("structure_id", "chain_id").agg(F.array_join(parts, "").alias("sequence"))
     codes = F.create_map(*(F.lit(x) for kv in ONE_LETTER.items() for x in kv))
     named = atoms.where("is_anchor").withColumn("_c", F.try_element_at(codes, F.upper("res_name"))).where(F.col("_c").isNotNull())
     return named.groupBy("structure_id", "chain_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("res_idx", "_c"))), lambda s: s["_c"]), "").alias("sequence"))
