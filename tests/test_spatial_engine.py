@@ -389,3 +389,39 @@ def test_file_proposals_in_every_detector_mode(spark, tmp_path):
     assert counts["fusion"] == counts["alpha"] | counts["proposals"] and ("alpha", 0) in counts["alpha"]
     ranked = P.discover(box, P.Settings(n_conformers=1, backend="random", detector="fusion"), proposals).collect()
     assert ranked and all(r.n_members >= 1 for r in ranked)
+
+
+@pytest.mark.parametrize("shape", ["cloud", "chain", "apart"])
+def test_contact_modes_equal_dense_ones(spark, shape):
+    rng = np.random.default_rng(11)
+    n = 90
+    if shape == "cloud":
+        xyz = rng.uniform(0, 14, (n, 3))
+    elif shape == "chain":
+        t = np.arange(n)
+        xyz = np.column_stack([4 * np.cos(t * 1.7), 4 * np.sin(t * 1.7), 1.5 * t]) + rng.normal(0, 0.2, (n, 3))
+    else:  # two bodies without a contact, and a point of its own
+        xyz = np.concatenate([rng.uniform(0, 9, (45, 3)), rng.uniform(0, 9, (44, 3)) + 100, [[500.0, 0, 0]]])
+    values, vectors = K.elastic_modes(xyz, 5)
+    rows = [("a", 2 * i, *map(float, p), True) for i, p in enumerate(xyz)] + [("a", 1, 0.0, 0.0, 0.0, False), ("b", 0, 0.0, 0.0, 0.0, True)]
+    atoms = spark.createDataFrame(rows, "structure_id string, serial int, x double, y double, z double, is_anchor boolean")
+    got = E.contact_normal_modes(atoms, 5).orderBy("mode").collect()
+    assert [r.structure_id for r in got] == ["a"] * len(values)
+    assert [r.eigenvalue for r in got] == pytest.approx(values.tolist(), rel=1e-6)
+    if shape == "cloud":
+        for r, v in zip(got, vectors, strict=True):
+            assert abs(float(np.dot(r.vector, v.ravel()))) > 0.9999
+
+
+def test_components_over_blocks_equal_one_kernel(spark):
+    rng = np.random.default_rng(12)
+    rows = [(g, *map(int, v)) for g, share in ((0, 0.3), (1, 0.36), (2, 0.0)) for v in np.argwhere(rng.random((11, 10, 12)) < share)]
+    rows += [(3, -i, 0, 5) for i in range(40)]  # one row over many blocks, negative places
+    frame = spark.createDataFrame([*rows, rows[0]], "g int, i int, j int, k int")
+    for block in (4, 32):
+        got = G.components(frame, ["g"], block).collect()
+        assert len(got) == len(rows)
+        for g in (0, 1, 3):
+            mine = sorted((r.i, r.j, r.k, r.component) for r in got if r.g == g)
+            assert [m[3] for m in mine] == K.label_voxels(np.array([m[:3] for m in mine])).tolist()
+    assert G.components(frame.limit(0), ["g"]).count() == 0

@@ -197,20 +197,50 @@ def fit_frames(atoms: DataFrame, frames: DataFrame) -> DataFrame:
     return full.select("structure_id", "frame_idx", F.col("serial").cast(kinds["serial"]).alias("serial"), *(F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")).alias(c) for c in "xyz"))
 
 
+def _with_anchors(atoms: DataFrame) -> DataFrame:
+    """The anchors of structures that have enough of them for a network."""
+    n = F.count("*").over(Window.partitionBy("structure_id"))
+    return atoms.where("is_anchor").withColumn("_n", n).where(F.col("_n") >= MIN_ANCHORS).drop("_n")
+
+
 def normal_modes(atoms: DataFrame, n_modes: int = 10) -> DataFrame:
-    """structure_id, mode, eigenvalue and vector (3N numbers) of each structure's anchors."""
+    """structure_id, mode, eigenvalue and vector (3N numbers) of each structure's anchors; structures with fewer than six have none."""
 
     def run(key, pdf):
         import pandas as pd
 
-        pdf = pdf[pdf["is_anchor"].astype(bool)].sort_values("serial", kind="stable")
-        if len(pdf) < MIN_ANCHORS:
-            return pd.DataFrame({"structure_id": [], "mode": [], "eigenvalue": [], "vector": []})
+        pdf = pdf.sort_values("serial", kind="stable")
         values, modes = elastic_modes(pdf[["x", "y", "z"]].to_numpy(dtype=np.float64), n_modes)
         return pd.DataFrame({"structure_id": key[0], "mode": range(len(values)), "eigenvalue": values, "vector": [m.ravel().tolist() for m in modes]})
 
     kind = dict(atoms.dtypes)["structure_id"]
-    return atoms.select("structure_id", "serial", "x", "y", "z", "is_anchor").groupBy("structure_id").applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
+    return _with_anchors(atoms).select("structure_id", "serial", "x", "y", "z").groupBy("structure_id").applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
+
+
+def contact_normal_modes(atoms: DataFrame, n_modes: int = 10, cutoff: float = 8.0) -> DataFrame:
+    """normal_modes for structures whose dense matrix is too large: contacts by a range join, the lowest modes from them.
+
+    A task holds one structure's anchors, contacts and the wanted vectors.
+    """
+    from voxelith.operators.kernels import contact_modes
+    from voxelith.operators.spatial import range_join
+
+    kind = dict(atoms.dtypes)["structure_id"]
+    order = Window.partitionBy("structure_id").orderBy("serial")
+    anchors = _with_anchors(atoms).select("structure_id", (F.row_number().over(order) - 1).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    other = anchors.select("structure_id", F.col("i").alias("j"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
+    near = range_join(anchors, other, cutoff, right_xyz=("ox", "oy", "oz"), on=["structure_id"]).where("dist2 > 0")
+    contacts = near.select("structure_id", "i", "j", *((F.col(f"o{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"), (1 / F.col("dist2")).alias("factor"))
+
+    def run(key, points, pairs):
+        import pandas as pd
+
+        pairs = pairs.sort_values(["i", "j"])
+        values, modes = contact_modes(len(points), pairs["i"].to_numpy(), pairs["j"].to_numpy(), pairs[["dx", "dy", "dz"]].to_numpy(), pairs["factor"].to_numpy(), n_modes)
+        return pd.DataFrame({"structure_id": key[0], "mode": range(len(values)), "eigenvalue": values, "vector": [m.ravel().tolist() for m in modes]})
+
+    points = anchors.select(F.col("structure_id").alias("sid"), F.col("i").alias("place"))
+    return points.groupBy("sid").cogroup(contacts.groupBy("structure_id")).applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
 
 
 def greedy_cluster(pockets: DataFrame, keys: Sequence[str] = ("structure_id",), order: Sequence[str] = ("frame_idx", "source_ord", "pocket_idx"), eps: float = 5.0) -> DataFrame:

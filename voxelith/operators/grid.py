@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelith.staging import staged
+
 PADDING, MASK_RADIUS, FIELD_D2 = 5.0, 1.7, 59
 ALPHA_LOW, ALPHA_HIGH, LINING, BALL = 1.6, 6.0, 5.0, 4
 
@@ -102,18 +104,53 @@ def local_density(mask: DataFrame, at: DataFrame, keys: Sequence[str], reach: in
     return joined.select(*at.columns, (F.coalesce("_c", F.lit(0)) / float((2 * reach + 1) ** 3)).alias("density"))
 
 
-def components(voxels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds component: six-connected parts of each group, numbered from 1 in scan order, by a kernel a group."""
+def components(voxels: DataFrame, keys: Sequence[str], block: int = 32) -> DataFrame:
+    """Adds component: six-connected parts of each group, numbered from 1 by their first voxel in (i, j, k).
+
+    Two levels, so that a grid need not fit in one task: a kernel labels each
+    block of block^3 voxels; voxels that meet over a block's face are joined to
+    edges between labels; a union-find over the edges of a group, which grow
+    with its faces alone, joins the labels.
+    """
     import pandas as pd
 
-    from voxelith.operators.kernels import label_voxels
+    from voxelith.operators.kernels import joined_labels, label_voxels
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(component=label_voxels(pdf[["i", "j", "k"]].to_numpy()))
-
-    flat = voxels.select(*keys, "i", "j", "k")
+    first = ("_fi", "_fj", "_fk")
+    flat = voxels.select(*keys, "i", "j", "k").distinct()
     kinds = dict(flat.dtypes)
-    return flat.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in flat.columns) + ", component int")
+    own = [f"_b{c}" for c in "ijk"]
+    blocks = flat.withColumns({f"_b{c}": F.floor(F.col(c) / block).cast("int") for c in "ijk"})
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "j", "k"]).reset_index(drop=True)
+        places = pdf[["i", "j", "k"]].to_numpy()
+        number = label_voxels(places)
+        at = pd.Series(range(len(pdf))).groupby(number).transform("min").to_numpy()  # each label's first voxel
+        return pdf.assign(**{n: places[at, c] for c, n in enumerate(first)})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in flat.columns) + ", _bi int, _bj int, _bk int, " + ", ".join(f"{n} {kinds[c]}" for n, c in zip(first, "ijk", strict=True))
+    local = staged(blocks.groupBy(*keys, *own).applyInPandas(label, schema), "blocks")
+    edges = None
+    for c in "ijk":
+        low = local.where(F.pmod(F.col(c), F.lit(block)) == block - 1).select(*keys, *((F.col(x) + 1 if x == c else F.col(x)).alias(x) for x in "ijk"), *(F.col(n).alias(f"{n}1") for n in first))
+        high = local.where(F.pmod(F.col(c), F.lit(block)) == 0).select(*keys, "i", "j", "k", *(F.col(n).alias(f"{n}2") for n in first))
+        met = low.join(high, [*keys, "i", "j", "k"]).select(*keys, *(f"{n}{m}" for m in (1, 2) for n in first)).distinct()
+        edges = met if edges is None else edges.unionByName(met)
+
+    def union(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, roots = joined_labels(pdf[[f"{n}1" for n in first]].to_numpy(), pdf[[f"{n}2" for n in first]].to_numpy())
+        out = pd.DataFrame(dict(zip((*first, "_ri", "_rj", "_rk"), [*nodes.T, *roots.T], strict=True)))
+        for x in reversed(list(keys)):
+            out.insert(0, x, pdf[x].iloc[0])
+        return out
+
+    roots = edges.groupBy(*keys).applyInPandas(union, ", ".join([*(f"{x} {kinds[x]}" for x in keys), *(f"{n} {kinds[c]}" for n, c in zip(first, "ijk", strict=True)), *(f"_r{c} {kinds[c]}" for c in "ijk")]))
+    known = local.join(roots, [*keys, *first], "left")
+    rooted = known.select(*keys, "i", "j", "k", *(F.coalesce(F.col(f"_r{c}"), F.col(n)).alias(f"_r{c}") for n, c in zip(first, "ijk", strict=True)))
+    order = Window.partitionBy(*keys).orderBy("_ri", "_rj", "_rk")
+    numbers = rooted.select(*keys, "_ri", "_rj", "_rk").distinct().withColumn("component", F.row_number().over(order))
+    return rooted.join(numbers, [*keys, "_ri", "_rj", "_rk"]).select(*keys, "i", "j", "k", "component")
 
 
 def cavities(parts: DataFrame, mask: DataFrame, keys: Sequence[str], spacing: float = 1.0) -> DataFrame:

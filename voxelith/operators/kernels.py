@@ -44,6 +44,22 @@ def label_voxels(ijk: np.ndarray) -> np.ndarray:
     return out
 
 
+def joined_labels(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (rows of whole numbers) that edges join: all labels, and the smallest of each one's connected group."""
+    nodes, at = np.unique(np.concatenate([one, two]), axis=0, return_inverse=True)
+    at = at.ravel()
+    a, b, root = at[: len(one)], at[len(one) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return nodes, nodes[root]
+        root = new
+
+
 def _shift(a: np.ndarray, axis: int, by: int, fill) -> np.ndarray:
     out = np.full_like(a, fill)
     src, dst = [slice(None)] * 3, [slice(None)] * 3
@@ -228,6 +244,66 @@ def elastic_modes(xyz: np.ndarray, n_modes: int = 10, cutoff: float = 8.0, gamma
     return values[keep], picked.reshape(len(keep), n, 3)
 
 
+def contact_product(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor: np.ndarray):
+    """x -> Hx for the elastic network of the contacts i, j (both ways round), laid out by neighbours: memory in proportion to contacts.
+
+    move: from i to j. x has a row a point and axis, and any number of columns.
+    """
+    order = np.argsort(i, kind="stable")
+    i, j, move, factor = i[order], j[order], move[order], factor[order]
+    degree = np.bincount(i, minlength=n)
+    first = np.cumsum(degree) - degree
+    layers = []  # the k-th neighbour of every point that has one
+    for k in range(int(degree.max(initial=0))):
+        who = np.flatnonzero(degree > k)
+        at = first[who] + k
+        layers.append((who, j[at], move[at], factor[at]))
+
+    def product(x: np.ndarray) -> np.ndarray:
+        x = x.reshape(n, 3, -1)
+        y = np.zeros_like(x)
+        for who, other, d, w in layers:
+            along = w[:, None] * np.einsum("pa,pab->pb", d, x[who] - x[other])
+            y[who] += d[:, :, None] * along[:, None, :]
+        return y.reshape(3 * n, -1)
+
+    return product, 2 * float(np.bincount(i, weights=factor * (move**2).sum(axis=1), minlength=n).max(initial=0.0))
+
+
+def contact_modes(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor: np.ndarray, n_modes: int = 10, degree: int = 24, rounds: int = 300, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """elastic_modes for large structures: the lowest part of the spectrum by subspace iteration with a Chebyshev filter.
+
+    Neither the matrix nor its whole spectrum is formed: products over contacts
+    damp what lies above the wanted values, until these stand still.
+    """
+    product, top = contact_product(n, i, j, move, factor)
+    wanted = min(6 + 4 * n_modes, 3 * n - 1)
+    width = min(wanted + max(8, wanted // 2), 3 * n)
+    x, _ = np.linalg.qr(np.random.default_rng(0).standard_normal((3 * n, width)))
+    values = np.zeros(width)
+    for _ in range(rounds):
+        hx = product(x)
+        values, turn = np.linalg.eigh(x.T @ hx)
+        x, hx = x @ turn, hx @ turn
+        if top == 0 or width == 3 * n or np.abs(hx - x * values)[:, :wanted].max() <= tolerance * top:
+            break
+        low = max(values[-1], 1e-6 * top)
+        middle, half = (top + low) / 2, (top - low) / 2
+        before, now = x, (hx - middle * x) / half
+        for _ in range(degree - 1):
+            before, now = now, 2 * (product(now) - middle * now) / half - before
+            scale = np.abs(now).max()
+            before, now = before / scale, now / scale
+        x, _ = np.linalg.qr(now)
+    values, vectors = values[:wanted], x[:, :wanted]
+    keep = np.flatnonzero(values > 1e-3 * np.abs(values).max())[:n_modes]
+    if not len(keep):
+        keep = np.sort(np.argsort(-np.abs(values))[:n_modes])
+    picked = vectors[:, keep].T
+    picked = picked * np.sign(picked[np.arange(len(keep)), np.abs(picked).argmax(axis=1)])[:, None]
+    return values[keep], picked.reshape(len(keep), n, 3)
+
+
 def propagate(points: np.ndarray, anchors: np.ndarray, moves: np.ndarray, sigma: float = 5.0, chunk: int = 2048) -> np.ndarray:
     """Moves of anchors carried to points by Gaussian weights, some points at a time."""
     out = np.empty_like(points)

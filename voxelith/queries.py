@@ -434,13 +434,27 @@ def local_density(spark, sf_dir):
     return G.local_density(mask, a.drop("d2"), _FR).withColumn("density", F.round("density", 6))
 
 
-@query()
+_PARTS = f"""recursive {_DIL}, vx as (select frame_idx, i, j, k, row_number() over (partition by frame_idx order by i, j, k) id from di),
+  e1 as (select a.frame_idx, a.id a, b.id b from vx a join vx b on b.frame_idx = a.frame_idx and b.i = a.i + 1 and b.j = a.j and b.k = a.k union all select a.frame_idx, a.id, b.id from vx a join vx b on b.frame_idx = a.frame_idx and b.i = a.i and b.j = a.j + 1 and b.k = a.k
+    union all select a.frame_idx, a.id, b.id from vx a join vx b on b.frame_idx = a.frame_idx and b.i = a.i and b.j = a.j and b.k = a.k + 1), ed as (select * from e1 union all select frame_idx, b, a from e1),
+  cc(frame_idx, id, label) using key (frame_idx, id) as (select frame_idx, id, id from vx union
+    select c.frame_idx, c.id, min(n.label) from recurring.cc c join ed on ed.frame_idx = c.frame_idx and ed.a = c.id join cc n on n.frame_idx = ed.frame_idx and n.id = ed.b where n.label < c.label group by 1, 2),
+  pt2 as (select frame_idx, id, dense_rank() over (partition by frame_idx order by label) component from cc)"""
+
+
+@query(f"with {_PARTS} select frame_idx, component::int as component, count(*)::double as volume from pt2 join vx using (frame_idx, id) anti join m using (frame_idx, i, j, k) group by 1, 2")
 def components(spark, sf_dir):
     a, mask, g = _alpha(spark, sf_dir)
-    parts = G.components(G.dilate(a, g, _FR), _FR)
+    parts = G.components(G.dilate(a, g, _FR), _FR, block=16)
     return G.cavities(parts, mask, _FR)
 
 
+@query(f"with {_PARTS} select frame_idx, i, j, k, component::int as component from pt2 join vx using (frame_idx, id)")
+def labelled_voxels(spark, sf_dir):
+    a, _, g = _alpha(spark, sf_dir)
+    return G.components(G.dilate(a, g, _FR), _FR, block=8)
+
+
 def _atoms(spark, sf_dir) -> DataFrame:
     p = points(spark, sf_dir)
     group = (F.col("id") % 97).cast("int")
@@ -464,9 +478,17 @@ def _ordered_points(spark, sf_dir) -> DataFrame:
     return p.select((F.col("id") % 20).alias("structure_id"), "frame_idx", F.lit(0).alias("source_ord"), F.col("id").alias("pocket_idx"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
 
 
-@query()
+_GREEDY = f"""recursive {_PT}, o as (select id % 20 s, id, frame_idx, x, y, z, row_number() over (partition by id % 20 order by frame_idx, id) n from pt),
+  r(s, n, id, c, k) as (select s, n, id, [{{'x': x, 'y': y, 'z': z, 'n': 1.0::double}}], 0 from o where n = 1 union all
+    select s, n, id, case when best is not null then list_transform(c, lambda q, i: case when i = best + 1 then {{'x': q.x + (px - q.x) / (q.n + 1), 'y': q.y + (py - q.y) / (q.n + 1), 'z': q.z + (pz - q.z) / (q.n + 1), 'n': q.n + 1}} else q end)
+      else list_append(c, {{'x': px, 'y': py, 'z': pz, 'n': 1.0::double}}) end, coalesce(best, len(c)::int)
+    from (select s, n, id, c, px, py, pz, case when least <= 5.0 then list_position(d, least) - 1 end best from (select *, list_min(d) least from (
+      select r.s, o.n, o.id, r.c, o.x px, o.y py, o.z pz, list_transform(r.c, lambda q: sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) + (q.z - o.z) * (q.z - o.z))) d from r join o on o.s = r.s and o.n = r.n + 1))))"""
+
+
+@query(f"with {_GREEDY} select s structure_id, id pocket_idx, k::int cluster_id from r")
 def greedy_cluster(spark, sf_dir):
-    return E.greedy_cluster(_ordered_points(spark, sf_dir))
+    return E.greedy_cluster(_ordered_points(spark, sf_dir)).select("structure_id", "pocket_idx", "cluster_id")
 
 
 @query()
@@ -474,6 +496,11 @@ def anm_modes(spark, sf_dir):
     return E.normal_modes(_small(spark, sf_dir), 5)
 
 
+@query()
+def contact_modes(spark, sf_dir):
+    return E.contact_normal_modes(_small(spark, sf_dir), 5, 8.0)
+
+
 def _small(spark, sf_dir) -> DataFrame:
     return _atoms(spark, sf_dir).withColumn("structure_id", F.concat(F.lit("s"), (F.col("serial") % 20).cast("string")))
 
