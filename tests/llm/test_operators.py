@@ -527,6 +527,34 @@ def test_topk_search(spark):
     assert topk_search.top_k(frame.limit(0), F.col("vec_id") % 100 == 0, 10).count() == 0
 
 
+def brute_top(table, k=10):
+    want = []
+    good = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in table]
+    for i, v in good:
+        if i % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i and len(w) == len(v))[:k]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(scores, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("case", ["blocks", "repeated", "large"])
+def test_topk_search_in_blocks_with_repeated_ids_and_large_numbers(spark, monkeypatch, case):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    high = 3e5 if case == "large" else 0.5
+    table = [(i, [float(x) for x in rng.normal(0, high, 6)]) for i in range(0, 1200, 10)]
+    if case == "repeated":  # equal rows and other rows of one id: each a candidate, and a query
+        table += [table[0], table[10], (100, table[3][1]), (7, table[4][1]), (7, table[4][1])]
+    if case == "blocks":
+        monkeypatch.setattr(topk_search, "BLOCK_BYTES", 6 * 8 * 5)
+    frame = spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk_search.top_k(frame, F.col("vec_id") % 100 == 0, 10).collect())
+    assert got == brute_top(table)
+    if case == "large":
+        assert max(r[3] for r in got) > 2**53
+
+
 def test_toxicity_catches_unseen_spellings(spark):
     rng = random.Random(3)
     table, labels = [], []

@@ -68,6 +68,14 @@ def _blocks(d: int, nodes: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _partial(q: np.ndarray, x: np.ndarray, nodes: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The partial scores on each block of dimensions, and the whole ones: their sum, so that each product is formed once."""
+    parts = [_scores(q[:, dims], x[:, dims]) for dims in _blocks(q.shape[1], nodes)]
+    if max(float(np.abs(p).max(initial=0)) for p in parts) * len(parts) < _LONG[1] // 2:
+        return parts, reduce(np.add, parts)
+    return parts, _scores(q, x)
+
+
 def _batched(batches, rows: int = 4096):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -119,11 +127,10 @@ def _search(spark, block: list, candidates: DataFrame, k: int, nodes: int) -> Da
             if d not in sent.value:
                 continue
             at, own, q = sent.value[d]
-            whole = _scores(q, x)
+            parts, whole = _partial(q, x, nodes)
             whole[own[:, None] == ids[None, :]] = _LONG[0]
             picks = []
-            for dims in _blocks(d, nodes):
-                part = _scores(q[:, dims], x[:, dims])
+            for part in parts:
                 part[own[:, None] == ids[None, :]] = _LONG[0] + 1
                 n = min(k, part.shape[1])
                 picks.append(np.argpartition(-part, n - 1, axis=1)[:, :n])
@@ -151,14 +158,14 @@ def _search(spark, block: list, candidates: DataFrame, k: int, nodes: int) -> Da
                 continue
             at, own, q = sent.value[d]
             least = cutoff.value[at]
-            dims = _blocks(d, nodes)
-            share = np.floor_divide(least, len(dims))[:, None]
-            enough = reduce(np.logical_or, ((_scores(q[:, b], x[:, b]) >= share) for b in dims))
+            parts, whole = _partial(q, x, nodes)
+            share = np.floor_divide(least, len(parts))[:, None]
+            enough = reduce(np.logical_or, (part >= share for part in parts))
             enough &= own[:, None] != ids[None, :]
             rows, cols = np.nonzero(enough)
             if not len(rows):
                 continue
-            whole = _scores(q, x)[rows, cols]
+            whole = whole[rows, cols]
             keep = whole >= least[rows]
             rows, cols, whole = rows[keep], cols[keep], whole[keep]
             order = np.lexsort((ids[cols], -whole, rows))
