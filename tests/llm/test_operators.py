@@ -300,6 +300,39 @@ def test_line_recall(spark, share):
     assert not any(got[k] for k in range(len(lines)))
 
 
+def test_line_recall_at_every_length(spark):
+    """Lines of 20 to 1000 words, a twentieth and a tenth of them changed: links by a bound on the edits, whatever the fingerprints."""
+    rng = random.Random(11)
+    common = [made_up(rng, 1) for _ in range(200)]
+    table, asked = [], []
+    for n in (20, 60, 100, 150, 200, 300, 600, 1000):
+        for share in (0.05, 0.1):
+            for _ in range(15):
+                old = [rng.choice(common) if rng.random() < 0.5 else made_up(rng, 1) for _ in range(n)]
+                new = list(old)
+                for k in rng.sample(range(n), max(1, round(n * share))):
+                    new[k] = made_up(rng, 1)
+                edits = sum(max(len(a), len(b)) for a, b in zip(old, new, strict=True) if a != b)
+                if edits <= 0.2 * max(len(" ".join(old)), len(" ".join(new))):
+                    asked.append((n, len(table) + 1))
+                table += [(len(table), " ".join(old)), (len(table) + 1, " ".join(new))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.digest(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()}
+    found = defaultdict(list)
+    for n, i in asked:
+        found[n].append(got[i])
+    assert len(asked) > 200 and all(np.mean(x) >= 0.85 for x in found.values()), {n: np.mean(x) for n, x in found.items()}
+    assert np.mean([got[i] for _, i in asked]) >= 0.93
+    assert not any(got[i] for i in range(0, len(table), 2))
+
+
+def test_fingerprints_of_very_many_words():
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (40_000, 70_000, 140_000)]
+    sims, blocks = line_dedup.fingerprints(pa.array(texts, pa.large_string()), 0.8)
+    for text, sim in zip(texts, sims.view(np.uint64), strict=True):
+        assert int(sim) == int(line_dedup._whole(line_dedup._word_hashes(pa.array(text.split(), pa.large_string()))))
+    assert len(set(sims.tolist())) == 3 and all(0 < len(b) <= 3 * line_dedup.USED for b in blocks.to_pylist())
+
+
 @pytest.mark.parametrize("unit", [512, 8])
 def test_line_dedup(spark, docs, empty, unit, monkeypatch):
     monkeypatch.setattr(line_dedup, "UNIT", unit)
