@@ -86,9 +86,22 @@ def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def running_rate(results: DataFrame, order: Sequence[str], hit: Column, partition: Sequence[str] = ()) -> DataFrame:
-    """Adds rate: the share of hits so far in processing order."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return results.withColumn("rate", F.avg(hit.cast("double")).over(w))
+    """Adds rate: the share of hits so far in processing order.
+
+    Without a partition the order is dealt into ranges, whose counts, a row a
+    partition, are summed up first, so that no task sees all rows.
+    """
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return results.withColumn("rate", F.avg(hit.cast("double")).over(w))
+    n = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(results.withColumn("_hit", hit.cast("double")).repartitionByRange(n, *order).withColumn("_piece", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_piece").agg(F.sum("_hit").alias("_h"), F.count("_hit").alias("_n"))
+    bases = totals.select("_piece", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in ("_h", "_n")))
+    within = Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    hits, rows = F.col("_before_h") + F.coalesce(F.sum("_hit").over(within), F.lit(0.0)), F.col("_before_n") + F.count("_hit").over(within)
+    return dealt.join(F.broadcast(bases), "_piece").select(*results.columns, F.when(rows > 0, hits / rows).alias("rate"))
 
 
 def principal_group(atoms: DataFrame, keys: Sequence[str], group: str, position: str) -> DataFrame:

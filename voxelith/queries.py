@@ -251,6 +251,12 @@ def running_rate(spark, sf_dir):
     return V.running_rate(o, ["o_orderkey"], F.col("o_totalprice") >= 150000, ["o_custkey"]).select("o_custkey", "o_orderkey", F.round("rate", 6).alias("rate"))
 
 
+@query("select o_orderkey, round(avg(case when o_totalprice >= 150000 then 1.0::double else 0.0::double end) over (order by o_orderkey rows unbounded preceding), 6) rate from orders")
+def running_rate_of_all(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return V.running_rate(o, ["o_orderkey"], F.col("o_totalprice") >= 150000).select("o_orderkey", F.round("rate", 6).alias("rate"))
+
+
 # Embeddings as points: the first three components, scaled; the label is the frame.
 def points(spark, sf_dir, scale: float = 40.0) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
@@ -461,16 +467,34 @@ def _atoms(spark, sf_dir) -> DataFrame:
     return p.select(F.lit("cloud").alias("structure_id"), "frame_idx", F.col("id").alias("serial"), "x", "y", "z", group.alias("res_idx"), F.concat(F.lit("ALA"), group.cast("string"), F.lit(":A")).alias("res_label"), (group % 2 == 0).alias("hydrophobic"), (group % 5 == 0).alias("aromatic"), F.lit(True).alias("is_anchor"))
 
 
-@query()
+def _describe_sql(cavity: str, whole: str, key: str) -> str:
+    """Describe sets of voxels: cavity and whole are tables of frame_idx, the key, i, j, k; m is the mask, g the grids, pt the points."""
+    return f"""dn as (select q.*, count(m.i) / 729.0::double w from (select distinct frame_idx, i, j, k from {whole}) q left join m on m.frame_idx = q.frame_idx and m.i between q.i - 4 and q.i + 4 and m.j between q.j - 4 and q.j + 4 and m.k between q.k - 4 and q.k + 4 group by all),
+  enc as (select frame_idx, {key}, least(avg(w) / 0.4::double, 1.0) enclosure from {whole} join dn using (frame_idx, i, j, k) group by 1, 2),
+  cen as (select frame_idx, {key}, count(*)::double volume, case when sum(w) > 1e-6 then sum(i * w) / sum(w) else avg(i) end ci, case when sum(w) > 1e-6 then sum(j * w) / sum(w) else avg(j) end cj, case when sum(w) > 1e-6 then sum(k * w) / sum(w) else avg(k) end ck from {cavity} join dn using (frame_idx, i, j, k) group by 1, 2),
+  lin as (select distinct c.frame_idx, c.{key}, (p.id % 97)::int res from {cavity} c join g on g.frame_idx = c.frame_idx join pt p on p.frame_idx = c.frame_idx and (p.x - (c.i + lox)) * (p.x - (c.i + lox)) + (p.y - (c.j + loy)) * (p.y - (c.j + loy)) + (p.z - (c.k + loz)) * (p.z - (c.k + loz)) <= 25),
+  rs as (select frame_idx, {key}, avg((res % 2 = 0)::int) hyd, count_if(res % 5 = 0)::int aro, string_agg('ALA' || res || ':A', ' ' order by res) lining from lin group by 1, 2),
+  out as (select frame_idx, {key}, round(ci + lox, 6) cx, round(cj + loy, 6) cy, round(ck + loz, 6) cz, volume, round(enclosure, 6) enclosure, round(coalesce(hyd, 0), 6) hydrophobic_fraction, coalesce(aro, 0)::int aromatic_count, coalesce(lining, '') as lining from cen join enc using (frame_idx, {key}) join g using (frame_idx) left join rs using (frame_idx, {key}))"""
+
+
+def _described(found: DataFrame, key: str) -> DataFrame:
+    return found.select("frame_idx", key, *(F.round(c, 6).alias(c) for c in ("cx", "cy", "cz")), "volume", *(F.round(c, 6).alias(c) for c in ("enclosure", "hydrophobic_fraction")), "aromatic_count", F.array_join("lining_residues", " ").alias("lining"))
+
+
+@query(f"""with {_PARTS}, wh as (select frame_idx, component, i, j, k from pt2 join vx using (frame_idx, id)), cv as (select * from wh anti join m using (frame_idx, i, j, k)),
+  ok as (select frame_idx, component, (row_number() over (partition by frame_idx order by component) - 1)::int as pocket_idx from cv group by 1, 2 having count(*) between 80 and 1500), wo as (select frame_idx, pocket_idx, i, j, k from wh join ok using (frame_idx, component)), co as (select frame_idx, pocket_idx, i, j, k from cv join ok using (frame_idx, component)),
+  {_describe_sql("co", "wo", "pocket_idx")} select * from out""")
 def pockets_detect(spark, sf_dir):
-    return G.detect_pockets(_atoms(spark, sf_dir))
+    return _described(G.detect_pockets(_atoms(spark, sf_dir)), "pocket_idx")
 
 
-@query()
+@query(f"""with {_MASK}, ctr as (select frame_idx, 1 as proposal, avg(x) - any_value(lox) ai, avg(y) - any_value(loy) aj, avg(z) - any_value(loz) ak, any_value(nx) nx, any_value(ny) ny, any_value(nz) nz from pt join g using (frame_idx) group by 1),
+  wo as (select frame_idx, proposal, i::int i, j::int j, k::int k from ctr, lateral (select unnest(range(greatest(floor(ai)::int - 4, 0), least(ceil(ai)::int + 4, nx - 1) + 1)) i), lateral (select unnest(range(greatest(floor(aj)::int - 4, 0), least(ceil(aj)::int + 4, ny - 1) + 1)) j), lateral (select unnest(range(greatest(floor(ak)::int - 4, 0), least(ceil(ak)::int + 4, nz - 1) + 1)) k)
+    where (i - ai) * (i - ai) + (j - aj) * (j - aj) + (k - ak) * (k - ak) <= 16), co as (select * from wo anti join m using (frame_idx, i, j, k)), {_describe_sql("co", "wo", "proposal")} select * from out""")
 def characterize(spark, sf_dir):
     atoms = _atoms(spark, sf_dir)
     centres = atoms.groupBy("structure_id", "frame_idx").agg(F.avg("x").alias("px"), F.avg("y").alias("py"), F.avg("z").alias("pz")).withColumn("proposal", F.lit(1))
-    return G.characterize(atoms, centres)
+    return _described(G.characterize(atoms, centres), "proposal")
 
 
 def _ordered_points(spark, sf_dir) -> DataFrame:
@@ -738,6 +762,19 @@ def seeded_sample(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").orderBy(*V.seeded_order("c_custkey")).limit(50)
 
 
+@query(f"""with {_PT}, h as (select id % 4 s, 'A/L' || (id % 3) || '/' || (id % 5) lig, id, x, y, z from pt where frame_idx <= 2 and id % 3 <> 2), k as (select s, lig, row_number() over (partition by s order by count(*) desc, min(id)) r from h group by 1, 2),
+  l as (select h.* from h join k using (s, lig) where r = 1), p as (select id % 4 s, id % 50 res_seq, x, y, z from pt where frame_idx > 2)
+  select 's' || s as structure_id, string_agg(distinct res_seq, ',' order by res_seq) known from p where exists (select 1 from l where l.s = p.s and (p.x - l.x) * (p.x - l.x) + (p.y - l.y) * (p.y - l.y) + (p.z - l.z) * (p.z - l.z) <= 4.503 * 4.503) group by 1""")
+def known_site(spark, sf_dir):
+    from voxelith.plans.discovery import known_site as site
+
+    p = points(spark, sf_dir).withColumns({"structure_id": F.concat(F.lit("s"), (F.col("id") % 4).cast("string")), "pos": F.col("id")})
+    hetero = p.where("frame_idx <= 2").select("structure_id", "pos", F.lit("A").alias("chain_id"), F.concat(F.lit("L"), (F.col("id") % 3).cast("string")).alias("res_name"), (F.col("id") % 5).alias("res_seq"), "x", "y", "z")
+    protein = p.where("frame_idx > 2").select("structure_id", (F.col("id") % 50).alias("res_seq"), "x", "y", "z")
+    found = site(hetero, protein, F.col("res_name") == "L2", 4.503)
+    return found.select("structure_id", F.array_join(F.transform("known_residues", lambda x: x.cast("string")), ",").alias("known"))
+
+
 # Files: each query writes its input from the tables to the shared folder, as the formats have it, and reads it back.
 def written(rows: DataFrame, name: str, one: bool = False) -> str:
     """The folder that holds a table of one text column as files; one: a row is a file of its own name."""
