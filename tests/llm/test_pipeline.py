@@ -61,3 +61,36 @@ def test_entry_queries_cover_the_ten():
 
     assert all(any(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 11))
     assert "pipeline" in entry.queries()
+
+
+def test_toxicity_stage_without_labels_keeps_all(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a b"), (None, None), (2, "")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+
+
+@pytest.mark.parametrize("case", ["empty", "repeated"])
+def test_run_on_odd_tables(spark, tmp_path, case):
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice(["ka", "lora", "mite", "zuvon", "pelish", "tor"]) + rng.choice("abcdef") for _ in range(n))
+    docs = [] if case == "empty" else [(i, text(40), "en", "s", 1) for i in range(30)] + [(None, text(30), None, None, None), (31, None, "en", "s", 0), (32, "", "en", "s", 0)]
+    if case == "repeated":
+        docs += [docs[3], docs[3], docs[30]]
+    labels = [] if case == "empty" else [(i, 1, int(i % 4 == 0)) for i in range(0, 30, 2)] + [(2, None, None), (None, 1, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if case == "empty":
+        assert rows == []
+    else:
+        ids = [r.doc_id for r in rows if r.start == 0]
+        assert len(ids) == len(set(ids)) and set(ids) <= {*range(33), None}
+
+
+def test_every_operator_is_registered_once():
+    import __spark_entry__ as entry
+
+    names = [q for q in entry.queries() if q.startswith("op")]
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
+    assert "pipeline" in entry.queries() and {"op2_exact_dedup", "op8_topk_search", "op10_url_filter", "op12_secret_scan", "op13_centroid_clustering"} <= set(entry.oracle_sql())
