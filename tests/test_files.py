@@ -110,7 +110,7 @@ def test_texts(spark):
     text = K.constraint_yaml(c, chains).first().text
     assert "sequences:" in text and "constraints:" in text and "SMILES_HERE" in text and text.index("[A, 3]") < text.index("[A, 12]")
     shown = K.console(c).orderBy("rank").first()
-    assert shown.volume == "0 -> 400" and shown.persistence == "50%" and shown.residues == "ALA12:A GLY3:A TRP7:B"
+    assert shown.volume == "0 -> 400" and shown.persistence == "50%" and shown.residues == "ALA12:A, GLY3:A, TRP7:B"
 
 
 def test_structure_text_reads_back(spark, pdb, tmp_path):
@@ -219,6 +219,49 @@ def test_proposal_files_of_frames(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("a", 0, 0, 4.0, 5.0, 6.0), ("a", 0, 1, 1.0, 2.0, 3.0), ("a", 12, 0, 7.0, 8.0, 9.0)]
 
 
+def box_pdb(path, operators=False):
+    """A five-sided box of alpha carbons with a backbone at its start, and two operators."""
+    at = [-4.0 + 2 * k for k in range(5)]
+    spots = [(x, y, -4.0) for x in at for y in at] + [(x, y, z) for z in (-2.0, 0.0) for x in at for y in at if 4.0 in (abs(x), abs(y))]
+    lines = [f"REMARK 350   BIOMT{i}   {n} {s if i == 1 else 0:9.6f} {s if i == 2 else 0:9.6f} {1 if i == 3 else 0:9.6f} {100 * (n - 1) if i == 1 else 0:14.5f}" for n, s in ((1, 1), (2, -1)) for i in (1, 2, 3)] if operators else []
+    lines += [atom(k + 1, "CA", "ALA", "A", k + 1, *p) for k, p in enumerate(spots)]
+    path.write_text("\n".join(lines) + "\n")
+
+
+def test_whole_run(spark, tmp_path):
+    import re
+
+    from voxelith.plans.discovery import Settings
+    from voxelith.plans.run import analyze, prepare_docking
+
+    (tmp_path / "in").mkdir()
+    box_pdb(tmp_path / "in" / "one.pdb", operators=True)
+    box_pdb(tmp_path / "in" / "two.pdb")
+    (tmp_path / "in" / "flat.pdb").write_text("\n".join(atom(k + 1, "CA", "ALA", "A", k + 1, 3.0 * k, 0, 0) for k in range(3)))
+    source, out = str(tmp_path / "in" / "*.pdb"), tmp_path / "out"
+    found = analyze(spark, source, str(out), Settings(n_conformers=3, min_volume=20.0, top=2), assembly=True)
+    rows = found.collect()
+    reports = {p.parent.name: json.loads(p.read_text()) for p in out.glob("reports/*/*.txt")}
+    assert set(reports) == {f"structure_id={s}" for s in ("one", "two", "flat")} and all(r["n_conformers"] == 4 and r["ranked_by"] == "crypticity" for r in reports.values())
+    assert all(len(r["pockets"]) <= 2 for r in reports.values())
+    more = spark.createDataFrame([("one",), ("none",)], "structure_id string")
+    empty = {r.structure_id: json.loads(r.report) for r in K.all_reports(more, found, 4, "crypticity").collect()}
+    assert empty["none"]["pockets"] == [] and empty["none"]["n_pockets_found"] == 0 and empty["one"] == reports["structure_id=one"]
+    assert sum(len(r["pockets"]) for r in reports.values()) == len(rows) > 0
+    for kind, text in (("pockets", "HETATM"), ("boxes", "center_x")):
+        files = list(out.glob(f"{kind}/*/*/*.txt"))
+        assert len(files) == len(rows) and all(f.read_text().startswith(text) for f in files)
+    chains = {p.parent.name: set(re.findall(r"^ATOM.{17}(.)", p.read_text(), re.M)) for p in out.glob("assemblies/*/*.txt")}
+    assert chains["structure_id=one"] == {"A", "B"} and chains["structure_id=two"] == {"A"}
+    docked = prepare_docking(spark, str(out / "reports" / "*" / "*.txt"), source, str(tmp_path / "dock"), ("boxes",), top=1).collect()
+    assert len(docked) == sum(bool(r["pockets"]) for r in reports.values()) == len(list((tmp_path / "dock").glob("boxes/*/*/*.txt")))
+    assert {(r.structure_id, r["rank"]) for r in docked} == {(r["protein"], r["pockets"][0]["rank"]) for r in reports.values() if r["pockets"]}
+    with pytest.raises(ValueError):
+        analyze(spark, source, str(tmp_path / "no"), Settings(n_conformers=0, rank_by="size"))
+    with pytest.raises(ValueError):
+        analyze(spark, source, str(tmp_path / "no"), Settings(n_conformers=0, backend="none"))
+
+
 def test_results_keep_nulls(spark, tmp_path):
     rows = spark.createDataFrame([("a", None), ("b", 2)], "id string, rank int")
     assert sorted(r.result for r in K.results_json(rows, "id").collect()) == ['{"id":"a","rank":null}', '{"id":"b","rank":2}']

@@ -79,11 +79,11 @@ def discover(atoms: DataFrame, settings: Settings = Settings(), proposals: DataF
     return C.reported(ranked, settings.min_druggability, settings.min_persistence, settings.min_crypticity, settings.top)
 
 
-def dock_prep(pockets: DataFrame, structure_id: str, top: int = 5) -> DataFrame:
-    """Report pockets (read_report) as clusters again, with every field that the report has."""
+def dock_prep(pockets: DataFrame, structure_id: str | None = None, top: int = 5) -> DataFrame:
+    """Report pockets (read_report) as clusters again, with every field that the report has; structure_id: by default the report's protein."""
     at = lambda k: F.col("centroid")[k]
     return pockets.where(F.col("pos") < top).select(
-        F.lit(structure_id).alias("structure_id"), "rank", *(at(k).alias(f"c{c}") for k, c in enumerate("xyz")), F.col("volume_A3").alias("volume"), F.col("volume_range_A3")[0].alias("volume_min"), F.col("volume_range_A3")[1].alias("volume_max"),
+        (F.col("protein") if structure_id is None else F.lit(structure_id)).alias("structure_id"), "rank", *(at(k).alias(f"c{c}") for k, c in enumerate("xyz")), F.col("volume_A3").alias("volume"), F.col("volume_range_A3")[0].alias("volume_min"), F.col("volume_range_A3")[1].alias("volume_max"),
         F.col("apo_volume_A3").alias("apo_volume"), "druggability", "max_druggability", "persistence", "cryptic", "crypticity", "lining_residues", "appears_in_conformers",
     )
 

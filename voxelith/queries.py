@@ -583,13 +583,13 @@ def _sites(spark, sf_dir) -> DataFrame:
     half = lambda c, n: ((c % n) / 2.0)
     return o.select(
         (k % 8).alias("structure_id"), F.floor(k / 8).cast("int").alias("cluster_id"), F.floor(k / 8).cast("int").alias("rank"), *(half(k, n).alias(c) for c, n in (("cx", 41), ("cy", 53), ("cz", 67))),
-        (100 + half(k, 900)).alias("volume"), (50 + half(k, 300)).alias("volume_min"), (400 + half(k, 900)).alias("volume_max"), half(k, 700).alias("apo_volume"), F.lit(0.5).alias("druggability"), F.lit(0.75).alias("max_druggability"),
+        (100 + half(k, 900)).alias("volume"), (50 + half(k, 300)).alias("volume_min"), (90 + half(k, 900)).alias("volume_max"), half(k, 700).alias("apo_volume"), F.lit(0.5).alias("druggability"), F.lit(0.75).alias("max_druggability"),
         ((k % 4 + 1) / 4.0).alias("persistence"), (k % 4 < 3).alias("cryptic"), half(k % 2, 2).alias("crypticity"), F.array(F.concat(F.lit("ALA"), (k % 90).cast("string"), F.lit(":A")), F.lit("GLY7:B")).alias("lining_residues"), F.array(F.lit(0), (k % 5 + 1).cast("int")).alias("appears_in_conformers"),
     )
 
 
 _SITE = """st as (select o_orderkey % 8 structure_id, (o_orderkey // 8)::int rank, (o_orderkey % 41) / 2.0::double cx, (o_orderkey % 53) / 2.0::double cy, (o_orderkey % 67) / 2.0::double cz, 100 + (o_orderkey % 900) / 2.0::double volume, 50 + (o_orderkey % 300) / 2.0::double volume_min,
-  400 + (o_orderkey % 900) / 2.0::double volume_max, (o_orderkey % 700) / 2.0::double apo_volume, (o_orderkey % 4 + 1) / 4.0::double persistence, o_orderkey % 4 < 3 cryptic, (o_orderkey % 2) / 2.0::double crypticity, 'ALA' || (o_orderkey % 90) || ':A' lining, (o_orderkey % 5 + 1)::int frame from orders where o_orderkey % 40 < 8)"""
+  90 + (o_orderkey % 900) / 2.0::double volume_max, (o_orderkey % 700) / 2.0::double apo_volume, (o_orderkey % 4 + 1) / 4.0::double persistence, o_orderkey % 4 < 3 cryptic, (o_orderkey % 2) / 2.0::double crypticity, 'ALA' || (o_orderkey % 90) || ':A' lining, (o_orderkey % 5 + 1)::int frame from orders where o_orderkey % 40 < 8)"""
 
 
 @query(f"""with {_SITE}, p as (select structure_id, rank, crypticity, '{{"rank":' || rank || ',"centroid":[' || cx || ',' || cy || ',' || cz || '],"volume_A3":' || volume || ',"volume_range_A3":[' || volume_min || ',' || volume_max || '],"apo_volume_A3":' || apo_volume
@@ -620,7 +620,7 @@ def vina_box(spark, sf_dir):
     return K.vina_box(_sites(spark, sf_dir))
 
 
-@query(f"with {_SITE} select rank, 0.75 druggability, crypticity, printf('%.0f%%', persistence * 100) persistence, case when volume_max - apo_volume > 50 then printf('%.0f -> %.0f', round_even(apo_volume, 0), round_even(volume_max, 0)) else printf('%.0f', round_even(volume, 0)) end volume, lining || ' GLY7:B' as residues from st")
+@query(f"with {_SITE} select rank, 0.75 druggability, crypticity, printf('%.0f%%', persistence * 100) persistence, case when volume_max - volume_min > 50 then printf('%.0f -> %.0f', round_even(apo_volume, 0), round_even(volume_max, 0)) else printf('%.0f', round_even(volume, 0)) end volume, lining || ', GLY7:B' as residues from st")
 def console_table(spark, sf_dir):
     return K.console(_sites(spark, sf_dir))
 

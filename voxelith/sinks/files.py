@@ -26,6 +26,12 @@ def reports(clusters: DataFrame, n_conformers: int, ranked_by: str) -> DataFrame
     return out.select("structure_id", F.to_json(body).alias("report"))
 
 
+def all_reports(structures: DataFrame, clusters: DataFrame, n_conformers: int, ranked_by: str) -> DataFrame:
+    """reports() of every structure, also of those without clusters."""
+    none = F.to_json(F.struct(F.col("structure_id").alias("protein"), F.lit(n_conformers).alias("n_conformers"), F.lit(ranked_by).alias("ranked_by"), F.lit(0).alias("n_pockets_found"), F.lit(0).alias("n_cryptic_pockets"), F.array().cast("array<string>").alias("pockets")))
+    return structures.join(reports(clusters, n_conformers, ranked_by), "structure_id", "left").select("structure_id", F.coalesce("report", none).alias("report"))
+
+
 def sphere_radius(volume: Column) -> Column:
     return F.pow(3 * volume / (4 * 3.14159), F.lit(1 / 3))
 
@@ -72,9 +78,9 @@ def vina_box(clusters: DataFrame, padding: float = 8.0) -> DataFrame:
 def console(clusters: DataFrame) -> DataFrame:
     """The table that a terminal shows."""
     whole = lambda c: F.bround(c, 0)  # noqa: E731  half to even
-    volume = F.when(F.col("volume_max") - F.col("apo_volume") > 50, F.format_string("%.0f -> %.0f", whole("apo_volume"), whole("volume_max"))).otherwise(F.format_string("%.0f", whole("volume")))
+    volume = F.when(F.col("volume_max") - F.col("volume_min") > 50, F.format_string("%.0f -> %.0f", whole("apo_volume"), whole("volume_max"))).otherwise(F.format_string("%.0f", whole("volume")))
     more = F.size("lining_residues") - 5
-    names = F.concat(F.array_join(F.slice("lining_residues", 1, 5), " "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(F.lit("")))
+    names = F.concat(F.array_join(F.slice("lining_residues", 1, 5), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(F.lit("")))
     return clusters.select("rank", F.greatest("druggability", "max_druggability").alias("druggability"), "crypticity", F.format_string("%.0f%%", F.col("persistence") * 100).alias("persistence"), volume.alias("volume"), names.alias("residues"))
 
 
@@ -109,3 +115,8 @@ def write_text(rows: DataFrame, path: str, order: Sequence[str], line: str = "li
     """Lines of each structure as text files in folders by structure, in order."""
     n = rows.sparkSession.sparkContext.defaultParallelism
     rows.repartition(n, "structure_id").sortWithinPartitions("structure_id", *order).select("structure_id", F.col(line).alias("value")).write.partitionBy("structure_id").mode("overwrite").text(path)
+
+
+def write_files(rows: DataFrame, path: str, keys: Sequence[str], text: str = "text") -> None:
+    """A text of each row as a file in folders by its keys."""
+    rows.select(*keys, F.col(text).alias("value")).write.partitionBy(*keys).mode("overwrite").text(path)
