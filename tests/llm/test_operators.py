@@ -588,6 +588,27 @@ def test_topk_search_in_blocks_with_repeated_ids_and_large_numbers(spark, monkey
         assert max(r[3] for r in got) > 2**53
 
 
+def test_toxicity_scores_against_a_loop_over_windows(spark):
+    import math
+
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.7)
+    chooser = random.Random(5)
+    texts = [words(chooser, n) for n in (1, 5, 63, 64, 65, 200, 700)] + ["", " ", "...", "same " * 300, "A\nb  (c), D!", "Ünï ñ 漢字 🙂 x", "y" * 3000]
+
+    def of_word(w):
+        ids, _ = toxicity.gram_ids(pa.array([w]))
+        return sum(float(model.by_bucket[i]) for i in ids) / max(len(ids), 1)
+
+    def slow(text):
+        listed = [w for w in (x.strip(toxicity._EDGES) for x in text.lower().replace("\n", " ").split(" ")) if w]
+        logits = [model.bias + sum(map(of_word, set(listed[k : k + 64]))) / 64 for k in range(0, len(listed), 64)]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, max(logits, default=model.bias)))))
+
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([slow(t) for t in texts], rel=1e-6)
+
+
 def test_toxicity_catches_unseen_spellings(spark):
     rng = random.Random(3)
     table, labels = [], []
