@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelith.functions import metrics as M
@@ -520,6 +520,28 @@ def anm_modes(spark, sf_dir):
     return E.normal_modes(_small(spark, sf_dir), 5)
 
 
+@query(f"with {_PT}, s as (select 's' || (id % 20) as structure_id, count(*) n from pt group by 1 having count(*) >= 6) select structure_id, true as solves, true as unit from s")
+def mode_equations(spark, sf_dir):
+    """Whether all modes of the dense kernel solve Hv = ev, with H from a range join of the points, and have length one."""
+    atoms = _small(spark, sf_dir)
+    modes = E.normal_modes(atoms, 5)
+    order = Window.partitionBy("structure_id").orderBy("serial")
+    at = atoms.select("structure_id", (F.row_number().over(order) - 1).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    other = at.select("structure_id", F.col("i").alias("j"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
+    near = S.range_join(at, other, 8.0, right_xyz=("ox", "oy", "oz"), on=["structure_id"]).where("dist2 > 0")
+    part = modes.select("structure_id", "mode", "eigenvalue", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("vector") / 3).cast("int") - 1), lambda p: F.slice("vector", p * 3 + 1, 3))).alias("p", "v"))
+    left = near.join(part.withColumnsRenamed({"p": "i", "v": "vi"}), ["structure_id", "i"])
+    both = left.join(part.select("structure_id", "mode", F.col("p").alias("j"), F.col("v").alias("vj")), ["structure_id", "mode", "j"])
+    d = [F.col(f"o{c}") - F.col(c) for c in "xyz"]
+    along = sum((d[k] * (F.col("vi")[k] - F.col("vj")[k]) for k in (1, 2)), d[0] * (F.col("vi")[0] - F.col("vj")[0])) / F.col("dist2")
+    product = both.groupBy("structure_id", "mode", "i").agg(*(F.sum(along * x).alias(f"h{k}") for k, x in enumerate(d)))
+    rows = part.withColumnRenamed("p", "i").join(product, ["structure_id", "mode", "i"], "left")
+    off = F.greatest(*(F.abs(F.coalesce(F.col(f"h{k}"), F.lit(0.0)) - F.col("eigenvalue") * F.col("v")[k]) for k in range(3)))
+    length = sum((F.col("v")[k] * F.col("v")[k] for k in (1, 2)), F.col("v")[0] * F.col("v")[0])
+    each = rows.groupBy("structure_id", "mode").agg((F.max(off) < 1e-6).alias("solves"), (F.abs(F.sum(length) - 1) < 1e-9).alias("unit"))
+    return each.groupBy("structure_id").agg(F.bool_and("solves").alias("solves"), F.bool_and("unit").alias("unit"))
+
+
 @query()
 def contact_modes(spark, sf_dir):
     return E.contact_normal_modes(_small(spark, sf_dir), 5, 8.0)
