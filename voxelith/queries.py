@@ -885,6 +885,30 @@ def backend_table_function(spark, sf_dir):
     return made.select("structure_id", "frame_idx", "serial", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in "xyz"))
 
 
+@query(f"with {_PT} select 's' || (id % 20) as structure_id, count(*) * 4 as n, 0 as other, count(*) as input from pt group by 1")
+def fallback_frames(spark, sf_dir):
+    """With fewer than six anchors the elastic network gives way to random frames: how many places differ, and how many are the input's."""
+    rank = F.row_number().over(Window.partitionBy("structure_id").orderBy("serial"))
+    atoms = _small(spark, sf_dir).withColumn("is_anchor", rank <= 5)
+    a, b = E.generate(atoms, 3, "nma", seed=5), E.generate(atoms, 3, "random", seed=5).withColumnsRenamed({c: f"{c}2" for c in "xyz"})
+    both = a.join(b, ["structure_id", "frame_idx", "serial"]).join(atoms.select("structure_id", "serial", *(F.col(c).cast("float").alias(f"{c}0") for c in "xyz")), ["structure_id", "serial"])
+    differs = (F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")) | (F.col("z") != F.col("z2"))
+    own = (F.col("frame_idx") == 0) & (F.col("x") == F.col("x0")) & (F.col("y") == F.col("y0")) & (F.col("z") == F.col("z0"))
+    return both.groupBy("structure_id").agg(F.count("*").alias("n"), F.count_if(differs).alias("other"), F.count_if(own).alias("input"))
+
+
+@query(f"with {_PT}, a as (select 's' || (id % 20) as structure_id, id as serial, x, y, z, (id % 97)::int res from pt), f as (select *, 0 frame_idx from a union all select structure_id, serial, x + k, y, z - k, res, k from a, range(1, 3) t(k)) select structure_id, frame_idx::int as frame_idx, serial, round(x, 3) x, round(y, 3) y, round(z, 3) z, 'ALA' || res || ':A' as res_label from f")
+def frames_union(spark, sf_dir):
+    """The input's frame and those of another tool, with what is known of the residues; frames numbered below one are not taken."""
+    from voxelith.plans.discovery import Settings, frames_of
+
+    atoms = _small(spark, sf_dir)
+    k = F.explode(F.array(*map(F.lit, (-1, 0, 1, 2))))
+    given = atoms.withColumn("k", k).select("structure_id", F.col("k").alias("frame_idx"), "serial", (F.col("x") + F.col("k")).alias("x"), "y", (F.col("z") - F.col("k")).alias("z"))
+    out = frames_of(atoms, Settings(n_conformers=2), given)
+    return out.select("structure_id", "frame_idx", "serial", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in "xyz"), "res_label")
+
+
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
