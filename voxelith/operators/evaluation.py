@@ -24,6 +24,11 @@ def hit_curve(results: DataFrame, keys: Sequence[str], hit: Column, ks: Sequence
     return results.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col(rank) <= k, hit)), F.lit(False)).alias(f"top{k}") for k in ks))
 
 
+def hit_map(curve: DataFrame, keys: Sequence[str], ks: Sequence[int] = CURVE) -> DataFrame:
+    """keys and topk_hit: hit_curve's columns as one map from k to whether the first k hold a hit."""
+    return curve.select(*keys, F.map_from_arrays(F.array(*map(F.lit, ks)), F.array(*(F.col(f"top{k}") for k in ks))).alias("topk_hit"))
+
+
 def curve_summary(curve: DataFrame, ks: Sequence[int] = CURVE) -> DataFrame:
     """k and the share of rows hit."""
     rates = curve.agg(*(F.avg(F.col(f"top{k}").cast("double")).alias(f"top{k}") for k in ks))

@@ -13,6 +13,7 @@ from voxelith.operators import clusters as C
 from voxelith.operators.ensembles import assemble, fit_frames, generate, greedy_cluster
 from voxelith.operators.evaluation import best_in_top, hit_curve
 from voxelith.operators.grid import characterize, detect_pockets
+from voxelith.sources.structures import is_solvent
 from voxelith.staging import staged
 
 
@@ -108,12 +109,15 @@ def size_gate(atoms: DataFrame, low: int = 0, high: int = 600) -> DataFrame:
     return atoms.join(counts, "structure_id", "left_semi")
 
 
-def known_site(hetero: DataFrame, protein: DataFrame, solvents: Column, radius: float = 4.5) -> DataFrame:
-    """Residues of each structure within radius of its principal ligand: structure_id and known_residues."""
+def known_site(hetero: DataFrame, protein: DataFrame, solvents: Column | None = None, radius: float = 4.5) -> DataFrame:
+    """Residues of each structure within radius of its principal ligand: structure_id and known_residues.
+
+    solvents: which hetero rows are none, by default those of is_solvent.
+    """
     from voxelith.operators.evaluation import principal_group
     from voxelith.operators.spatial import range_join
 
-    kept = hetero.where(~solvents).withColumn("ligand", F.concat_ws("/", "chain_id", "res_name", F.col("res_seq").cast("string")))
+    kept = hetero.where(~(is_solvent(F.col("res_name")) if solvents is None else solvents)).withColumn("ligand", F.concat_ws("/", "chain_id", "res_name", F.col("res_seq").cast("string")))
     main = principal_group(kept, ["structure_id"], "ligand", "pos")
     ligand = kept.join(main.select("structure_id", "ligand"), ["structure_id", "ligand"], "left_semi").select("structure_id", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz"))
     near = range_join(protein, ligand, radius, right_xyz=("lx", "ly", "lz"), on=["structure_id"], how="left_semi")

@@ -192,6 +192,13 @@ def topk_curve(spark, sf_dir):
     return V.hit_curve(site_metrics(spark, sf_dir), ["target"], M.headline_hit(F.col("jaccard"), F.col("dist")))
 
 
+@query(f"with {_SITES}, t as (select target, " + ", ".join(f"coalesce(bool_or(case when rank <= {k} then jaccard >= 0.25 or dist <= 4.0 end), false) t{k}" for k in V.CURVE) + " from m group by 1) select target, " + " || ' ' || ".join(f"'{k}=' || t{k}" for k in V.CURVE) + " as hits, t5 as top5 from t")
+def hit_maps(spark, sf_dir):
+    found = V.hit_map(topk_curve(spark, sf_dir), ["target"])
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("topk_hit")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), " ")
+    return found.select("target", text.alias("hits"), F.element_at("topk_hit", 5).alias("top5"))
+
+
 @query(f"with {_SITES}, t as (select target, " + ", ".join(f"max(case when rank <= {k} then (jaccard >= 0.25 or dist <= 4.0)::int else 0 end) t{k}" for k in V.CURVE) + " from m group by 1) " + " union all ".join(f"select {k} k, round(avg(t{k}), 6) rate from t" for k in V.CURVE))
 def topk_summary(spark, sf_dir):
     return V.curve_summary(topk_curve(spark, sf_dir)).select("k", F.round("rate", 6).alias("rate"))
@@ -784,6 +791,16 @@ def seeded_sample(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").orderBy(*V.seeded_order("c_custkey")).limit(50)
 
 
+_HETERO = "['" + "','".join(("HOH", "ATP", "PE3", "ZN", "HEM", "NAG", "P33", "LIG")) + "']"
+
+
+@query(f"select p_partkey, ({_HETERO})[p_size % 8 + 1] as res_name from part where p_size % 8 in (1, 4, 5, 7) and not (p_partkey % 25 in (select n_nationkey from nation where n_regionkey = 2) and p_size % 8 = 5)")
+def solvent_filter(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("structure_id"), "p_partkey", F.get(F.array(*map(F.lit, ("HOH", "ATP", "PE3", "ZN", "HEM", "NAG", "P33", "LIG"))), (F.col("p_size") % 8).cast("int")).alias("res_name"))
+    extras = read(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("structure_id"), F.lit("NAG").alias("res_name"))
+    return R.without_solvents(p, extras).select("p_partkey", "res_name")
+
+
 @query(f"""with {_PT}, h as (select id % 4 s, 'A/L' || (id % 3) || '/' || (id % 5) lig, id, x, y, z from pt where frame_idx <= 2 and id % 3 <> 2), k as (select s, lig, row_number() over (partition by s order by count(*) desc, min(id)) r from h group by 1, 2),
   l as (select h.* from h join k using (s, lig) where r = 1), p as (select id % 4 s, id % 50 res_seq, x, y, z from pt where frame_idx > 2)
   select 's' || s as structure_id, string_agg(distinct res_seq, ',' order by res_seq) known from p where exists (select 1 from l where l.s = p.s and (p.x - l.x) * (p.x - l.x) + (p.y - l.y) * (p.y - l.y) + (p.z - l.z) * (p.z - l.z) <= 4.503 * 4.503) group by 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,23 @@ ONE_LETTER = {
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
 }
 
+# Names of hetero groups that are solvents, buffers, ions or detergents, and no ligands.
+SOLVENTS = (
+    "ACE", "ACM", "ACT", "ACY", "BIS", "BNG", "BOG", "CA", "CD", "CIT", "CL", "CO", "CU", "DIO", "DMF", "DMS", "DOD", "EDO", "EGL", "FE", "FMT", "GOL", "H2P", "HEP", "HG", "HOH", "HPO", "IPA", "K",
+    "MES", "MG", "MN", "NA", "NI", "P33", "P6G", "PE3", "PE4", "PE5", "PE6", "PE7", "PE8", "PEG", "PGO", "PO4", "SF4", "SO4", "SUL", "TAR", "TLA", "TRIS", "TRS", "WAT", "ZN",
+)
+
+
+def is_solvent(name: Column, extras: Sequence[str] = ()) -> Column:
+    """Whether a hetero group's name is a solvent's, or one of the caller's extras."""
+    return name.isin(*SOLVENTS, *extras)
+
+
+def without_solvents(hetero: DataFrame, extras: DataFrame | None = None) -> DataFrame:
+    """Hetero rows that are no solvents, nor, by structure_id and res_name, among a structure's own extras."""
+    kept = hetero.where(~is_solvent(F.col("res_name")))
+    return kept if extras is None else kept.join(extras.select("structure_id", "res_name").distinct(), ["structure_id", "res_name"], "left_anti")
+
 
 def is_hydrophobic(name: Column) -> Column:
     return F.upper(name).isin(*HYDROPHOBIC)
