@@ -178,7 +178,7 @@ def test_ensembles(spark):
     assert few.count() == 12
     assert E.noise_levels(3, [0.5, 1.0]) == [0.5, 1.0, 0.5] and E.noise_levels(2) == [0.3, 2.0]
     with pytest.raises(ValueError):
-        E.generate(atoms, 1, "boltz")
+        E.generate(atoms, 1, "unheard of")
 
 
 def test_modes_are_orthonormal_and_translation_free():
