@@ -644,9 +644,19 @@ def contacts_by_chain(spark, sf_dir):
     return K.contacts(c).select("rank", "chain", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-@query(f"with {_SITE}, r as (select *, printf('%.3f', 2 * (pow(3 * volume / (4 * 3.14159::double), 1 / 3) + 8)) s from st) select structure_id, rank, printf('center_x = %.3f\ncenter_y = %.3f\ncenter_z = %.3f\n', cx, cy, cz) || 'size_x = ' || s || '\nsize_y = ' || s || '\nsize_z = ' || s || '\nexhaustiveness = 8\nnum_modes = 9\n' as text from r")
+# The clusters of all pockets as ranked sites, centres in thousandths.
+_RANKED = f"""{_FULL}, rk as (select structure_id, row_number() over (partition by structure_id order by crypticity desc, max_druggability desc, cluster_id) rank, round(cx::decimal(18, 9), 3)::double cx, round(cy::decimal(18, 9), 3)::double cy, round(cz::decimal(18, 9), 3)::double cz,
+  volume, volume_min, volume_max, apo_volume, druggability, max_druggability, persistence, crypticity, ['ALA' || cluster_id || ':A', 'GLY7:B'] lining from c)"""
+
+
+def _ranked_sites(spark, sf_dir) -> DataFrame:
+    lining = F.array(F.concat(F.lit("ALA"), F.col("cluster_id").cast("string"), F.lit(":A")), F.lit("GLY7:B"))
+    return C.ranked(clusters(spark, sf_dir)).withColumns({"lining_residues": lining} | {c: F.round(F.col(c).cast("decimal(18, 9)"), 3).cast("double") for c in ("cx", "cy", "cz")})
+
+
+@query(f"with {_RANKED}, bx as (select *, printf('%.3f', 2 * (pow(3 * volume / (4 * 3.14159::double), 1 / 3) + 8)) s from rk) select structure_id, rank, printf('center_x = %.3f\ncenter_y = %.3f\ncenter_z = %.3f\n', cx, cy, cz) || 'size_x = ' || s || '\nsize_y = ' || s || '\nsize_z = ' || s || '\nexhaustiveness = 8\nnum_modes = 9\n' as text from bx")
 def vina_box(spark, sf_dir):
-    return K.vina_box(_sites(spark, sf_dir))
+    return K.vina_box(_ranked_sites(spark, sf_dir))
 
 
 @query(f"with {_SITE} select rank, 0.75 druggability, crypticity, printf('%.0f%%', persistence * 100) persistence, case when volume_max - volume_min > 50 then printf('%.0f -> %.0f', round_even(apo_volume, 0), round_even(volume_max, 0)) else printf('%.0f', round_even(volume, 0)) end volume, lining || ', GLY7:B' as residues from st")
