@@ -659,9 +659,10 @@ def vina_box(spark, sf_dir):
     return K.vina_box(_ranked_sites(spark, sf_dir))
 
 
-@query(f"with {_SITE} select rank, 0.75 druggability, crypticity, printf('%.0f%%', persistence * 100) persistence, case when volume_max - volume_min > 50 then printf('%.0f -> %.0f', round_even(apo_volume, 0), round_even(volume_max, 0)) else printf('%.0f', round_even(volume, 0)) end volume, lining || ', GLY7:B' as residues from st")
+@query(f"with {_RANKED} select structure_id, rank, greatest(druggability, max_druggability) druggability, crypticity, printf('%.0f%%', persistence * 100) persistence, case when volume_max - volume_min > 50 then printf('%.0f -> %.0f', round_even(apo_volume, 0), round_even(volume_max, 0)) else printf('%.0f', round_even(volume, 0)) end volume, array_to_string(lining, ', ') residues from rk")
 def console_table(spark, sf_dir):
-    return K.console(_sites(spark, sf_dir))
+    shown = K.console(_ranked_sites(spark, sf_dir).withColumn("rank", F.struct("structure_id", "rank")))
+    return shown.select("rank.structure_id", "rank.rank", *shown.columns[1:])
 
 
 @query(f"with {_SITE} select structure_id, rank, 'sequences:\n  - protein:\n      id: A\n      sequence: AG' || structure_id || '\n  - ligand:\n      id: LIG\n      smiles: SMILES_HERE\nconstraints:\n  - pocket:\n      binder: LIG\n      contacts:\n        - [A, ' || regexp_extract(lining, '([0-9]+)', 1) || ']\n        - [B, 7]\n' as text from st")
