@@ -601,8 +601,8 @@ def parse_labels(spark, sf_dir):
 
 @query("select p_partkey, printf('ATOM  %5d  %-3s %3s %s%4d%s   %8.3f%8.3f%8.3f  1.00  0.00          %2s', p_partkey % 99999, 'CA', 'ALA', 'A', p_size, case when p_size % 4 = 0 then 'B' else ' ' end, p_size * 1.5::double, -p_size * 0.25::double, (p_partkey % 100) * 1.0::double, 'C') as line from part")
 def fixed_width_format(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select(F.lit("s").alias("structure_id"), (F.col("p_partkey") % 99999 - 1).alias("serial"), F.lit("CA").alias("name"), F.lit("ALA").alias("res_name"), F.lit("A").alias("chain_id"), F.col("p_size").alias("res_seq"), F.when(F.col("p_size") % 4 == 0, "B").otherwise("").alias("icode"), (F.col("p_size") * 1.5).alias("x"), (F.col("p_size") * -0.25).alias("y"), (F.col("p_partkey") % 100).cast("double").alias("z"), F.lit("C").alias("element"), "p_partkey")
-    return K.structure_pdb(p).select((F.col("serial") + 1).alias("p_partkey"), "line")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("structure_id"), (F.col("p_partkey") % 99999 - 1).alias("serial"), F.lit("CA").alias("name"), F.lit("ALA").alias("res_name"), F.lit("A").alias("chain_id"), F.col("p_size").alias("res_seq"), F.when(F.col("p_size") % 4 == 0, "B").otherwise("").alias("icode"), (F.col("p_size") * 1.5).alias("x"), (F.col("p_size") * -0.25).alias("y"), (F.col("p_partkey") % 100).cast("double").alias("z"), F.lit("C").alias("element"))
+    return K.structure_pdb(p).select(F.col("structure_id").alias("p_partkey"), "line")
 
 
 def _sites(spark, sf_dir) -> DataFrame:
