@@ -61,10 +61,10 @@ def constraint_yaml(clusters: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def structure_pdb(atoms: DataFrame) -> DataFrame:
-    """structure_id, serial, line: fixed-width ATOM rows, with insertion codes where there are any."""
+    """structure_id, serial, line: fixed-width ATOM rows, with insertion codes where there are any; numbers begin again at 0 after 99999, as five columns hold no more."""
     name = F.when(F.length("name") < 4, F.concat(F.lit(" "), F.rpad("name", 3, " "))).otherwise(F.substring("name", 1, 4))
     icode = F.when(F.length(F.trim("icode")) == 1, F.col("icode")).otherwise(F.lit(" ")) if "icode" in atoms.columns else F.lit(" ")
-    line = F.format_string("ATOM  %5d %s %3s %s%4d%s   %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.col("serial") + 1, name, "res_name", F.substring("chain_id", 1, 1), "res_seq", icode, F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double"), "element")
+    line = F.format_string("ATOM  %5d %s %3s %s%4d%s   %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.pmod(F.col("serial") + 1, F.lit(100000)), name, "res_name", F.substring("chain_id", 1, 1), "res_seq", icode, F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double"), "element")
     return atoms.select("structure_id", "serial", line.alias("line"))
 
 
