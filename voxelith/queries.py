@@ -267,7 +267,12 @@ def running_rate_of_all(spark, sf_dir):
 # Embeddings as points: the first three components, scaled; the label is the frame.
 def points(spark, sf_dir, scale: float = 40.0) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("frame_idx"), *(F.round(F.col("embedding")[k].cast("double") * scale, 2).alias(c) for k, c in enumerate("xyz")))
+
+    def hundredths(v):  # what rounds to zero keeps its sign, as in SQL
+        r = F.round(v, 2)
+        return F.when(r == 0, F.signum(v) * 0.0).otherwise(r)
+
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("frame_idx"), *(hundredths(F.col("embedding")[k].cast("double") * scale).alias(c) for k, c in enumerate("xyz")))
 
 
 _PT = "pt as (select vec_id id, label frame_idx, round(embedding[1]::double * 40, 2) x, round(embedding[2]::double * 40, 2) y, round(embedding[3]::double * 40, 2) z from embeddings)"
