@@ -1061,9 +1061,11 @@ def read_folds(spark, sf_dir):
 
 @query("select user_id::varchar id, event_type tool, round(arg_max(value, event_id), 3) jaccard, arg_max(event_id, event_id)::int n_known from events group by 1, 2")
 def read_legs(spark, sf_dir):
-    """Legs as JSON lines, in one file in order, between lines that are none."""
-    e = read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("tool"), F.col("value").alias("jaccard"), F.col("event_id").cast("int").alias("n_known"))).alias("j"))
-    files = e.agg(F.concat_ws("\n", F.lit("not json"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "j"))), lambda x: x["j"]), "\n"), F.lit("")).alias("value"))
+    """Legs as JSON lines, in files that follow each other in order, between lines that are none."""
+    leg = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("tool"), F.col("value").alias("jaccard"), F.col("event_id").cast("int").alias("n_known")))
+    e = read(spark, sf_dir, "events").select("event_id", leg.alias("value"))
+    ends = spark.range(2).select(F.when(F.col("id") == 1, F.lit(2**63 - 1)).alias("event_id"), F.when(F.col("id") == 0, "not json").otherwise("").alias("value"))
+    files = e.unionByName(ends).repartitionByRange("event_id").sortWithinPartitions("event_id").select("value")
     return T.read_legs(spark, written(files, "legs")).select("id", "tool", F.round("jaccard", 3).alias("jaccard"), "n_known")
 
 

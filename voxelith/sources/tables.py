@@ -77,11 +77,15 @@ def read_folds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_legs(spark: SparkSession, path: str) -> DataFrame:
-    """Detector legs from JSON lines; the last row of each id and tool wins, in order of file and line."""
+    """Detector legs from JSON lines; the last row of each id and tool wins, in order of file and line.
+
+    Files are read in blocks by many tasks: a line's place is the start of its
+    block and its turn in the task that reads the block.
+    """
     schema = "id string, pdb string, chain string, n_known int, tool string, recall double, jaccard double, n_prop int, elapsed_s double"
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    rows = whole.where(F.trim("line") != "").select("file", "pos", F.from_json("line", schema).alias("r")).where("r.id is not null")
-    return rows.groupBy("r.id", "r.tool").agg(F.max_by("r", F.struct("file", "pos")).alias("r")).select("r.*")
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"), F.from_json("value", schema).alias("r"))
+    rows = lines.where("r.id is not null")
+    return rows.groupBy("r.id", "r.tool").agg(F.max_by("r", F.struct("file", "block", "turn")).alias("r")).select("r.*")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
