@@ -11,12 +11,13 @@ def read_proposals(spark: SparkSession, path: str) -> DataFrame:
 
     Each file has its own header and, where a rank is missing, its own running
     count; structure_id is the file's name without its endings. A missing score
-    or probability is 0.
+    or probability is 0. Files are read in blocks, and rows carry no more of
+    their file than its header.
     """
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    cut = F.transform(lines, lambda x: F.transform(F.split(x, ","), lambda c: F.trim(c)))
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), cut.alias("lines"))
-    named = files.select("file", F.get("lines", F.lit(0)).alias("h"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("pos", "v"))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn")).alias("pos"), F.regexp_replace("value", r"\r$", "").alias("line")).where(F.trim("line") != "")
+    cut = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
+    heads = lines.groupBy("file").agg(F.min(F.struct("pos", "line")).alias("first")).select("file", F.col("first.pos").alias("top"), cut("first.line").alias("h"))
+    named = lines.join(heads, "file").where("pos > top").select("file", "h", "pos", cut("line").alias("v"))
     get = lambda n: F.get("v", (F.array_position("h", n) - 1).cast("int"))
     number = lambda n: get(n).try_cast("double")
     name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(\.(pdb|cif))?(_predictions)?\.csv$", "")
