@@ -89,8 +89,9 @@ def _nma_frames(s: Structure, n: int, options: Mapping) -> list[np.ndarray]:
     anchors = s.xyz[s.is_anchor]
     if len(anchors) < MIN_ANCHORS:
         return _random_frames(s, n, options)
-    gamma = np.ones((len(anchors), len(anchors)))
+    gamma = 1.0
     if s.springs is not None:
+        gamma = np.ones((len(anchors), len(anchors)))
         for r in s.springs.itertuples():
             gamma[r.i, r.j] = gamma[r.j, r.i] = r.gamma
     values, modes = elastic_modes(anchors, options.get("n_modes", 10), gamma=gamma)
@@ -111,6 +112,12 @@ def _all_frames(made: Backend, s: Structure, n: int, options: Mapping, include_i
     return frames
 
 
+def _spread(rows: DataFrame, key: str = "structure_id") -> DataFrame:
+    """Rows by structure in a fixed number of partitions: structures are few bytes but long work, so small partitions must not be merged."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 def generate(atoms: DataFrame, n: int, backend: str = "nma", max_rmsd: float = 2.0, n_modes: int = 10, seed: int = 0, levels: Sequence[float] | None = None, include_input: bool = True, springs: DataFrame | None = None, options: Mapping | None = None) -> DataFrame:
     """structure_id, frame_idx, serial, x, y, z: frame 0 is the input, then n generated frames, in the input's atom order.
 
@@ -135,7 +142,7 @@ def generate(atoms: DataFrame, n: int, backend: str = "nma", max_rmsd: float = 2
 
     kinds = dict(atoms.dtypes)
     schema = f"structure_id {kinds['structure_id']}, frame_idx int, serial {kinds['serial']}, x float, y float, z float"
-    flat = atoms.select("structure_id", "serial", "x", "y", "z", "is_anchor").groupBy("structure_id")
+    flat = _spread(atoms.select("structure_id", "serial", "x", "y", "z", "is_anchor")).groupBy("structure_id")
 
     def alone(key, pdf):
         return run(key, pdf)
@@ -146,7 +153,7 @@ def generate(atoms: DataFrame, n: int, backend: str = "nma", max_rmsd: float = 2
     def both(key, left, right):
         return run(key, left, right)
 
-    return flat.cogroup(springs.groupBy("structure_id")).applyInPandas(both, schema)
+    return flat.cogroup(_spread(springs).groupBy("structure_id")).applyInPandas(both, schema)
 
 
 def register_sql(spark: SparkSession, name: str = "make_frames") -> None:
@@ -214,7 +221,7 @@ def normal_modes(atoms: DataFrame, n_modes: int = 10) -> DataFrame:
         return pd.DataFrame({"structure_id": key[0], "mode": range(len(values)), "eigenvalue": values, "vector": [m.ravel().tolist() for m in modes]})
 
     kind = dict(atoms.dtypes)["structure_id"]
-    return _with_anchors(atoms).select("structure_id", "serial", "x", "y", "z").groupBy("structure_id").applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
+    return _spread(_with_anchors(atoms).select("structure_id", "serial", "x", "y", "z")).groupBy("structure_id").applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
 
 
 def contact_normal_modes(atoms: DataFrame, n_modes: int = 10, cutoff: float = 8.0) -> DataFrame:
@@ -240,7 +247,7 @@ def contact_normal_modes(atoms: DataFrame, n_modes: int = 10, cutoff: float = 8.
         return pd.DataFrame({"structure_id": key[0], "mode": range(len(values)), "eigenvalue": values, "vector": [m.ravel().tolist() for m in modes]})
 
     points = anchors.select(F.col("structure_id").alias("sid"), F.col("i").alias("place"))
-    return points.groupBy("sid").cogroup(contacts.groupBy("structure_id")).applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
+    return _spread(points, "sid").groupBy("sid").cogroup(_spread(contacts).groupBy("structure_id")).applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
 
 
 def greedy_cluster(pockets: DataFrame, keys: Sequence[str] = ("structure_id",), order: Sequence[str] = ("frame_idx", "source_ord", "pocket_idx"), eps: float = 5.0) -> DataFrame:

@@ -220,30 +220,153 @@ def greedy_clusters(xyz: np.ndarray, eps: float) -> np.ndarray:
     return out
 
 
-def elastic_modes(xyz: np.ndarray, n_modes: int = 10, cutoff: float = 8.0, gamma: float | np.ndarray = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest non-zero modes of an anisotropic elastic network: eigenvalues, and vectors as (mode, point, axis).
+#: Up to so many points the matrix is taken apart whole; beyond, its lower half is factored in single precision.
+DENSE = 1000
+#: Numbers of the matrix for each contact, up to which a network counts as dense.
+MATRIX_SHARE = 64
+#: Points in a block of rows of the matrix.
+_ROWS = 128
+
+
+def _rows_of_points(xyz: np.ndarray, cutoff: float, gamma: float | np.ndarray):
+    """rows(a, b, upto): the rows of points a to b of the elastic network's matrix, as far as point upto, made anew at each call."""
+
+    def rows(a: int, b: int, upto: int) -> np.ndarray:
+        d = xyz[None, :, :] - xyz[a:b, None, :]
+        r2 = (d**2).sum(axis=2)
+        near = (r2 > 0) & (r2 <= cutoff**2)
+        k = np.where(near, (gamma if np.isscalar(gamma) else gamma[a:b]) / np.where(near, r2, 1.0), 0.0)
+        own = np.einsum("pq,pqi,pqj->pij", k, d, d)
+        out = np.empty((b - a, 3, upto, 3))
+        for i in range(3):
+            left = -k[:, :upto] * d[:, :upto, i]
+            for j in range(3):
+                np.multiply(left, d[:, :upto, j], out=out[:, i, :, j])
+        inside = np.arange(a, min(b, upto))
+        out[inside - a, :, inside] = own[: len(inside)]
+        return out.reshape(3 * (b - a), 3 * upto)
+
+    return rows
+
+
+def _rows_of_contacts(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor: np.ndarray):
+    """The same from contacts, both ways round."""
+    order = np.argsort(i, kind="stable")
+    i, j, move, factor = i[order], j[order], move[order], factor[order]
 
-    gamma may be a matrix of spring factors. Signs are fixed: the component of
-    largest size of each vector is positive.
+    def rows(a: int, b: int, upto: int) -> np.ndarray:
+        at = slice(*np.searchsorted(i, (a, b)))
+        p, q = i[at] - a, j[at]
+        pair = factor[at, None, None] * move[at, :, None] * move[at, None, :]
+        out = np.zeros((b - a, upto, 3, 3))
+        kept = q < upto
+        out[p[kept], q[kept]] = -pair[kept]
+        for x in range(3):
+            for y in range(3):
+                own = np.bincount(p, weights=pair[:, x, y], minlength=b - a)
+                inside = np.arange(a, min(b, upto))
+                out[inside - a, inside, x, y] += own[: len(inside)]
+        return np.ascontiguousarray(out.transpose(0, 2, 1, 3)).reshape(3 * (b - a), 3 * upto)
+
+    return rows
+
+
+def _product(n: int, rows, x: np.ndarray) -> np.ndarray:
+    """The matrix times x, a block of rows at a time."""
+    return np.concatenate([rows(a, min(a + _ROWS, n), n) @ x for a in range(0, n, _ROWS)])
+
+
+def _solver(n: int, rows, shift: float):
+    """x -> an x near to the solution of (H + shift) y = x: a Cholesky factor by blocks of rows in single precision, 18 n^2 bytes."""
+    lower, inverse = [], []
+    bounds = [(3 * a, 3 * min(a + _ROWS, n)) for a in range(0, n, _ROWS)]
+    for a, b in bounds:
+        row = rows(a // 3, b // 3, b // 3).astype(np.float32)
+        row[np.arange(b - a), np.arange(a, b)] += np.float32(shift)
+        for (p, q), own, inv in zip(bounds, lower, inverse, strict=False):
+            row[:, p:q] -= row[:, :p] @ own.T
+            row[:, p:q] = row[:, p:q] @ inv.T
+        corner = np.linalg.cholesky((row[:, a:] - row[:, :a] @ row[:, :a].T).astype(np.float64))
+        lower.append(row[:, :a].copy())
+        inverse.append(np.linalg.inv(corner).astype(np.float32))
+
+    def solve(x: np.ndarray) -> np.ndarray:
+        y = (x / np.maximum(np.abs(x).max(axis=0), 1e-300)).astype(np.float32)
+        for (a, b), own, inv in zip(bounds, lower, inverse, strict=True):
+            y[a:b] = inv @ (y[a:b] - own @ y[:a])
+        for (a, b), own, inv in zip(bounds[::-1], lower[::-1], inverse[::-1], strict=True):
+            y[a:b] = inv.T @ y[a:b]
+            y[:a] -= own.T @ y[a:b]
+        return y.astype(np.float64)
+
+    return solve
+
+
+def _lowest(n: int, rows, top: float, n_modes: int, tolerance: float = 1e-11, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest 6 + 4 n_modes values and vectors of the matrix: whole for few points, else by Davidson's method.
+
+    There the vectors are corrected by the factor in single precision, and
+    residuals are of the matrix in double precision, until they are at most
+    tolerance x top, a bound of the highest value.
     """
-    n = len(xyz)
-    d = xyz[None, :, :] - xyz[:, None, :]
-    r2 = (d**2).sum(axis=2)
-    near = (r2 > 0) & (r2 <= cutoff**2)
-    k = np.where(near, gamma / np.where(near, r2, 1.0), 0.0)
-    blocks = -k[:, :, None, None] * d[:, :, :, None] * d[:, :, None, :]
-    blocks[np.arange(n), np.arange(n)] = -blocks.sum(axis=1)
-    values, vectors = np.linalg.eigh(blocks.transpose(0, 2, 1, 3).reshape(3 * n, 3 * n))
-    computed = min(6 + 4 * n_modes, 3 * n - 1)
-    values, vectors = values[:computed], vectors[:, :computed]
+    wanted = min(6 + 4 * n_modes, 3 * n - 1)
+    if n <= DENSE:
+        values, vectors = np.linalg.eigh(rows(0, n, n))
+        return values[:wanted], vectors[:, :wanted]
+    shift = 1e-5 * top
+    while True:
+        try:
+            solve = _solver(n, rows, shift)
+            break
+        except np.linalg.LinAlgError:
+            shift *= 10
+    width = wanted + max(8, wanted // 2)
+    x = np.linalg.qr(np.random.default_rng(0).standard_normal((3 * n, width)))[0]
+    for _ in range(8):
+        x = np.linalg.qr(solve(x))[0]
+    v, hv = x, _product(n, rows, x)
+    for _ in range(rounds):
+        values, turn = np.linalg.eigh((v.T @ hv + hv.T @ v) / 2)
+        values, turn = values[:width], turn[:, :width]
+        x, hx = v @ turn, hv @ turn
+        rest = hx - x * values
+        far = np.flatnonzero(np.abs(rest).max(axis=0)[:wanted] > tolerance * top)
+        if not len(far):
+            break
+        if v.shape[1] > 5 * width:
+            v, hv = x, hx
+        more = solve(rest[:, far])
+        for _ in range(2):
+            more = np.linalg.qr(more - v @ (v.T @ more))[0]
+        v, hv = np.concatenate((v, more), axis=1), np.concatenate((hv, _product(n, rows, more)), axis=1)
+    return values[:wanted], x[:, :wanted]
+
+
+def _picked(n: int, values: np.ndarray, vectors: np.ndarray, n_modes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n_modes that are not zero, the component of largest size positive."""
     keep = np.flatnonzero(values > 1e-3 * np.abs(values).max())[:n_modes]
     if not len(keep):
         keep = np.sort(np.argsort(-np.abs(values))[:n_modes])
     picked = vectors[:, keep].T
-    picked *= np.sign(picked[np.arange(len(keep)), np.abs(picked).argmax(axis=1)])[:, None]
+    picked = picked * np.sign(picked[np.arange(len(keep)), np.abs(picked).argmax(axis=1)])[:, None]
     return values[keep], picked.reshape(len(keep), n, 3)
 
 
+def elastic_modes(xyz: np.ndarray, n_modes: int = 10, cutoff: float = 8.0, gamma: float | np.ndarray = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest non-zero modes of an anisotropic elastic network: eigenvalues, and vectors as (mode, point, axis).
+
+    gamma may be a matrix of spring factors. Signs are fixed: the component of
+    largest size of each vector is positive.
+    """
+    n, rows = len(xyz), _rows_of_points(xyz, cutoff, gamma)
+    top = 0.0
+    if n > DENSE:  # twice the largest sum of springs at a point
+        for a in range(0, n, _ROWS):
+            r2 = ((xyz[None, :, :] - xyz[a : a + _ROWS, None, :]) ** 2).sum(axis=2)
+            top = max(top, 2 * float((((r2 > 0) & (r2 <= cutoff**2)) * (gamma if np.isscalar(gamma) else gamma[a : a + _ROWS])).sum(axis=1).max()))
+    return _picked(n, *_lowest(n, rows, top, n_modes), n_modes)
+
+
 def contact_product(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor: np.ndarray):
     """x -> Hx for the elastic network of the contacts i, j (both ways round), laid out by neighbours: memory in proportion to contacts.
 
@@ -274,8 +397,13 @@ def contact_modes(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor
     """elastic_modes for large structures: the lowest part of the spectrum by subspace iteration with a Chebyshev filter.
 
     Neither the matrix nor its whole spectrum is formed: products over contacts
-    damp what lies above the wanted values, until these stand still.
+    damp what lies above the wanted values, until these stand still. Where the
+    contacts take about as much memory as the matrix (few points, or most of
+    them near each other), it is taken apart as in elastic_modes.
     """
+    if n <= DENSE or 9 * n * n <= MATRIX_SHARE * len(i):
+        top = 2 * float(np.bincount(i, weights=factor * (move**2).sum(axis=1), minlength=n).max(initial=0.0))
+        return _picked(n, *_lowest(n, _rows_of_contacts(n, i, j, move, factor), top, n_modes), n_modes)
     product, top = contact_product(n, i, j, move, factor)
     wanted = min(6 + 4 * n_modes, 3 * n - 1)
     width = min(wanted + max(8, wanted // 2), 3 * n)
@@ -295,18 +423,13 @@ def contact_modes(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor
             scale = np.abs(now).max()
             before, now = before / scale, now / scale
         x, _ = np.linalg.qr(now)
-    values, vectors = values[:wanted], x[:, :wanted]
-    keep = np.flatnonzero(values > 1e-3 * np.abs(values).max())[:n_modes]
-    if not len(keep):
-        keep = np.sort(np.argsort(-np.abs(values))[:n_modes])
-    picked = vectors[:, keep].T
-    picked = picked * np.sign(picked[np.arange(len(keep)), np.abs(picked).argmax(axis=1)])[:, None]
-    return values[keep], picked.reshape(len(keep), n, 3)
+    return _picked(n, values[:wanted], x[:, :wanted], n_modes)
 
 
 def propagate(points: np.ndarray, anchors: np.ndarray, moves: np.ndarray, sigma: float = 5.0, chunk: int = 2048) -> np.ndarray:
-    """Moves of anchors carried to points by Gaussian weights, some points at a time."""
+    """Moves of anchors carried to points by Gaussian weights, some points at a time: fewer where there are many anchors."""
     out = np.empty_like(points)
+    chunk = max(1, min(chunk, (1 << 20) // max(1, len(anchors))))
     for a in range(0, len(points), chunk):
         d2 = ((points[a : a + chunk, None, :] - anchors[None, :, :]) ** 2).sum(axis=2)
         w = np.exp(-d2 / (2 * sigma * sigma))
