@@ -17,7 +17,7 @@ from voxelith.operators import spatial as S
 from voxelith.sinks import files as K
 from voxelith.sources import structures as R
 from voxelith.sources import tables as T
-from voxelith.staging import fresh_path
+from voxelith.staging import fresh_path, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -536,22 +536,26 @@ def anm_modes(spark, sf_dir):
 def mode_equations(spark, sf_dir):
     """Whether all modes of the dense kernel solve Hv = ev, with H from a range join of the points, and have length one."""
     atoms = _small(spark, sf_dir)
-    modes = E.normal_modes(atoms, 5)
+    n = 5
+    modes = E.normal_modes(atoms, n)
     order = Window.partitionBy("structure_id").orderBy("serial")
     at = atoms.select("structure_id", (F.row_number().over(order) - 1).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
-    other = at.select("structure_id", F.col("i").alias("j"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
-    near = S.range_join(at, other, 8.0, right_xyz=("ox", "oy", "oz"), on=["structure_id"]).where("dist2 > 0")
-    part = modes.select("structure_id", "mode", "eigenvalue", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("vector") / 3).cast("int") - 1), lambda p: F.slice("vector", p * 3 + 1, 3))).alias("p", "v"))
-    left = near.join(part.withColumnsRenamed({"p": "i", "v": "vi"}), ["structure_id", "i"])
-    both = left.join(part.select("structure_id", "mode", F.col("p").alias("j"), F.col("v").alias("vj")), ["structure_id", "mode", "j"])
+    part = modes.select("structure_id", "mode", "eigenvalue", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("vector") / 3).cast("int") - 1), lambda p: F.slice("vector", p * 3 + 1, 3))).alias("i", "v"))
+    held = part.groupBy("structure_id", "i").agg(F.array_sort(F.collect_list(F.struct("mode", "eigenvalue", "v"))).alias("held"))
+    # Points carry their part of all modes into the join, so that its pairs are summed where they arise.
+    points_of = staged(at.join(held, ["structure_id", "i"]).select("structure_id", "i", *"xyz", F.transform("held", lambda m: m["eigenvalue"]).alias("e"), F.flatten(F.transform("held", lambda m: m["v"])).alias("v")), "modes")
+    other = points_of.select("structure_id", *(F.col(c).alias(f"o{c}") for c in "xyz"), F.col("v").alias("ov"))
+    near = S.range_join(points_of.drop("e"), other, 8.0, right_xyz=("ox", "oy", "oz"), on=["structure_id"]).where("dist2 > 0")
     d = [F.col(f"o{c}") - F.col(c) for c in "xyz"]
-    along = sum((d[k] * (F.col("vi")[k] - F.col("vj")[k]) for k in (1, 2)), d[0] * (F.col("vi")[0] - F.col("vj")[0])) / F.col("dist2")
-    product = both.groupBy("structure_id", "mode", "i").agg(*(F.sum(along * x).alias(f"h{k}") for k, x in enumerate(d)))
-    rows = part.withColumnRenamed("p", "i").join(product, ["structure_id", "mode", "i"], "left")
-    off = F.greatest(*(F.abs(F.coalesce(F.col(f"h{k}"), F.lit(0.0)) - F.col("eigenvalue") * F.col("v")[k]) for k in range(3)))
-    length = sum((F.col("v")[k] * F.col("v")[k] for k in (1, 2)), F.col("v")[0] * F.col("v")[0])
-    each = rows.groupBy("structure_id", "mode").agg((F.max(off) < 1e-6).alias("solves"), (F.abs(F.sum(length) - 1) < 1e-9).alias("unit"))
-    return each.groupBy("structure_id").agg(F.bool_and("solves").alias("solves"), F.bool_and("unit").alias("unit"))
+    along = [sum((d[a] * (F.get("v", F.lit(3 * k + a)) - F.get("ov", F.lit(3 * k + a))) for a in (1, 2)), d[0] * (F.get("v", F.lit(3 * k)) - F.get("ov", F.lit(3 * k)))) / F.col("dist2") for k in range(n)]
+    product = near.select("structure_id", "i", *(x.alias(f"d{c}") for c, x in zip("xyz", d, strict=True)), *(x.alias(f"a{k}") for k, x in enumerate(along))).groupBy("structure_id", "i").agg(*(F.sum(F.col(f"a{k}") * F.col(f"d{c}")).alias(f"h{k}{c}") for k in range(n) for c in "xyz"))
+    rows = points_of.join(product, ["structure_id", "i"], "left")
+    v = lambda k, a: F.get("v", F.lit(3 * k + a))
+    off = [F.greatest(*(F.abs(F.coalesce(F.col(f"h{k}{c}"), F.lit(0.0)) - F.get("e", F.lit(k)) * v(k, a)) for a, c in enumerate("xyz"))) for k in range(n)]
+    length = [sum((v(k, a) * v(k, a) for a in (1, 2)), v(k, 0) * v(k, 0)) for k in range(n)]
+    each = rows.groupBy("structure_id").agg(*(F.max(x).alias(f"off{k}") for k, x in enumerate(off)), *(F.sum(x).alias(f"n{k}") for k, x in enumerate(length)))
+    every = lambda xs: F.forall(F.array(*xs), lambda x: x)  # noqa: E731  a mode that a small structure lacks is null
+    return each.select("structure_id", every(F.coalesce(F.col(f"off{k}") < 1e-6, F.lit(k > 0)) for k in range(n)).alias("solves"), every(F.coalesce(F.abs(F.col(f"n{k}") - 1) < 1e-9, F.lit(k > 0)) for k in range(n)).alias("unit"))
 
 
 @query()
