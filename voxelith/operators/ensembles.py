@@ -85,15 +85,26 @@ def _random_frames(s: Structure, n: int, options: Mapping) -> list[np.ndarray]:
     return [random_frame(s.xyz, s.xyz[s.is_anchor], sigmas[i], seed + 1000 * (i + 1)) for i in range(n)]
 
 
+def _spring_rows(n: int, springs):
+    """rows(a, b): the factors of anchors a to b with all anchors, 1 where none is given; of one given several times the last."""
+    i, j, factor = (springs[c].to_numpy() for c in ("i", "j", "gamma"))
+    i, j, factor = np.stack((i, j), axis=1).ravel(), np.stack((j, i), axis=1).ravel(), np.repeat(factor, 2)
+    order = np.argsort(i, kind="stable")
+    i, j, factor = i[order], j[order], factor[order]
+
+    def rows(a: int, b: int) -> np.ndarray:
+        out, at = np.ones((b - a, n)), slice(*np.searchsorted(i, (a, b)))
+        out[i[at] - a, j[at]] = factor[at]
+        return out
+
+    return rows
+
+
 def _nma_frames(s: Structure, n: int, options: Mapping) -> list[np.ndarray]:
     anchors = s.xyz[s.is_anchor]
     if len(anchors) < MIN_ANCHORS:
         return _random_frames(s, n, options)
-    gamma = 1.0
-    if s.springs is not None:
-        gamma = np.ones((len(anchors), len(anchors)))
-        for r in s.springs.itertuples():
-            gamma[r.i, r.j] = gamma[r.j, r.i] = r.gamma
+    gamma = 1.0 if s.springs is None else _spring_rows(len(anchors), s.springs)
     values, modes = elastic_modes(anchors, options.get("n_modes", 10), gamma=gamma)
     return [nma_frame(s.xyz, anchors, values, modes, i, n, options.get("max_rmsd", 2.0), options.get("seed", 0)) for i in range(n)]
 

@@ -222,20 +222,28 @@ def greedy_clusters(xyz: np.ndarray, eps: float) -> np.ndarray:
 
 #: Up to so many points the matrix is taken apart whole; beyond, its lower half is factored in single precision.
 DENSE = 1000
+#: Up to so many points that factor is held, 130 MB; beyond, memory is in proportion to the points.
+FACTORED = 2700
 #: Numbers of the matrix for each contact, up to which a network counts as dense.
 MATRIX_SHARE = 64
-#: Points in a block of rows of the matrix.
-_ROWS = 128
+#: Points in a block of rows of the matrix, and in a block of its columns.
+_ROWS, _COLUMNS = 128, 512
 
 
-def _rows_of_points(xyz: np.ndarray, cutoff: float, gamma: float | np.ndarray):
+def _springs(gamma):
+    """of(a, b): the spring factors of points a to b with all points, or one number."""
+    return gamma if callable(gamma) else lambda a, b: gamma if np.isscalar(gamma) else gamma[a:b]
+
+
+def _rows_of_points(xyz: np.ndarray, cutoff: float, gamma):
     """rows(a, b, upto): the rows of points a to b of the elastic network's matrix, as far as point upto, made anew at each call."""
+    factors = _springs(gamma)
 
     def rows(a: int, b: int, upto: int) -> np.ndarray:
         d = xyz[None, :, :] - xyz[a:b, None, :]
         r2 = (d**2).sum(axis=2)
         near = (r2 > 0) & (r2 <= cutoff**2)
-        k = np.where(near, (gamma if np.isscalar(gamma) else gamma[a:b]) / np.where(near, r2, 1.0), 0.0)
+        k = np.where(near, factors(a, b) / np.where(near, r2, 1.0), 0.0)
         own = np.einsum("pq,pqi,pqj->pij", k, d, d)
         out = np.empty((b - a, 3, upto, 3))
         for i in range(3):
@@ -249,6 +257,54 @@ def _rows_of_points(xyz: np.ndarray, cutoff: float, gamma: float | np.ndarray):
     return rows
 
 
+def _product_of_points(xyz: np.ndarray, cutoff: float, gamma):
+    """x -> Hx for the elastic network of the points, the points' own blocks of H, and a bound of its highest value.
+
+    Springs are made anew at each product, a tile of points by points at a time; tiles that lie apart have none.
+    """
+    n, factors = len(xyz), _springs(gamma)
+    axes, own, top = np.ascontiguousarray(xyz.T), np.zeros((n, 3, 3)), 0.0
+    low, high = (np.stack([f(xyz[c : c + _COLUMNS], axis=0) for c in range(0, n, _COLUMNS)]) for f in (np.min, np.max))
+
+    def tiles(a: int, b: int):
+        """Where a tile's columns are, and its springs times each product of two axes' moves."""
+        apart = np.maximum(0, np.maximum(low - xyz[a:b].max(axis=0), xyz[a:b].min(axis=0) - high))
+        given = factors(a, b)
+        for t in np.flatnonzero((apart**2).sum(axis=1) <= cutoff**2):
+            at = slice(t * _COLUMNS, min(t * _COLUMNS + _COLUMNS, n))
+            d = [x[None, at] - x[a:b, None] for x in axes]
+            r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+            near = (r2 > 0) & (r2 <= cutoff**2)
+            r2[~near] = np.inf
+            k = (given if np.isscalar(given) else given[:, at]) / r2
+            along = [k * x for x in d]
+            yield at, [[along[min(i, j)] * d[max(i, j)] for j in range(i, 3)] for i in range(3)]
+
+    for a in range(0, n, _ROWS):
+        b = min(a + _ROWS, n)
+        for _, w in tiles(a, b):
+            for i in range(3):
+                for j in range(i, 3):
+                    own[a:b, i, j] += w[i][j - i].sum(axis=1)
+    for i, j in ((1, 0), (2, 0), (2, 1)):
+        own[:, i, j] = own[:, j, i]
+    top = 2 * float(np.trace(own, axis1=1, axis2=2).max())
+
+    def product(x: np.ndarray) -> np.ndarray:
+        x = x.reshape(n, 3, -1)
+        parts = [np.ascontiguousarray(x[:, j]) for j in range(3)]
+        y = own @ x
+        for a in range(0, n, _ROWS):
+            b = min(a + _ROWS, n)
+            for at, w in tiles(a, b):
+                for i in range(3):
+                    for j in range(3):
+                        y[a:b, i] -= w[min(i, j)][abs(i - j)] @ parts[j][at]
+        return y.reshape(3 * n, -1)
+
+    return product, own, top
+
+
 def _rows_of_contacts(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor: np.ndarray):
     """The same from contacts, both ways round."""
     order = np.argsort(i, kind="stable")
@@ -342,6 +398,45 @@ def _lowest(n: int, rows, top: float, n_modes: int, tolerance: float = 1e-11, ro
     return values[:wanted], x[:, :wanted]
 
 
+def _lowest_by_product(n: int, product, own: np.ndarray, top: float, n_modes: int, start: np.ndarray, tolerance: float = 1e-11, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """_lowest from products alone, with memory in proportion to the points: the vectors are corrected by the points' own blocks.
+
+    start: vectors to begin with, beside those of the weakest blocks.
+    """
+    wanted = min(6 + 4 * n_modes, 3 * n - 1)
+    width = wanted + 8
+    alone, turns = np.linalg.eigh(own)
+    point, axis = np.divmod(np.argsort(alone, axis=None, kind="stable")[: width - start.shape[1]], 3)
+    x = np.zeros((n, 3, len(point)))
+    x[point, :, np.arange(len(point))] = turns[point, :, axis]
+    v = np.linalg.qr(np.concatenate((start, x.reshape(3 * n, -1)), axis=1))[0]
+    hv = product(v)
+    for _ in range(rounds):
+        values, turn = np.linalg.eigh((v.T @ hv + hv.T @ v) / 2)
+        values, turn = values[:width], turn[:, :width]
+        x, hx = v @ turn, hv @ turn
+        rest = hx - x * values
+        far = np.flatnonzero(np.abs(rest).max(axis=0)[:wanted] > tolerance * top)
+        if not len(far):
+            return values[:wanted], x[:, :wanted]
+        if v.shape[1] > 4 * width:
+            v, hv = x, hx
+        away = alone[:, :, None] - values[far]
+        least = max(1e-3 * abs(values[-1]), 1e-9 * top)
+        away = np.where(np.abs(away) < least, np.where(away < 0, -least, least), away)
+        more = np.einsum("nij,njc->nic", turns, np.einsum("nij,nic->njc", turns, rest[:, far].reshape(n, 3, -1)) / away).reshape(3 * n, -1)
+        for _ in range(2):
+            more = np.linalg.qr(more - v @ (v.T @ more))[0]
+        v, hv = np.concatenate((v, more), axis=1), np.concatenate((hv, product(more)), axis=1)
+    raise ArithmeticError(f"modes of {n} points do not stand still after {rounds} rounds")
+
+
+def _rigid(xyz: np.ndarray) -> np.ndarray:
+    """The shifts and turns of all points as one body, which no spring resists."""
+    at = xyz - xyz.mean(axis=0)
+    return np.stack([np.broadcast_to(e, at.shape).ravel() for e in np.eye(3)] + [np.cross(e, at).ravel() for e in np.eye(3)], axis=1)
+
+
 def _picked(n: int, values: np.ndarray, vectors: np.ndarray, n_modes: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n_modes that are not zero, the component of largest size positive."""
     keep = np.flatnonzero(values > 1e-3 * np.abs(values).max())[:n_modes]
@@ -352,19 +447,22 @@ def _picked(n: int, values: np.ndarray, vectors: np.ndarray, n_modes: int) -> tu
     return values[keep], picked.reshape(len(keep), n, 3)
 
 
-def elastic_modes(xyz: np.ndarray, n_modes: int = 10, cutoff: float = 8.0, gamma: float | np.ndarray = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def elastic_modes(xyz: np.ndarray, n_modes: int = 10, cutoff: float = 8.0, gamma=1.0) -> tuple[np.ndarray, np.ndarray]:
     """Lowest non-zero modes of an anisotropic elastic network: eigenvalues, and vectors as (mode, point, axis).
 
-    gamma may be a matrix of spring factors. Signs are fixed: the component of
-    largest size of each vector is positive.
+    gamma may be a matrix of spring factors, or a function of a and b that gives
+    its rows a to b. Signs are fixed: the component of largest size of each
+    vector is positive.
     """
-    n, rows = len(xyz), _rows_of_points(xyz, cutoff, gamma)
-    top = 0.0
+    n = len(xyz)
+    if n > FACTORED:
+        return _picked(n, *_lowest_by_product(n, *_product_of_points(xyz, cutoff, gamma), n_modes, _rigid(xyz)), n_modes)
+    top, factors = 0.0, _springs(gamma)
     if n > DENSE:  # twice the largest sum of springs at a point
         for a in range(0, n, _ROWS):
             r2 = ((xyz[None, :, :] - xyz[a : a + _ROWS, None, :]) ** 2).sum(axis=2)
-            top = max(top, 2 * float((((r2 > 0) & (r2 <= cutoff**2)) * (gamma if np.isscalar(gamma) else gamma[a : a + _ROWS])).sum(axis=1).max()))
-    return _picked(n, *_lowest(n, rows, top, n_modes), n_modes)
+            top = max(top, 2 * float((((r2 > 0) & (r2 <= cutoff**2)) * factors(a, min(a + _ROWS, n))).sum(axis=1).max()))
+    return _picked(n, *_lowest(n, _rows_of_points(xyz, cutoff, gamma), top, n_modes), n_modes)
 
 
 def contact_product(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor: np.ndarray):
