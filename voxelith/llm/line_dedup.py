@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, staged, unstage, words_of
+from .common import documents, mix64, setting, staged, unstage, words_of
 from .components import components
 from .tokenizing import WordEncoder
 
@@ -65,6 +65,8 @@ BITS, DISTANCE, UNIT, WORDS, WIDE = 48, 12, 512, 4, 16
 _LANES = np.array([sum((x >> b & 1) << 16 * b for b in range(4)) for x in range(16)], dtype=np.uint64)
 #: Blocks held at once while they are dealt; blocks a part should hold; streams of a part.
 _HELD, _PART, _STREAMS = 1 << 20, 1 << 20, 4
+#: Lines and characters of a block of the exact comparison.
+BLOCK, _CHARACTERS = 512, 1 << 22
 _BLANKS = r"[\s\p{Z}]+"
 _UNEVEN = r"^ | $|  |[\t\r\f\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -494,6 +496,23 @@ def _whole_units(batches):
 _KEY = ["h", "i", "j"]
 
 
+def _fetch(names: list[str]):
+    """Rows of a text and its wanted lines to a row a line: the names, and the line normalised."""
+
+    def run(batches):
+        for batch in batches:
+            wanted = batch.column("wanted")
+            flat = wanted.flatten()
+            numbers, at, raw = flat.field("line").to_pylist(), 0, []
+            for text, n in zip(batch.column("text").to_pylist(), pc.list_value_length(wanted).to_pylist(), strict=True):
+                own = text.split("\n")
+                raw += [own[k] for k in numbers[at : at + n]]
+                at += n
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), normalize(pa.array(raw, pa.large_string())).cast(pa.string())], names=[*names, "norm"])
+
+    return run
+
+
 def _links(units: DataFrame, keyed: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
     """a, b: spanning forests of units (h, i, j, lid, label, sim, size, blocks). places: lid and rep, where a line's text is."""
 
@@ -508,18 +527,6 @@ def _links(units: DataFrame, keyed: DataFrame, places: DataFrame, threshold: flo
     by_doc = staged(by_line.groupBy(F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")).agg(F.collect_list(line).alias("wanted")), "wanted")
     texts = keyed.join(by_doc.hint("merge"), keyed["doc_id"].eqNullSafe(by_doc["r_id"]) & (keyed["th"] == by_doc["r_th"])).select("text", "wanted")
 
-    def fetch(batches):
-        for batch in batches:
-            wanted = batch.column("wanted")
-            flat = wanted.flatten()
-            numbers, at, raw = flat.field("line").to_pylist(), 0, []
-            for text, n in zip(batch.column("text").to_pylist(), pc.list_value_length(wanted).to_pylist(), strict=True):
-                own = text.split("\n")
-                raw += [own[k] for k in numbers[at : at + n]]
-                at += n
-            names = ["lid", "label", "sim", "size", "units"]
-            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in names), normalize(pa.array(raw, pa.large_string())).cast(pa.string())], names=[*names, "norm"])
-
     def verify(batches):
         for rows, starts in _whole_units(batches):
             lid, label, sim, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lid", "label", "sim", "size"))
@@ -531,15 +538,98 @@ def _links(units: DataFrame, keyed: DataFrame, places: DataFrame, threshold: flo
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
-    filled = texts.mapInArrow(fetch, "lid long, label long, sim long, size int, units array<struct<h: long, i: int, j: int>>, norm string")
+    filled = texts.mapInArrow(_fetch(["lid", "label", "sim", "size", "units"]), "lid long, label long, sim long, size int, units array<struct<h: long, i: int, j: int>>, norm string")
     sent = filled.withColumn("u", F.explode("units")).select("u.*", "lid", "label", "sim", "size", "norm")
     edges = staged(sent.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(verify, "a long, b long"), "edges")
     unstage(needed, by_doc)
     return edges
 
 
-def groups(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, th, line, l1, l2) and, for each l1 and l2 that is met again or linked, first: the occurrence of its group that stays."""
+def _triples(norm: list[str]) -> np.ndarray:
+    """Which of 1024 hashed triples of characters each line has."""
+    out = np.zeros((len(norm), 1024), np.float32)
+    for k, x in enumerate(norm):
+        c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        if len(c) > 2:
+            out[k, (mix64(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]) >> np.uint64(54)).astype(np.intp)] = 1
+    return out
+
+
+def every_link(x: list[str], y: list[str], labels: np.ndarray, threshold: float, same: bool) -> list[tuple[int, int]]:
+    """Links that connect the lines of x, then y, as far as all similar pairs of an x and a y would; same: x and y are one block.
+
+    Exact: a pair is left out without columns only where an edit, which changes
+    three triples and four counts of pairs of characters at most, could not make up for it.
+    """
+    norm, nx = [*x, *y], len(x)
+    sizes = np.array([len(z) for z in norm])
+    longest = np.maximum.outer(sizes[:nx], sizes[nx:])
+    limit = ((1 - threshold) * longest + 1e-9).astype(np.int64)
+    _, group = np.unique(labels, return_inverse=True)
+    want = (np.abs(sizes[:nx, None] - sizes[None, nx:]) <= limit) & (group[:nx, None] != group[None, nx:])
+    if same:
+        want = np.triu(want, 1)
+    if not want.any():
+        return []
+    tx, ty = _triples(x), _triples(y)
+    common = tx @ ty.T
+    want &= (tx.sum(axis=1)[:, None] - common <= 3 * limit) & (ty.sum(axis=1)[None, :] - common <= 3 * limit)
+    counts, links = np.stack([_bigrams(z) for z in norm]), []
+    for p in range(nx):
+        q = np.flatnonzero(want[p])
+        q = q[np.abs(counts[nx + q] - counts[p]).sum(axis=1) <= 4 * limit[p, q]]
+        for k in q.tolist():
+            if group[p] != group[nx + k] and edit_within(x[p], y[k], int(limit[p, k])):
+                group[group == group[nx + k]] = group[p]
+                links.append((p, nx + k))
+    return links
+
+
+def _all_links(known: DataFrame, labels: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between lines of different groups, whatever their fingerprints.
+
+    Lines in order of size are packed in blocks, and blocks of near sizes meet:
+    a task holds two blocks, and the work grows with the square of the lines.
+    """
+    named = known.join(labels.withColumnRenamed("v", "lid").hint("merge"), "lid", "left").select("lid", F.coalesce("label", "lid").alias("label"), "size", "rep")
+    line = F.struct(F.col("rep.line").alias("line"), "lid", "label", "size")
+    by_doc = named.groupBy(F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")).agg(F.collect_list(line).alias("wanted"))
+    texts = keyed.join(by_doc.hint("merge"), keyed["doc_id"].eqNullSafe(by_doc["r_id"]) & (keyed["th"] == by_doc["r_th"])).select("text", "wanted")
+    filled = staged(texts.mapInArrow(_fetch(["lid", "label", "size"]), "lid long, label long, size int, norm string"), "filled")
+
+    def pack(batches):
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            block = np.maximum(np.arange(len(size)) // BLOCK, np.cumsum(size, dtype=np.int64) // _CHARACTERS)
+            starts = np.flatnonzero(np.append(True, np.diff(block) != 0)) if len(size) else np.zeros(0, np.int64)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(size)], strict=True):
+                lists = [pa.array([batch.column(c).slice(a, b - a).to_pylist()], k) for c, k in (("lid", pa.list_(pa.int64())), ("label", pa.list_(pa.int64())), ("norm", pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([pa.array([int(size[a])], pa.int32()), pa.array([int(size[b - 1])], pa.int32()), *lists], names=["low", "high", "lid", "label", "norm"])
+
+    ordered = filled.repartitionByRange("size", "lid").sortWithinPartitions("size", "lid")
+    packed = ordered.mapInArrow(pack, "low int, high int, lid array<long>, label array<long>, norm array<string>")
+    packed = staged(packed.withColumn("k", F.monotonically_increasing_id()), "packed")
+    tasks = 4 * known.sparkSession.sparkContext.defaultParallelism
+    other = packed.select(*(F.col(c).alias(f"o_{c}") for c in packed.columns))
+    near = (F.col("k") <= F.col("o_k")) & (F.least("high", "o_high") >= threshold * F.greatest("low", "o_low") - 1)
+    meets = packed.repartition(tasks, "k").crossJoin(other).where(near)
+
+    def compare(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                lids = [*r["lid"], *r["o_lid"]]
+                links = every_link(r["norm"], r["o_norm"], np.array([*r["label"], *r["o_label"]]), threshold, r["k"] == r["o_k"])
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([lids[x[e]] for x in links], pa.int64()) for e in (0, 1)], names=["a", "b"])
+
+    with setting(known.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):
+        links = staged(meets.mapInArrow(compare, "a long, b long"), "all_links")
+    unstage(filled, packed)
+    return links
+
+
+def groups(docs: DataFrame, threshold: float = 0.8, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lines (doc_id, th, line, l1, l2) and, for each l1 and l2 that is met again or linked, first: the occurrence of its group that stays; exact: see digest."""
     keyed = documents(docs).withColumn("th", F.xxhash64("text"))
     found = staged(lines(keyed, threshold), "lines")
     once = found.groupBy("l1", "l2").agg(F.min(F.struct("doc_id", "line", "th")).alias("rep"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.count("*").alias("c"))
@@ -564,6 +654,10 @@ def groups(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFram
         if more.limit(1).count():
             labels = components(edges.unionByName(more))
         unstage(inside, more)
+    if exact:
+        more = _all_links(known, labels, keyed, threshold)
+        labels = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more))
+        unstage(more)
     unstage(listed, large)
     named = known.join(labels.withColumnRenamed("v", "lid").hint("merge"), "lid", "left").where("c > 1 or label is not null")
     named = staged(named.select("l1", "l2", "rep", F.coalesce("label", "lid").alias("label")), "named")
@@ -573,9 +667,9 @@ def groups(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFram
     return found, firsts
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = 0.8, exact: bool = False) -> DataFrame:
     """doc_id, th and removed (numbers of the lines that go) of each document that loses lines."""
-    found, firsts = groups(docs, threshold)
+    found, firsts = groups(docs, threshold, exact)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("th") == F.col("first.th"))
     gone = found.join(firsts.hint("merge"), ["l1", "l2"]).where(~stays)
     out = staged(gone.groupBy("doc_id", "th").agg(F.collect_list("line").alias("removed")), "removed")
@@ -589,9 +683,13 @@ def _kept(text: str, removed: list[int] | None) -> tuple[str, int]:
     return "\n".join(x for k, x in enumerate(own) if k not in gone), len(own)
 
 
-def digest(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_lines, n_removed and kept_sha256 (of the lines that stay, joined by line ends) of every document."""
-    removed = removed_lines(docs, threshold).withColumnsRenamed({"doc_id": "r_id", "th": "r_th"})
+def digest(docs: DataFrame, threshold: float = 0.8, exact: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed and kept_sha256 (of the lines that stay, joined by line ends) of every document.
+
+    exact: after the blocks, lines of different groups are compared whether they
+    share a block or not, so that no similar pair is left out; the work is the square of the lines.
+    """
+    removed = removed_lines(docs, threshold, exact).withColumnsRenamed({"doc_id": "r_id", "th": "r_th"})
     keyed = documents(docs).withColumn("th", F.xxhash64("text"))
 
     def run(batches):
@@ -607,9 +705,9 @@ def digest(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
-def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs, all columns, with the lines that go taken out of text."""
-    removed = removed_lines(docs, threshold).withColumnsRenamed({"doc_id": "__r_id", "th": "__r_th", "removed": "__removed"})
+def keep_first(docs: DataFrame, threshold: float = 0.8, exact: bool = False) -> DataFrame:
+    """docs, all columns, with the lines that go taken out of text; exact as in digest."""
+    removed = removed_lines(docs, threshold, exact).withColumnsRenamed({"doc_id": "__r_id", "th": "__r_th", "removed": "__removed"})
     on = docs["doc_id"].cast("long").eqNullSafe(removed["__r_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == removed["__r_th"])
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("__removed", k)), "\n")
     return docs.join(removed.hint("merge"), on, "left").withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
