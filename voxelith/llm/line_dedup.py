@@ -219,7 +219,7 @@ def lines(keyed: DataFrame, threshold: float) -> DataFrame:
 
 
 def _held(batches):
-    """Block, l1 and l2 of the lines of the batches, a line once, about _HELD blocks at a time."""
+    """Block and l1 of the lines of the batches, a line once, about _HELD blocks at a time."""
     kept, size = [], 0
     for batch in batches:
         kept.append(batch)
@@ -231,7 +231,7 @@ def _held(batches):
         yield _expanded(kept)
 
 
-def _expanded(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _expanded(batches) -> tuple[np.ndarray, np.ndarray]:
     table = pa.Table.from_batches(batches).combine_chunks()
     l1, l2 = (table.column(c).to_numpy() for c in ("l1", "l2"))
     order = np.lexsort((l2, l1))
@@ -240,7 +240,7 @@ def _expanded(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = pc.take(table.column("blocks"), pa.array(use)).combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(), np.repeat(l1[use], n), np.repeat(l2[use], n)
+    return lists.flatten().to_numpy(), np.repeat(l1[use], n)
 
 
 def _ends(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,7 +260,10 @@ def _dealt(to: np.ndarray, rows: np.ndarray, kind: int) -> pa.RecordBatch:
 
 
 def shared_blocks(found: DataFrame) -> DataFrame:
-    """h, l1, l2: the lines of every block that different lines have; a line may come several times."""
+    """h, l1: the lines of every block that different lines have; a line may come several times.
+
+    Half of the digest goes along: lines that agree on it would get each other's blocks as well, which only adds pairs to compare.
+    """
     spark = found.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(tasks, found.count() * 10 // _PART + 1)  # so that a task's part of the blocks stays as large however many lines there are
@@ -271,9 +274,11 @@ def shared_blocks(found: DataFrame) -> DataFrame:
         return (mix64(h.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
     def ends(batches):
-        for h, l1, _ in _held(batches):
+        for h, l1 in _held(batches):
             h, low, high = _ends(h, l1, l1)
-            yield _dealt(part_of(h), np.stack((h, low, high), axis=1), 0)
+            several = low != high
+            h, l1 = np.concatenate((h, h[several])), np.concatenate((low, high[several]))
+            yield _dealt(part_of(h), np.stack((h, l1), axis=1), 0)
 
     def repeated(batches):
         held, last = [], None
@@ -283,12 +288,13 @@ def shared_blocks(found: DataFrame) -> DataFrame:
                     yield keys(last, held)
                     held = []
                 last = to
-                held.append(np.frombuffer(data, dtype=np.int64).reshape(-1, 3))
+                held.append(np.frombuffer(data, dtype=np.int64).reshape(-1, 2))
         if held:
             yield keys(last, held)
 
     def keys(to, held):
-        h, low, high = _ends(*np.concatenate(held).T)
+        h, l1 = np.concatenate(held).T
+        h, low, high = _ends(h, l1, l1)
         some = h[low != high]
         return pa.RecordBatch.from_arrays([pa.array([to * _STREAMS + k for k in range(_STREAMS)], pa.int64()), pa.array([0] * _STREAMS, pa.int32()), pa.array([some.tobytes()] * _STREAMS, pa.binary())], names=["to", "kind", "data"])
 
@@ -297,9 +303,9 @@ def shared_blocks(found: DataFrame) -> DataFrame:
 
     def rows(batches):
         turn = TaskContext.get().partitionId()
-        for h, l1, l2 in _held(batches):
+        for h, l1 in _held(batches):
             turn += 1
-            yield _dealt(part_of(h) * _STREAMS + turn % _STREAMS, np.stack((h, l1, l2), axis=1), 1)
+            yield _dealt(part_of(h) * _STREAMS + turn % _STREAMS, np.stack((h, l1), axis=1), 1)
 
     def chosen(batches):
         own, at = np.zeros(0, np.int64), None
@@ -309,13 +315,13 @@ def shared_blocks(found: DataFrame) -> DataFrame:
                 if kind == 0:
                     own, at = x, to
                 elif to == at and len(own):
-                    x = x.reshape(-1, 3)
+                    x = x.reshape(-1, 2)
                     x = x[own[np.minimum(np.searchsorted(own, x[:, 0]), len(own) - 1)] == x[:, 0]]
                     if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(x.T)], names=["h", "l1", "l2"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(x.T)], names=["h", "l1"])
 
     both = met.unionByName(entries.mapInArrow(rows, schema))
-    out = both.repartition(parts, "to").sortWithinPartitions("to", "kind").mapInArrow(chosen, "h long, l1 long, l2 long")
+    out = both.repartition(parts, "to").sortWithinPartitions("to", "kind").mapInArrow(chosen, "h long, l1 long")
     out._needs = met
     return out
 
@@ -353,10 +359,14 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
-def _word_bound(a: str, b: str) -> int:
+def _place_bound(x: list[str], y: list[str]) -> int:
+    """An upper bound of the edit distance of two texts of as many words: words that differ are replaced where they stand."""
+    return sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q)
+
+
+def _word_bound(x: list[str], y: list[str]) -> int:
     """An upper bound of the edit distance in near-linear time: words that each text has once are laid side by side
     as far as their order agrees, and what lies between two of them is replaced unless it is equal."""
-    x, y = a.split(" "), b.split(" ")
     once_x, once_y = (({w: k for k, w in enumerate(z) if n[w] == 1}) for z, n in ((x, Counter(x)), (y, Counter(y))))
     pairs = [(k, once_y[w]) for w, k in once_x.items() if w in once_y]
     tails, ends, before = [], [], [-1] * len(pairs)  # longest rising run of places in y
@@ -395,7 +405,8 @@ def similar(a: str, b: str, threshold: float, bigrams=_bigrams) -> bool:
     if abs(len(a) - len(b)) > limit:
         return False
     if longest >= 80:
-        if _word_bound(a, b) <= limit:
+        x, y = a.split(" "), b.split(" ")
+        if len(x) == len(y) and _place_bound(x, y) <= limit or _word_bound(x, y) <= limit:
             return True
         if np.abs(bigrams(a) - bigrams(b)).sum() > 4 * limit:
             return False
@@ -635,7 +646,7 @@ def groups(docs: DataFrame, threshold: float = 0.8, exact: bool = False) -> tupl
     once = found.groupBy("l1", "l2").agg(F.min(F.struct("doc_id", "line", "th")).alias("rep"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.count("*").alias("c"))
     known = staged(once.withColumn("lid", F.monotonically_increasing_id()), "known")
     met = shared_blocks(found)
-    listed = met.groupBy("l1", "l2").agg(F.collect_set("h").alias("blocks")).join(known.hint("merge"), ["l1", "l2"])
+    listed = met.groupBy("l1").agg(F.collect_set("h").alias("blocks")).join(known.hint("merge"), "l1")
     listed = staged(listed.select("lid", "sim", "size", "rep", "blocks"), "listed")
     unstage(met._needs)
     spread = listed.select("lid", F.col("lid").alias("label"), "sim", "size", "blocks", F.explode("blocks").alias("h"))
