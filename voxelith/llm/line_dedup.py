@@ -22,8 +22,8 @@ the first occurrence stays (smallest doc_id, then line number), all others go.
    lines of those blocks out as a stream. So a hot block costs no task memory.
 3. Blocks of over UNIT lines are dealt into parts, which are units; a pair of lines
    belongs to the smallest block that they share. Lines with a near line in a unit
-   fetch their text; units verify pairs, the nearest first, skip those that are
-   connected already, and put out spanning forests, never pairs.
+   fetch their text, once; units verify pairs, many units' at a time, the nearest first, skip
+   those that are connected already, and put out spanning forests, never pairs.
 4. Forests are joined to connected groups. Of large blocks that still hold lines of
    different groups, each pair of parts is then a unit as well; as parts differ from
    block to block, groups of many near lines are mostly whole by then.
@@ -41,7 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +63,13 @@ LONG, USED, FEW = 32, 16, 2
 BITS, DISTANCE, UNIT, WORDS, WIDE = 48, 12, 512, 4, 16
 #: The four bits of a number spread to the four 16-bit parts of 64 bits, so that four bits are counted in one sum.
 _LANES = np.array([sum((x >> b & 1) << 16 * b for b in range(4)) for x in range(16)], dtype=np.uint64)
+#: Likewise the eight bits of a number spread to bytes, for classes of up to 127 words; and what takes each byte's lowest bit together.
+_BYTES = np.array([sum((x >> b & 1) << 8 * b for b in range(8)) for x in range(256)], dtype=np.uint64)
+_LOWEST, _TOGETHER = np.uint64(0x0101010101010101), np.uint64(0x0102040810204080)
 #: Blocks held at once while they are dealt; blocks a part should hold; streams of a part.
 _HELD, _PART, _STREAMS = 1 << 20, 1 << 20, 4
+#: Pairs of lines compared at once, and their characters; characters of the units that ask for pairs together.
+GATHERED, _MASKS, _ASKING = 2048, 1 << 20, 1 << 25
 #: Lines and characters of a block of the exact comparison.
 BLOCK, _CHARACTERS = 512, 1 << 22
 _BLANKS = r"[\s\p{Z}]+"
@@ -119,6 +124,14 @@ def _signs(sums: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _byte_signs(sums: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """_signs of sums in bytes: twice the sum is above the count where the highest bit of 2 sum + 127 - count is set."""
+    out, lift = np.zeros(len(counts), np.uint64), (127 - counts).astype(np.uint64) * _LOWEST
+    for k, x in enumerate(sums):
+        out |= (((x << np.uint64(1)) + lift >> np.uint64(7) & _LOWEST) * _TOGETHER >> np.uint64(56)) << np.uint64(8 * k)
+    return out
+
+
 def ladder(longest: float) -> list[tuple[int, int]]:
     """LADDER and its steps beyond, up to lines of the given length."""
     out = list(LADDER)
@@ -140,6 +153,7 @@ def fingerprints(lines: pa.Array, threshold: float) -> tuple[np.ndarray, pa.List
     words, codes, offsets = words_of(_features(lines, sizes))
     h = _word_hashes(words)
     lanes = [_LANES[(h >> np.uint64(k) & np.uint64(15)).astype(np.intp)] for k in range(0, BITS, 4)]
+    octets = [_BYTES[(h >> np.uint64(k) & np.uint64(255)).astype(np.intp)] for k in range(0, BITS, 8)]
     high = (h >> np.uint64(BITS)).astype(np.int64)
     levels = ladder(float(sizes.max(initial=0)) / threshold)
     steps = [a for a, _ in levels]
@@ -157,14 +171,25 @@ def fingerprints(lines: pa.Array, threshold: float) -> tuple[np.ndarray, pa.List
         slot, picked = np.divmod(pairs, len(words))
         first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
         slot, counts = slot[first], np.diff(np.append(first, len(slot)))
-        sums = [np.add.reduceat(lane[picked], first) for lane in lanes]
+        few = counts.max() <= 127
+        sums = [np.add.reduceat(lane[picked], first) for lane in (octets if few else lanes)]
         shown = np.flatnonzero((slot % classes < USED) & ((counts >= FEW) | (level < len(LADDER))))
-        signs = _signs([x[shown] for x in sums], counts[shown])
+        signs = (_byte_signs if few else _signs)([x[shown] for x in sums], counts[shown])
         blocks.append(mix64(signs | counts[shown].astype(np.uint64) << np.uint64(BITS)) + mix64((level << 32 | slot[shown] % classes).astype(np.uint64)))
         owners.append(use[slot[shown] // classes])
+        if not (own[use] == level).any():
+            continue
         line = np.flatnonzero(np.append(True, slot[1:] // classes != slot[:-1] // classes))
         total = np.add.reduceat(counts, line)
-        whole = _signs([np.add.reduceat(x, line) for x in sums], total)
+        if few:  # bytes to 16 bits, every other bit in a sum
+            whole = np.zeros(len(line), np.uint64)
+            for k, x in enumerate(sums):
+                for odd in (0, 1):
+                    signs = np.add.reduceat(x >> np.uint64(8 * odd) & np.uint64(0x00FF00FF00FF00FF), line)
+                    for b in range(4):
+                        whole |= (2 * (signs >> np.uint64(16 * b) & np.uint64(0xFFFF)) > total.astype(np.uint64)).astype(np.uint64) << np.uint64(8 * k + 2 * b + odd)
+        else:
+            whole = _signs([np.add.reduceat(x, line) for x in sums], total)
         ends = np.append(first[line[1:]], len(picked))
         for k in np.flatnonzero(total > 0xFFFF):  # more words than the sums of 16 bits hold
             whole[k] = _whole(h[picked[first[line[k]] : ends[k]]])
@@ -185,8 +210,8 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return lists.flatten(), owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def lines(keyed: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, th, line, l1, l2 (digest of the normalised line), sim, size (characters), blocks of each non-empty line."""
+def lines(keyed: DataFrame, threshold: float, packed: bool = False) -> DataFrame:
+    """doc_id, th, line, l1, l2 (digest of the normalised line), sim, size (characters), blocks of each non-empty line; packed: blocks as bytes."""
 
     def run(batches):
         for batch in batches:
@@ -197,9 +222,12 @@ def lines(keyed: DataFrame, threshold: float) -> DataFrame:
                 use = np.flatnonzero(pc.greater(pc.binary_length(norm), 0).to_numpy(zero_copy_only=False))
                 if not len(use):
                     continue
-                norm = norm.take(pa.array(use))
-                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norm.to_pylist())), dtype=np.int64).reshape(-1, 2)
+                coded = norm.take(pa.array(use)).dictionary_encode()
+                norm, code = coded.dictionary, coded.indices.to_numpy()
+                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norm.to_pylist())), dtype=np.int64).reshape(-1, 2)[code]
                 sims, blocks = fingerprints(norm, threshold)
+                if packed:
+                    blocks = pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.array(blocks.offsets.to_numpy() * 8, pa.int32()).buffers()[1], blocks.values.buffers()[1]])
                 pick = pa.array(owner[use])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -208,14 +236,21 @@ def lines(keyed: DataFrame, threshold: float) -> DataFrame:
                         pa.array(number[use], pa.int32()),
                         pa.array(digest[:, 0]),
                         pa.array(digest[:, 1]),
-                        pa.array(sims),
-                        pc.utf8_length(norm).cast(pa.int32()),
-                        blocks,
+                        pa.array(sims[code]),
+                        pc.utf8_length(norm).cast(pa.int32()).take(coded.indices),
+                        blocks.take(coded.indices),
                     ],
                     names=["doc_id", "th", "line", "l1", "l2", "sim", "size", "blocks"],
                 )
 
-    return keyed.mapInArrow(run, "doc_id long, th long, line int, l1 long, l2 long, sim long, size int, blocks array<long>")
+    return keyed.mapInArrow(run, f"doc_id long, th long, line int, l1 long, l2 long, sim long, size int, blocks {'binary' if packed else 'array<long>'}")
+
+
+def _counts(blocks: pa.Array) -> np.ndarray:
+    """How many blocks each line has, in lists or packed."""
+    packed = pa.types.is_binary(blocks.type)
+    n = (pc.binary_length if packed else pc.list_value_length)(blocks).to_numpy(zero_copy_only=False)
+    return n // 8 if packed else n
 
 
 def _held(batches):
@@ -223,7 +258,7 @@ def _held(batches):
     kept, size = [], 0
     for batch in batches:
         kept.append(batch)
-        size += len(batch.column("blocks").flatten())
+        size += int(np.sum(_counts(batch.column("blocks"))))
         if size >= _HELD:
             yield _expanded(kept)
             kept, size = [], 0
@@ -239,8 +274,8 @@ def _expanded(batches) -> tuple[np.ndarray, np.ndarray]:
     use = order[new]
     lists = pc.take(table.column("blocks"), pa.array(use)).combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(), np.repeat(l1[use], n)
+    h = np.frombuffer(b"".join(lists.to_pylist()), dtype=np.int64) if pa.types.is_binary(lists.type) else lists.flatten().to_numpy()
+    return h, np.repeat(l1[use], _counts(lists))
 
 
 def _ends(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,6 +394,68 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
+def edits_within(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
+    """edit_within for each pair of texts, of at most GATHERED pairs of like length: bit-parallel columns in words of 64 rows, of all pairs at once.
+
+    Only words within the largest limit of the diagonal are kept up, as no path of so few edits leaves them.
+    """
+    m, n = (np.array([len(x) for x in z]) for z in (a, b))
+    chars = [np.frombuffer("".join(z).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for z in (a, b)]
+    count, words, reach = len(a), int(m.max() + 63) // 64, int(limits.max())
+    code = np.zeros(0x110000, np.int32)
+    code[chars[0]] = 1
+    used = np.flatnonzero(code)
+    code[used] = np.arange(1, len(used) + 1)  # 0: not in any of the first texts
+    wide = len(used) + 1
+    place = np.arange(len(chars[0])) - np.repeat(np.cumsum(m) - m, m)
+    masks = np.zeros((words, count * wide), np.uint64)
+    np.add.at(masks.reshape(-1), place // 64 * (count * wide) + np.repeat(np.arange(count) * wide, m) + code[chars[0]], np.uint64(1) << (place % 64).astype(np.uint64))
+    column = np.tile(np.arange(count) * wide, (int(n.max()), 1))
+    column[np.arange(len(chars[1])) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(count), n)] += code[chars[1]]
+    rise, fall = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), np.uint64)
+    one, top = np.array(1, np.uint64), np.array(63, np.uint64)
+    ending, out, active, score = defaultdict(list), np.zeros(count, bool), 0, np.zeros(count, np.int64)
+    for k, x in enumerate(n.tolist()):
+        ending[x].append(k)
+    for j in range(1, int(n.max()) + 1):
+        low, high = max(0, (j - reach - 1) // 64), min(words, (j + reach - 1) // 64 + 1)
+        score += 64 * (high - active)
+        active = high
+        same, up, down = masks[low:high].take(column[j - 1], axis=1), rise[low:high], fall[low:high]
+        level = same & up
+        vertical = same | down
+        total = level + up
+        carry = total < level
+        for w in range(1, high - low):
+            total[w] += carry[w - 1]
+            carry[w] |= total[w] < carry[w - 1]
+        total ^= up
+        total |= same
+        more = total | up
+        np.invert(more, out=more)
+        more |= down
+        total &= up  # less
+        high_more, high_less = more >> top, total >> top
+        score += high_more[-1].astype(np.int64)
+        score -= high_less[-1].astype(np.int64)
+        more <<= one
+        total <<= one
+        more[0] |= one
+        more[1:] |= high_more[:-1]
+        total[1:] |= high_less[:-1]
+        np.bitwise_and(more, vertical, out=down)
+        more |= vertical
+        np.invert(more, out=more)
+        np.bitwise_or(total, more, out=up)
+        for k in ending.get(j, ()):  # down to the row of the text's end
+            at, shift, below = (int(m[k]) - 1) // 64, (int(m[k]) - 1) % 64 + 1, 0
+            for w in range(at, high):
+                below += (int(rise[w, k]) >> shift).bit_count() - (int(fall[w, k]) >> shift).bit_count()
+                shift = 0
+            out[k] = score[k] - below <= limits[k]
+    return out
+
+
 def _place_bound(x: list[str], y: list[str]) -> int:
     """An upper bound of the edit distance of two texts of as many words: words that differ are replaced where they stand."""
     return sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q)
@@ -423,29 +520,90 @@ def _near(labels: np.ndarray, sims: np.ndarray, sizes: np.ndarray, threshold: fl
     return a[order], b[order], differ[a, b][order]
 
 
-def spanning_forest(labels: np.ndarray, sims: np.ndarray, sizes: np.ndarray, norm: list[str], threshold: float) -> list[tuple[int, int]]:
-    """Links that connect the lines of a unit as far as all its similar pairs would; pairs that are connected already are not compared."""
-    if len(norm) == 2:  # most units
-        near = labels[0] != labels[1] and int(sims[0] ^ sims[1]).bit_count() <= DISTANCE
-        return [(0, 1)] if near and similar(norm[0], norm[1], threshold) else []
-    counts: dict[str, np.ndarray] = {}
+def all_similar(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """similar for each pair of texts: pairs that no bound decides are compared together, those of like length at once."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    longest = sizes.max(axis=1, initial=0)
+    limits = ((1 - threshold) * longest + 1e-9).astype(np.int64)
+    out, left = np.zeros(len(a), bool), []
+    for k in np.flatnonzero(np.abs(sizes[:, 0] - sizes[:, 1]) <= limits).tolist():
+        x, y = a[k].split(" "), b[k].split(" ")
+        if len(x) == len(y) and _place_bound(x, y) <= limits[k]:
+            out[k] = True
+        else:
+            left.append(k)
+    left = np.array(left, dtype=np.int64)[np.argsort(longest[left], kind="stable")] if left else np.zeros(0, np.int64)
+    at = 0
+    while at < len(left):
+        size = int(longest[left[at]])
+        held = max(1, min(GATHERED, _MASKS // (size + 64)))
+        use = left[at : at + held]
+        use = use[longest[use] <= size * 1.25 + 16]
+        at += len(use)
+        x, y = [a[k] for k in use.tolist()], [b[k] for k in use.tolist()]
+        band = min(size // 64 + 1, 2 * int(limits[use].max()) // 64 + 2)
+        if len(use) < 8 * band or len(set().union(*x)) > 256:
+            out[use] = [similar(p, q, threshold) for p, q in zip(x, y, strict=True)]
+        else:
+            out[use] = edits_within(x, y, limits[use])
+    return out
 
-    def bigrams(x):
-        if x not in counts:
-            counts[x] = _bigrams(x)
-        return counts[x]
 
-    _, group = np.unique(labels, return_inverse=True)
-    a, b, distance = _near(group, sims, sizes, threshold)
-    links, at = [], 0
-    while at < len(a):
-        for x, y in zip(a[at : at + 64].tolist(), b[at : at + 64].tolist(), strict=True):
-            if group[x] != group[y] and similar(norm[x], norm[y], threshold, bigrams):
-                group[group == group[y]] = group[x]
-                links.append((x, y))
-        at += 64
-        open_pairs = group[a[at:]] != group[b[at:]]
-        a, b, at = a[at:][open_pairs], b[at:][open_pairs], 0
+def _would_join(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Of open pairs, those that a spanning forest would take if all were similar."""
+    root, left, out = list(range(int(group.max()) + 1)), len(set(group.tolist())), []
+    for k, (x, y) in enumerate(zip(group[a].tolist(), group[b].tolist(), strict=True)):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            out.append(k)
+            left -= 1
+            if left == 1:
+                break
+    return out
+
+
+def spanning_forests(units: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]], threshold: float) -> list[list[tuple[int, int]]]:
+    """For each unit (labels, sims, sizes, lines), links that connect its lines as far as all its similar pairs would.
+
+    Units are asked in rounds, all together: for the pairs that would join them, and after a round
+    that failed to, for the next nearest as well, ever more of them. Pairs that are connected already are not compared.
+    """
+    links, waiting = [[] for _ in units], []
+    for u, (labels, sims, sizes, norm) in enumerate(units):
+        if len(norm) == 2:  # most units
+            small, large = sorted(sizes.tolist())
+            if labels[0] != labels[1] and int(sims[0] ^ sims[1]).bit_count() <= DISTANCE and small >= threshold * large - 1e-9:
+                waiting.append((u, np.arange(2), np.zeros(1, np.int64), np.ones(1, np.int64), 0))
+        else:
+            _, group = np.unique(labels, return_inverse=True)
+            a, b, _ = _near(group, sims, sizes, threshold)
+            if len(a):
+                waiting.append((u, group, a, b, 0))
+    while waiting:
+        asked, x, y = [], [], []
+        for u, group, a, b, extra in waiting:
+            use = np.union1d(np.arange(min(extra, len(a))), np.array(_would_join(group, a, b), dtype=np.int64))
+            asked.append(use)
+            norm = units[u][3]
+            x += [norm[k] for k in a[use].tolist()]
+            y += [norm[k] for k in b[use].tolist()]
+        yes, at, later = all_similar(x, y, threshold), 0, []
+        for (u, group, a, b, extra), use in zip(waiting, asked, strict=True):
+            for k in use[yes[at : at + len(use)]].tolist():
+                p, q = group[a[k]], group[b[k]]
+                if p != q:
+                    group[group == q] = p
+                    links[u].append((int(a[k]), int(b[k])))
+            at += len(use)
+            still = group[a] != group[b]
+            still[use] = False
+            if still.any():
+                later.append((u, group, a[still], b[still], min(max(16, 4 * extra), 4096)))
+        waiting = later
     return links
 
 
@@ -467,12 +625,21 @@ def _with_near(rows: pa.RecordBatch, starts: np.ndarray, threshold: float) -> np
     bounds, flat = blocks.offsets.to_numpy(), blocks.values.to_numpy()
     starts = starts[starts < n]
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-    found, known = np.zeros(n, dtype=bool), {}
-
-    def own(k):
-        if k not in known:
-            known[k] = frozenset(flat[bounds[k] : bounds[k + 1]].tolist())
-        return known[k]
+    found = np.zeros(n, dtype=bool)
+
+    def elsewhere(x, y):
+        """Which pairs share a block that is smaller than their unit's, and so belong there."""
+        side, pair = np.concatenate((x, y)), np.tile(np.arange(len(x)), 2)
+        count = bounds[side + 1] - bounds[side]
+        block = flat[np.repeat(bounds[side] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        pair = np.repeat(pair, count)
+        use = block < h[x][pair]
+        block, pair = block[use], pair[use]
+        order = np.lexsort((block, pair))
+        block, pair = block[order], pair[order]
+        out = np.zeros(len(x), dtype=bool)
+        out[pair[1:][(block[1:] == block[:-1]) & (pair[1:] == pair[:-1])]] = True
+        return out
 
     a, shift = np.arange(n), 0
     while True:
@@ -484,9 +651,10 @@ def _with_near(rows: pa.RecordBatch, starts: np.ndarray, threshold: float) -> np
         x = a[near]
         y = x + shift
         ok = (label[x] != label[y]) & (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9) & ~(found[x] & found[y])
-        for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
-            if not (found[p] and found[q]) and min(own(p) & own(q)) == h[p]:
-                found[p] = found[q] = True
+        x, y = x[ok], y[ok]
+        if len(x):
+            own = ~elsewhere(x, y)
+            found[x[own]] = found[y[own]] = True
 
 
 def _whole_units(batches):
@@ -524,36 +692,56 @@ def _fetch(names: list[str]):
     return run
 
 
-def _links(units: DataFrame, keyed: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
-    """a, b: spanning forests of units (h, i, j, lid, label, sim, size, blocks). places: lid and rep, where a line's text is."""
+def _needed(units: DataFrame, threshold: float) -> DataFrame:
+    """Of units (h, i, j, lid, label, sim, size, blocks), the lines that have a near line of their own there."""
 
     def select(batches):
         for rows, starts in _whole_units(batches):
             yield rows.take(pa.array(_with_near(rows, starts, threshold))).drop_columns(["blocks"])
 
     schema = "h long, i int, j int, lid long, label long, sim long, size int"
-    needed = staged(units.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(select, schema), "needed")
-    by_line = needed.groupBy("lid").agg(F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("label").alias("label"), F.collect_list(F.struct(*_KEY)).alias("units")).join(places.select("lid", "rep").hint("merge"), "lid")
+    return staged(units.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(select, schema), "needed")
+
+
+def _texts(needed: DataFrame, later: DataFrame | None, keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """lid, label, sim, size, units and norm of the needed lines, and of those (lid, label, sim, size) that may be needed later. places: lid and rep, where a line's text is."""
+    asked = needed.select("lid", "label", "sim", "size", F.struct(*_KEY).alias("unit"))
+    if later is not None:
+        asked = asked.unionByName(later, allowMissingColumns=True)
+    by_line = asked.groupBy("lid").agg(F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("label").alias("label"), F.collect_list("unit").alias("units")).join(places.select("lid", "rep").hint("merge"), "lid")
     line = F.struct(F.col("rep.line").alias("line"), "lid", "label", "sim", "size", "units")
     by_doc = staged(by_line.groupBy(F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")).agg(F.collect_list(line).alias("wanted")), "wanted")
     texts = keyed.join(by_doc.hint("merge"), keyed["doc_id"].eqNullSafe(by_doc["r_id"]) & (keyed["th"] == by_doc["r_th"])).select("text", "wanted")
+    filled = texts.mapInArrow(_fetch(["lid", "label", "sim", "size", "units"]), "lid long, label long, sim long, size int, units array<struct<h: long, i: int, j: int>>, norm string")
+    filled = staged(filled, "texts")
+    unstage(by_doc)
+    return filled
+
+
+def _links(sent: DataFrame, threshold: float) -> DataFrame:
+    """a, b: spanning forests of units (h, i, j, lid, label, sim, size, norm)."""
 
     def verify(batches):
+        units, held = [], 0
         for rows, starts in _whole_units(batches):
             lid, label, sim, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lid", "label", "sim", "size"))
-            norm, edges = rows.column("norm").to_pylist(), []
+            norm = rows.column("norm").to_pylist()
             for p, q in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
-                use = p + np.unique(lid[p:q], return_index=True)[1]  # rows repeated in the input
-                forest = spanning_forest(label[use], sim[use], size[use], [norm[k] for k in use.tolist()], threshold)
-                edges += [(int(lid[use[x]]), int(lid[use[y]])) for x, y in forest]
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+                use = p + np.unique(lid[p:q], return_index=True)[1] if q > p + 1 else np.array([p])  # rows repeated in the input
+                units.append((lid[use], (label[use], sim[use], size[use], [norm[k] for k in use.tolist()])))
+            held += int(size.sum(dtype=np.int64))
+            if held > _ASKING:
+                yield from forests(units)
+                units, held = [], 0
+        yield from forests(units)
 
-    filled = texts.mapInArrow(_fetch(["lid", "label", "sim", "size", "units"]), "lid long, label long, sim long, size int, units array<struct<h: long, i: int, j: int>>, norm string")
-    sent = filled.withColumn("u", F.explode("units")).select("u.*", "lid", "label", "sim", "size", "norm")
-    edges = staged(sent.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(verify, "a long, b long"), "edges")
-    unstage(needed, by_doc)
-    return edges
+    def forests(units):
+        found = spanning_forests([u for _, u in units], threshold)
+        edges = [(int(lid[x]), int(lid[y])) for (lid, _), forest in zip(units, found, strict=True) for x, y in forest]
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+
+    return staged(sent.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(verify, "a long, b long"), "edges")
 
 
 def _triples(norm: list[str]) -> np.ndarray:
@@ -642,7 +830,7 @@ def _all_links(known: DataFrame, labels: DataFrame, keyed: DataFrame, threshold:
 def groups(docs: DataFrame, threshold: float = 0.8, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, th, line, l1, l2) and, for each l1 and l2 that is met again or linked, first: the occurrence of its group that stays; exact: see digest."""
     keyed = documents(docs).withColumn("th", F.xxhash64("text"))
-    found = staged(lines(keyed, threshold), "lines")
+    found = staged(lines(keyed, threshold, packed=True), "lines")
     once = found.groupBy("l1", "l2").agg(F.min(F.struct("doc_id", "line", "th")).alias("rep"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.count("*").alias("c"))
     known = staged(once.withColumn("lid", F.monotonically_increasing_id()), "known")
     met = shared_blocks(found)
@@ -653,18 +841,23 @@ def groups(docs: DataFrame, threshold: float = 0.8, exact: bool = False) -> tupl
     large = staged(spread.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > UNIT).select("h", F.ceil(F.col("c") / UNIT).cast("int").alias("parts")), "large")
     part = F.pmod(F.xxhash64("lid", "h"), F.coalesce("parts", F.lit(1))).cast("int")  # other parts in other blocks, which so join them
     units = spread.join(large, "h", "left").withColumn("i", part).withColumn("j", F.col("i"))
-    edges = _links(units.select(*_KEY, "lid", "label", "sim", "size", "blocks"), keyed, listed, threshold)
+    needed = _needed(units.select(*_KEY, "lid", "label", "sim", "size", "blocks"), threshold)
+    hot = large.limit(1).count() > 0
+    texts = _texts(needed, spread.join(large, "h", "left_semi").select("lid", "label", "sim", "size") if hot else None, keyed, listed)
+    edges = _links(texts.withColumn("u", F.explode("units")).select("u.*", "lid", "label", "sim", "size", "norm"), threshold)
     labels = components(edges)
-    if large.limit(1).count():  # lines of different parts that are not connected yet
+    if hot:  # lines of different parts that are not connected yet
         now = F.coalesce("named", "lid").alias("label")
         inside = spread.drop("label").join(large, "h").join(labels.select(F.col("v").alias("lid"), F.col("label").alias("named")).hint("merge"), "lid", "left").select("lid", now, "sim", "size", "blocks", "h", "parts")
         inside = staged(inside, "inside")
         several = inside.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
         dealt = inside.join(several, "h", "left_semi").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> other")
-        more = _links(dealt.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "lid", "label", "sim", "size", "blocks"), keyed, listed, threshold)
+        apart = _needed(dealt.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "lid", "label", "sim", "size", "blocks"), threshold)
+        more = _links(apart.join(texts.select("lid", "norm").hint("merge"), "lid"), threshold)
         if more.limit(1).count():
-            labels = components(edges.unionByName(more))
-        unstage(inside, more)
+            labels = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more))
+        unstage(inside, apart, more)
+    unstage(needed, texts)
     if exact:
         more = _all_links(known, labels, keyed, threshold)
         labels = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more))
