@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelith.operators.kernels import elastic_modes, nma_frame, random_frame
+from voxelith.operators.kernels import elastic_modes, nma_frames, random_frames
+from voxelith.staging import staged
 
 MIN_ANCHORS = 6
 
@@ -82,7 +83,7 @@ def resolve_backend(name: str = "auto", among: Mapping[str, Backend] | None = No
 def _random_frames(s: Structure, n: int, options: Mapping) -> list[np.ndarray]:
     seed = options.get("seed", 0)
     sigmas = noise_levels(n, options.get("levels"))
-    return [random_frame(s.xyz, s.xyz[s.is_anchor], sigmas[i], seed + 1000 * (i + 1)) for i in range(n)]
+    return random_frames(s.xyz, s.xyz[s.is_anchor], sigmas, [seed + 1000 * (i + 1) for i in range(n)])
 
 
 def _spring_rows(n: int, springs):
@@ -106,7 +107,7 @@ def _nma_frames(s: Structure, n: int, options: Mapping) -> list[np.ndarray]:
         return _random_frames(s, n, options)
     gamma = 1.0 if s.springs is None else _spring_rows(len(anchors), s.springs)
     values, modes = elastic_modes(anchors, options.get("n_modes", 10), gamma=gamma)
-    return [nma_frame(s.xyz, anchors, values, modes, i, n, options.get("max_rmsd", 2.0), options.get("seed", 0)) for i in range(n)]
+    return nma_frames(s.xyz, anchors, values, modes, n, options.get("max_rmsd", 2.0), options.get("seed", 0))
 
 
 register_backend("random", _random_frames)

@@ -525,30 +525,46 @@ def contact_modes(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor
 
 
 def propagate(points: np.ndarray, anchors: np.ndarray, moves: np.ndarray, sigma: float = 5.0, chunk: int = 2048) -> np.ndarray:
-    """Moves of anchors carried to points by Gaussian weights, some points at a time: fewer where there are many anchors."""
-    out = np.empty_like(points)
-    chunk = max(1, min(chunk, (1 << 20) // max(1, len(anchors))))
+    """Moves of anchors carried to points by Gaussian weights, some points at a time: fewer where there are many anchors.
+
+    moves may have three columns for each of several frames, which share the weights.
+    """
+    out = np.empty((len(points), moves.shape[1]))
+    chunk = max(1, min(chunk, (1 << 18) // max(1, len(anchors))))
+    middle = anchors.mean(axis=0)
+    near, scale = np.ascontiguousarray((anchors - middle).T), 2 * sigma * sigma
     for a in range(0, len(points), chunk):
-        d2 = ((points[a : a + chunk, None, :] - anchors[None, :, :]) ** 2).sum(axis=2)
-        w = np.exp(-d2 / (2 * sigma * sigma))
+        at = points[a : a + chunk] - middle
+        w = np.zeros((len(at), len(anchors)))
+        for k in range(3):
+            d = at[:, k, None] - near[k]
+            d *= d
+            w -= d
+        w /= scale
+        np.exp(w, out=w)
         out[a : a + chunk] = w @ moves / (w.sum(axis=1, keepdims=True) + 1e-8)
     return out
 
 
-def nma_frame(points: np.ndarray, anchors: np.ndarray, values: np.ndarray, modes: np.ndarray, i: int, n: int, max_rmsd: float = 2.0, seed: int = 0) -> np.ndarray:
-    """Frame i of n: random mode amplitudes, scaled so that the anchors' RMSD is (i + 1) / n of max_rmsd."""
-    rng = np.random.default_rng(seed + i)
-    c = rng.normal(0.0, 1.0 / np.sqrt(np.maximum(np.abs(values), 1e-12)))
-    move = np.tensordot(c, modes, axes=1)
-    rmsd = np.sqrt((move**2).sum(axis=1).mean())
-    if rmsd > 0:
-        move *= (i + 1) / n * max_rmsd / rmsd
-    return points + propagate(points, anchors, move)
+def nma_frames(points: np.ndarray, anchors: np.ndarray, values: np.ndarray, modes: np.ndarray, n: int, max_rmsd: float = 2.0, seed: int = 0) -> list[np.ndarray]:
+    """n frames: random mode amplitudes, those of frame i scaled so that the anchors' RMSD is (i + 1) / n of max_rmsd."""
+    moves = []
+    for i in range(n):
+        rng = np.random.default_rng(seed + i)
+        c = rng.normal(0.0, 1.0 / np.sqrt(np.maximum(np.abs(values), 1e-12)))
+        move = np.tensordot(c, modes, axes=1)
+        rmsd = np.sqrt((move**2).sum(axis=1).mean())
+        moves.append(move * ((i + 1) / n * max_rmsd / rmsd) if rmsd > 0 else move)
+    if not n:
+        return []
+    carried = propagate(points, anchors, np.concatenate(moves, axis=1))
+    return [points + carried[:, 3 * i : 3 * i + 3] for i in range(n)]
 
 
-def random_frame(points: np.ndarray, anchors: np.ndarray, sigma: float, seed: int) -> np.ndarray:
-    """Anchor noise smoothed over the points, or noise for each point where there are no anchors."""
-    rng = np.random.default_rng(seed)
-    if not len(anchors):
-        return points + rng.normal(0.0, sigma, points.shape)
-    return points + propagate(points, anchors, rng.normal(0.0, sigma, anchors.shape))
+def random_frames(points: np.ndarray, anchors: np.ndarray, sigmas: list[float], seeds: list[int]) -> list[np.ndarray]:
+    """Frames by anchor noise smoothed over the points, or by noise for each point where there are no anchors."""
+    noise = [np.random.default_rng(seed).normal(0.0, sigma, (anchors if len(anchors) else points).shape) for sigma, seed in zip(sigmas, seeds, strict=True)]
+    if not len(anchors) or not noise:
+        return [points + x for x in noise]
+    carried = propagate(points, anchors, np.concatenate(noise, axis=1))
+    return [points + carried[:, 3 * i : 3 * i + 3] for i in range(len(noise))]
