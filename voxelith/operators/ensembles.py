@@ -126,8 +126,17 @@ def _all_frames(made: Backend, s: Structure, n: int, options: Mapping, include_i
 
 def _spread(rows: DataFrame, key: str = "structure_id") -> DataFrame:
     """Rows by structure in a fixed number of partitions: structures are few bytes but long work, so small partitions must not be merged."""
+    return rows.repartition(_partitions(rows), key)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """_spread by ranges: a few large structures each get a partition of their own, where hashes would put some together."""
+    return rows.repartitionByRange(_partitions(rows), "structure_id")
+
+
+def _partitions(rows: DataFrame) -> int:
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
 def generate(atoms: DataFrame, n: int, backend: str = "nma", max_rmsd: float = 2.0, n_modes: int = 10, seed: int = 0, levels: Sequence[float] | None = None, include_input: bool = True, springs: DataFrame | None = None, options: Mapping | None = None) -> DataFrame:
@@ -154,18 +163,18 @@ def generate(atoms: DataFrame, n: int, backend: str = "nma", max_rmsd: float = 2
 
     kinds = dict(atoms.dtypes)
     schema = f"structure_id {kinds['structure_id']}, frame_idx int, serial {kinds['serial']}, x float, y float, z float"
-    flat = _spread(atoms.select("structure_id", "serial", "x", "y", "z", "is_anchor")).groupBy("structure_id")
+    flat = atoms.select("structure_id", "serial", "x", "y", "z", "is_anchor")
 
     def alone(key, pdf):
         return run(key, pdf)
 
     if springs is None:
-        return flat.applyInPandas(alone, schema)
+        return _apart(flat).groupBy("structure_id").applyInPandas(alone, schema)
 
     def both(key, left, right):
         return run(key, left, right)
 
-    return flat.cogroup(_spread(springs).groupBy("structure_id")).applyInPandas(both, schema)
+    return _spread(flat).groupBy("structure_id").cogroup(_spread(springs).groupBy("structure_id")).applyInPandas(both, schema)
 
 
 def register_sql(spark: SparkSession, name: str = "make_frames") -> None:
@@ -222,18 +231,18 @@ def _with_anchors(atoms: DataFrame) -> DataFrame:
     return atoms.where("is_anchor").withColumn("_n", n).where(F.col("_n") >= MIN_ANCHORS).drop("_n")
 
 
-def normal_modes(atoms: DataFrame, n_modes: int = 10) -> DataFrame:
+def normal_modes(atoms: DataFrame, n_modes: int = 10, cutoff: float = 8.0) -> DataFrame:
     """structure_id, mode, eigenvalue and vector (3N numbers) of each structure's anchors; structures with fewer than six have none."""
 
     def run(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("serial", kind="stable")
-        values, modes = elastic_modes(pdf[["x", "y", "z"]].to_numpy(dtype=np.float64), n_modes)
+        values, modes = elastic_modes(pdf[["x", "y", "z"]].to_numpy(dtype=np.float64), n_modes, cutoff)
         return pd.DataFrame({"structure_id": key[0], "mode": range(len(values)), "eigenvalue": values, "vector": [m.ravel().tolist() for m in modes]})
 
     kind = dict(atoms.dtypes)["structure_id"]
-    return _spread(_with_anchors(atoms).select("structure_id", "serial", "x", "y", "z")).groupBy("structure_id").applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
+    return _apart(_with_anchors(atoms).select("structure_id", "serial", "x", "y", "z")).groupBy("structure_id").applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
 
 
 def contact_normal_modes(atoms: DataFrame, n_modes: int = 10, cutoff: float = 8.0) -> DataFrame:

@@ -222,12 +222,14 @@ def greedy_clusters(xyz: np.ndarray, eps: float) -> np.ndarray:
 
 #: Up to so many points the matrix is taken apart whole; beyond, its lower half is factored in single precision.
 DENSE = 1000
-#: Up to so many points that factor is held, 130 MB; beyond, memory is in proportion to the points.
+#: Up to so many points that factor is held, 130 MB; beyond, and where the network is dense, memory is in proportion to the points.
 FACTORED = 2700
 #: Numbers of the matrix for each contact, up to which a network counts as dense.
 MATRIX_SHARE = 64
-#: Points in a block of rows of the matrix, and in a block of its columns.
-_ROWS, _COLUMNS = 128, 512
+#: Points in a block of rows of the matrix, and on a side of a tile.
+_ROWS, _TILE = 128, 96
+#: Points with the weakest springs, whose part of the matrix is taken apart whole.
+_WEAK = 400
 
 
 def _springs(gamma):
@@ -257,49 +259,97 @@ def _rows_of_points(xyz: np.ndarray, cutoff: float, gamma):
     return rows
 
 
+def _compact(xyz: np.ndarray, leaf: int) -> np.ndarray:
+    """An order of the points in which each run of `leaf` points lies close together: halves along the longest side, and again."""
+    out, open_ = [], [np.arange(len(xyz))]
+    while open_:
+        at = open_.pop()
+        if len(at) <= leaf:
+            out.append(at)
+            continue
+        side = xyz[at, int(np.ptp(xyz[at], axis=0).argmax())]
+        half = -(-len(at) // leaf) // 2 * leaf
+        order = np.argsort(side, kind="stable")
+        open_ += [at[order[half:]], at[order[:half]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def _product_of_points(xyz: np.ndarray, cutoff: float, gamma):
-    """x -> Hx for the elastic network of the points, the points' own blocks of H, and a bound of its highest value.
+    """product(x, kind) = Hx for the elastic network of the points, the points' own blocks of H, and a bound of its highest value.
 
-    Springs are made anew at each product, a tile of points by points at a time; tiles that lie apart have none.
+    Springs are made anew at each product, a tile of points by points at a time, for both sides of the diagonal at once;
+    tiles that lie apart have none. kind is the precision of the springs between points; which points have a spring,
+    and the points' own blocks, are as in double precision whatever kind is.
     """
-    n, factors = len(xyz), _springs(gamma)
-    axes, own, top = np.ascontiguousarray(xyz.T), np.zeros((n, 3, 3)), 0.0
-    low, high = (np.stack([f(xyz[c : c + _COLUMNS], axis=0) for c in range(0, n, _COLUMNS)]) for f in (np.min, np.max))
-
-    def tiles(a: int, b: int):
-        """Where a tile's columns are, and its springs times each product of two axes' moves."""
-        apart = np.maximum(0, np.maximum(low - xyz[a:b].max(axis=0), xyz[a:b].min(axis=0) - high))
-        given = factors(a, b)
-        for t in np.flatnonzero((apart**2).sum(axis=1) <= cutoff**2):
-            at = slice(t * _COLUMNS, min(t * _COLUMNS + _COLUMNS, n))
-            d = [x[None, at] - x[a:b, None] for x in axes]
-            r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-            near = (r2 > 0) & (r2 <= cutoff**2)
-            r2[~near] = np.inf
-            k = (given if np.isscalar(given) else given[:, at]) / r2
-            along = [k * x for x in d]
-            yield at, [[along[min(i, j)] * d[max(i, j)] for j in range(i, 3)] for i in range(3)]
-
-    for a in range(0, n, _ROWS):
-        b = min(a + _ROWS, n)
-        for _, w in tiles(a, b):
-            for i in range(3):
-                for j in range(i, 3):
-                    own[a:b, i, j] += w[i][j - i].sum(axis=1)
+    n, factors, reach = len(xyz), _springs(gamma), cutoff**2
+    axes = np.ascontiguousarray(xyz.T)
+    bounds = [(a, min(a + _TILE, n)) for a in range(0, n, _TILE)]
+    low, high = (np.stack([f(xyz[a:b], axis=0) for a, b in bounds]) for f in (np.min, np.max))
+
+    def tiles(kind):
+        """Where a tile of the upper half lies, the moves along each axis, and these by the springs."""
+        for s, (a, b) in enumerate(bounds):
+            apart = np.maximum(0, np.maximum(low[s:] - high[s], low[s] - high[s:]))
+            given, middle = factors(a, b), (low[s] + high[s]) / 2
+            single = (axes - middle[:, None]).astype(np.float32) if kind is np.float32 else None
+            for t in (np.flatnonzero((apart**2).sum(axis=1) <= reach) + s).tolist():
+                p, q = bounds[t]
+                wide = kind is np.float64 or np.abs(np.stack((low[t], high[t], low[s], high[s])) - middle).max() > 8 * cutoff
+                d = [x[None, p:q] - x[a:b, None] for x in (axes if wide else single)]
+                r2 = d[0] * d[0]
+                r2 += d[1] * d[1]
+                r2 += d[2] * d[2]
+                if wide:
+                    near = r2 <= reach
+                    if r2.min() == 0:
+                        near &= r2 > 0
+                        r2[r2 == 0] = 1
+                else:
+                    near, may = r2 <= np.float32(0.9999 * reach), r2 <= np.float32(1.0001 * reach)
+                    close = r2.min() < 1e-6 * reach
+                    if close or np.count_nonzero(near) < np.count_nonzero(may):  # too near to call
+                        i, j = np.nonzero((near != may) | (r2 < 1e-6 * reach) if close else near != may)
+                        exact = [x[p + j] - x[a + i] for x in axes]
+                        exact2 = exact[0] * exact[0] + exact[1] * exact[1] + exact[2] * exact[2]
+                        near[i, j] = (exact2 > 0) & (exact2 <= reach)
+                        for x, y in zip((r2, *d), (np.where(near[i, j], exact2, 1), *exact), strict=True):
+                            x[i, j] = y
+                k = (given if np.isscalar(given) else given[:, p:q]) / r2
+                k *= near
+                yield s, t, d, [k * x for x in d]
+
+    own = np.zeros((n, 3, 3))
+    for s, t, d, along in tiles(np.float64):
+        (a, b), (p, q) = bounds[s], bounds[t]
+        for i in range(3):
+            for j in range(i, 3):
+                own[a:b, i, j] += np.einsum("pq,pq->p", along[i], d[j])
+                if s < t:
+                    own[p:q, i, j] += np.einsum("pq,pq->q", along[i], d[j])
     for i, j in ((1, 0), (2, 0), (2, 1)):
         own[:, i, j] = own[:, j, i]
     top = 2 * float(np.trace(own, axis1=1, axis2=2).max())
 
-    def product(x: np.ndarray) -> np.ndarray:
+    def product(x: np.ndarray, kind=np.float64) -> np.ndarray:
         x = x.reshape(n, 3, -1)
-        parts = [np.ascontiguousarray(x[:, j]) for j in range(3)]
         y = own @ x
-        for a in range(0, n, _ROWS):
-            b = min(a + _ROWS, n)
-            for at, w in tiles(a, b):
-                for i in range(3):
-                    for j in range(3):
-                        y[a:b, i] -= w[min(i, j)][abs(i - j)] @ parts[j][at]
+        parts = [np.ascontiguousarray(x[a:b].transpose(1, 0, 2), dtype=kind).reshape(3 * (b - a), -1) for a, b in bounds]
+        sums = [np.zeros(part.shape) for part in parts]
+        held = np.empty(9 * _TILE * _TILE, kind)
+        for s, t, d, along in tiles(kind):
+            (a, b), (p, q) = bounds[s], bounds[t]
+            w = held[: 9 * (b - a) * (q - p)].reshape(3, b - a, 3, q - p)
+            for i in range(3):
+                for j in range(i, 3):
+                    np.multiply(along[i], d[j], out=w[i, :, j], casting="same_kind")
+                    if i < j:
+                        w[j, :, i] = w[i, :, j]
+            w = w.reshape(3 * (b - a), 3 * (q - p))
+            sums[s] += w @ parts[t]
+            if s < t:
+                sums[t] += w.T @ parts[s]
+        for (a, b), z in zip(bounds, sums, strict=True):
+            y[a:b] -= z.reshape(3, b - a, -1).transpose(1, 0, 2)
         return y.reshape(3 * n, -1)
 
     return product, own, top
@@ -398,43 +448,100 @@ def _lowest(n: int, rows, top: float, n_modes: int, tolerance: float = 1e-11, ro
     return values[:wanted], x[:, :wanted]
 
 
-def _lowest_by_product(n: int, product, own: np.ndarray, top: float, n_modes: int, start: np.ndarray, tolerance: float = 1e-11, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """_lowest from products alone, with memory in proportion to the points: the vectors are corrected by the points' own blocks.
+def _needed(values: np.ndarray, off: np.ndarray, n_modes: int) -> int:
+    """How many of the values, in rising order and each within `off` of a true one, _picked depends on: all, if it is not sure which it takes."""
+    limit = 1e-3 * np.abs(values).max()
+    keep = np.flatnonzero(values > limit)[:n_modes]
+    unsure = np.abs(values - limit) <= off + 1e-3 * off[-1]
+    return len(values) if len(keep) < n_modes or unsure.any() else int(keep[-1]) + 1
+
 
-    start: vectors to begin with, beside those of the weakest blocks.
+def _lowest_by_product(xyz: np.ndarray, cutoff: float, gamma, n_modes: int, tolerance: float = 1e-11, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+    """_lowest from products alone, with memory in proportion to the points.
+
+    Davidson's method. It begins with smooth fields, which are what springs resist least, and with the lowest vectors of the
+    points with the weakest springs, and corrects by these points' part of the matrix, taken apart whole, and by the other
+    points' own blocks. The values that _picked depends on are brought to the tolerance, the others to what shows that it does
+    not depend on them. Products are in single precision until the vectors are near; then theirs are taken in double precision,
+    as what is added from there on is small enough for single precision, and once more in the end, to be sure.
     """
+    n = len(xyz)
+    product, own, top = _product_of_points(xyz, cutoff, gamma)
     wanted = min(6 + 4 * n_modes, 3 * n - 1)
-    width = wanted + 8
+    width = min(wanted + 8, 3 * n)
     alone, turns = np.linalg.eigh(own)
-    point, axis = np.divmod(np.argsort(alone, axis=None, kind="stable")[: width - start.shape[1]], 3)
-    x = np.zeros((n, 3, len(point)))
-    x[point, :, np.arange(len(point))] = turns[point, :, axis]
-    v = np.linalg.qr(np.concatenate((start, x.reshape(3 * n, -1)), axis=1))[0]
-    hv = product(v)
+    weak = np.sort(np.argsort(alone[:, 0], kind="stable")[:_WEAK])
+    at = (3 * weak[:, None] + np.arange(3)).ravel()
+    theirs, their_turns = np.linalg.eigh(_part_of_points(xyz, weak, own, cutoff, gamma))
+    v = np.zeros((3 * n, min(width, len(at))))
+    v[at] = their_turns[:, : v.shape[1]]
+    fields, size, _ = np.linalg.svd(_smooth(xyz), full_matrices=False)
+    v = _added(fields[:, size > 1e-8 * size[0]][:, : 3 * n - v.shape[1]], v)
+    hv, exact, sure = product(v, np.float32), 0, False
     for _ in range(rounds):
-        values, turn = np.linalg.eigh((v.T @ hv + hv.T @ v) / 2)
-        values, turn = values[:width], turn[:, :width]
-        x, hx = v @ turn, hv @ turn
-        rest = hx - x * values
-        far = np.flatnonzero(np.abs(rest).max(axis=0)[:wanted] > tolerance * top)
+        inner = v.T @ hv
+        inner = (inner + inner.T) / 2
+        if exact:  # of two vectors, the product that is exact
+            inner[:exact] = hv[:, :exact].T @ v
+            inner[:, :exact] = inner[:exact].T
+        values, turn = np.linalg.eigh(inner)
+        if v.shape[1] > 5 * width:
+            values, turn = values[:width], turn[:, :width]
+        v, hv = v @ turn, hv @ turn
+        rest = hv[:, :wanted] - v[:, :wanted] * values[:wanted]
+        size = np.abs(rest).max(axis=0)
+        needed = _needed(values[:wanted], np.linalg.norm(rest, axis=0) + 1e-9 * top, n_modes)
+        limit = np.full(len(size), 1e-6 * top)
+        limit[:needed] = (tolerance if exact else 1e-7) * top
+        far = np.flatnonzero(size > limit)
         if not len(far):
-            return values[:wanted], x[:, :wanted]
-        if v.shape[1] > 4 * width:
-            v, hv = x, hx
-        away = alone[:, :, None] - values[far]
-        least = max(1e-3 * abs(values[-1]), 1e-9 * top)
-        away = np.where(np.abs(away) < least, np.where(away < 0, -least, least), away)
-        more = np.einsum("nij,njc->nic", turns, np.einsum("nij,nic->njc", turns, rest[:, far].reshape(n, 3, -1)) / away).reshape(3 * n, -1)
-        for _ in range(2):
-            more = np.linalg.qr(more - v @ (v.T @ more))[0]
-        v, hv = np.concatenate((v, more), axis=1), np.concatenate((hv, product(more)), axis=1)
+            if sure and needed <= exact:
+                return values[:wanted], v[:, :wanted]
+            sure, exact = exact > 0, needed
+            hv[:, :exact] = product(v[:, :exact])
+            continue
+        sure = False
+        least = max(1e-3 * abs(values[min(width, len(values)) - 1]), 1e-9 * top)
+
+        def over(z, gap, least=least):
+            return z / np.where(np.abs(gap) < least, np.where(gap < 0, -least, least), gap)
+
+        left = rest[:, far]
+        more = np.einsum("nij,njc->nic", turns, over(np.einsum("nij,nic->njc", turns, left.reshape(n, 3, -1)), alone[:, :, None] - values[far])).reshape(3 * n, -1)
+        more[at] = their_turns @ over(their_turns.T @ left[at], theirs[:, None] - values[far])
+        before = v.shape[1]
+        v = _added(v, more)
+        hv = np.concatenate((hv, product(v[:, before:], np.float32)), axis=1)
     raise ArithmeticError(f"modes of {n} points do not stand still after {rounds} rounds")
 
 
-def _rigid(xyz: np.ndarray) -> np.ndarray:
-    """The shifts and turns of all points as one body, which no spring resists."""
+def _smooth(xyz: np.ndarray) -> np.ndarray:
+    """Moves of all points that are polynomials of their places, of the second degree at most; shifts and turns of the whole are among them."""
     at = xyz - xyz.mean(axis=0)
-    return np.stack([np.broadcast_to(e, at.shape).ravel() for e in np.eye(3)] + [np.cross(e, at).ravel() for e in np.eye(3)], axis=1)
+    at = at / max(np.abs(at).max(), 1e-300)
+    each = np.stack([np.ones(len(at)), *at.T, *(at[:, i] * at[:, j] for i in range(3) for j in range(i, 3))], axis=1)
+    each = each / np.maximum(np.linalg.norm(each, axis=0), 1e-300)
+    return np.einsum("nk,ij->nikj", each, np.eye(3)).reshape(3 * len(at), -1)
+
+
+def _added(v: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """v and the part of more at right angles to it."""
+    for _ in range(2):
+        more = np.linalg.qr(more - v @ (v.T @ more))[0]
+    return np.concatenate((v, more), axis=1)
+
+
+def _part_of_points(xyz: np.ndarray, at: np.ndarray, own: np.ndarray, cutoff: float, gamma) -> np.ndarray:
+    """The part of the elastic network's matrix that some points have, with their own blocks."""
+    factors = _springs(gamma)
+    d = xyz[at][None] - xyz[at][:, None]
+    r2 = (d**2).sum(axis=2)
+    near = (r2 > 0) & (r2 <= cutoff**2)
+    given = factors(0, 0)
+    k = np.where(near, (given if np.isscalar(given) else np.concatenate([factors(a, a + 1)[:, at] for a in at.tolist()])) / np.where(near, r2, 1.0), 0.0)
+    h = -k[:, :, None, None] * d[:, :, :, None] * d[:, :, None, :]
+    h[np.arange(len(at)), np.arange(len(at))] = own[at]
+    return h.transpose(0, 2, 1, 3).reshape(3 * len(at), 3 * len(at))
 
 
 def _picked(n: int, values: np.ndarray, vectors: np.ndarray, n_modes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -454,14 +561,20 @@ def elastic_modes(xyz: np.ndarray, n_modes: int = 10, cutoff: float = 8.0, gamma
     its rows a to b. Signs are fixed: the component of largest size of each
     vector is positive.
     """
-    n = len(xyz)
-    if n > FACTORED:
-        return _picked(n, *_lowest_by_product(n, *_product_of_points(xyz, cutoff, gamma), n_modes, _rigid(xyz)), n_modes)
-    top, factors = 0.0, _springs(gamma)
-    if n > DENSE:  # twice the largest sum of springs at a point
+    n, top, contacts, factors = len(xyz), 0.0, 0, _springs(gamma)
+    if DENSE < n <= FACTORED:  # twice the largest sum of springs at a point
         for a in range(0, n, _ROWS):
             r2 = ((xyz[None, :, :] - xyz[a : a + _ROWS, None, :]) ** 2).sum(axis=2)
-            top = max(top, 2 * float((((r2 > 0) & (r2 <= cutoff**2)) * factors(a, min(a + _ROWS, n))).sum(axis=1).max()))
+            near = (r2 > 0) & (r2 <= cutoff**2)
+            contacts += np.count_nonzero(near)
+            top = max(top, 2 * float((near * factors(a, min(a + _ROWS, n))).sum(axis=1).max()))
+    if n > FACTORED or n > DENSE and 9 * n * n <= MATRIX_SHARE * contacts:
+        one = not callable(gamma) and np.isscalar(gamma)
+        order = _compact(xyz, _TILE) if one else np.arange(n)  # factors of springs come in the order of the points
+        values, vectors = _lowest_by_product(xyz[order], cutoff, gamma, n_modes)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        return _picked(n, values, vectors.reshape(n, 3, -1)[back].reshape(3 * n, -1), n_modes)
     return _picked(n, *_lowest(n, _rows_of_points(xyz, cutoff, gamma), top, n_modes), n_modes)
 
 
