@@ -248,14 +248,19 @@ def normal_modes(atoms: DataFrame, n_modes: int = 10, cutoff: float = 8.0) -> Da
 def contact_normal_modes(atoms: DataFrame, n_modes: int = 10, cutoff: float = 8.0) -> DataFrame:
     """normal_modes for structures whose dense matrix is too large: contacts by a range join, the lowest modes from them.
 
-    A task holds one structure's anchors, contacts and the wanted vectors.
+    A task holds one structure's anchors, contacts and the wanted vectors. Large structures most of whose anchors are near
+    each other have about as many contacts as their matrix has numbers: theirs are made in the task, a tile of anchors
+    by anchors at a time, and neither written nor held.
     """
     from voxelith.operators.kernels import contact_modes
     from voxelith.operators.spatial import range_join
 
     kind = dict(atoms.dtypes)["structure_id"]
     order = Window.partitionBy("structure_id").orderBy("serial")
-    anchors = _with_anchors(atoms).select("structure_id", (F.row_number().over(order) - 1).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    all_anchors = _with_anchors(atoms)
+    crowded = staged(_crowded(all_anchors, cutoff), "crowded")
+    dense = normal_modes(all_anchors.join(crowded, "structure_id", "left_semi"), n_modes, cutoff)
+    anchors = all_anchors.join(crowded, "structure_id", "left_anti").select("structure_id", (F.row_number().over(order) - 1).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
     other = anchors.select("structure_id", F.col("i").alias("j"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
     near = range_join(anchors, other, cutoff, right_xyz=("ox", "oy", "oz"), on=["structure_id"]).where("dist2 > 0")
     contacts = near.select("structure_id", "i", "j", *((F.col(f"o{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"), (1 / F.col("dist2")).alias("factor"))
@@ -268,7 +273,16 @@ def contact_normal_modes(atoms: DataFrame, n_modes: int = 10, cutoff: float = 8.
         return pd.DataFrame({"structure_id": key[0], "mode": range(len(values)), "eigenvalue": values, "vector": [m.ravel().tolist() for m in modes]})
 
     points = anchors.select(F.col("structure_id").alias("sid"), F.col("i").alias("place"))
-    return _spread(points, "sid").groupBy("sid").cogroup(_spread(contacts).groupBy("structure_id")).applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
+    listed = _spread(points, "sid").groupBy("sid").cogroup(_spread(contacts).groupBy("structure_id")).applyInPandas(run, f"structure_id {kind}, mode int, eigenvalue double, vector array<double>")
+    return listed.unionByName(dense)
+
+
+def _crowded(anchors: DataFrame, cutoff: float) -> DataFrame:
+    """structure_id of large structures whose contacts are no fewer than a share of their matrix, judged by how many anchors neighbouring cells hold."""
+    from voxelith.operators.kernels import DENSE, MATRIX_SHARE
+    from voxelith.operators.spatial import cell_pairs
+
+    return cell_pairs(anchors, cutoff, on=["structure_id"]).where((F.col("n") > DENSE) & (9 * F.col("n") * F.col("n") <= MATRIX_SHARE // 3 * F.col("pairs"))).select("structure_id")
 
 
 def greedy_cluster(pockets: DataFrame, keys: Sequence[str] = ("structure_id",), order: Sequence[str] = ("frame_idx", "source_ord", "pocket_idx"), eps: float = 5.0) -> DataFrame:

@@ -45,6 +45,27 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, left_xyz: Seque
     return joined.withColumn("dist2", d2).where(F.col("dist2") <= radius * radius).drop("_c0", "_c1", "_c2")
 
 
+def range_map(left: DataFrame, right: DataFrame, radius: float, f, schema: str, xyz: Sequence[str] = XYZ, on: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """f(rows, others) of each cell of range_join, as pandas: its left rows, and right's of it and the cells around, among which are all within radius.
+
+    For sums over pairs that are too many for a row each.
+    """
+    keys = [*on, "_c0", "_c1", "_c2"]
+    a = left.withColumns({f"_c{k}": _cell(F.col(c), radius) for k, c in enumerate(xyz)})
+    b = right.select(*(F.col(c).alias(c) for c in right.columns)).withColumn("_near", F.explode(_around([_cell(F.col(c), radius) for c in xyz])))
+    b = b.select("*", *(F.col(f"_near.{n}").alias(f"_c{k}") for k, n in enumerate("ijk"))).drop("_near")
+    tasks = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(tasks, *keys).groupBy(*keys).cogroup(b.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(f, schema)
+
+
+def cell_pairs(points: DataFrame, radius: float, xyz: Sequence[str] = XYZ, on: Sequence[str] = ()) -> DataFrame:
+    """For each value of `on`, n points and pairs: how many pairs of them range_join would compare, from counts of cells."""
+    cells = points.groupBy(*on, *(_cell(F.col(c), radius).alias(f"_c{k}") for k, c in enumerate(xyz))).agg(F.count("*").alias("_n"))
+    near = cells.select(*on, F.col("_n").alias("_m"), F.explode(_around([F.col(f"_c{k}") for k in range(3)])).alias("_near"))
+    near = near.groupBy(*on, *(F.col(f"_near.{n}").alias(f"_c{k}") for k, n in enumerate("ijk"))).agg(F.sum("_m").alias("_m"))
+    return cells.join(near, [*on, "_c0", "_c1", "_c2"]).groupBy(*on).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_m")).alias("pairs"))
+
+
 def _dist2(left_xyz: Sequence[str], right_xyz: Sequence[str]) -> Column:
     squares = [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(left_xyz, right_xyz, strict=True)]
     return sum(squares[1:], squares[0])
