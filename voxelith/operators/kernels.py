@@ -578,6 +578,28 @@ def elastic_modes(xyz: np.ndarray, n_modes: int = 10, cutoff: float = 8.0, gamma
     return _picked(n, *_lowest(n, _rows_of_points(xyz, cutoff, gamma), top, n_modes), n_modes)
 
 
+def spring_forces(xyz: np.ndarray, moves: np.ndarray, other: np.ndarray, other_moves: np.ndarray, cutoff: float = 8.0) -> np.ndarray:
+    """What the springs between points and others do to the points when both are moved: moves, and the result, have an axis of points, one of modes, one of space."""
+    out = np.zeros(moves.shape)
+    for a in range(0, len(xyz), _ROWS):
+        at = slice(a, a + _ROWS)
+        for p in range(0, len(other), 4 * _ROWS):
+            to = slice(p, p + 4 * _ROWS)
+            d = [other[None, to, k] - xyz[at, k, None] for k in range(3)]
+            r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+            near = (r2 > 0) & (r2 <= cutoff**2)
+            r2[r2 == 0] = 1
+            k = near / r2
+            for i in range(3):
+                along = k * d[i]
+                for j in range(i, 3):
+                    w = along * d[j]
+                    total = w.sum(axis=1)[:, None]
+                    for x, y in {(i, j), (j, i)}:
+                        out[at, :, x] += total * moves[at, :, y] - w @ other_moves[to, :, y]
+    return out
+
+
 def contact_product(n: int, i: np.ndarray, j: np.ndarray, move: np.ndarray, factor: np.ndarray):
     """x -> Hx for the elastic network of the contacts i, j (both ways round), laid out by neighbours: memory in proportion to contacts.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from voxelith.operators import ensembles as E
 from voxelith.operators import evaluation as V
 from voxelith.operators import grid as G
 from voxelith.operators import spatial as S
+from voxelith.operators.kernels import spring_forces
 from voxelith.sinks import files as K
 from voxelith.sources import structures as R
 from voxelith.sources import tables as T
@@ -534,7 +536,7 @@ def anm_modes(spark, sf_dir):
 
 @query(f"with {_PT}, s as (select 's' || (id % 20) as structure_id, count(*) n from pt group by 1 having count(*) >= 6) select structure_id, true as solves, true as unit from s")
 def mode_equations(spark, sf_dir):
-    """Whether all modes of the dense kernel solve Hv = ev, with H from a range join of the points, and have length one."""
+    """Whether all modes of the dense kernel solve Hv = ev, with Hv summed over the springs between neighbouring cells of the points, and have length one."""
     atoms = _small(spark, sf_dir)
     n = 5
     modes = E.normal_modes(atoms, n)
@@ -542,16 +544,21 @@ def mode_equations(spark, sf_dir):
     at = atoms.select("structure_id", (F.row_number().over(order) - 1).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
     part = modes.select("structure_id", "mode", "eigenvalue", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("vector") / 3).cast("int") - 1), lambda p: F.slice("vector", p * 3 + 1, 3))).alias("i", "v"))
     held = part.groupBy("structure_id", "i").agg(F.array_sort(F.collect_list(F.struct("mode", "eigenvalue", "v"))).alias("held"))
-    # Points carry their part of all modes into the join, so that its pairs are summed where they arise.
+    # Points carry their part of all modes, so that pairs are summed where they arise.
     points_of = staged(at.join(held, ["structure_id", "i"]).select("structure_id", "i", *"xyz", F.transform("held", lambda m: m["eigenvalue"]).alias("e"), F.flatten(F.transform("held", lambda m: m["v"])).alias("v")), "modes")
-    other = points_of.select("structure_id", *(F.col(c).alias(f"o{c}") for c in "xyz"), F.col("v").alias("ov"))
-    near = S.range_join(points_of.drop("e"), other, 8.0, right_xyz=("ox", "oy", "oz"), on=["structure_id"]).where("dist2 > 0")
-    d = [F.col(f"o{c}") - F.col(c) for c in "xyz"]
-    along = [sum((d[a] * (F.get("v", F.lit(3 * k + a)) - F.get("ov", F.lit(3 * k + a))) for a in (1, 2)), d[0] * (F.get("v", F.lit(3 * k)) - F.get("ov", F.lit(3 * k)))) / F.col("dist2") for k in range(n)]
-    product = near.select("structure_id", "i", *(x.alias(f"d{c}") for c, x in zip("xyz", d, strict=True)), *(x.alias(f"a{k}") for k, x in enumerate(along))).groupBy("structure_id", "i").agg(*(F.sum(F.col(f"a{k}") * F.col(f"d{c}")).alias(f"h{k}{c}") for k in range(n) for c in "xyz"))
+
+    def forces(rows, others):
+        import pandas as pd
+
+        moves = [np.stack(x["v"].to_list()).reshape(len(x), -1, 3) if len(x) else np.zeros((0, 1, 3)) for x in (rows, others)]
+        h = spring_forces(rows[list("xyz")].to_numpy(), moves[0], others[list("xyz")].to_numpy(), moves[1], 8.0) if len(rows) else ()  # a cell around others
+        return rows[["structure_id", "i"]].assign(h=pd.Series([x.ravel() for x in h], rows.index, object))
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    product = S.range_map(points_of.drop("e"), points_of.select("structure_id", *"xyz", "v"), 8.0, forces, "structure_id string, i int, h array<double>", on=["structure_id"], partitions=tasks)
     rows = points_of.join(product, ["structure_id", "i"], "left")
     v = lambda k, a: F.get("v", F.lit(3 * k + a))
-    off = [F.greatest(*(F.abs(F.coalesce(F.col(f"h{k}{c}"), F.lit(0.0)) - F.get("e", F.lit(k)) * v(k, a)) for a, c in enumerate("xyz"))) for k in range(n)]
+    off = [F.greatest(*(F.abs(F.get("h", F.lit(3 * k + a)) - F.get("e", F.lit(k)) * v(k, a)) for a in range(3))) for k in range(n)]
     length = [sum((v(k, a) * v(k, a) for a in (1, 2)), v(k, 0) * v(k, 0)) for k in range(n)]
     each = rows.groupBy("structure_id").agg(*(F.max(x).alias(f"off{k}") for k, x in enumerate(off)), *(F.sum(x).alias(f"n{k}") for k, x in enumerate(length)))
     every = lambda xs: F.forall(F.array(*xs), lambda x: x)  # noqa: E731  a mode that a small structure lacks is null
