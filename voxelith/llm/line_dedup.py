@@ -361,6 +361,25 @@ def shared_blocks(found: DataFrame) -> DataFrame:
     return out
 
 
+def _lists(batches):
+    """Rows of h and l1, in order of both, to a row for each l1 with its different h in order."""
+    kept_h, kept_l1 = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in (*batches, None):
+        if batch is not None:
+            h, l1 = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((kept_h, "h"), (kept_l1, "l1")))
+            last = int(np.searchsorted(l1, l1[-1])) if len(l1) else 0
+            (h, kept_h), (l1, kept_l1) = ((x[:last], x[last:]) for x in (h, l1))
+        else:
+            h, l1 = kept_h, kept_l1
+        if len(l1):
+            new = np.append(True, l1[1:] != l1[:-1])
+            use = new | np.append(True, h[1:] != h[:-1])
+            h, l1, new = h[use], l1[use], new[use]
+            first = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(h))
+            yield pa.RecordBatch.from_arrays([pa.array(l1[first]), lists], names=["l1", "blocks"])
+
+
 def edit_within(a: str, b: str, limit: int) -> bool:
     """Whether the edit distance of two texts is at most limit, by bit-parallel columns."""
     if abs(len(a) - len(b)) > limit:
@@ -620,25 +639,31 @@ def _starts(rows: pa.RecordBatch) -> np.ndarray:
 def _with_near(rows: pa.RecordBatch, starts: np.ndarray, threshold: float) -> np.ndarray:
     """The rows that have a pair of their own in their unit, one whose smallest common block is the unit's; units are compared shift by shift, all at once."""
     n = rows.num_rows
-    h, label, size, sim = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("h", "label", "size", "sim"))
+    label, size, sim = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("label", "size", "sim"))
     blocks = rows.column("blocks")
-    bounds, flat = blocks.offsets.to_numpy(), blocks.values.to_numpy()
+    bounds = blocks.offsets.to_numpy()
+    flat = blocks.values.to_numpy()[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
     starts = starts[starts < n]
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
     found = np.zeros(n, dtype=bool)
 
+    # Of each row's smaller blocks, a bit each: rows that share a block share its bit.
+    marks, some = np.zeros(n, np.uint64), np.flatnonzero(np.diff(bounds))
+    if len(some):
+        marks[some] = np.bitwise_or.reduceat(np.uint64(1) << (mix64(flat.view(np.uint64)) >> np.uint64(58)), bounds[some])
+
     def elsewhere(x, y):
         """Which pairs share a block that is smaller than their unit's, and so belong there."""
-        side, pair = np.concatenate((x, y)), np.tile(np.arange(len(x)), 2)
-        count = bounds[side + 1] - bounds[side]
-        block = flat[np.repeat(bounds[side] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        pair = np.repeat(pair, count)
-        use = block < h[x][pair]
-        block, pair = block[use], pair[use]
-        order = np.lexsort((block, pair))
-        block, pair = block[order], pair[order]
-        out = np.zeros(len(x), dtype=bool)
-        out[pair[1:][(block[1:] == block[:-1]) & (pair[1:] == pair[:-1])]] = True
+        out, left = np.zeros(len(x), dtype=bool), np.flatnonzero(marks[x] & marks[y])
+        p, q = bounds[x[left]], bounds[y[left]]
+        p_end, q_end = bounds[x[left] + 1], bounds[y[left] + 1]
+        while len(left):  # both lists are in order: go on in that with the smaller block
+            a, b = flat[p], flat[q]
+            out[left[a == b]] = True
+            p, q = p + (a < b), q + (a > b)
+            go = (a != b) & (p < p_end) & (q < q_end)
+            left, p, q, p_end, q_end = left[go], p[go], q[go], p_end[go], q_end[go]
         return out
 
     a, shift = np.arange(n), 0
@@ -693,7 +718,7 @@ def _fetch(names: list[str]):
 
 
 def _needed(units: DataFrame, threshold: float) -> DataFrame:
-    """Of units (h, i, j, lid, label, sim, size, blocks), the lines that have a near line of their own there."""
+    """Of units (h, i, j, lid, label, sim, size, blocks: the line's blocks below h, in order), the lines that have a near line of their own there."""
 
     def select(batches):
         for rows, starts in _whole_units(batches):
@@ -834,10 +859,11 @@ def groups(docs: DataFrame, threshold: float = 0.8, exact: bool = False) -> tupl
     once = found.groupBy("l1", "l2").agg(F.min(F.struct("doc_id", "line", "th")).alias("rep"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.count("*").alias("c"))
     known = staged(once.withColumn("lid", F.monotonically_increasing_id()), "known")
     met = shared_blocks(found)
-    listed = met.groupBy("l1").agg(F.collect_set("h").alias("blocks")).join(known.hint("merge"), "l1")
+    listed = met.repartition("l1").sortWithinPartitions("l1", "h").mapInArrow(_lists, "l1 long, blocks array<long>").join(known.hint("merge"), "l1")
     listed = staged(listed.select("lid", "sim", "size", "rep", "blocks"), "listed")
     unstage(met._needs)
-    spread = listed.select("lid", F.col("lid").alias("label"), "sim", "size", "blocks", F.explode("blocks").alias("h"))
+    spread = listed.select("lid", F.col("lid").alias("label"), "sim", "size", F.col("blocks").alias("every"), F.posexplode("blocks").alias("place", "h"))
+    spread = spread.select("lid", "label", "sim", "size", F.slice("every", F.lit(1), F.col("place")).alias("blocks"), "h")  # those that may hold a pair instead
     large = staged(spread.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > UNIT).select("h", F.ceil(F.col("c") / UNIT).cast("int").alias("parts")), "large")
     part = F.pmod(F.xxhash64("lid", "h"), F.coalesce("parts", F.lit(1))).cast("int")  # other parts in other blocks, which so join them
     units = spread.join(large, "h", "left").withColumn("i", part).withColumn("j", F.col("i"))
